@@ -42,7 +42,7 @@ class Ids:
             if m := _plain_word.fullmatch(word):  # stops are pieces of their own
                 out = self.word(m[1].lower()) + self.word(m[2])
             else:
-                out = np.asarray(self.counter.ids(word), "<u4").tobytes()
+                out = self.counter.ids(word)
             self.known[word] = out
         return out
 

@@ -65,7 +65,7 @@ class Transducer:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.steps: list[dict[str, tuple[int, int]]] = []
-        self.newest: list[tuple[str, int]] = []
+        self.newest: list[tuple[bytes, int]] = []
         self.start = self._state(())
 
     def merge(self, symbols: tuple[str, ...]) -> list[str]:
@@ -99,7 +99,7 @@ class Transducer:
             self.keys.append(key)
             self.steps.append({})
             token = key[-1][1] if key else ""
-            self.newest.append((token, len(self._symbols(token))))
+            self.newest.append((self.vocab.get(token, 0).to_bytes(4, "little"), len(self._symbols(token))))
         return self.states[key]
 
     def _step(self, state: int, symbol: str) -> tuple[int, int]:
@@ -133,21 +133,22 @@ class Transducer:
         keep = [(s, t, n - base, first) for s, t, n, first in longer]
         return self._state(tuple(keep)), change
 
-    def encode(self, word: list[str]) -> list[str]:
-        """The tokens of a word: the last token of the whole, then that of what comes before it, and so on."""
-        state, last = self.start, []
+    def encode(self, word: list[str]) -> bytes:
+        """The ids (little-endian, 32 bits) of a word: its last token, then that of what comes before it, and so on."""
+        state, steps, newest, last = self.start, self.steps, self.newest, []
         for symbol in word:
-            step = self.steps[state].get(symbol)
+            step = steps[state].get(symbol)
             if step is None:
-                step = self.steps[state][symbol] = self._step(state, symbol)
+                step = steps[state][symbol] = self._step(state, symbol)
             state = step[0]
-            last.append(self.newest[state])
+            last.append(newest[state])
         out, at = [], len(word)
         while at:
             token, size = last[at - 1]
             out.append(token)
             at -= size
-        return out[::-1]
+        out.reverse()
+        return b"".join(out)
 
     def count(self, word: list[str]) -> int:
         state, total = self.start, 0
@@ -182,6 +183,10 @@ class Counter:
         self.transducer = Transducer(model["vocab"], merges)
         self.known: dict[str, int] = {}
 
+    def split(self, part: str) -> list[str]:
+        part = lowered(part)
+        return [part] if part.isalpha() else self.pieces.findall(part)
+
     def symbols(self, piece: str) -> list[str]:
         out = list(piece) if piece.isascii() and piece.isprintable() else [self.bytes[b] for b in piece.encode()]
         out[-1] += "</w>"
@@ -197,7 +202,7 @@ class Counter:
             parts = self.special.split(word) if "<|" in word else [word]
             n = len(parts) - 1
             for part in parts:
-                n += sum(map(self._piece, self.pieces.findall(lowered(part))))
+                n += sum(map(self._piece, self.split(part)))
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
             if len(self.transducer.keys) > KEPT_STATES:
@@ -205,19 +210,18 @@ class Counter:
             self.known[word] = n
         return n
 
-    def ids(self, word: str) -> list[int]:
-        """Token ids of a string without white space."""
-        out: list[int] = []
-        vocab, encode = self.transducer.vocab, self.transducer.encode
+    def ids(self, word: str) -> bytes:
+        """Token ids (little-endian, 32 bits) of a string without white space."""
+        out = []
         parts = self.special.split(word) if "<|" in word else [word]
         marks = self.special.findall(word) if len(parts) > 1 else []
         for k, part in enumerate(parts):
-            out += [vocab[marks[k - 1]]] if k else []
-            for piece in self.pieces.findall(lowered(part)):
-                out += map(vocab.__getitem__, encode(self.symbols(piece)))
+            if k:
+                out.append(self.transducer.vocab[marks[k - 1]].to_bytes(4, "little"))
+            out += [self.transducer.encode(self.symbols(x)) for x in self.split(part)]
         if len(self.transducer.keys) > KEPT_STATES:
             self.transducer.forget()
-        return out
+        return b"".join(out)
 
     def words(self, words: list[str]) -> int:
         known = self.known.get
