@@ -151,34 +151,37 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are ignored. An empty table gives no rows.
     """
     rows = with_next(docs, id_col, text_col)
-    w = Window.partitionBy("bucket").orderBy("rn")
-    both = rows.withColumn("edit", F.when(F.col("own"), edited(F.col("text"), F.col("next_text"))))
+    edit = F.coalesce(F.when(F.col("own"), edited(F.col("text"), F.col("next_text"))), F.lit(""))
+    # A row's facts go as numbers along with its shingles, so that the texts are shuffled once and nothing is joined.
+    sha = lambda k: F.conv(F.substring(F.sha2(F.col("e").cast("binary"), 256), 8 * k + 1, 8), 16, 10).cast("long")
+    facts = F.concat(
+        F.array(F.col("own").cast("long"), F.col("doc_id").cast("long"), F.length("text").cast("long"), *map(sha, range(8))),
+        equality_lanes(F.col("text")), equality_lanes(F.col("e")),
+    )
+    none = F.lit(None).cast("array<bigint>")
     versions = F.array(
-        F.struct(F.lit(0).alias("v"), F.col("text").alias("t")),
-        F.struct(F.lit(1).alias("v"), F.coalesce(F.col("edit"), F.lit("")).alias("t")),
+        F.struct(F.lit(0).alias("v"), F.col("text").alias("t"), none.alias("m")),
+        F.struct(F.lit(1).alias("v"), F.col("e").alias("t"), none.alias("m")),
+        F.struct(F.lit(2).alias("v"), F.lit("").alias("t"), facts.alias("m")),
     )
-    units = (
-        both.select("bucket", "rn", F.explode(versions).alias("x"))
-        .select("bucket", "rn", F.col("x.v").alias("v"), F.explode(shingle_hashes(F.col("x.t"))).alias("h"))
+    n_facts = 11 + 2 * EQ_LANES
+    folded = (
+        rows.withColumn("e", edit)
+        .select("bucket", "rn", F.explode(versions).alias("x"))
+        .select("bucket", "rn", F.col("x.v").alias("v"), F.col("x.m").alias("m"), F.explode(F.when(F.col("x.v") == 2, F.array(F.lit(0).cast("long"))).otherwise(shingle_hashes(F.col("x.t")))).alias("h"))
         .groupBy("bucket", "rn", "v")
-        .agg(*likeness_sums())
-        .select("bucket", "rn", "v", "units", likeness_lanes(F.col("units")).alias("lanes"))
+        .agg(*likeness_sums(), *[F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(n_facts)])
+        .select("bucket", "rn", "v", "units", likeness_lanes(F.col("units")).alias("lanes"), F.array(*[F.col(f"m{k}") for k in range(n_facts)]).alias("m"))
         .groupBy("bucket", "rn")
-        .agg(*[F.max(F.when(F.col("v") == v, F.struct("lanes", "units"))).alias(f"u{v}") for v in (0, 1)])
+        .agg(*[F.max(F.when(F.col("v") == v, F.struct("lanes", "units"))).alias(f"u{v}") for v in (0, 1)], F.max(F.when(F.col("v") == 2, F.col("m"))).alias("m"))
     )
     zero = F.struct(F.array_repeat(F.lit(0), LIKE_LANES).alias("lanes"), F.lit(0).cast("long").alias("units"))
-    whole = lambda eq, u: F.struct(F.col(eq).alias("eq"), F.coalesce(F.col(u), zero)["lanes"].alias("lanes"), F.coalesce(F.col(u), zero)["units"].alias("units"))
-    meta = both.select(
-        "bucket", "rn", "own", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"),
-        equality_lanes(F.col("text")).alias("eq0"), equality_lanes(F.coalesce(F.col("edit"), F.lit(""))).alias("eq1"),
-    )
-    joined = (
-        meta.join(units, ["bucket", "rn"], "left")
-        .withColumn("a", whole("eq0", "u0"))
-        .withColumn("b", whole("eq1", "u1"))
-        .withColumn("n", F.lead("a").over(w))
-    )
-    return joined.filter("own").select(
-        "doc_id", "n_chars", "edited_sha256", render(F.col("a")).alias("fingerprint"), render(F.col("b")).alias("edited_fingerprint"),
+    whole = lambda at, u: F.struct(F.slice("m", at, EQ_LANES).alias("eq"), F.coalesce(F.col(u), zero)["lanes"].alias("lanes"), F.coalesce(F.col(u), zero)["units"].alias("units"))
+    w = Window.partitionBy("bucket").orderBy("rn")
+    joined = folded.withColumn("a", whole(12, "u0")).withColumn("b", whole(12 + EQ_LANES, "u1")).withColumn("n", F.lead("a").over(w))
+    hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col("m")[3 + k]), 8, "0") for k in range(8)]))
+    return joined.filter(F.col("m")[0] == 1).select(
+        F.col("m")[1].alias("doc_id"), F.col("m")[2].alias("n_chars"), hexed.alias("edited_sha256"),
+        render(F.col("a")).alias("fingerprint"), render(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("n")).alias("near_next"),
-    )
+    )
