@@ -175,7 +175,7 @@ class Counter:
         splits = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or [x["pattern"]["Regex"] for x in splits] != [PIECES]:
             raise ValueError("this compiles word-end BPE with the known pieces only")
-        self.specials = [x["content"] for x in spec["added_tokens"]]
+        self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, self.specials)))
         self.bytes = byte_symbols()
         self.pieces = regex.compile(PIECES)
@@ -217,7 +217,7 @@ class Counter:
         marks = self.special.findall(word) if len(parts) > 1 else []
         for k, part in enumerate(parts):
             if k:
-                out.append(self.transducer.vocab[marks[k - 1]].to_bytes(4, "little"))
+                out.append(self.specials[marks[k - 1]].to_bytes(4, "little"))
             out += [self.transducer.encode(self.symbols(x)) for x in self.split(part)]
         if len(self.transducer.keys) > KEPT_STATES:
             self.transducer.forget()
