@@ -184,7 +184,8 @@ def _candidates(rows: DataFrame, like: Likeness, star: bool) -> DataFrame:
 
     def pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if star:
-            order = mix(cls.view(np.uint64) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+            # One of two orders, by the key, so that a group that shares many keys has two heads, not one for each key.
+            order = mix(cls.view(np.uint64) ^ np.uint64(key & 1))
             heads = [int(np.argmin(order))]
         else:
             heads = range(len(cls))
