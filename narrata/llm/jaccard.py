@@ -10,7 +10,8 @@ A pair's overlap is counted in a few wide fragments separately and summed. Not e
 each shared fragment, all are first compared with one of them (`star`); pairs that the links so found already connect
 are left out; of the others, those are compared whose parity sketches don't rule the pair out. A sketch holds, for
 each of its bits, whether an odd number of n-grams falls on it, so sketches differ in no more bits than sets differ in
-n-grams, and no link is lost.
+n-grams, and no link is lost. Keys carry sketches of one short width, which large sets saturate; before a pair is given
+its sets, it is given sketches that are as wide as the sets are large (a 64th of the set), and these are compared.
 """
 
 from __future__ import annotations
@@ -102,12 +103,26 @@ def fragment_keys(s: np.ndarray, like: Likeness, bands: list[int]) -> np.ndarray
     return np.concatenate(out)
 
 
-def sketch_of(s: np.ndarray) -> np.ndarray:
-    bits = SKETCH_WORDS * 64
+def sketch_of(s: np.ndarray, bits: int = SKETCH_WORDS * 64) -> np.ndarray:
+    """The parity sketch of a set; bits is a power of two of at least 64."""
     odd = np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def wide_sketch_of(s: np.ndarray) -> np.ndarray:
+    """The sketch with the least power of two of bits that is no less than the set's size."""
+    return sketch_of(s, max(64, 1 << (len(s) - 1).bit_length()))
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches of any two widths."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):  # bit k of the narrower is the parity of bits k and k + width of the wider
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
 
@@ -152,26 +167,30 @@ def keyed(docs: DataFrame, like: Likeness, text_col: str = "text") -> DataFrame:
 
 
 def sets_of(docs: DataFrame, like: Likeness, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cls, n, sketch, parts (the sorted set, cut into WIDE fragments) of the wanted classes. wanted: cls, rep."""
+    """cls, n, sketch, wide (the wide sketch), parts (the sorted set, cut into WIDE fragments) of the wanted classes.
+
+    wanted: cls, rep.
+    """
     rows = _texts(docs, id_col, text_col).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     edges = [np.uint64((k << 64) // WIDE) for k in range(1, WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, n, sketch, parts = [], [], [], []
+            cls, n, sketch, wide, parts = [], [], [], [], []
             for t in b["t"].to_pylist():
                 s = shingle_set(t, like.n)
                 if len(s):
                     cls.append(class_of(s))
                     n.append(len(s))
                     sketch.append(sketch_of(s).tobytes())
+                    wide.append(wide_sketch_of(s).tobytes())
                     parts.append([x.tobytes() for x in np.split(s, np.searchsorted(s, edges))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
-                ["cls", "n", "sketch", "parts"],
+                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
+                ["cls", "n", "sketch", "wide", "parts"],
             )
 
-    made = rows.mapInArrow(run, "cls long, n long, sketch binary, parts array<binary>")
+    made = rows.mapInArrow(run, "cls long, n long, sketch binary, wide binary, parts array<binary>")
     return made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -228,6 +247,22 @@ def _candidates(rows: DataFrame, like: Likeness, star: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs a, b that their wide sketches don't rule out."""
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [
+                (100 + like.percent) * least_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= (100 - like.percent) * (m + n)
+                for x, y, m, n in zip(*(b[c].to_pylist() for c in ("wa", "wb", "na", "nb")), strict=True)
+            ]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The linked ones of pairs: overlaps counted in each wide fragment separately, then summed for the pair."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
@@ -303,12 +338,12 @@ def class_links(docs: DataFrame, reps: DataFrame, like: Likeness, id_col: str, t
         return df.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").select("key", "cls", "comp", "n", "sketch")
 
     first = stash(_candidates(grouped(sized), like, star=True), "star-pairs")
-    found = stash(verified(first, sets, like), "star-links")
+    found = stash(verified(stash(plausible(first, sets, like), "star-plausible"), sets, like), "star-links")
     comp = components(found).select(F.col("node").alias("cls"), F.col("comp").alias("_comp"))
     marked = sized.join(comp, "cls", "left").withColumn("comp", F.coalesce("_comp", "cls"))
     split = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rest = _candidates(grouped(marked.join(split, "key", "left_semi")), like, star=False)
-    rest = stash(rest.join(first, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = stash(plausible(rest.join(first, ["a", "b"], "left_anti"), sets, like), "rest-plausible")
     return found.unionByName(verified(rest, sets, like))
 
 
