@@ -202,6 +202,8 @@ def _candidates(rows: DataFrame, like: Likeness, star: bool) -> DataFrame:
     """
 
     def pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if (comp == comp[0]).all():
+            return
         if star:
             # One of two orders, by the key, so that a group that shares many keys has two heads, not one for each key.
             order = mix(cls.view(np.uint64) ^ np.uint64(key & 1))
@@ -341,8 +343,9 @@ def class_links(docs: DataFrame, reps: DataFrame, like: Likeness, id_col: str, t
     found = stash(verified(stash(plausible(first, sets, like), "star-plausible"), sets, like), "star-links")
     comp = components(found).select(F.col("node").alias("cls"), F.col("comp").alias("_comp"))
     marked = sized.join(comp, "cls", "left").withColumn("comp", F.coalesce("_comp", "cls"))
-    split = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = _candidates(grouped(marked.join(split, "key", "left_semi")), like, star=False)
+    # No join on the key may come right before the grouping: the exchange would be dropped as redundant, and adaptive
+    # execution may then turn that join into one that doesn't keep a key's rows together.
+    rest = _candidates(grouped(marked), like, star=False)
     rest = stash(plausible(rest.join(first, ["a", "b"], "left_anti"), sets, like), "rest-plausible")
     return found.unionByName(verified(rest, sets, like))
 

@@ -332,3 +332,36 @@ def test_pipeline(spark, tmp_path):
     assert 0 < one.count() < good.count() < docs.count() and one.columns == docs.columns
     got = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in one.select("doc_id").collect()}
+
+
+def test_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(5)
+    for n, m, shared in [(1, 1, 0), (70, 60, 55), (1000, 1100, 900), (1024, 1025, 1000), (2500, 3100, 2400)]:
+        pool = np.unique(r.integers(0, 1 << 63, n + m - shared, dtype=np.uint64))
+        x, y = pool[:n], pool[n - shared :]
+        bound = jaccard.least_apart(jaccard.wide_sketch_of(x), jaccard.wide_sketch_of(y))
+        assert bound == jaccard.least_apart(jaccard.wide_sketch_of(y), jaccard.wide_sketch_of(x))
+        assert bound <= len(np.setxor1d(x, y))
+
+
+def test_jaccard_large_sets(spark):
+    """Sets that saturate the keys' sketches: a group that shares passages, only some of whose members are linked."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        at = r.randrange(1200)
+        size = 40 + 10 * k  # from well linked to not linked
+        w[at : at + size] = [f"x{r.randrange(10**6)}" for _ in range(size)]
+        texts.append(" ".join(w))
+    like = jaccard.Likeness(5, 80)
+    sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
+    comp = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [comp[b] if c == comp[a] else c for c in comp] if comp[b] < comp[a] else [comp[a] if c == comp[b] else c for c in comp]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(df, like).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp)) > 1
