@@ -30,7 +30,7 @@ from narrata.llm.common import shuffle_partitions, stash
 #: Fragments in which overlaps are counted, 64-bit words of a parity sketch, growth of the size bands.
 WIDE, SKETCH_WORDS, BAND = 4, 8, 1.6
 _M1, _GOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-_S32 = np.uint64(32)
+_S32, _M64 = np.uint64(32), (1 << 64) - 1
 
 
 @dataclass(frozen=True)
@@ -205,8 +205,8 @@ def _candidates(rows: DataFrame, like: Likeness, star: bool) -> DataFrame:
         if (comp == comp[0]).all():
             return
         if star:
-            # One of two orders, by the key, so that a group that shares many keys has two heads, not one for each key.
-            order = mix(cls.view(np.uint64) ^ np.uint64(key & 1))
+            # The key decides the order, so that a group that shares many keys has many heads and is soon connected.
+            order = mix(cls.view(np.uint64) ^ np.uint64(key & _M64))
             heads = [int(np.argmin(order))]
         else:
             heads = range(len(cls))
