@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from narrata.plans import ledger_queries  # noqa: F401 (registers its queries)
 from narrata.plans.dialogue_queries import ORACLES, QUERIES
 
 FLAGSHIP = "t1_quotes"
