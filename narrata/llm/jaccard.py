@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.llm.common import shuffle_partitions, stash
@@ -127,9 +127,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def classes(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, cls for every row; cls is null for an empty set."""
-    rows = _texts(docs, id_col, text_col)
+    """doc_id, th (a hash of the text), n, cls for every row; cls is null for an empty set."""
+    rows = _texts(docs, id_col, text_col).withColumn("th", text_hash(F.col("t")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +143,9 @@ def classes(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: s
                 s = shingle_set(t, like.n)
                 n.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "th", "n", "cls"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, cls long")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, cls long")
 
 
 def keyed(docs: DataFrame, like: Likeness, text_col: str = "text") -> DataFrame:
@@ -169,9 +173,12 @@ def keyed(docs: DataFrame, like: Likeness, text_col: str = "text") -> DataFrame:
 def sets_of(docs: DataFrame, like: Likeness, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """cls, n, sketch, wide (the wide sketch), parts (the sorted set, cut into WIDE fragments) of the wanted classes.
 
-    wanted: cls, rep.
+    wanted: cls, rep, th. Classes whose rows have no id are found by the hash of a text.
     """
-    rows = _texts(docs, id_col, text_col).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = _texts(docs, id_col, text_col)
+    nameless = texts.filter(F.col("doc_id").isNull()).withColumn("th", text_hash(F.col("t")))
+    nameless = nameless.join(wanted.filter(F.col("rep").isNull()).select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    rows = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("t").unionByName(nameless.select("t"))
     edges = [np.uint64((k << 64) // WIDE) for k in range(1, WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +313,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def _resolved(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, n, cls, comp (the same for the classes of a component), component_id (null: none) for every row."""
+    rows = stash(classes(docs, like, id_col, text_col), "classes")
+    # Where no row of the class has an id, th is that of one of them.
+    reps = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("th").alias("th"), F.first("n").alias("n"))
+    links = stash(class_links(docs, reps, like, id_col, text_col), "links")
+    comp = components(links).join(reps.select(F.col("cls").alias("node"), "rep"), "node")
+    least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
+    of = comp.join(least, "comp").select(F.col("node").alias("cls"), F.col("least").alias("linked"), "comp")
+    # Classes without links and with one row, most of all, need no shuffle of their rows but this one.
+    known = reps.join(of, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("comp", "cls").alias("comp"), F.coalesce("linked", "rep").alias("component_id"))
+    return rows.join(known, F.col("cls") == F.col("_cls"), "left").drop("_cls")
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every row of docs.
 
@@ -313,15 +334,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     linked. A row without an id has the component of its links; alone, none. Rows that share an id are linked only if
     their texts are. Extra columns are ignored. Empty tables give no rows.
     """
-    rows = stash(classes(docs, like, id_col, text_col), "classes")
-    reps = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    links = stash(class_links(docs, reps, like, id_col, text_col), "links")
-    comp = components(links).join(reps.select(F.col("cls").alias("node"), "rep"), "node")
-    least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
-    of = comp.join(least, "comp").select(F.col("node").alias("cls"), F.col("least").alias("linked"))
-    # Classes without links and with one row, most of all, need no shuffle of their rows but this one.
-    known = reps.join(of, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("linked", "rep").alias("component_id"))
-    out = rows.join(known, F.col("cls") == F.col("_cls"), "left")
+    out = _resolved(docs, like, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -353,9 +366,21 @@ def class_links(docs: DataFrame, reps: DataFrame, like: Likeness, id_col: str, t
 def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those of a component but its first: one row of each component stays.
 
-    Rows whose id equals the component's are kept; of rows that repeat an id, one. Rows without an id or without
-    words all stay.
+    That is the row with the smallest id, and of rows that repeat it, one. Rows are told apart by id and text, so a
+    row doesn't go because another one with its id does. Rows without an id come after the others of their component.
+    Rows without words all stay.
     """
-    found = near_duplicates(docs, like, id_col, text_col).filter(F.col("n_shingles") > 0)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = stash(_resolved(docs, like, id_col, text_col).filter(F.col("cls").isNotNull()).select("doc_id", "th", "cls", "comp"), "rows-of-components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "th")
+    first = rows.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    marked = rows.join(first, "comp").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
+    # What isn't marked stays as it is.
+    marked = stash(marked.filter("NOT _stays OR _rows > 1"), "marked-rows")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_hash(F.col(text_col)) == F.col("_th"))
+    out = docs.join(marked, same, "left_anti")
+    repeated = marked.filter("_stays")
+    if repeated.isEmpty():
+        return out
+    copies = docs.join(repeated, same).groupBy("_id", "_th").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return out.unionByName(copies.select("_row.*"))

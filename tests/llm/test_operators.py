@@ -365,3 +365,27 @@ def test_jaccard_large_sets(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(df, like).collect()}
     assert got == dict(enumerate(comp)) and len(set(comp)) > 1
+
+
+def test_keep_one_by_row(spark):
+    """Repeated ids, repeated rows and rows without ids: of each component of rows, one stays."""
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    near = lambda w: [*w[:-1], "other"]
+    a, b, c, d, e = (fresh(60) for _ in range(5))
+    found = [(3, a), (7, near(a)), (7, b), (9, c), (9, c), (9, c), (None, d), (None, near(d)), (None, near(d)), (4, e), (None, near(e)), (4, near(e)), (None, fresh(60)), (5, []), (5, []), (None, [])]
+    rows = [(k, " ".join(w), f"s{j % 2}") for j, (k, w) in enumerate(found)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = jaccard.keep_one(df, jaccard.Likeness(5, 80)).collect()
+    shingles = lambda t: set(zip(*(t.split()[j:] for j in range(5)), strict=False))
+    like = lambda x, y: bool(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+    assert {tuple(x) for x in got} <= set(rows)
+    assert sorted(x.text for x in got if not x.text) == ["", "", ""]
+    kept = [(x.doc_id, shingles(x.text)) for x in got if x.text]
+    for j, x in enumerate(kept):
+        assert not any(like(x[1], y[1]) for y in kept[:j])
+    for k, t, _ in rows:  # every row has one that stays, with an id that is no larger
+        if t:
+            assert sum(like(shingles(t), y) and (k is None or i is not None and i <= k) for i, y in kept) == 1, (k, t)
+    comps = {(x.doc_id, x.component_id) for x in jaccard.near_duplicates(df, jaccard.Likeness(5, 80)).collect()}
+    assert (None, 4) in comps and (7, 3) in comps and (7, 7) in comps
