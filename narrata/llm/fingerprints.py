@@ -5,9 +5,9 @@ sum of its paragraphs' vectors, lane by lane, modulo a power of two. Sums commut
 not matter, and paragraphs are put in or taken out by adding or subtracting their vectors (`combine`).
 
 The vector has two parts. EQ_LANES lanes modulo 2**32 come from the hash of the whole paragraph: with them, unequal
-multisets collide with a probability near 2**-256. LIKE_LANES lanes modulo 2**16 sum +1 or -1 for each three-word
-shingle of the paragraph; since such lanes stay small, they are read as signed numbers, and inner products of two
-fingerprints estimate the inner product of the shingle multisets, which gives a likeness from 0 to 1.
+multisets collide with a probability near 2**-256. LIKE_LANES lanes modulo 2**32 sum +1 or -1 for each three-word
+shingle of the paragraph; no text has so many shingles that they wrap, so they are read as signed numbers, and inner
+products of two fingerprints estimate the inner product of the shingle multisets, which gives a likeness from 0 to 1.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from narrata.llm.common import SPACE, let, shuffle_partitions
 EQ_LANES, LIKE_LANES, SHINGLE = 8, 128, 3
 _PAIRS = 0x0000000100000001
 _LOW32 = 0xFFFFFFFF
-_LIKE_MOD = 1 << 16
+_LIKE_MOD = 1 << 32
 
 
 def paragraphs(text: Column) -> Column:
@@ -65,7 +65,7 @@ def likeness_sums(h: str = "h") -> list[Column]:
 
 
 def likeness_lanes(units: Column) -> Column:
-    """Signed lane sums, from -2**15 to 2**15 - 1, of the packed counts."""
+    """Signed lane sums, from -2**31 to 2**31 - 1, of the packed counts."""
     lanes = []
     for k in range(LIKE_LANES // 2):
         packed = F.col(f"s{k}")
@@ -82,7 +82,7 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint lanes struct(eq, lanes, units) of a with b's paragraphs put in (sign 1) or taken out (-1)."""
     return F.struct(
         F.zip_with(a["eq"], b["eq"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32))).alias("eq"),
-        F.zip_with(a["lanes"], b["lanes"], lambda x, y: _signed(x + sign * y)).alias("lanes"),
+        F.zip_with(a["lanes"], b["lanes"], lambda x, y: _signed(x.cast("long") + sign * y)).alias("lanes"),
         (a["units"] + sign * b["units"]).alias("units"),
     )
 
@@ -100,7 +100,7 @@ def likeness(a: Column, b: Column) -> Column:
 def render(fp: Column) -> Column:
     """Fixed-width hexadecimal form."""
     wide = lambda xs, mod, n: F.array_join(F.transform(xs, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(mod))), n, "0")), "")
-    return F.lower(F.concat(wide(fp["eq"], 1 << 32, 8), F.lpad(F.hex(fp["units"]), 16, "0"), wide(fp["lanes"], _LIKE_MOD, 4)))
+    return F.lower(F.concat(wide(fp["eq"], 1 << 32, 8), F.lpad(F.hex(fp["units"]), 16, "0"), wide(fp["lanes"], _LIKE_MOD, 8)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

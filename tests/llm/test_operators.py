@@ -389,3 +389,30 @@ def test_keep_one_by_row(spark):
             assert sum(like(shingles(t), y) and (k is None or i is not None and i <= k) for i, y in kept) == 1, (k, t)
     comps = {(x.doc_id, x.component_id) for x in jaccard.near_duplicates(df, jaccard.Likeness(5, 80)).collect()}
     assert (None, 4) in comps and (7, 3) in comps and (7, 7) in comps
+
+
+def test_fingerprints_of_long_repeated_texts(spark):
+    r = random.Random(6)
+    vocab = [f"v{k}" for k in range(50)]
+    texts = ["w " * 40_000, "all rights reserved now\n" * 50_000, " ".join(r.choice(vocab) for _ in range(3000)), "x y z " * 30_000, "tail words are here"]
+    got = {x.doc_id: x for x in fingerprints.fingerprint_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def shingles(t):
+        out = collections.Counter()
+        for p in t.split("\n"):
+            w = words(p)
+            if w:
+                out.update([tuple(w)] if len(w) < 3 else zip(w, w[1:], w[2:], strict=False))
+        return out
+
+    def likeness(x, y):
+        dot = lambda p, q: sum(n * q[k] for k, n in p.items())
+        return 2 * dot(x, y) / (dot(x, x) + dot(y, y))
+
+    for k, t in enumerate(texts):
+        nxt = texts[k - 1]
+        cut = len(t) // 3
+        want = likeness(shingles(t), shingles(t[: len(t) - cut] + nxt[:cut]))
+        assert abs(got[k].near_edited - want) < 0.3, (k, got[k].near_edited, want)
+        assert abs(got[k].near_next - likeness(shingles(t), shingles(nxt))) < 0.3
+    assert got[0].near_edited > 0.85
