@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Rules reject a document whose feature lies beyond a cutoff. For each stratum and rule, a labelled holdout decides the
-cutoff: of the candidate cutoffs, the strictest for which the exact binomial bound shows that at most ALPHA of the
-good documents are rejected. A cutoff counts as shown when, were the true rate of false rejection ALPHA, so few
-rejections among the holdout's good documents had a probability of at most DELTA / (strata x rules x cutoffs)
-(Bonferroni), so all chosen cutoffs hold together with probability 1 - DELTA. With ALPHA shared out over the rules,
-the bound also holds for all rules of a stratum taken together. A stratum with too few labels rejects nothing.
+Rules reject a document whose feature lies beyond a cutoff. In each stratum, the rules' cutoffs are tightened one step at
+a time, and of this nested sequence of joint cutoffs the strictest is chosen up to which the exact binomial bound shows
+that the rules together reject at most ALPHA of the good documents: were that rate ALPHA, so few rejections among the
+labelled good documents had a probability of at most DELTA / strata. As the sequence is fixed before its bounds are
+tested and the first step without a bound ends it, its steps need no further correction (fixed-sequence testing), and
+all strata's choices hold together with probability 1 - DELTA. The order of the steps comes from one in ORDERING of the
+labelled documents, which the bounds leave out: those that reject the fewest good ones come first, so that a rule that
+doesn't suit a stratum comes last there and keeps no other from being used. A stratum with too few labels rejects nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ RULES = {
     "mean_word": (True, [8.0, 9.0, 10.0, 12.0, 15.0, 20.0]),
     "short_word": (False, [4.0, 3.5, 3.0, 2.5, 2.0, 1.5]),
 }
+#: One in so many labelled documents decides the order of the steps, by a hash of its id; the others decide the bounds.
+ORDERING = 5
 #: Strata there may be; the table of cutoffs has a row for each and goes to every task.
 MAX_STRATA = 10_000
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
@@ -127,20 +131,33 @@ def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     """
     marks = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("doc_id")).distinct()
     good = feats.join(marks, "doc_id", "left_semi").filter(~F.col("base_failed"))
-    counts = [F.count(F.lit(1)).alias("n_good")] + [
-        F.count_if(rejects(rule, F.lit(c))).alias(f"{rule}_{k}") for rule, (_, cuts) in RULES.items() for k, c in enumerate(cuts)
-    ]
-    found = good.groupBy("stratum").agg(*counts)
-    tests = sum(len(c) for _, c in RULES.values())
+    good = good.withColumn("_orders", F.pmod(F.xxhash64("doc_id"), F.lit(ORDERING)) == 0)
+    steps = [(rule, c, len(cuts) - k) for rule, (_, cuts) in RULES.items() for k, c in enumerate(cuts)]
     strata = feats.agg(F.count_distinct("stratum")).first()[0]
     if strata > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
-    limit = most_rejections(F.col("n_good"), alpha / len(RULES), F.lit(delta / (max(1, strata) * tests)))
-    found = found.withColumn("most", limit)
-    return found.select(
+    # Rejections by each step among the documents that order them, in the stratum and, for ties, in all strata.
+    found = good.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n_good"), F.count_if(~F.col("_orders")).alias("_n"),
+        *[F.count_if(F.col("_orders") & rejects(rule, F.lit(c))).alias(f"_c{k}") for k, (rule, c, _) in enumerate(steps)],
+    )
+    overall = found.agg(*[F.sum(f"_c{k}").alias(f"_all{k}") for k in range(len(steps))])
+    order = F.array_sort(F.array(*[F.struct(F.col(f"_c{k}").alias("own"), F.col(f"_all{k}").alias("all"), F.lit(level).alias("level"), F.lit(k).alias("k")) for k, (_, _, level) in enumerate(steps)]))
+    found = found.crossJoin(F.broadcast(overall)).select("stratum", "n_good", "_n", F.transform(order, lambda x: x["k"]).alias("_order"))
+    # The first step that rejects each of the other documents; one beyond the last, if none does.
+    hit = F.array(*[rejects(rule, F.lit(c)) for rule, c, _ in steps])
+    at = F.aggregate(F.transform("_order", lambda k, i: F.when(F.get(hit, k), i)), F.lit(len(steps)), lambda s, i: F.least(s, i))
+    tested = good.filter(~F.col("_orders")).join(F.broadcast(found.select("stratum", "_order")), "stratum").withColumn("_at", at)
+    told = tested.groupBy("stratum").agg(*[F.count_if(F.col("_at") <= k).alias(f"_t{k}") for k in range(len(steps))])
+    found = found.join(F.broadcast(told), "stratum", "left").withColumn("_most", most_rejections(F.col("_n"), alpha, F.lit(delta / max(1, strata))))
+    # Rejections grow along the sequence, so the steps with a bound are its first ones.
+    found = found.withColumn("_steps", sum((F.when(F.coalesce(F.col(f"_t{k}"), F.lit(0)) <= F.col("_most"), 1).otherwise(0) for k in range(len(steps))), F.lit(0)))
+    chosen = F.when(F.col("_steps") > 0, F.slice("_order", F.lit(1), F.col("_steps"))).otherwise(F.array().cast("array<int>"))
+    place = {(rule, c): k for k, (rule, c, _) in enumerate(steps)}
+    return found.withColumn("_chosen", chosen).select(
         "stratum", "n_good",
         *[
-            F.coalesce(*[F.when(F.col(f"{rule}_{k}") <= F.col("most"), F.lit(c)) for k, c in enumerate(cuts)]).alias(f"cut_{rule}")
+            F.coalesce(*[F.when(F.array_contains("_chosen", place[rule, c]), F.lit(c)) for c in cuts]).alias(f"cut_{rule}")
             for rule, (_, cuts) in RULES.items()
         ],
     )

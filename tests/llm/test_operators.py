@@ -416,3 +416,20 @@ def test_fingerprints_of_long_repeated_texts(spark):
         assert abs(got[k].near_edited - want) < 0.3, (k, got[k].near_edited, want)
         assert abs(got[k].near_next - likeness(shingles(t), shingles(nxt))) < 0.3
     assert got[0].near_edited > 0.85
+
+
+def test_cutoffs_with_few_labels(spark):
+    """Four strata of 400 good labels each: bad documents are rejected in all of them, and few good ones."""
+    key = (F.col("id") % 4).cast("string")
+    bad = F.col("id") >= 1600
+    values = {"symbol_share": F.when(bad, 0.5).otherwise(0.0), "dup_line_share": F.when(F.col("id") % 4 == 1, 0.9).otherwise(0.0), "repeat_share": F.lit(0.0), "mean_word": F.lit(5.0), "short_word": F.lit(5.0)}
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), key.alias("stratum"), F.lit(False).alias("base_failed"), *[v.alias(k) for k, v in values.items()])
+    labels = df.select("doc_id", (F.col("doc_id") < 1600).cast("int").alias("quality"))
+    got = {r.stratum: r for r in quality.thresholds(df, labels).collect()}
+    assert [r.n_good for r in got.values()] == [400] * 4
+    assert all(r.cut_symbol_share is not None and r.cut_symbol_share < 0.5 for r in got.values())
+    assert got["1"].cut_dup_line_share is None  # its good documents have such lines
+    kept = quality._with_verdict(df, quality.thresholds(df, labels)).filter("kept").collect()
+    assert {r.doc_id for r in kept} == set(range(1600))
+    few = labels.filter("doc_id < 800")  # 200 for each stratum are too few
+    assert all(r.cut_symbol_share is None for r in quality.thresholds(df, few).collect())
