@@ -9,6 +9,9 @@ from narrata.llm import jaccard, mixing, packing, quality, secrets
 from narrata.llm.common import stash
 from narrata.llm.queries import TOKENIZER
 
+#: The column that carries the mix from its stage to packing.
+POSITION = "mix_position"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a risk-controlled cutoff reject go."""
@@ -26,13 +29,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order of the mix."""
-    return mixing.in_mix_order(docs)
+    """All documents, laid out in the order of the mix, with their positions in it."""
+    return mixing.in_mix_order(docs, at=POSITION)
 
 
 def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens with their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    """The pieces of the documents' tokens with their places in sequences, which follow the mix."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), at=POSITION if POSITION in docs.columns else None)
 
 
 STAGES = [

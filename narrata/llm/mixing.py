@@ -73,14 +73,18 @@ def frame_plan(docs: DataFrame, shares: Mapping[str, int], frame: int) -> DataFr
     )
 
 
-def numbered(rows: DataFrame, group: str, key: Column, out: str) -> DataFrame:
+def numbered(rows: DataFrame, group: str, key: Column, out: str, at: Column | None = None, top: int = 0) -> DataFrame:
     """rows with a number from 0 within each group, in an order that depends on key alone.
 
-    Groups are cut into pieces by a hash of key, numbered by piece, and shifted by the sizes of the pieces before, so
+    at: whole numbers from 0 to top that decide the order before key does. Groups are cut into pieces by ranges of at, or
+    else by a hash of key, numbered by piece, and shifted by the sizes of the pieces before, so
     that no task holds a whole group. group has no nulls.
     """
     pieces = 16 * shuffle_partitions(rows.sparkSession)
-    cut = rows.withColumn("_h", F.xxhash64(key)).withColumn("_piece", F.pmod(F.col("_h"), F.lit(pieces)).cast("int"))
+    if at is None:
+        cut = rows.withColumn("_h", F.xxhash64(key)).withColumn("_piece", F.pmod(F.col("_h"), F.lit(pieces)).cast("int"))
+    else:
+        cut = rows.withColumn("_h", at).withColumn("_piece", F.floor(F.col("_h") / (top // pieces + 1)).cast("int"))
     w = Window.partitionBy(group, "_piece").orderBy("_h", key)
     local = cut.withColumn("_rn", F.row_number().over(w))
     before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,14 +148,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block: i
     )
 
 
-def in_mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+def in_mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, *, at: str | None = None, **options) -> DataFrame:
     """docs with its own columns, the rows laid out in the order of the mix: sorted files, one range of slots each.
 
     Rows with the same id stay together, in the order of the first of them; sources without a weight come last.
+    at: a column to add with the rows' positions in the mix, from 0; null for sources without a weight.
     """
     order = mix(docs, weights, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "place")).alias("_at"))
     id_col = options.get("id_col", "doc_id")
     placed = docs.join(order, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     slot = F.coalesce(F.col("_at.slot"), F.lit((1 << 62)))
     n = max(1, shuffle_partitions(docs.sparkSession))
-    return placed.repartitionByRange(n, slot, F.col("_at.place")).sortWithinPartitions(slot, F.col("_at.place")).drop("_at")
+    laid = placed.repartitionByRange(n, slot, F.col("_at.place")).sortWithinPartitions(slot, F.col("_at.place"))
+    if at:
+        laid = laid.withColumn(at, F.col("_at.slot") * options.get("block", 16) + F.col("_at.place"))
+    return laid.drop("_at")

@@ -5,6 +5,9 @@ Which documents share a sequence depends on their lengths only, so the packing i
 replaced by two unpacked ones that together fit the gap, so widened, more tightly. A bin's list of lengths is used for
 as many bins as the counts allow. Pieces are then numbered within their length, and every piece finds its sequence
 and offset by its number.
+
+Documents may have positions, as in a mix of sources. Then ranges of positions are packed one after the other, each by a
+plan of its own, and within a range the pieces of a length are numbered by position.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from narrata.llm.mixing import numbered
 from narrata.llm.tokens import counter_for, words_of
 
 LIMIT, END_ID, KEPT_WORDS = 4096, 1, 600_000
+#: Ranges of positions that are packed apart, at most, and full sequences that a range has on average, at least.
+RANGES, RANGE_SEQUENCES = 16, 256
 _plain_word = re.compile("([A-Za-z]+)([.,]+)")
 
 
@@ -60,12 +65,16 @@ def ids_for(path: str) -> Ids:
     return Ids(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces; only documents over limit are cut."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", at: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces; only documents over limit are cut.
+
+    at: a column of positions, which is added as `at`.
+    """
+    position = (F.col(at) if at else F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), position.alias("at"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     end = np.asarray([END_ID], "<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "at"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_for(tokenizer)
@@ -80,11 +89,13 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "d
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             p = np.asarray(piece, "int32")
+            rows_of = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(pa.array(row, pa.int64())), pa.array(p), pa.array(p.astype("int64") * limit), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names
+                [b["doc_id"].take(rows_of), pa.array(p), pa.array(p.astype("int64") * limit), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), b["at"].take(rows_of)], names
             )
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    made = rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, at long")
+    return made if at else made.drop("at")
 
 
 def best_two_fit(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[int], int]]:
@@ -175,24 +186,39 @@ def places(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", at: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     A null text is empty: its one piece is the end id. Repeated rows and rows without an id are packed like any
-    others. Extra columns are ignored. Empty tables give no rows.
+    others. Extra columns are ignored. Empty tables give no rows. at: a column of positions from 0 that sequences follow;
+    rows without a position come last.
     """
     spark = docs.sparkSession
-    made = stash(pieces(docs, tokenizer, limit, id_col, text_col), "pieces")
-    # At most `limit` rows come to the driver, whatever the input.
-    counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
-    table = places(best_two_fit(counts, limit))
+    made = stash(pieces(docs, tokenizer, limit, id_col, text_col, at), "pieces")
+    group, position, top = F.lit(0).cast("long"), None, 0
+    if at:
+        most, tokens = made.agg(F.max("at"), F.sum("length")).first()
+        top, ranges = (most or 0) + 1, max(1, min(RANGES, (tokens or 0) // (limit * RANGE_SEQUENCES)))
+        position = F.coalesce("at", F.lit(top))
+        group = F.floor(position / (top // ranges + 1))
+    grouped = made.withColumn("_r", group)
+    # At most `limit` rows a range come to the driver, whatever the input.
+    counts: dict[int, dict[int, int]] = {}
+    for r in grouped.groupBy("_r", "length").count().collect():
+        counts.setdefault(r["_r"], {})[r["length"]] = r["count"]
+    table, sequences = [], 0
+    for k in sorted(counts):
+        plan = best_two_fit(counts[k], limit)
+        table += [(k * (limit + 1) + n, first, many, sequences + sequence, offset) for n, first, many, sequence, offset in places(plan)]
+        sequences += sum(times for _, times in plan)
     if not table:
-        return made.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return made.drop("at").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     where = spark.createDataFrame(table, "_l long, _first long, _n long, _sequence long, offset long")
-    # For each length, arrays that are searched by number: how many there are depends on limit, not on the input.
+    # For each range and length, arrays that are searched by number: how many there are depends on limit, not on the input.
     where = where.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_first", "_sequence", "offset"))).alias("_w"))
     key = F.struct("doc_id", "piece", "ids_crc32")
-    ranked = numbered(made, "length", key, "_k").join(F.broadcast(where), F.col("length") == F.col("_l"))
+    of_length = grouped.withColumn("_g_l", F.col("_r") * (limit + 1) + F.col("length"))
+    ranked = numbered(of_length, "_g_l", key, "_k", position, top).join(F.broadcast(where), F.col("_g_l") == F.col("_l"))
     slot = F.element_at(F.filter("_w", lambda x: x["_first"] <= F.col("_k")), -1)
     placed = ranked.withColumn("_s", slot)
     return placed.select(

@@ -433,3 +433,33 @@ def test_cutoffs_with_few_labels(spark):
     assert {r.doc_id for r in kept} == set(range(1600))
     few = labels.filter("doc_id < 800")  # 200 for each stratum are too few
     assert all(r.cut_symbol_share is None for r in quality.thresholds(df, few).collect())
+
+
+def test_packing_follows_the_mix(spark, monkeypatch):
+    """Removing the mixing stage changes the pipeline's rows, and sequences come in the order of the mix."""
+    import corpus_pipeline as p
+
+    r = random.Random(9)
+    rows = [(k, " ".join(f"word{r.randrange(99)}" for _ in range(r.randrange(20, 60))), f"s{k % 3}", 1) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    mixed = p.mix_sources(spark, df, "")
+    at = {x.doc_id: x[p.POSITION] for x in mixed.collect()}
+    assert len(set(at.values())) == 150
+    got = {tuple(x) for x in p.best_two_fit(spark, mixed, "").collect()}
+    assert got != {tuple(x) for x in p.best_two_fit(spark, df, "").collect()}
+    monkeypatch.setattr(packing, "RANGE_SEQUENCES", 1)
+    mixed = mixed.withColumn(p.POSITION, F.when(F.col("doc_id") != 7, F.col(p.POSITION)))
+    got = packing.pack(mixed, PATH, limit=400, at=p.POSITION).collect()
+    assert len({x.doc_id for x in got}) == 150
+    bins = collections.defaultdict(list)
+    for x in got:
+        bins[x.sequence_id].append(x)
+    assert sorted(bins) == list(range(len(bins)))
+    for b in bins.values():
+        b.sort(key=lambda x: x.offset)
+        assert [x.offset for x in b] == [sum(y.length for y in b[:k]) for k in range(len(b))] and sum(x.length for x in b) <= 400
+    top = max(at.values()) + 1
+    ranges = min(packing.RANGES, sum(x.length for x in got) // 400)
+    in_range = lambda x: (top if x.doc_id == 7 else at[x.doc_id]) // (top // ranges + 1)
+    of = [{in_range(x) for x in bins[k]} for k in sorted(bins)]
+    assert all(len(x) == 1 for x in of) and [min(x) for x in of] == sorted(min(x) for x in of) and len(set().union(*of)) > 4
