@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from narrata.llm.common import shared_dir, shuffle_partitions
 
-ADD, DISCOUNT, LEAST = 0.1, 0.75, 2
+ADD, DISCOUNT, LEAST = 0.1, 0.75, 1
 #: Tokens that a task gathers before it sorts and counts them.
 FLUSH = 1 << 20
 #: White space can't be part of a word, so this is none.

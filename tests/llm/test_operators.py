@@ -463,3 +463,11 @@ def test_packing_follows_the_mix(spark, monkeypatch):
     in_range = lambda x: (top if x.doc_id == 7 else at[x.doc_id]) // (top // ranges + 1)
     of = [{in_range(x) for x in bins[k]} for k in sorted(bins)]
     assert all(len(x) == 1 for x in of) and [min(x) for x in of] == sorted(min(x) for x in of) and len(set().union(*of)) > 4
+
+
+def test_pairs_seen_once_count(spark):
+    """A pair that training has once scores higher than one that it doesn't have."""
+    texts = spark.createDataFrame([("red fox runs",), ("red hen sits",), ("old dog runs",), ("old dog sits",)], "t string")
+    folder = lm.train(texts)
+    got = {x.t: x.score for x in lm.score(spark.createDataFrame([(t, t) for t in ("red fox", "old fox")], "k string, t string").withColumnRenamed("k", "id"), folder).selectExpr("id AS t", "score").collect()}
+    assert got["red fox"] > got["old fox"] + 0.3
