@@ -45,7 +45,7 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("best-fit packing", best_two_fit),
 ]
-#: Thresholds from binomial bounds, hashes and tokens aren't expressible; tests hold run() against brute force.
+#: Thresholds from binomial bounds, hashes and tokens aren't expressible; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
