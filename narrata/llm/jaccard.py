@@ -1,17 +1,24 @@
 """N-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
-N-grams are ordered by a 64-bit hash, and that order is cut into fragments. Documents with the same set are one class
-from the start. Two classes whose sets differ in at most D n-grams agree in all but D fragments; so with more than D
-fragments, some fragment is the same in both. Classes that share a fragment are candidates; how many fragments there
-are depends on the size of the set, and D on the threshold. A class with so many empty fragments that the agreement
-might be in empty ones also gives its first n-grams in the global order, enough that similar ones share one.
-
-A pair's overlap is counted in a few wide fragments separately and summed. Not every candidate pair is needed: within
-each shared fragment, all are first compared with one of them (`star`); pairs that the links so found already connect
-are left out; of the others, those are compared whose parity sketches don't rule the pair out. A sketch holds, for
-each of its bits, whether an odd number of n-grams falls on it, so sketches differ in no more bits than sets differ in
-n-grams, and no link is lost. Keys carry sketches of one short width, which large sets saturate; before a pair is given
-its sets, it is given sketches that are as wide as the sets are large (a 64th of the set), and these are compared.
+The global order of n-grams is that of a 64-bit hash, and it is cut into fragments twice. Documents with the same set
+are one class from the start.
+
+Wide fragments count: each class has one row for each wide fragment that it has n-grams in. Candidate pairs meet their
+rows fragment by fragment, the overlap in each is counted by itself, and the counts are summed for the pair.
+
+Narrow fragments find the candidates. Two classes whose sets differ in at most D n-grams agree in all but D fragments,
+so with more than D, some fragment is the same in both, and its n-grams are a key that both have. How many fragments
+there are depends on the size band, and D on the threshold. Fragments form blocks of bounded size. As D n-grams are
+spread over all blocks, some block of k of the F fragments differs in at most D * k / F n-grams, and in that block at least one
+fragment agrees. So a key counts only if the parity sketches of its block don't show a larger difference: a sketch
+holds, for each bit, whether an odd number of the block's n-grams falls on it, so sketches differ in no more bits than
+blocks differ in n-grams. Where a block has so many empty fragments that the agreeing ones might all be empty, its
+first n-grams in the global order are keys too, enough that blocks which are alike share one.
+
+Not every candidate pair is needed for the components. First all rows of a key meet one of them (a star). What the links
+so found connect is contracted; then, in keys that still hold several components, the rows outside the largest one meet
+all rows of the key. So no link between different components stays unseen, and a group of near copies isn't expanded.
+Before a pair is given its fragments, sketches as wide as its sets are large are compared.
 """
 
 from __future__ import annotations
@@ -27,8 +34,10 @@ from pyspark.sql import functions as F
 
 from narrata.llm.common import shuffle_partitions, stash
 
-#: Fragments in which overlaps are counted, 64-bit words of a parity sketch, growth of the size bands.
-WIDE, SKETCH_WORDS, BAND = 4, 8, 1.6
+#: Fragments in which overlaps are counted, n-grams of a block, 64-bit words of its sketch, growth of the size bands.
+WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 4, 1.25
+#: Classes that a task remembers, so as to give each once.
+KEPT_CLASSES = 200_000
 _M1, _GOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _S32, _M64 = np.uint64(32), (1 << 64) - 1
 
@@ -79,28 +88,93 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def fragment_keys(s: np.ndarray, like: Likeness, bands: list[int]) -> np.ndarray:
-    """Keys of which classes linked with this one share at least one."""
+@dataclass(frozen=True)
+class Cut:
+    """The narrow fragments of one size band, and their blocks."""
+
+    level: int
+    apart: int
+    fragments: int
+    blocks: int
+
+    @classmethod
+    def of(cls, level: int, like: Likeness, bands: list[int]) -> Cut:
+        most = bands[level] - 1
+        apart = like.most_apart(2 * most)
+        return cls(level, apart, apart + 2 + apart // 16, max(1, most // BLOCK))
+
+    def fragment(self, s: np.ndarray) -> np.ndarray:
+        return (((s >> _S32) * np.uint64(self.fragments)) >> _S32).astype(np.int64)
+
+    def block(self, fragment: np.ndarray) -> np.ndarray:
+        return fragment * self.blocks // self.fragments
+
+    def widths(self) -> np.ndarray:
+        """The fragments of each block."""
+        edges = -(-np.arange(self.blocks + 1) * self.fragments // self.blocks)
+        return edges[1:] - edges[:-1]
+
+    def spot(self, block: np.ndarray) -> np.ndarray:
+        return (np.int64(self.level) << 48) + block
+
+
+#: The spot of keys that stand for no block.
+EVERYWHERE = -1
+
+
+def cuts_for(size: int, like: Likeness, bands: list[int]) -> list[Cut]:
+    """The cuts under which sets of this size meet the sets that they may be linked with."""
+    level = int(np.searchsorted(bands, size, side="right"))
+    levels = [level]
+    while 100 * size >= like.percent * bands[level]:  # some set of the next band may be linked
+        level += 1
+        levels.append(level)
+    return [Cut.of(x, like, bands) for x in levels]
+
+
+def fragment_keys(s: np.ndarray, like: Likeness, bands: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their spots (band and block). Linked sets share a key in a block that their link allows to differ so far."""
     size = len(s)
     if size < bands[0]:
-        return np.empty(0, np.uint64)
-    band = int(np.searchsorted(bands, size, side="right"))
-    levels = [band]
-    if 100 * size >= like.percent * bands[band]:  # some set of the next band may be linked
-        levels.append(band + 1)
-    out, sparse = [], False
-    for level in levels:
-        apart = like.most_apart(2 * (bands[level] - 1))
-        spare = 1 + apart // 16
-        fragments = apart + 1 + spare
-        f = ((s >> _S32) * np.uint64(fragments)) >> _S32
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, spots, void = [], [], False
+    mixed = mix(s)
+    for cut in cuts_for(size, like, bands):
+        f = cut.fragment(s)
         first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-        sparse |= fragments - len(first) > spare
-        out.append(mix(np.add.reduceat(mix(s), first) + (f[first] + _GOLD) * _M1 + np.uint64(level)))
-    if sparse:
+        salt = np.uint64(cut.level)
+        keys.append(mix(np.add.reduceat(mixed, first) + (f[first].astype(np.uint64) + _GOLD) * _M1 + salt))
+        spots.append(cut.spot(cut.block(f[first])))
+        may = cut.apart * cut.widths() // cut.fragments
+        filled = np.bincount(cut.block(f[first]), minlength=cut.blocks)
+        thin = filled <= may
+        if thin.any():
+            of = cut.block(f)
+            start = np.searchsorted(of, np.arange(cut.blocks))
+            early = thin[of] & (np.arange(size) - start[of] <= may[of])
+            keys.append(mix(mix(s[early] ^ _GOLD) + salt))
+            spots.append(cut.spot(of[early]))
+            void |= bool((np.bincount(of, minlength=cut.blocks) <= may).any())
+    if void:
         overlap = -(-like.percent * size // 100)
-        out.append(mix(s[: size - overlap + 1] ^ _GOLD))
-    return np.concatenate(out)
+        keys.append(mix(s[: size - overlap + 1] ^ _GOLD))
+        spots.append(np.full(len(keys[-1]), EVERYWHERE, np.int64))
+    return np.concatenate(keys), np.concatenate(spots)
+
+
+def block_sketches(s: np.ndarray, like: Likeness, bands: list[int]) -> list[tuple[int, int, int, np.ndarray]]:
+    """(spot, k, F, sketch) of every block: a link allows it to differ in D * k / F n-grams."""
+    if len(s) < bands[0]:
+        return []
+    out = [(EVERYWHERE, 1, 1, sketch_of(s))]
+    bits = SKETCH_WORDS * 64
+    at = (mix(s) % np.uint64(bits)).astype(np.int64)
+    for cut in cuts_for(len(s), like, bands):
+        odd = np.bincount(cut.block(cut.fragment(s)) * bits + at, minlength=cut.blocks * bits) & 1
+        sketches = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, SKETCH_WORDS)
+        widths = cut.widths()
+        out += [(int(cut.spot(np.int64(k))), int(widths[k]), cut.fragments, x) for k, x in enumerate(sketches) if x.any()]
+    return out
 
 
 def sketch_of(s: np.ndarray, bits: int = SKETCH_WORDS * 64) -> np.ndarray:
@@ -149,111 +223,118 @@ def classes(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: s
 
 
 def keyed(docs: DataFrame, like: Likeness, text_col: str = "text") -> DataFrame:
-    """key, cls for the classes of docs; a task gives each class once."""
+    """key, cls, spot for the classes of docs; a task gives each class seldom more than once."""
     bands = like.bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            keys, cls = [], []
-            for t in b["t"].to_pylist():
-                s = shingle_set(t, like.n)
+            keys, spots, cls, held = [], [], [], 0
+            for t in b["t"]:
+                s = shingle_set(t.as_py(), like.n)
                 c = class_of(s)
                 if not len(s) or c in done:
                     continue
+                if len(done) >= KEPT_CLASSES:
+                    done.clear()
                 done.add(c)
-                keys.append(fragment_keys(s, like, bands))
-                cls.append(np.full(len(keys[-1]), c, np.int64))
+                k, spot = fragment_keys(s, like, bands)
+                keys.append(k)
+                spots.append(spot)
+                cls.append(np.full(len(k), c, np.int64))
+                held += len(k)
+                if held > 1 << 18:
+                    yield _keys(keys, spots, cls)
+                    keys, spots, cls, held = [], [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls))], ["key", "cls"])
+                yield _keys(keys, spots, cls)
+
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, cls long, spot long")
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, cls long")
+
+def _keys(keys: list[np.ndarray], spots: list[np.ndarray], cls: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(spots))], ["key", "cls", "spot"])
+
+
+_SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+_SPOT = pa.struct([("spot", pa.int64()), ("k", pa.int64()), ("f", pa.int64()), *((c, pa.int64()) for c in _SKETCH)])
+_PART = pa.struct([("part", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
 def sets_of(docs: DataFrame, like: Likeness, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cls, n, sketch, wide (the wide sketch), parts (the sorted set, cut into WIDE fragments) of the wanted classes.
+    """cls, n, wide (the wide sketch), spots (sketches of blocks), parts (the set by wide fragments) of the wanted classes.
 
-    wanted: cls, rep, th. Classes whose rows have no id are found by the hash of a text.
+    wanted: rep, th, by which a row of the class is found.
     """
-    texts = _texts(docs, id_col, text_col)
-    nameless = texts.filter(F.col("doc_id").isNull()).withColumn("th", text_hash(F.col("t")))
-    nameless = nameless.join(wanted.filter(F.col("rep").isNull()).select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    rows = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("t").unionByName(nameless.select("t"))
+    texts = _texts(docs, id_col, text_col).withColumn("th", text_hash(F.col("t")))
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("_th"))
+    rows = texts.join(wanted.select("rep", F.col("th").alias("_th")), same, "left_semi").dropDuplicates(["doc_id", "th"]).select("t")
     edges = [np.uint64((k << 64) // WIDE) for k in range(1, WIDE)]
+    bands = like.bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, n, sketch, wide, parts = [], [], [], [], []
-            for t in b["t"].to_pylist():
-                s = shingle_set(t, like.n)
-                if len(s):
-                    cls.append(class_of(s))
-                    n.append(len(s))
-                    sketch.append(sketch_of(s).tobytes())
-                    wide.append(wide_sketch_of(s).tobytes())
-                    parts.append([x.tobytes() for x in np.split(s, np.searchsorted(s, edges))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
-                ["cls", "n", "sketch", "wide", "parts"],
-            )
-
-    made = rows.mapInArrow(run, "cls long, n long, sketch binary, wide binary, parts array<binary>")
-    return made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-
-
-def _candidates(rows: DataFrame, like: Likeness, star: bool) -> DataFrame:
-    """Pairs a < b of the classes that share a key and whose sizes and sketches don't rule a link out.
-
-    rows: key, cls, comp, n, sketch, of keys with several classes, sorted by key within their partitions. star: each
-    with one of its key only; else all pairs from different components.
+            for at in range(0, b.num_rows, 256):
+                cls, n, wide, spots, parts = [], [], [], [], []
+                for t in b["t"].slice(at, 256):
+                    s = shingle_set(t.as_py(), like.n)
+                    if len(s):
+                        cls.append(class_of(s))
+                        n.append(len(s))
+                        wide.append(wide_sketch_of(s).tobytes())
+                        spots.append([dict(zip(("spot", "k", "f", *_SKETCH), (spot, k, f, *x.view(np.int64).tolist()), strict=True)) for spot, k, f, x in block_sketches(s, like, bands)])
+                        parts.append([{"part": k, "grams": x.view(np.int64)} for k, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(spots, pa.list_(_SPOT)), pa.array(parts, pa.list_(_PART))],
+                    ["cls", "n", "wide", "spots", "parts"],
+                )
+
+    spot = ", ".join(f"{c}: bigint" for c in ("spot", "k", "f", *_SKETCH))
+    return rows.mapInArrow(run, f"cls long, n long, wide binary, spots array<struct<{spot}>>, parts array<struct<part: int, grams: array<bigint>>>")
+
+
+def _may_link(a: str, b: str, like: Likeness) -> Column:
+    """Whether sizes and sketches of two rows of a key leave a link open. a, b: prefixes of their columns."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    total = c(a, "n") + c(b, "n")
+    most = F.floor(total * (100 - like.percent) / (100 + like.percent))
+    apart = sum((F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in _SKETCH[1:]), F.bit_count(c(a, _SKETCH[0]).bitwiseXOR(c(b, _SKETCH[0]))))
+    sizes = 100 * F.least(c(a, "n"), c(b, "n")) >= like.percent * F.greatest(c(a, "n"), c(b, "n"))
+    return sizes & (apart * c(a, "f") <= most * c(a, "k"))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def star_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
+    """a < b: every row of a key with one of its rows, where a link is open. rows: key, cls, n, k, f and the sketch.
+
+    The key decides which row that is, so that a group which shares many keys has many centres and is soon connected.
     """
+    head = F.min_by(F.struct("cls", "n", *_SKETCH), F.xxhash64("key", "cls")).over(Window.partitionBy("key"))
+    both = rows.withColumn("_h", head).select("*", *(F.col(f"_h.{c}").alias(f"_h{c}") for c in ("cls", "n", *_SKETCH)))
+    return both.filter((F.col("cls") != F.col("_hcls")) & _may_link("", "_h", like)).select(*_pair("cls", "_hcls")).distinct()
 
-    def pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if (comp == comp[0]).all():
-            return
-        if star:
-            # The key decides the order, so that a group that shares many keys has many heads and is soon connected.
-            order = mix(cls.view(np.uint64) ^ np.uint64(key & _M64))
-            heads = [int(np.argmin(order))]
-        else:
-            heads = range(len(cls))
-        for h in heads:
-            rest = slice(0, len(cls)) if star else slice(h + 1, len(cls))
-            total = n[rest] + n[h]
-            apart = np.bitwise_count(sketch[rest] ^ sketch[h]).sum(axis=1)
-            ok = (cls[rest] != cls[h]) & (comp[rest] != comp[h]) & (100 * np.minimum(n[rest], n[h]) >= like.percent * np.maximum(n[rest], n[h]))
-            ok &= apart * (100 + like.percent) <= (100 - like.percent) * total
-            other = cls[rest][ok]
-            if len(other):
-                yield np.minimum(other, cls[h]), np.maximum(other, cls[h])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+def open_pairs(rows: DataFrame, sets: DataFrame, comp: DataFrame, like: Likeness) -> DataFrame:
+    """a < b: the pairs of a key that lie in different components, where a link is open.
+
+    rows: key, cls, spot; comp: cls, comp of the classes that have links so far. Each such pair has a row outside the
+    key's largest component, so only those rows meet all.
+    """
+    marked = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = marked.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("several"))
+    left = marked.join(sizes.filter("several > 1").drop("several"), "key")
+    left = stash(left.join(_spots(sets), ["cls", "spot"]).drop("spot"), "open-keys")
+    side = lambda df, p: df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("cls", "comp", "n", "k", "f", *_SKETCH)), *(["most"] if p == "y" else []))
+    both = side(left.filter("comp <> most"), "x").join(side(left, "y"), "key")
+    once = (F.col("ycomp") == F.col("most")) | (F.col("xcls") < F.col("ycls"))
+    return both.filter((F.col("xcomp") != F.col("ycomp")) & once & _may_link("x", "y", like)).select(*_pair("xcls", "ycls")).distinct()
 
-        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, cls, comp, n = (t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "cls", "comp", "n"))
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            found = [p for a, b in zip(first, [*first[1:], len(key)], strict=True) if b - a > 1 for p in pairs(cls[a:b], comp[a:b], n[a:b], sketch[a:b], int(key[a]))]
-            if found:
-                both = np.unique(np.stack([np.concatenate([p[k] for p in found]) for k in (0, 1)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = held["key"]
-            last = key[-1].as_py()
-            cut = int(np.searchsorted(key.to_numpy(), last))  # the last key may go on
-            if cut:
-                yield from flush(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield from flush(held)
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _spots(sets: DataFrame) -> DataFrame:
+    return sets.select("cls", "n", F.explode("spots").alias("_s")).select("cls", "n", "_s.*")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -274,19 +355,11 @@ def plausible(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The linked ones of pairs: overlaps counted in each wide fragment separately, then summed for the pair."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b")
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [
-                sum(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(p, q, strict=True))
-                for p, q in zip(b["pa"].to_pylist(), b["pb"].to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("a", "b", "na", "nb")), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "both"])
-
-    counted = both.mapInArrow(overlap, "a long, b long, na long, nb long, both long")
+    parts = sets.select("cls", "n", F.explode("parts").alias("_p"))
+    side = lambda c: parts.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("_p.part").alias("part"), F.col("_p.grams").alias(f"g{c}"))
+    partial = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "part"])
+    partial = partial.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"))
+    counted = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("both"))
     return counted.filter(100 * F.col("both") >= like.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -316,8 +389,10 @@ def components(links: DataFrame) -> DataFrame:
 def _resolved(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th, n, cls, comp (the same for the classes of a component), component_id (null: none) for every row."""
     rows = stash(classes(docs, like, id_col, text_col), "classes")
-    # Where no row of the class has an id, th is that of one of them.
-    reps = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("th").alias("th"), F.first("n").alias("n"))
+    # Of rows with an id, if there are any, the least one.
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    reps = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(least_row.alias("_r"), F.first("n").alias("n"))
+    reps = reps.select("cls", F.col("_r.doc_id").alias("rep"), F.col("_r.th").alias("th"), "n")
     links = stash(class_links(docs, reps, like, id_col, text_col), "links")
     comp = components(links).join(reps.select(F.col("cls").alias("node"), "rep"), "node")
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
@@ -339,28 +414,19 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
 
 
 def class_links(docs: DataFrame, reps: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
-    """Links a, b of classes, enough that linked classes are connected. reps: cls, rep (the id of one of its rows)."""
+    """Links a, b of classes, enough that linked classes are connected. reps: cls, and rep, th of one of its rows."""
     spark = docs.sparkSession
     all_keys = keyed(docs, like, text_col).repartition(shuffle_partitions(spark), "key")
     w = Window.partitionBy("key")
-    shared = all_keys.withColumns({"lo": F.min("cls").over(w), "hi": F.max("cls").over(w)}).filter("lo <> hi").select("key", "cls").distinct()
+    shared = all_keys.withColumns({"lo": F.min("cls").over(w), "hi": F.max("cls").over(w)}).filter("lo <> hi").select("key", "cls", "spot").distinct()
     shared = stash(shared, "shared-keys")
     wanted = reps.join(shared.select("cls").distinct(), "cls", "left_semi")
     sets = stash(sets_of(docs, like, wanted, id_col, text_col), "sets")
-    sized = shared.join(sets.select("cls", "n", "sketch"), "cls").withColumn("comp", F.col("cls"))
-
-    def grouped(df: DataFrame) -> DataFrame:
-        return df.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").select("key", "cls", "comp", "n", "sketch")
-
-    first = stash(_candidates(grouped(sized), like, star=True), "star-pairs")
+    first = stash(star_pairs(shared.join(_spots(sets), ["cls", "spot"]), like), "star-pairs")
     found = stash(verified(stash(plausible(first, sets, like), "star-plausible"), sets, like), "star-links")
-    comp = components(found).select(F.col("node").alias("cls"), F.col("comp").alias("_comp"))
-    marked = sized.join(comp, "cls", "left").withColumn("comp", F.coalesce("_comp", "cls"))
-    # No join on the key may come right before the grouping: the exchange would be dropped as redundant, and adaptive
-    # execution may then turn that join into one that doesn't keep a key's rows together.
-    rest = _candidates(grouped(marked), like, star=False)
-    rest = stash(plausible(rest.join(first, ["a", "b"], "left_anti"), sets, like), "rest-plausible")
-    return found.unionByName(verified(rest, sets, like))
+    comp = components(found).select(F.col("node").alias("cls"), "comp")
+    rest = open_pairs(shared, sets, comp, like).join(first, ["a", "b"], "left_anti")
+    return found.unionByName(verified(stash(plausible(rest, sets, like), "open-plausible"), sets, like))
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

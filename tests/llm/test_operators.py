@@ -471,3 +471,58 @@ def test_pairs_seen_once_count(spark):
     folder = lm.train(texts)
     got = {x.t: x.score for x in lm.score(spark.createDataFrame([(t, t) for t in ("red fox", "old fox")], "k string, t string").withColumnRenamed("k", "id"), folder).selectExpr("id AS t", "score").collect()}
     assert got["red fox"] > got["old fox"] + 0.3
+
+
+@pytest.mark.parametrize("like", [jaccard.Likeness(4, 85), jaccard.Likeness(5, 80)])
+def test_linked_sets_share_a_key_whose_block_leaves_the_link_open(like):
+    r, bands = np.random.default_rng(9), like.bands()
+    for size in (3, 7, 20, 60, 200, 700, 3000):
+        for _ in range(25 if size < 1000 else 4):
+            x = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(int(r.integers(0, 2))))
+            most = like.most_apart(2 * len(x))
+            gone = int(r.integers(0, most + 1))
+            y = np.unique(np.r_[r.permutation(x)[gone:], r.integers(0, 1 << 63, max(0, most - gone), dtype=np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if 100 * both < like.percent * (len(x) + len(y) - both) or len(x) == both == len(y):
+                continue
+            open_ = 0
+            keys = [dict(zip(*(a.tolist() for a in jaccard.fragment_keys(s, like, bands)), strict=True)) for s in (x, y)]
+            blocks = [{spot: (k, f, sk) for spot, k, f, sk in jaccard.block_sketches(s, like, bands)} for s in (x, y)]
+            for key in keys[0].keys() & keys[1].keys():
+                (k, f, a), (_, _, b) = (z[keys[0][key]] for z in blocks)
+                open_ += int(np.bitwise_count(a ^ b).sum()) * f <= like.most_apart(len(x) + len(y)) * k
+            assert open_, (size, gone)
+
+
+def test_near_copies_of_one_text(spark):
+    """A large group of near copies that differ from each other more than from the text they stem from."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for k in r.sample(range(120), r.randint(1, 3)):
+            w[k] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    like = jaccard.Likeness(5, 80)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (232 - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    least = {}
+    for k in range(len(texts)):
+        if k % 9:
+            least[find(k)] = min(least.get(find(k), k), k)
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(df, like).collect() if x.doc_id is not None}
+    assert got == {k: least[find(k)] for k in range(len(texts)) if k % 9}
