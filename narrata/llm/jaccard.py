@@ -16,8 +16,9 @@ blocks differ in n-grams. Where a block has so many empty fragments that the agr
 first n-grams in the global order are keys too, enough that blocks which are alike share one.
 
 Not every candidate pair is needed for the components. First all rows of a key meet one of them (a star). What the links
-so found connect is contracted; then, in keys that still hold several components, the rows outside the largest one meet
-all rows of the key. So no link between different components stays unseen, and a group of near copies isn't expanded.
+so found connect is contracted. In keys that still hold several components, the rows outside the largest one meet one of
+that, and are contracted again; then those that are still outside meet all rows of the key. So no link between different
+components stays unseen, and a group of near copies isn't expanded.
 Before a pair is given its fragments, sketches as wide as its sets are large are compared.
 """
 
@@ -36,8 +37,8 @@ from narrata.llm.common import shuffle_partitions, stash
 
 #: Fragments in which overlaps are counted, n-grams of a block, 64-bit words of its sketch, growth of the size bands.
 WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 4, 1.25
-#: Classes that a task remembers, so as to give each once.
-KEPT_CLASSES = 200_000
+#: Classes that a task remembers, so as to give each once; orders by which keys choose the centre of their star.
+KEPT_CLASSES, ORDERS = 200_000, 4
 _M1, _GOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _S32, _M64 = np.uint64(32), (1 << 64) - 1
 
@@ -308,27 +309,38 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def star_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
-    """a < b: every row of a key with one of its rows, where a link is open. rows: key, cls, n, k, f and the sketch.
+    """a < b: the rows of a key with one of its rows, where a link is open. rows: key, cls, n, k, f and the sketch.
 
-    The key decides which row that is, so that a group which shares many keys has many centres and is soon connected.
+    If rows have comp and most (the key's largest component), that one is of the largest component, and rows of other
+    components meet it. Keys choose by one of a few orders, so that a group which shares many keys has a few centres.
     """
-    head = F.min_by(F.struct("cls", "n", *_SKETCH), F.xxhash64("key", "cls")).over(Window.partitionBy("key"))
+    order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "cls", F.lit(len(rows.columns)))
+    contracted = "most" in rows.columns
+    if contracted:
+        order = F.when(F.col("comp") == F.col("most"), order)
+    head = F.min_by(F.struct("cls", "n", *_SKETCH), order).over(Window.partitionBy("key"))
     both = rows.withColumn("_h", head).select("*", *(F.col(f"_h.{c}").alias(f"_h{c}") for c in ("cls", "n", *_SKETCH)))
-    return both.filter((F.col("cls") != F.col("_hcls")) & _may_link("", "_h", like)).select(*_pair("cls", "_hcls")).distinct()
+    met = F.col("comp") != F.col("most") if contracted else F.col("cls") != F.col("_hcls")
+    return both.filter(met & _may_link("", "_h", like)).select(*_pair("cls", "_hcls")).distinct()
 
 
-def open_pairs(rows: DataFrame, sets: DataFrame, comp: DataFrame, like: Likeness) -> DataFrame:
-    """a < b: the pairs of a key that lie in different components, where a link is open.
+def still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of keys that hold several components, with comp and most, the key's largest component.
 
-    rows: key, cls, spot; comp: cls, comp of the classes that have links so far. Each such pair has a row outside the
-    key's largest component, so only those rows meet all.
+    rows: key, cls and others; comp: cls, comp of the classes that have links so far.
     """
     marked = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     sizes = marked.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("several"))
-    left = marked.join(sizes.filter("several > 1").drop("several"), "key")
-    left = stash(left.join(_spots(sets), ["cls", "spot"]).drop("spot"), "open-keys")
+    return marked.join(sizes.filter("several > 1").drop("several"), "key")
+
+
+def open_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
+    """a < b: the pairs of a key that lie in different components, where a link is open; rows as of still_open().
+
+    Each such pair has a row outside the key's largest component, so only those rows meet all.
+    """
     side = lambda df, p: df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("cls", "comp", "n", "k", "f", *_SKETCH)), *(["most"] if p == "y" else []))
-    both = side(left.filter("comp <> most"), "x").join(side(left, "y"), "key")
+    both = side(rows.filter("comp <> most"), "x").join(side(rows, "y"), "key")
     once = (F.col("ycomp") == F.col("most")) | (F.col("xcls") < F.col("ycls"))
     return both.filter((F.col("xcomp") != F.col("ycomp")) & once & _may_link("x", "y", like)).select(*_pair("xcls", "ycls")).distinct()
 
@@ -422,11 +434,23 @@ def class_links(docs: DataFrame, reps: DataFrame, like: Likeness, id_col: str, t
     shared = stash(shared, "shared-keys")
     wanted = reps.join(shared.select("cls").distinct(), "cls", "left_semi")
     sets = stash(sets_of(docs, like, wanted, id_col, text_col), "sets")
-    first = stash(star_pairs(shared.join(_spots(sets), ["cls", "spot"]), like), "star-pairs")
-    found = stash(verified(stash(plausible(first, sets, like), "star-plausible"), sets, like), "star-links")
-    comp = components(found).select(F.col("node").alias("cls"), "comp")
-    rest = open_pairs(shared, sets, comp, like).join(first, ["a", "b"], "left_anti")
-    return found.unionByName(verified(stash(plausible(rest, sets, like), "open-plausible"), sets, like))
+    first = stash(star_pairs(shared.join(_spots(sets), ["cls", "spot"]).drop("spot"), like), "star-pairs")
+    found = _linked(first, sets, like, "star-links")
+    rows = still_open(shared, _of(components(found))).join(_spots(sets), ["cls", "spot"]).drop("spot")
+    rows = stash(rows, "open-keys")
+    second = stash(star_pairs(rows, like).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    found = stash(found.unionByName(_linked(second, sets, like, "second-links")), "links-so-far")
+    rows = stash(still_open(rows.drop("comp", "most"), _of(components(found))), "open-keys")
+    rest = open_pairs(rows, like).join(first.unionByName(second), ["a", "b"], "left_anti")
+    return found.unionByName(_linked(rest, sets, like, "rest-links"))
+
+
+def _of(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("cls"), "comp")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, like: Likeness, label: str) -> DataFrame:
+    return stash(verified(stash(plausible(pairs, sets, like), f"{label}-plausible"), sets, like), label)
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
