@@ -12,52 +12,84 @@ plan of its own, and within a range the pieces of a length are numbered by posit
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from narrata.llm.common import stash
 from narrata.llm.mixing import numbered
-from narrata.llm.tokens import counter_for, words_of
+from narrata.llm.tokens import words_of
 
-LIMIT, END_ID, KEPT_WORDS = 4096, 1, 600_000
+LIMIT, END_ID, KEPT_WORDS = 4096, 1, 400_000
+#: Bytes of text whose words are encoded together, words of one call of the tokenizer.
+SLICE, CALL = 16 << 20, 2000
 #: Ranges of positions that are packed apart, at most, and full sequences that a range has on average, at least.
 RANGES, RANGE_SEQUENCES = 16, 256
-_plain_word = re.compile("([A-Za-z]+)([.,]+)")
 
 
 class Ids:
-    """Token ids of texts, by the compiled transducer, with the ids of words kept."""
+    """Token ids of texts by the tokenizer library, with the ids of words kept.
+
+    White space always separates tokens, so a word's ids don't depend on what stands around it. Texts are taken in
+    slices. Of a slice, each distinct word that isn't known is encoded once, many in one call, and the ids of all its
+    words are gathered.
+    """
 
     def __init__(self, path: str):
-        self.counter = counter_for(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def word(self, word: str) -> bytes:
-        out = self.known.get(word)
-        if out is None:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            if m := _plain_word.fullmatch(word):  # stops are pieces of their own
-                out = self.word(m[1].lower()) + self.word(m[2])
-            else:
-                out = self.counter.ids(word)
-            self.known[word] = out
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids (little-endian, unsigned, 32 bits) of each word."""
+        out: dict[str, bytes] = {}
+        for k in range(0, len(words), CALL):
+            part = words[k : k + CALL]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            cuts = 4 * np.searchsorted(starts, np.concatenate([[0], ends]))
+            blob = np.asarray(got.ids, "<u4").tobytes()
+            out.update((w, blob[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return out
+
+    def of(self, words: list[str], counts: list[int]) -> list[bytes]:
+        """The ids of distinct words that occur so often; words that occur once are not kept."""
+        known = self.known
+        new = self.encoded([w for w in words if w not in known])
+        out = [known[w] if w in known else new[w] for w in words]
+        often = {w: i for w, i, n in zip(words, out, counts, strict=True) if n > 1}
+        if len(known) + len(often) > KEPT_WORDS:
+            self.known = often
+        else:
+            known.update(often)
         return out
 
-    def text(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = words_of(text)
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            ids = [self.word(w) if x is None else x for w, x in zip(words, ids, strict=True)]
-        return b"".join(ids)
+    def slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned, 32 bits) one text after another, and where each text begins, and the last ends."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens tell case, nothing else does
+            texts = pc.ascii_lower(texts)
+        split = pc.utf8_split_whitespace(texts)
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # these four don't separate words here
+            split = pa.array([words_of(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        words = self.of(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)).tolist())
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        flat = np.frombuffer(b"".join(words), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        where = np.repeat((begins[at] - (ends - n)).astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
+        edges = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return flat[where], edges
 
 
 @lru_cache(maxsize=2)
@@ -73,26 +105,34 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "d
     position = (F.col(at) if at else F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), position.alias("at"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = np.asarray([END_ID], "<u4").tobytes()
+    end = np.asarray([END_ID], "<u4")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "at"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_for(tokenizer)
         for b in batches:
-            row, piece, length, crc = [], [], [], []
-            for k, t in enumerate(b["t"].to_pylist()):
-                data = ids.text(t) + end
-                for at in range(0, len(data), 4 * limit):
-                    part = data[at : at + 4 * limit]
-                    row.append(k)
-                    piece.append(at // (4 * limit))
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            p = np.asarray(piece, "int32")
-            rows_of = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(rows_of), pa.array(p), pa.array(p.astype("int64") * limit), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), b["at"].take(rows_of)], names
-            )
+            # Slices of bounded text, or of one text.
+            sizes = np.cumsum(pc.binary_length(b["t"]).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < b.num_rows:
+                start = int(sizes[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(sizes, start + SLICE, side="right")))
+                row, piece, length, crc = [], [], [], []
+                data, edges = ids.slice(b["t"].slice(first, last - first))
+                for k in range(last - first):
+                    own = np.append(data[edges[k] : edges[k + 1]], end)
+                    for at in range(0, len(own), limit):
+                        part = own[at : at + limit]
+                        row.append(first + k)
+                        piece.append(at // limit)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
+                p = np.asarray(piece, "int32")
+                rows_of = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b["doc_id"].take(rows_of), pa.array(p), pa.array(p.astype("int64") * limit), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), b["at"].take(rows_of)], names
+                )
+                first = last
 
     made = rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, at long")
     return made if at else made.drop("at")
