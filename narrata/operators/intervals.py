@@ -42,3 +42,11 @@ def latest_as_of(facts: DataFrame, horizons: DataFrame, keys: list[str], value:
     """For each horizon, the value with the largest visible_from_cp that isn't beyond it."""
     met = horizons.join(facts, keys).filter(F.col("visible_from_cp") <= F.col("horizon"))
     return met.groupBy(*keys, "horizon").agg(F.max_by(value, F.struct("visible_from_cp", value)).alias(value))
+
+
+def with_range_or_last(points: DataFrame, ranges: DataFrame, at: str, name: str, owner: str = "book") -> DataFrame:
+    """points with the range (name, r_start, r_end) that holds at; where none does, the owner's last one."""
+    last = ranges.groupBy(owner).agg(F.max(name).alias("_last"))
+    held = containing(points.select(owner, F.col(at).alias("at")).distinct(), ranges, owner).select(owner, F.col("at").alias(at), name)
+    out = points.join(held, [owner, at], "left").join(last, owner, "left")
+    return out.withColumn(name, F.coalesce(name, "_last")).drop("_last")

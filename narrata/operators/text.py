@@ -1,18 +1,97 @@
-"""Text segmentation with code-point offsets, and the quote scanner."""
+"""Text segmentation with code-point offsets, chapters, cues, token estimates, and the quote scanner."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Delimiter pairs and the kind that they hint at (fixed values).
+#: Delimiter pairs, their names, and the kind that they hint at (fixed values).
 PAIRS = {"「": "」", "『": "』", "“": "”", "‘": "’", "〈": "〉", "《": "》", "（": "）", "(": ")"}
+NAMES = {
+    "「": "corner_bracket", "『": "corner_bracket_double", "“": "curly_double", "‘": "curly_single",
+    "〈": "angle_single", "《": "angle_double", "（": "paren_fullwidth", "(": "paren_ascii",
+}
 HINTS = {"〈": "quotation", "《": "quotation", "（": "other", "(": "other"}
-MAX_LENGTH, MAX_LINES, MAX_DEPTH = 1200, 3, 8
-SENTENCE = r"[^。！？!?.\n]*[。！？!?.\n]|[^。！？!?.\n]+$"
+#: Longest quote, most line breaks in it, deepest nesting; an opening that is older than CEILING is given up.
+MAX_LENGTH, MAX_LINES, MAX_DEPTH, CEILING = 1200, 3, 8, 4800
+#: Words that hint at who speaks, and quote marks (fixed values).
+CUES = "说 道 问 答 喊 叫 低语 嘟囔 回答 反问 开口 出声 回话 点头 摇头 笑 叹 沉默 看向 转向 抬起头 低下头".split()
+MARKS = "「」『』“”\"'"
+SENTENCE = r"[^。！？!?\n]*[。！？!?\n]|[^。！？!?\n]+$"
+#: What strip() takes away at both ends of a string.
+STRIP = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+#: Headings of chapters: numbered ones, and names that stand alone (fixed values).
+NUMBERED = "第[0-9０-９一二三四五六七八九十百千万零〇两]+[章节節回卷篇部]"
+HEADING = f"^(?:{NUMBERED}[^\\n]{{0,20}}|序章|序言|序|楔子|引子|前言|后记|後記|尾声|尾聲|终章|終章|终幕|終幕|外传|外傳|番外)[^\\n]{{0,20}}$"
+PROSE = "[，、。！!；;…]"
+REPEATED = ["序章", "序言", "后记", "後記", "终章", "終章"]
+#: Code points that count as a token each; of others, four do (fixed values).
+WIDE = r"[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{3000}-\x{303F}\x{AC00}-\x{D7AF}\x{FF00}-\x{FFEF}\x{20000}-\x{2FA1F}]"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, STRIP, "")
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A token for each wide character, and one for every four others or part of them; none for null."""
+    wide = F.regexp_count(text, F.lit(WIDE))
+    return F.coalesce(wide + F.floor((F.length(text) - wide + 3) / 4), F.lit(0)).cast("long")
+
+
+def has_cue(text: Column) -> Column:
+    """Whether the text may say who speaks: it has a quote mark or a cue."""
+    return text.rlike(f"[{MARKS}]|" + "|".join(CUES))
+
+
+def suspicious(title: Column) -> Column:
+    """Whether a numbered heading reads like prose."""
+    return (F.length(title) > 50) | title.rlike(PROSE)
+
+
+def is_heading(title: Column) -> Column:
+    """title: a stripped line."""
+    return F.length(title).between(1, 30) & ~(title.startswith("第") & suspicious(title)) & title.rlike(HEADING)
+
+
+def split_lines(texts: DataFrame, owner: str = "book") -> DataFrame:
+    """owner, line, body, sep, canonical and source offsets of every line, whatever its break.
+
+    A break counts for one code point in the canonical text and as it is in the source. synthetic: not a line feed.
+    """
+    brk = "\r\n|\r|\n"
+    seps = F.concat(F.regexp_extract_all("text", F.lit(brk), F.lit(0)), F.array(F.lit("")))
+    t = texts.select(owner, F.posexplode(F.arrays_zip(F.split("text", brk, -1).alias("body"), seps.alias("sep"))).alias("line", "l"))
+    t = t.select(owner, F.col("line").cast("long").alias("line"), "l.*").filter("body <> '' OR sep <> ''")
+    w = Window.partitionBy(owner).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, broken = F.length("body").cast("long"), F.when(F.col("sep") == "", 0).otherwise(1)
+    end = F.sum(n + broken).over(w)
+    source = F.sum(n + F.length("sep")).over(w) - F.length("sep") - n
+    t = t.withColumns({"start_cp": end - broken - n, "text_end_cp": end - broken, "end_cp": end, "source_start_cp": source, "source_end_cp": source + n})
+    return t.withColumn("synthetic", ~F.col("sep").isin("", "\n"))
+
+
+def chaptered(lines: DataFrame, owner: str = "book") -> DataFrame:
+    """Adds to lines: title (stripped), heading, opens (whether a chapter starts here) and ordinal, its number.
+
+    A heading that repeats the end of the one before it, with blank lines between only, opens none. Text before the
+    first heading is chapter 0, if there is any.
+    """
+    w = Window.partitionBy(owner).orderBy("line")
+    t = lines.withColumn("title", stripped(F.col("body"))).withColumn("heading", is_heading(F.col("title")))
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_last", F.last(F.when(F.col("title") != "", F.struct("title", "heading")), True).over(upto))
+    repeats = F.col("title").isin(REPEATED) & F.col("_last.heading") & F.endswith("_last.title", "title")
+    t = t.withColumn("opens", F.col("heading") & ~F.coalesce(repeats, F.lit(False)))
+    count = F.sum(F.col("opens").cast("long")).over(w)
+    before = F.max((~F.col("opens") & (F.col("title") != "") & (count == 0)).cast("long")).over(Window.partitionBy(owner))
+    none = F.max(F.col("opens").cast("long")).over(Window.partitionBy(owner)) == 0
+    ordinal = F.when(none, F.lit(0)).when(count == 0, F.when(before == 1, F.lit(0))).otherwise(count - 1 + before)
+    return t.withColumn("ordinal", ordinal.cast("long")).drop("_last")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -34,38 +113,226 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("k", "s")).filter("s <> ''")
 
 
-def scan(text: str) -> list[tuple[int, int, int, int | None]]:
-    """(start, end, depth, start of the parent) of quotes, nested ones too, in order of start.
+def scan(text: str, closes: list[tuple[int, int]] | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Quotes (start, end, opening, depth, start of the parent, normalized) and warnings (code, position, opening, cause).
 
-    An opening is closed by the nearest close of its pair; openings above it are dropped. Quotes that are too long or
-    span too many lines are dropped, and so are openings beyond the depth limit.
+    An opening is closed by the nearest close of its pair; openings above it are dropped with a warning. Openings
+    beyond the depth limit, closes without an opening, quotes that are too long or span too many lines, and openings
+    whose newest neighbour grew older than CEILING give warnings too. closes: (opening, where it is to end) of quotes
+    that end without a mark.
     """
-    closes = {c: o for o, c in PAIRS.items()}
+    opener = {c: o for o, c in PAIRS.items()}
+    events = [(m.start(), 1, m.group()) for m in _DELIMITER.finditer(text)]
+    warnings: list[tuple] = []
+    for opening, end in closes or []:
+        if opening < end <= len(text):
+            if end < len(text):
+                events.append((end, 0, opening))
+        else:
+            warnings.append(("invalid_auto_close", opening, "“", "range"))
+    # At one position, later openings end first, and all before the character itself.
+    events.sort(key=lambda e: (e[0], e[1], -e[2] if e[1] == 0 else 0))
     stack: list[tuple[str, int]] = []
-    found: list[tuple[int, int, int, int | None]] = []
-    for i, ch in enumerate(text):
-        if ch in PAIRS:
-            if len(stack) < MAX_DEPTH:
-                stack.append((ch, i))
-        elif ch in closes:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == closes[ch]), None)
+    found: list[tuple] = []
+
+    def shut(at: int, end: int, normalized: bool) -> None:
+        warnings.extend(("unclosed_quote", p, o, "outer") for o, p in stack[at + 1 :])
+        opening, start = stack[at]
+        del stack[at:]
+        found.append((start, end, opening, len(stack), stack[-1][1] if stack else None, normalized))
+
+    def give_up(position: int) -> None:
+        if stack and position - stack[-1][1] > CEILING:
+            warnings.extend(("unclosed_quote", p, o, "ceiling") for o, p in stack)
+            stack.clear()
+
+    for position, real, what in events:
+        if not real:
+            give_up(position - 1)
+            at = next((k for k, x in enumerate(stack) if x == ("“", what)), None)
             if at is None:
-                continue
-            start = stack[at][1]
-            del stack[at:]
-            if i + 1 - start <= MAX_LENGTH and text.count("\n", start, i + 1) <= MAX_LINES:
-                found.append((start, i + 1, len(stack), stack[-1][1] if stack else None))
-    kept = {s for s, *_ in found}
-    return sorted((s, e, d, p if p in kept else None) for s, e, d, p in found)
+                warnings.append(("invalid_auto_close", what, "“", "unmatched"))
+            else:
+                shut(at, position, True)
+            continue
+        give_up(position)
+        if what in PAIRS:
+            if len(stack) < MAX_DEPTH:
+                stack.append((what, position))
+            else:
+                warnings.append(("nesting_too_deep", position, what, "depth"))
+            continue
+        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == opener[what]), None)
+        if at is None:
+            warnings.append(("stray_close", position, opener[what], "stray"))
+        else:
+            shut(at, position + 1, False)
+    give_up(len(text) - 1)
+    warnings += [("unclosed_quote", p, o, "end") for o, p in reversed(stack)]
+    quotes = []
+    for q in found:
+        if q[1] - q[0] > MAX_LENGTH:
+            warnings.append(("quote_too_long", q[0], q[2], "length"))
+        elif text.count("\n", q[0], q[1]) > MAX_LINES:
+            warnings.append(("quote_spans_too_many_paragraphs", q[0], q[2], "lines"))
+        else:
+            quotes.append(q)
+    kept = {q[0] for q in quotes}
+    return sorted((*q[:4], q[4] if q[4] in kept else None, q[5]) for q in quotes), warnings
 
 
-def scan_quotes(texts: DataFrame) -> DataFrame:
-    """book, start_cp, end_cp, depth, parent_start of the nested quotes of texts (book, text)."""
+_DELIMITER = re.compile("[" + "".join(map(re.escape, (*PAIRS, *PAIRS.values()))) + "]")
+_QUOTES = "array<struct<start_cp: bigint, end_cp: bigint, opening: string, depth: int, parent_start: bigint, normalized: boolean>>"
+_WARNINGS = "array<struct<code: string, position: bigint, opening: string, cause: string>>"
+
+
+def scanned(texts: DataFrame) -> DataFrame:
+    """book, quotes, warnings of texts (book, text, and closes: an array of opening_cp, close_cp, if there is one).
+
+    Nesting is sequential, so a text is scanned by one task; the delimiters are found by a compiled pattern, and only
+    they are looked at.
+    """
+    with_closes = "closes" in texts.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(b, *q) for b, t in zip(f["book"], f["text"], strict=True) for q in scan(t or "")]
-            out = pd.DataFrame(rows, columns=["book", "start_cp", "end_cp", "depth", "parent_start"])
-            yield out.astype({"parent_start": "Int64"})
+            closes = [[(c["opening_cp"], c["close_cp"]) for c in cs] if cs is not None else [] for cs in f["closes"]] if with_closes else [[]] * len(f)
+            got = [scan(t or "", c) for t, c in zip(f["text"], closes, strict=True)]
+            names = ("start_cp", "end_cp", "opening", "depth", "parent_start", "normalized"), ("code", "position", "opening", "cause")
+            sides = [[[dict(zip(names[k], x, strict=True)) for x in g[k]] for g in got] for k in (0, 1)]
+            yield pd.DataFrame({"book": f["book"], "quotes": sides[0], "warnings": sides[1]})
+
+    columns = ["book", "text", *(["closes"] if with_closes else [])]
+    return texts.select(*columns).mapInPandas(run, f"book long, quotes {_QUOTES}, warnings {_WARNINGS}")
+
+
+def scan_quotes(texts: DataFrame, version: str = "scanner-1") -> DataFrame:
+    """The quotes of texts, one a row, with ids, names of their delimiters and the kinds these hint at."""
+    q = scanned(texts).select("book", F.explode("quotes").alias("q")).select("book", "q.*")
+    hint = F.when((F.col("opening") == "『") & (F.col("depth") > 0), "quotation").otherwise(_lookup(HINTS))
+    own = stable_id("q", F.col("book"), F.col("start_cp"), F.col("end_cp"), version)
+    q = q.withColumns({"quote_id": own, "delimiter": _lookup(NAMES), "kind_hint": hint})
+    parent = q.select("book", F.col("start_cp").alias("parent_start"), F.col("quote_id").alias("parent_id"))
+    return q.join(parent, ["book", "parent_start"], "left")
+
+
+def _lookup(values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("opening")]
+
+
+def stable_id(kind: str, owner: Column, start: Column, end: Column, version: str) -> Column:
+    key = F.concat_ws("|", owner.cast("string"), start.cast("string"), end.cast("string"), F.lit(version))
+    return F.concat(F.lit(kind), F.substring(F.sha1(key.cast("binary")), 1, 31))
+
+
+#: Counters of a scan and the causes that they count.
+COUNTERS = {
+    "abandoned_open_quotes": ["ceiling"], "stray_closes": ["stray"], "unclosed_quotes": ["ceiling", "outer", "end"],
+    "dropped_too_long": ["length"], "dropped_too_many_paragraphs": ["lines"], "depth_limit_hits": ["depth"],
+}
+
+
+def scan_stats(texts: DataFrame) -> DataFrame:
+    """book and the ten counters of its scan."""
+    how_many = lambda c, keep: F.size(F.filter(c, keep)).cast("long")
+    caused_by = lambda causes: lambda w: w["cause"].isin(*causes)
+    return scanned(texts).select(
+        "book", F.size("quotes").cast("long").alias("quotes"), how_many("quotes", lambda q: q["depth"] == 0).alias("top_level_quotes"),
+        F.size("warnings").cast("long").alias("warnings"),
+        *(how_many("warnings", caused_by(causes)).alias(name) for name, causes in COUNTERS.items()),
+        how_many("quotes", lambda q: q["normalized"]).alias("normalized_closes"),
+    )
+
+
+def whole_texts(segments: DataFrame) -> DataFrame:
+    """book, text from segments (book, turn, seg)."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "seg")))
+    return segments.groupBy("book").agg(F.array_join(F.transform(rows, lambda x: x["seg"]), "").alias("text"))
+
+
+def narration_gaps(texts: DataFrame, quotes: DataFrame, version: str = "scanner-1") -> DataFrame:
+    """book, gap_id, left_id, right_id, start_cp, end_cp between adjacent outer quotes, where there is more than white space."""
+    w = Window.partitionBy("book").orderBy("start_cp")
+    nxt = lambda c: F.lead(c).over(w)
+    g = quotes.filter("depth = 0").select("book", F.col("quote_id").alias("left_id"), nxt("quote_id").alias("right_id"), F.col("end_cp").alias("start_cp"), nxt("start_cp").alias("end_cp"))
+    g = g.filter("end_cp > start_cp").join(texts, "book")
+    told = F.substring("text", (F.col("start_cp") + 1).cast("int"), (F.col("end_cp") - F.col("start_cp")).cast("int"))
+    return g.filter(stripped(told) != "").withColumn("gap_id", stable_id("g", F.col("book"), F.col("start_cp"), F.col("end_cp"), version)).drop("text")
+
+
+def rescanned(stored: DataFrame, scan: DataFrame) -> DataFrame:
+    """book, start_cp, quote_id, outcome after a new scan.
+
+    stored: book, start_cp, old_id, annotated. Quotes are the same if they start alike; then the old id stays. Stored
+    quotes that the scan doesn't find go, unless they are annotated.
+    """
+    both = stored.join(scan.select("book", "start_cp", "quote_id"), ["book", "start_cp"], "full").filter("quote_id IS NOT NULL OR annotated")
+    outcome = F.when(F.col("old_id").isNull(), "new").when(F.col("quote_id").isNull(), "protected").otherwise("updated")
+    return both.select("book", "start_cp", F.coalesce("old_id", "quote_id").alias("quote_id"), outcome.alias("outcome"))
+
+
+def bound_toc(toc: DataFrame, chapters: DataFrame) -> DataFrame:
+    """book, line, chapter, target_cp for entries (book, line, ordinal, at) over chapters (book, ordinal, r_start, r_end).
+
+    The chapter of the entry's ordinal if it holds the target, its end included; else the one that holds it; else an
+    empty one just there.
+    """
+    own = chapters.select("book", "ordinal", F.col("r_start").alias("a"), F.col("r_end").alias("b"))
+    t = toc.join(own, ["book", "ordinal"], "left")
+    t = t.withColumn("own", F.when(F.col("at").between(F.col("a"), F.col("b")), F.col("ordinal"))).drop("a", "b", "ordinal")
+    lost = t.filter("own IS NULL AND at IS NOT NULL").select("book", "line", "at")
+    near = lost.join(chapters.withColumnRenamed("ordinal", "c"), "book").filter("at >= r_start AND at < r_end OR (r_start = at AND r_end = at)")
+    near = near.groupBy("book", "line").agg(F.min_by("c", F.struct(F.col("r_start") == F.col("r_end"), "c")).alias("c"))
+    out = t.join(near, ["book", "line"], "left").withColumn("chapter", F.coalesce("own", "c"))
+    return out.select("book", "line", "chapter", F.when(F.col("chapter").isNotNull(), F.col("at")).alias("target_cp"))
+
+
+def auto_close_suggestions(texts: DataFrame, owner: str = "book") -> DataFrame:
+    """owner, opening_cp, close_cp: openings of “ that stay open, with the end of their paragraph.
+
+    An opening stays open if the balance of marks after it never falls below its own. It is suggested only if the first
+    mark from the paragraph's end on is an opening, and something stands between.
+    """
+    pieces = texts.select(owner, F.posexplode(F.regexp_extract_all("text", F.lit("[^“”]*[“”]"), F.lit(0))).alias("k", "x"))
+    order = Window.partitionBy(owner).orderBy("k")
+    at = F.sum(F.length("x").cast("long")).over(order) - 1
+    marks = pieces.withColumns({"at": at, "step": F.when(F.endswith("x", F.lit("“")), 1).otherwise(-1), "breaks": F.length("x") - F.length(F.replace("x", F.lit("\n"), F.lit("")))})
+    marks = marks.withColumns({"depth": F.sum("step").over(order), "line": F.sum("breaks").over(order)})
+    marks = marks.withColumn("low", F.min("depth").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    first = marks.groupBy(owner, "line").agg(F.min_by("step", "k").alias("first"))
+    first = first.withColumn("next", F.lead("first").over(Window.partitionBy(owner).orderBy("line"))).select(owner, "line", "next")
+    ends = texts.select(owner, F.posexplode(F.split("text", "\n")).alias("line", "b"))
+    ends = ends.withColumn("close_cp", F.sum(F.length("b").cast("long") + 1).over(Window.partitionBy(owner).orderBy("line")) - 1).drop("b")
+    open_ = marks.filter("step = 1 AND (low IS NULL OR low >= depth)").select(owner, F.col("at").alias("opening_cp"), "line")
+    out = open_.join(first, [owner, "line"]).filter("next = 1").join(ends, [owner, "line"])
+    return out.filter("close_cp > opening_cp + 1").select(owner, "opening_cp", "close_cp")
+
+
+def compressed(texts: DataFrame, owner: str, threshold: int = 80, most: float = 0.6) -> DataFrame:
+    """owner, kept, start_cp, end_cp: the runs of sentences that stay of long texts, and each sentence that goes.
+
+    Sentences with a cue, the first and the last stay, with a neighbour on each side. Nothing is dropped of short
+    texts, of texts with fewer than three sentences, and where more than a share of the text would stay: these give no rows.
+    """
+    parts = F.filter(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: x != "")
+    t = texts.filter(F.length("text") > threshold).select(owner, F.length("text").alias("n"), parts.alias("p")).filter(F.size("p") >= 3)
+    t = t.select(owner, "n", F.size("p").alias("many"), F.posexplode("p").alias("k", "s"))
+    w = Window.partitionBy(owner).orderBy("k")
+    size = F.length("s").cast("long")
+    hit = has_cue(F.col("s")) | (F.col("k") == 0) | (F.col("k") == F.col("many") - 1)
+    t = t.select(owner, "n", "k", size.alias("size"), F.sum(size).over(w).alias("end_cp"), hit.cast("int").alias("hit"))
+    t = t.withColumn("kept", F.max("hit").over(w.rowsBetween(-1, 1)) == 1)
+    stays = F.sum(F.when(F.col("kept"), F.col("size")).otherwise(0)).over(Window.partitionBy(owner))
+    t = t.withColumn("stays", stays).filter(F.col("stays") <= F.col("n") * most)
+    isle = F.when(F.col("kept"), F.col("k") - F.sum(F.col("kept").cast("long")).over(w)).otherwise(-1 - F.col("k"))
+    runs = t.withColumn("isle", isle).groupBy(owner, "kept", "isle")
+    return runs.agg(F.min(F.col("end_cp") - F.col("size")).alias("start_cp"), F.max("end_cp").alias("end_cp")).drop("isle")
+
 
-    return texts.select("book", "text").mapInPandas(run, "book long, start_cp long, end_cp long, depth int, parent_start long")
+def loss(texts: DataFrame, owner: str) -> DataFrame:
+    """owner, compressed, dropped_spans, dropped_cp, violations for texts with must_keep, an array of ranges (a, b)."""
+    gone = compressed(texts, owner).filter("NOT kept").join(texts.select(owner, "must_keep"), owner)
+    bad = F.exists("must_keep", lambda r: (F.col("start_cp") < r["b"]) & (F.col("end_cp") > r["a"]))
+    got = gone.groupBy(owner).agg(F.count(F.lit(1)).alias("dropped_spans"), F.sum(F.col("end_cp") - F.col("start_cp")).alias("dropped_cp"), F.count_if(bad).alias("violations"))
+    out = texts.select(owner).join(got.withColumn("compressed", F.lit(1).cast("long")), owner, "left")
+    return out.na.fill(0, ["compressed", "dropped_spans", "dropped_cp", "violations"])

@@ -30,23 +30,6 @@ def n(name: str = "n"):
     return F.count(F.lit(1)).alias(name)
 
 
-@query(with_sql("quotes", "chapters") + """, g AS (SELECT book, quote_id, end_cp AS a, lead(start_cp) OVER (PARTITION BY book ORDER BY start_cp) AS b FROM quotes)
-SELECT q.book, q.quote_id, q.turn, q.role, q.start_cp, q.end_cp, c.ordinal AS chapter, CASE WHEN g.b > g.a THEN g.b - g.a END AS gap_after
-FROM quotes q JOIN chapters c ON q.book = c.book AND q.start_cp >= c.start_cp AND q.start_cp < c.end_cp JOIN g ON g.book = q.book AND g.quote_id = q.quote_id""")
-def t1_quotes(s, d):
-    q = src.quotes(s, d).withColumn("at", F.col("start_cp"))
-    c = src.chapters(s, d).select("book", F.col("ordinal").alias("chapter"), F.col("start_cp").alias("r_start"), F.col("end_cp").alias("r_end"))
-    g = intervals.gaps(src.quotes(s, d)).select("book", F.col("left_id").alias("quote_id"), (F.col("gap_end") - F.col("gap_start")).alias("gap_after"))
-    return intervals.containing(q, c).join(g, ["book", "quote_id"], "left").select("book", "quote_id", "turn", "role", "start_cp", "end_cp", "chapter", "gap_after")
-
-
-@query(None)
-def t1_nested_quotes(s, d):
-    seg = src.segments(s, d)
-    whole = seg.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "seg"))), lambda x: x["seg"]), "").alias("text"))
-    return text.scan_quotes(whole)
-
-
 @query("""SELECT doc_id, CAST(line - 1 AS BIGINT) AS line, CAST(e - length(t) AS BIGINT) AS start_cp, CAST(e AS BIGINT) AS end_cp FROM (
 SELECT doc_id, line, t, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS e FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))""")
 def s5_line_offsets(s, d):
@@ -68,16 +51,6 @@ def t8_gaps(s, d):
     return intervals.gaps(src.quotes(s, d)).select("book", "left_id", "right_id", "gap_start", "gap_end")
 
 
-@query("""SELECT doc_id, count(*) AS sentences, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^。！？!?.\\n]*[。！？!?.\\n]|[^。！？!?.\\n]+$')) AS s FROM documents) WHERE s <> '' GROUP BY 1""")
-def t11_sentences(s, d):
-    return text.sentences(table(s, d, "documents")).groupBy("doc_id").agg(n("sentences"), F.sum(F.length("s").cast("long")).alias("chars"))
-
-
-@query("SELECT doc_id, regexp_matches(text, '[\"“”‘’「」『』]') AS has_marks FROM documents")
-def t14_cue_marks(s, d):
-    return table(s, d, "documents").select("doc_id", F.col("text").rlike('["“”‘’「」『』]').alias("has_marks"))
-
-
 @query(with_sql("quotes") + "SELECT book, quote_id, start_cp FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY start_cp) AS k FROM quotes WHERE start_cp > 200) WHERE k <= 3")
 def f1_keyset_page(s, d):
     w = Window.partitionBy("book").orderBy("start_cp")
@@ -242,24 +215,11 @@ def u2_difference(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("key")).exceptAll(table(s, d, "orders").select("o_custkey")).distinct()
 
 
-@query(with_sql("annotations") + """SELECT book, quote_id, CASE WHEN kind <> 'speech' THEN 'NOT_SPEECH' WHEN assignment = 'UNKNOWN' THEN 'UNKNOWN' WHEN basis = 'DIRECT' THEN 'ACCEPTED' ELSE 'PROVISIONAL' END AS decided, kind = 'speech' AND assignment = 'UNKNOWN' AS review FROM annotations""")
-def d9_acceptance(s, d):
-    speech = F.col("kind") == "speech"
-    decided = F.when(~speech, "NOT_SPEECH").when(F.col("assignment") == "UNKNOWN", "UNKNOWN").when(F.col("basis") == "DIRECT", "ACCEPTED").otherwise("PROVISIONAL")
-    return src.annotations(s, d).select("book", "quote_id", decided.alias("decided"), (speech & (F.col("assignment") == "UNKNOWN")).alias("review"))
-
-
 @query(with_sql("annotations") + "SELECT book, quote_id FROM annotations WHERE NOT user_locked AND start_cp >= 500 AND NOT stale")
 def d32_stale_targets(s, d):
     return src.annotations(s, d).filter("NOT user_locked AND start_cp >= 500 AND NOT stale").select("book", "quote_id")
 
 
-@query(with_sql("annotations") + """SELECT book, count(*) AS gold, count(*) FILTER (turn % 6 <> 5) AS predicted, count(*) FILTER (turn % 6 <> 5 AND status = 'ACCEPTED') AS accepted, round(count(*) FILTER (turn % 6 <> 5) / count(*), 6) AS recall FROM annotations GROUP BY 1""")
-def d41_extraction(s, d):
-    found = F.col("turn") % 6 != 5
-    return src.annotations(s, d).groupBy("book").agg(n("gold"), F.count_if(found).alias("predicted"), F.count_if(found & (F.col("status") == "ACCEPTED")).alias("accepted"), F.round(F.count_if(found) / F.count(F.lit(1)), 6).alias("recall"))
-
-
 @query(with_sql("quotes") + """SELECT q.book, q.quote_id, substring(whole, CAST(greatest(q.start_cp - 120, 0) AS BIGINT) + 1, CAST(q.start_cp - greatest(q.start_cp - 120, 0) AS BIGINT)) AS before FROM quotes q JOIN (SELECT book, string_agg(seg, '' ORDER BY turn) AS whole FROM segments GROUP BY 1) t ON q.book = t.book""")
 def x1_quote_context(s, d):
     # Segments that end in the 120 code points before a quote are found by range, so that no whole text is built.
