@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from narrata.llm.common import shuffle_partitions, stash
 
 #: Fragments in which overlaps are counted, n-grams of a block, 64-bit words of its sketch, growth of the size bands.
-WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 4, 1.25
+WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 4, 1.4
 #: Classes that a task remembers, so as to give each once; orders by which keys choose the centre of their star.
 KEPT_CLASSES, ORDERS = 200_000, 4
+#: Texts whose sets are made before they are sent on.
+ROWS = 256
 _M1, _GOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _S32, _M64 = np.uint64(32), (1 << 64) - 1
 
@@ -102,7 +104,7 @@ class Cut:
     def of(cls, level: int, like: Likeness, bands: list[int]) -> Cut:
         most = bands[level] - 1
         apart = like.most_apart(2 * most)
-        return cls(level, apart, apart + 2 + apart // 16, max(1, most // BLOCK))
+        return cls(level, apart, apart + 2 + apart // 8, max(1, most // BLOCK))
 
     def fragment(self, s: np.ndarray) -> np.ndarray:
         return (((s >> _S32) * np.uint64(self.fragments)) >> _S32).astype(np.int64)
@@ -163,19 +165,22 @@ def fragment_keys(s: np.ndarray, like: Likeness, bands: list[int]) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(spots)
 
 
-def block_sketches(s: np.ndarray, like: Likeness, bands: list[int]) -> list[tuple[int, int, int, np.ndarray]]:
-    """(spot, k, F, sketch) of every block: a link allows it to differ in D * k / F n-grams."""
+def block_sketches(s: np.ndarray, like: Likeness, bands: list[int]) -> tuple[np.ndarray, ...]:
+    """spot, k, F, sketch of every block that holds n-grams: a link allows it to differ in D * k / F of them."""
     if len(s) < bands[0]:
-        return []
-    out = [(EVERYWHERE, 1, 1, sketch_of(s))]
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty((0, SKETCH_WORDS), np.uint64)
     bits = SKETCH_WORDS * 64
     at = (mix(s) % np.uint64(bits)).astype(np.int64)
+    one = np.ones(1, np.int64)
+    out = [(np.array([EVERYWHERE]), one, one, sketch_of(s).reshape(1, -1))]
     for cut in cuts_for(len(s), like, bands):
-        odd = np.bincount(cut.block(cut.fragment(s)) * bits + at, minlength=cut.blocks * bits) & 1
-        sketches = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, SKETCH_WORDS)
-        widths = cut.widths()
-        out += [(int(cut.spot(np.int64(k))), int(widths[k]), cut.fragments, x) for k, x in enumerate(sketches) if x.any()]
-    return out
+        of = cut.block(cut.fragment(s))
+        odd = np.bincount(of * bits + at, minlength=cut.blocks * bits) & 1
+        held = np.unique(of)
+        sketches = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(-1, SKETCH_WORDS)[held]
+        out.append((cut.spot(held), cut.widths()[held], np.full(len(held), cut.fragments), sketches))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def sketch_of(s: np.ndarray, bits: int = SKETCH_WORDS * 64) -> np.ndarray:
@@ -207,20 +212,30 @@ def text_hash(text: Column) -> Column:
 
 
 def classes(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (a hash of the text), n, cls for every row; cls is null for an empty set."""
+    """doc_id, th (a hash of the text), n, cls, wide (the wide sketch), spots (sketches of blocks) for every row.
+
+    cls is null for an empty set.
+    """
     rows = _texts(docs, id_col, text_col).withColumn("th", text_hash(F.col("t")))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    bands = like.bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, cls = [], []
-            for t in b["t"].to_pylist():
-                s = shingle_set(t, like.n)
-                n.append(len(s))
-                cls.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "th", "n", "cls"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                sets = [shingle_set(t.as_py(), like.n) for t in b["t"]]
+                blocks = [block_sketches(s, like, bands) for s in sets]
+                ends = np.cumsum([0, *(len(x[0]) for x in blocks)])
+                spot, k, f, sketch = (np.concatenate(x) for x in zip(*blocks, strict=True))
+                columns = [spot, k, f, *sketch.view(np.int64).reshape(-1, SKETCH_WORDS).T]
+                spots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], fields=list(_SPOT)))
+                wide = pa.array([wide_sketch_of(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array([len(s) for s in sets], pa.int64()), cls, wide, spots], ["doc_id", "th", "n", "cls", "wide", "spots"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, cls long")
+    spot = ", ".join(f"{c}: bigint" for c in ("spot", "k", "f", *_SKETCH))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, cls long, wide binary, spots array<struct<{spot}>>")
 
 
 def keyed(docs: DataFrame, like: Likeness, text_col: str = "text") -> DataFrame:
@@ -262,36 +277,27 @@ _SPOT = pa.struct([("spot", pa.int64()), ("k", pa.int64()), ("f", pa.int64()), *
 _PART = pa.struct([("part", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
-def sets_of(docs: DataFrame, like: Likeness, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cls, n, wide (the wide sketch), spots (sketches of blocks), parts (the set by wide fragments) of the wanted classes.
-
-    wanted: rep, th, by which a row of the class is found.
-    """
+def parts_of(docs: DataFrame, like: Likeness, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """cls, n, parts (the set by wide fragments) of the wanted classes; wanted: rep, th, by which a row of each is found."""
     texts = _texts(docs, id_col, text_col).withColumn("th", text_hash(F.col("t")))
-    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("_th"))
-    rows = texts.join(wanted.select("rep", F.col("th").alias("_th")), same, "left_semi").dropDuplicates(["doc_id", "th"]).select("t")
+    named = texts.join(wanted.filter("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    nameless = texts.filter("doc_id IS NULL").join(wanted.filter("rep IS NULL").select("th"), "th", "left_semi").dropDuplicates(["th"])
+    rows = named.select("t").unionByName(nameless.select("t"))
     edges = [np.uint64((k << 64) // WIDE) for k in range(1, WIDE)]
-    bands = like.bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                cls, n, wide, spots, parts = [], [], [], [], []
-                for t in b["t"].slice(at, 256):
+            for at in range(0, b.num_rows, ROWS):
+                cls, n, parts = [], [], []
+                for t in b["t"].slice(at, ROWS):
                     s = shingle_set(t.as_py(), like.n)
                     if len(s):
                         cls.append(class_of(s))
                         n.append(len(s))
-                        wide.append(wide_sketch_of(s).tobytes())
-                        spots.append([dict(zip(("spot", "k", "f", *_SKETCH), (spot, k, f, *x.view(np.int64).tolist()), strict=True)) for spot, k, f, x in block_sketches(s, like, bands)])
                         parts.append([{"part": k, "grams": x.view(np.int64)} for k, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(spots, pa.list_(_SPOT)), pa.array(parts, pa.list_(_PART))],
-                    ["cls", "n", "wide", "spots", "parts"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(parts, pa.list_(_PART))], ["cls", "n", "parts"])
 
-    spot = ", ".join(f"{c}: bigint" for c in ("spot", "k", "f", *_SKETCH))
-    return rows.mapInArrow(run, f"cls long, n long, wide binary, spots array<struct<{spot}>>, parts array<struct<part: int, grams: array<bigint>>>")
+    return rows.mapInArrow(run, "cls long, n long, parts array<struct<part: int, grams: array<bigint>>>")
 
 
 def _may_link(a: str, b: str, like: Likeness) -> Column:
@@ -404,12 +410,13 @@ def _resolved(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> Da
     # Of rows with an id, if there are any, the least one.
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     reps = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(least_row.alias("_r"), F.first("n").alias("n"))
-    reps = reps.select("cls", F.col("_r.doc_id").alias("rep"), F.col("_r.th").alias("th"), "n")
-    links = stash(class_links(docs, reps, like, id_col, text_col), "links")
+    reps = stash(reps.select("cls", F.col("_r.doc_id").alias("rep"), F.col("_r.th").alias("th"), "n"), "representatives")
+    links = class_links(docs, rows, reps, like, id_col, text_col)
     comp = components(links).join(reps.select(F.col("cls").alias("node"), "rep"), "node")
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
     of = comp.join(least, "comp").select(F.col("node").alias("cls"), F.col("least").alias("linked"), "comp")
     # Classes without links and with one row, most of all, need no shuffle of their rows but this one.
+    rows = rows.drop("wide", "spots")
     known = reps.join(of, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("comp", "cls").alias("comp"), F.coalesce("linked", "rep").alias("component_id"))
     return rows.join(known, F.col("cls") == F.col("_cls"), "left").drop("_cls")
 
@@ -425,32 +432,42 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def class_links(docs: DataFrame, reps: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
-    """Links a, b of classes, enough that linked classes are connected. reps: cls, and rep, th of one of its rows."""
+def class_links(docs: DataFrame, rows: DataFrame, reps: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
+    """Links a, b of classes, enough that linked classes are connected.
+
+    rows: of classes(); reps: cls, and rep, th of one of its rows. Sets are made again for the classes of those pairs
+    only that sketches don't rule out.
+    """
     spark = docs.sparkSession
     all_keys = keyed(docs, like, text_col).repartition(shuffle_partitions(spark), "key")
     w = Window.partitionBy("key")
     shared = all_keys.withColumns({"lo": F.min("cls").over(w), "hi": F.max("cls").over(w)}).filter("lo <> hi").select("key", "cls", "spot").distinct()
     shared = stash(shared, "shared-keys")
-    wanted = reps.join(shared.select("cls").distinct(), "cls", "left_semi")
-    sets = stash(sets_of(docs, like, wanted, id_col, text_col), "sets")
-    first = stash(star_pairs(shared.join(_spots(sets), ["cls", "spot"]).drop("spot"), like), "star-pairs")
-    found = _linked(first, sets, like, "star-links")
-    rows = still_open(shared, _of(components(found))).join(_spots(sets), ["cls", "spot"]).drop("spot")
-    rows = stash(rows, "open-keys")
-    second = stash(star_pairs(rows, like).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    found = stash(found.unionByName(_linked(second, sets, like, "second-links")), "links-so-far")
-    rows = stash(still_open(rows.drop("comp", "most"), _of(components(found))), "open-keys")
-    rest = open_pairs(rows, like).join(first.unionByName(second), ["a", "b"], "left_anti")
-    return found.unionByName(_linked(rest, sets, like, "rest-links"))
+    sketches = rows.select("cls", "n", "wide", "spots").join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    sketches = stash(sketches, "sketches")
 
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        close = stash(plausible(pairs, sketches, like), f"{label}-pairs")
+        ends = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
+        wanted = stash(reps.join(ends, "cls", "left_semi").select("rep", "th"), f"{label}-rows")
+        parts = stash(parts_of(docs, like, wanted, id_col, text_col), f"{label}-parts")
+        return stash(verified(close, parts, like), label)
 
-def _of(comp: DataFrame) -> DataFrame:
-    return comp.select(F.col("node").alias("cls"), "comp")
+    def sketched(keys: DataFrame) -> DataFrame:
+        return keys.join(_spots(sketches), ["cls", "spot"]).drop("spot")
+
+    first = stash(star_pairs(sketched(shared), like), "star-candidates")
+    found = linked(first, "star")
+    open_keys = stash(sketched(still_open(shared, _of(components(found)))), "open-keys")
+    second = stash(star_pairs(open_keys, like).join(first, ["a", "b"], "left_anti"), "second-candidates")
+    found = stash(found.unionByName(linked(second, "second")), "links-so-far")
+    open_keys = stash(still_open(open_keys.drop("comp", "most"), _of(components(found))), "open-keys")
+    rest = open_pairs(open_keys, like).join(first.unionByName(second), ["a", "b"], "left_anti")
+    return stash(found.unionByName(linked(rest, "rest")), "links")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, like: Likeness, label: str) -> DataFrame:
-    return stash(verified(stash(plausible(pairs, sets, like), f"{label}-plausible"), sets, like), label)
+def _of(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("cls"), "comp")
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

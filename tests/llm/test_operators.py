@@ -487,7 +487,7 @@ def test_linked_sets_share_a_key_whose_block_leaves_the_link_open(like):
                 continue
             open_ = 0
             keys = [dict(zip(*(a.tolist() for a in jaccard.fragment_keys(s, like, bands)), strict=True)) for s in (x, y)]
-            blocks = [{spot: (k, f, sk) for spot, k, f, sk in jaccard.block_sketches(s, like, bands)} for s in (x, y)]
+            blocks = [{spot: (int(k), int(f), sk) for spot, k, f, sk in zip(*jaccard.block_sketches(s, like, bands), strict=True)} for s in (x, y)]
             for key in keys[0].keys() & keys[1].keys():
                 (k, f, a), (_, _, b) = (z[keys[0][key]] for z in blocks)
                 open_ += int(np.bitwise_count(a ^ b).sum()) * f <= like.most_apart(len(x) + len(y)) * k
