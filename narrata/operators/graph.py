@@ -60,3 +60,18 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.drop("was")
         if done:
             return label.select(F.col("a").alias("node"), F.col("l").alias("component"))
+
+
+def resolved(links: DataFrame) -> DataFrame:
+    """node, end: where links (node, target; one for each node, without a circle) lead to in the end.
+
+    Each round doubles how far a node sees.
+    """
+    at = settled(links.select("node", F.col("target").alias("end")))
+    while True:
+        far = at.select(F.col("node").alias("end"), F.col("end").alias("_far"))
+        new = settled(at.join(far, "end", "left").select("node", F.coalesce("_far", "end").alias("end"), F.col("_far").isNotNull().alias("_moved")))
+        done = new.filter("_moved").isEmpty()
+        at = new.drop("_moved")
+        if done:
+            return at

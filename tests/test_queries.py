@@ -3,7 +3,6 @@
 import duckdb
 import pytest
 
-from narrata.operators.text import scan
 from narrata.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -33,13 +32,6 @@ def test_matches_sql(spark, db, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
-def test_scan_nested():
-    assert scan("a「b『c』d」e") == [(1, 8, 0, None), (3, 6, 1, 1)]
-    assert scan("「a") == []
-    assert scan("」「x」") == [(1, 4, 0, None)]
-    assert scan("「" + "x" * 1300 + "」") == []
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
