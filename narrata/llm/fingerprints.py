@@ -4,8 +4,9 @@ A paragraph (a piece between line feeds that is not blank) hashes to a wide vect
 sum of its paragraphs' vectors, lane by lane, modulo a power of two. Sums commute, so the order of paragraphs does
 not matter, and paragraphs are put in or taken out by adding or subtracting their vectors (`combine`).
 
-The vector has two parts. EQ_LANES lanes modulo 2**32 come from the hash of the whole paragraph: with them, unequal
-multisets collide with a probability near 2**-256. LIKE_LANES lanes modulo 2**32 sum +1 or -1 for each three-word
+The vector has two parts. EQ_LANES lanes modulo 2**32 come from hashes of the whole paragraph, two lanes from each; the
+hashes have seeds of their own, so none follows from another. Unequal multisets collide with a probability near
+2**-256, as long as nobody looks for collisions: the hash isn't a cryptographic one. LIKE_LANES lanes modulo 2**32 sum +1 or -1 for each three-word
 shingle of the paragraph; no text has so many shingles that they wrap, so they are read as signed numbers, and inner
 products of two fingerprints estimate the inner product of the shingle multisets, which gives a likeness from 0 to 1.
 """
@@ -48,7 +49,7 @@ def shingle_hashes(text: Column) -> Column:
 
 def equality_lanes(text: Column) -> Column:
     def lane(lines: Column, k: int) -> Column:
-        half = lambda p: F.shiftrightunsigned(F.xxhash64(p, F.lit(k // 2)), 32 * (k % 2)).bitwiseAND(F.lit(_LOW32))
+        half = lambda p: F.shiftrightunsigned(F.xxhash64(F.lit(k // 2), p), 32 * (k % 2)).bitwiseAND(F.lit(_LOW32))
         return F.aggregate(lines, F.lit(0).cast("long"), lambda acc, p: (acc + half(p)).bitwiseAND(F.lit(_LOW32)))
 
     return let(paragraphs(text), lambda lines: F.array(*[lane(lines, k) for k in range(EQ_LANES)]))
