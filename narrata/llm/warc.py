@@ -25,18 +25,31 @@ VERSION = "WARC/1.1"
 #: Bytes of payloads that go into one archive; documents from which its dictionary is trained, of which so many bytes each.
 ARCHIVE_BYTES, DICT_SAMPLES, DICT_SAMPLE_BYTES, DICT_BYTES = 16 << 20, 200, 1 << 14, 1 << 14
 #: Largest record that the reader accepts, in bytes.
-MAX_RECORD = 1 << 30
+MAX_RECORD, MAX_DICTIONARY = 1 << 30, 1 << 24
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
 
+#: Digests that records are checked by, where they name them (fixed values); the only header that may repeat.
+DIGESTS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
+MAY_REPEAT = "warc-concurrent-to"
+REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+
+
 class BadArchive(ValueError):
-    pass
+    """An archive that can't be read on."""
+
+
+class BadRecord(BadArchive):
+    """A record that isn't as the format has it, or as its own headers say."""
 
 
 @dataclass
 class Record:
+    """headers by their names in lower case; block: all that follows them; payload: the block without an HTTP head."""
+
     headers: dict[str, str]
+    block: bytes
     payload: bytes
 
 
@@ -80,49 +93,88 @@ def encode_archive(records: list[bytes], dictionary: bytes) -> bytes:
     return struct.pack("<II", DICT_MAGIC, len(packed)) + packed + b"".join(map(compressor.compress, records))
 
 
-def parse_record(raw: bytes) -> Record:
-    """Checks the version line, the headers, the length, the end and the digests."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/1."):
-        raise BadArchive("no version line")
+def parse_headers(head: bytes) -> dict[str, str]:
+    """Names in lower case, values stripped. A line that begins with white space goes on with the one before."""
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise BadRecord("headers aren't UTF-8") from e
+    if not lines[0].startswith("WARC/1."):
+        raise BadRecord("no version line")
     headers: dict[str, str] = {}
+    last = ""
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:
+            headers[last] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip() or name in headers:
-            raise BadArchive(f"bad header line {line[:80]!r}")
-        headers[name] = value.strip()
-    for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest"):
-        if name not in headers:
-            raise BadArchive(f"no {name}")
-    if not headers["Content-Length"].isdigit() or len(rest) != int(headers["Content-Length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
-        raise BadArchive("the length isn't that of the header")
-    payload = rest[:-4]
-    if headers["WARC-Type"] == "revisit":
-        if payload or "WARC-Refers-To" not in headers:
-            raise BadArchive("bad revisit record")
-    elif headers["WARC-Payload-Digest"] != f"sha1:{payload_digest(payload)}" or int(headers.get("X-Payload-Length", len(payload))) != len(payload):
-        raise BadArchive("the payload isn't that of the digest")
-    return Record(headers, payload)
+        last = name.lower()
+        if not colon or not name or name != name.strip() or (last in headers and last != MAY_REPEAT):
+            raise BadRecord(f"bad header line {line[:80]!r}")
+        headers[last] = f"{headers[last]}, {value.strip()}" if last in headers else value.strip()
+    for name in REQUIRED:
+        if name.lower() not in headers:
+            raise BadRecord(f"no {name}")
+    return headers
+
+
+def check_digest(told: str | None, data: bytes, what: str) -> None:
+    """told: algorithm and value, in base 32 or hexadecimal; algorithms that aren't known here pass."""
+    name, _, value = (told or "").partition(":")
+    if name.lower() not in DIGESTS:
+        return
+    digest = DIGESTS[name.lower()](data).digest()
+    if value.upper().rstrip("=") not in (base64.b32encode(digest).decode().rstrip("="), digest.hex().upper()):
+        raise BadRecord(f"the {what} isn't that of its digest")
 
 
-def read_archive(data: bytes) -> Iterator[Record]:
-    """The records of an archive: the dictionary from its leading skippable frame, then a frame for each record."""
+def parse_record(raw: bytes) -> Record:
+    """Checks the version line, the headers, the length, the end and the digests of a record of any type."""
+    head, gap, rest = raw.partition(b"\r\n\r\n")
+    if not gap:
+        raise BadRecord("headers don't end")
+    headers = parse_headers(head)
+    length = headers["content-length"]
+    if not length.isdigit() or len(rest) != int(length) + 4 or not rest.endswith(b"\r\n\r\n"):
+        raise BadRecord("the length isn't that of the header")
+    block = rest[:-4]
+    check_digest(headers.get("warc-block-digest"), block, "block")
+    payload = block
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        _, _, payload = block.partition(b"\r\n\r\n")
+    if headers["warc-type"] != "revisit":  # its digest is that of the other record's payload
+        check_digest(headers.get("warc-payload-digest"), payload, "payload")
+        told = headers.get("x-payload-length", str(len(payload)))
+        if not told.isdigit() or int(told) != len(payload):
+            raise BadRecord("the payload isn't as long as told")
+    elif "warc-profile" not in headers:
+        raise BadRecord("a revisit without a profile")
+    return Record(headers, block, payload)
+
+
+def read_frames(data: bytes) -> Iterator[bytes]:
+    """What each frame of an archive holds: the dictionary is in its leading skippable frame, then a frame for each record.
+
+    A frame that holds more than MAX_RECORD bytes, or is cut off or damaged, ends the archive with an error.
+    """
     if len(data) < 8:
         raise BadArchive("no leading frame")
     magic, size = struct.unpack_from("<II", data)
     if magic != DICT_MAGIC or len(data) < 8 + size:
         raise BadArchive("no dictionary frame in front")
     held = data[8 : 8 + size]
-    if held[:4] == struct.pack("<I", FRAME_MAGIC):
-        held = zstandard.ZstdDecompressor().decompress(held, max_output_size=MAX_RECORD)
-    shared = zstandard.ZstdCompressionDict(held) if held else None
+    try:
+        if held[:4] == struct.pack("<I", FRAME_MAGIC):
+            held = zstandard.ZstdDecompressor().decompress(held, max_output_size=MAX_DICTIONARY)
+        shared = zstandard.ZstdCompressionDict(held) if held else None
+    except zstandard.ZstdError as e:
+        raise BadArchive(f"no dictionary: {e}") from e
     decompressor = zstandard.ZstdDecompressor(dict_data=shared)
     view = memoryview(data)
     at = 8 + size
     while at < len(data):
         frame = decompressor.decompressobj()
-        out, fed = [], 0
+        out, fed, made = [], 0, 0
         while not frame.eof:
             piece = view[at + fed : at + fed + (1 << 12)]
             if not piece:
@@ -131,9 +183,29 @@ def read_archive(data: bytes) -> Iterator[Record]:
                 out.append(frame.decompress(piece))
             except zstandard.ZstdError as e:
                 raise BadArchive(str(e)) from e
+            made += len(out[-1])
+            if made > MAX_RECORD:
+                raise BadArchive("a record is too large")
             fed += len(piece)
         at += fed - len(frame.unused_data)
-        yield parse_record(b"".join(out))
+        yield b"".join(out)
+
+
+def read_archive(data: bytes) -> Iterator[Record]:
+    """The records of an archive; the first one that is bad raises an error."""
+    return map(parse_record, read_frames(data))
+
+
+def read_leniently(data: bytes) -> Iterator[tuple[Record | None, str | None]]:
+    """(record, None) or (None, error): bad records are passed over, and where frames can't be read on, the archive ends."""
+    try:
+        for raw in read_frames(data):
+            try:
+                yield parse_record(raw), None
+            except BadRecord as e:
+                yield None, str(e)
+    except BadArchive as e:
+        yield None, str(e)
 
 
 def write_archives(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -171,34 +243,42 @@ def write_archives(pages: DataFrame, least: int = 0, id_col: str = "page_id", ur
 
 
 def read_records(archives: DataFrame, col: str = "archive") -> DataFrame:
-    """type, record_id, url, payload_bytes, payload_digest, refers_to, payload of every record in the column of archives.
+    """A row for every record in the column of archives: record_type, record_id, url, payload_bytes, payload_digest,
+    refers_to, payload, error. Of a bad record, all but error is null.
 
     For archives that lie as files, archives is spark.read.format("binaryFile").load(path), col "content".
     """
-    names = ["record_type", "record_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = ["record_type", "record_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload", "error"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for b in batches:
             for data in b[col]:
                 if data.as_py() is None:
                     continue
                 rows: list[tuple] = []
                 size = 0
-                for r in read_archive(data.as_py()):
+                for r, error in read_leniently(data.as_py()):
+                    if r is None:
+                        rows.append((*[None] * 7, error))
+                        continue
                     h = r.headers
                     rows.append((
-                        h["WARC-Type"], h["WARC-Record-ID"].strip("<>"), h.get("WARC-Target-URI"), int(h.get("X-Payload-Length", len(r.payload))),
-                        h["WARC-Payload-Digest"].removeprefix("sha1:"), h.get("WARC-Refers-To", "").strip("<>") or None, r.payload,
+                        h["warc-type"], h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), int(h.get("x-payload-length", len(r.payload))),
+                        h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to", "").strip("<>") or None, r.payload, None,
                     ))
                     size += len(r.payload)
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        yield made(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield made(rows)
 
-    return archives.select(col).mapInArrow(read, "record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    kind = "record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, error string"
+    return archives.select(col).mapInArrow(read, kind)
 
 
 def round_trip(pages: DataFrame, least: int = 0, **names: str) -> DataFrame:
@@ -210,6 +290,8 @@ def round_trip(pages: DataFrame, least: int = 0, **names: str) -> DataFrame:
     """
     archives = stash(write_archives(pages, least, **names), "warc")
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
-    return read_records(archives).select(
+    # What was just written must be readable: an error here ends the job.
+    records = read_records(archives).withColumn("record_type", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("record_type")))
+    return records.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
