@@ -526,3 +526,185 @@ def test_near_copies_of_one_text(spark):
             least[find(k)] = min(least.get(find(k), k), k)
     got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(df, like).collect() if x.doc_id is not None}
     assert got == {k: least[find(k)] for k in range(len(texts)) if k % 9}
+
+
+def _raw(headers, block):
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"content-length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def _digest(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_warc_of_others(spark, monkeypatch):
+    """Records as other writers make them: names in any case, heads of HTTP, revisits with a block, types without a digest."""
+    own = [("warc-type", "warcinfo"), ("WARC-RECORD-ID", "<urn:1>"), ("Warc-Date", "2020-01-01T00:00:00Z")]
+    page = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<html>"
+    http = ("Content-Type", "application/http; msgtype=response")
+    records = [
+        _raw(own, b"software: x\r\n"),
+        _raw([("WARC-Type", "response"), *own[1:], http, ("WARC-Payload-Digest", _digest(b"<html>")), ("WARC-Block-Digest", _digest(page)), ("WARC-Concurrent-To", "<urn:2>"), ("WARC-Concurrent-To", "<urn:3>")], page),
+        _raw([("WARC-Type", "revisit"), *own[1:], http, ("WARC-Profile", "p\r\n q"), ("WARC-Payload-Digest", _digest(b"<html>")), ("WARC-Refers-To", "<urn:1>")], b"HTTP/1.1 304\r\n\r\n"),
+        _raw([("WARC-Type", "response"), *own[1:], ("WARC-Payload-Digest", _digest(b"other"))], b"text"),
+        _raw([("WARC-Type", "response"), ("WARC-Type", "response"), *own[1:]], b"text"),
+        _raw([("WARC-Type", "metadata"), *own[1:], ("WARC-Block-Digest", "md5:" + hashlib.md5(b"m").hexdigest())], b"m"),
+    ]
+    data = warc.encode_archive(records, b"")
+    got = list(warc.read_leniently(data))
+    assert [e is None for _, e in got] == [True, True, True, False, False, True]
+    assert got[1][0].payload == b"<html>" and got[1][0].block == page and got[1][0].headers["warc-concurrent-to"] == "<urn:2>, <urn:3>"
+    assert got[2][0].headers["warc-profile"] == "p q"
+    rows = warc.read_records(spark.createDataFrame([(bytearray(data),), (bytearray(data[:-2]),), (bytearray(b"no"),), (None,)], "archive binary")).collect()
+    assert [r.error is None for r in rows] == [True, True, True, False, False, True] + [True, True, True, False, False, False] + [False]
+    assert rows[1].payload == b"<html>" and rows[0].record_type == "warcinfo" and rows[3].payload is None
+    monkeypatch.setattr(warc, "MAX_RECORD", 1000)
+    assert [e for _, e in warc.read_leniently(warc.encode_archive([warc.encode_record(1, "u", b"x" * 5000)], b""))] == ["a record is too large"]
+
+
+def test_near_follows_the_multiset_likeness(spark):
+    """near_edited against the likeness of the multisets of shingles that it estimates, for long, repeated and plain texts."""
+    r = random.Random(8)
+    vocab = [f"v{k}" for k in range(400)]
+    texts = [" ".join(r.choice(vocab) for _ in range(n)) for n in (40, 300, 2000)] + ["w " * 40_000, "line of words here\n" * 500, "a b c d e f"]
+    got = {x.doc_id: x for x in fingerprints.fingerprint_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def multiset(t):
+        out = collections.Counter()
+        for p in t.split("\n"):
+            w = words(p)
+            if w:
+                out.update([tuple(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [tuple(w)])
+        return out
+
+    for k, t in enumerate(texts):
+        nxt = texts[k - 1] if k else texts[-1]
+        cut = len(t) // 3
+        for near, other in ((got[k].near_edited, t[: len(t) - cut] + nxt[:cut]), (got[k].near_next, nxt)):
+            a, b = multiset(t), multiset(other)
+            dot = lambda x, y: sum(c * y[g] for g, c in x.items())
+            want = 2 * dot(a, b) / (dot(a, a) + dot(b, b))
+            assert abs(near - want) < 0.36, (k, near, want)
+
+
+def test_mix_against_a_simulated_schedule(spark):
+    """Every slot by itself: of the released blocks the one due first runs; slots of sources that ran out fall out."""
+    r = random.Random(6)
+    rows = [(k, r.choice(["a"] * 9 + ["b"] * 4 + ["c", "d", None])) for k in range(700)]
+    weights, block, frame = {"a": 4.0, "b": 4.0, "c": 1.5, "d": 0.5, "": 2.0}, 4, 60
+    got = {}
+    for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=block, frame=frame).collect():
+        got.setdefault((x.source, x.block), set()).add((x.release, x.deadline, x.slot))
+    held = {s: -(-c // block) for s, c in collections.Counter(s or "" for _, s in rows).items()}
+    shares, q = mixing.whole_shares(weights, frame)
+    had, want, slot, t = dict.fromkeys(shares, 0), {}, 0, 0
+    while any(had[s] < held[s] for s in shares):
+        due = [(-(-(had[s] + 1) * q // a), s) for s, a in sorted(shares.items()) if had[s] * q // a <= t]
+        _, s = min(due, key=lambda x: (x[0], x[1]))
+        k, a = had[s], shares[s]
+        if k < held[s]:
+            want[s, k] = {(k * q // a, -(-(k + 1) * q // a), slot)}
+            slot += 1
+        had[s] += 1
+        t += 1
+    assert got == want
+
+
+def test_kept_against_plain_python(spark):
+    """The method's verdict, worked out again from the labels; strata with many labels, few, none and bad ones."""
+    import struct
+
+    import xxhash
+
+    r = random.Random(11)
+    feats = []
+    for k in range(9000):
+        stratum = r.choice(["en"] * 6 + ["de"] * 3 + ["fr"] * (k % 40 == 0) + [""])
+        bad = r.random() < 0.15
+        feats.append((k, stratum, r.random() < 0.03, r.random() * (0.5 if bad else 0.03), r.random() * (0.9 if bad else 0.2), r.random() * 0.3 if bad else r.random() * 0.01, 5 + 14 * r.random() * bad, 5.0 - 4 * r.random() * (bad and stratum == "de"), not bad))
+    labels = [(k, int(good if r.random() < 0.99 else not good)) for k, *_, good in feats if k % 2] + [(1, 1), (10**6, 1), (3, None)]
+    rules = list(quality.RULES)
+    df = spark.createDataFrame([f[:-1] for f in feats], "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{x} double" for x in rules))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {x.doc_id: x.kept for x in quality._with_verdict(df, quality.thresholds(df, marks)).collect()}
+    good = {k for k, q in labels if q == 1}
+    steps = [(rule, c, len(cuts) - i) for rule, (_, cuts) in quality.RULES.items() for i, c in enumerate(cuts)]
+    beyond = lambda f, rule, c: f[3 + rules.index(rule)] > c if quality.RULES[rule][0] else f[3 + rules.index(rule)] < c
+    orders = lambda k: (xxhash.xxh64_intdigest(struct.pack("<q", k), 42) ^ (1 << 63)) - (1 << 63)
+    held = [f for f in feats if f[0] in good and not f[2]]
+    own = collections.Counter((f[1], i) for f in held if orders(f[0]) % 5 == 0 for i, (rule, c, _) in enumerate(steps) if beyond(f, rule, c))
+    strata = {f[1] for f in feats}
+    all_ = {i: sum(own[s, i] for s in strata) for i in range(len(steps))}
+    cuts = {}
+    for s in strata:
+        order = sorted(range(len(steps)), key=lambda i: (own[s, i], all_[i], steps[i][2], i))
+        tested = [f for f in held if f[1] == s and orders(f[0]) % 5]
+        n, level = len(tested), quality.DELTA / len(strata)
+        most, total, term = -1, 0.0, math.log1p(-quality.ALPHA) * n
+        for k in range(n + 1):
+            total += math.exp(term)
+            if total > level:
+                break
+            most = k
+            term += math.log((n - k) / (k + 1)) + math.log(quality.ALPHA / (1 - quality.ALPHA)) if k < n else 0
+        chosen = set()
+        for i in order if n else []:
+            if sum(any(beyond(f, *steps[j][:2]) for j in (*chosen, i)) for f in tested) > most:
+                break
+            chosen.add(i)
+        cuts[s] = [steps[i][:2] for i in chosen]
+    assert {len(c) > 0 for c in cuts.values()} == {True, False}
+    assert got == {f[0]: not (f[2] or any(beyond(f, *c) for c in cuts[f[1]])) for f in feats}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() against every stage done again by hand; the packing by what it must hold to."""
+    import corpus_pipeline as p
+
+    rows = [r for r in corpus() if r[0] is not None][:-1]
+    spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = []
+    for r in rows:
+        w = words(r[1])
+        win = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        at = {q for k in range(len(w) - 4) if win[tuple(w[k : k + 5])] > 1 for q in range(k, k + 5)}
+        if len(w) >= 10 and 100 * len(at) <= 20 * len(w):
+            kept.append(r)
+    sets = []
+    for r in kept:
+        w = r[1].encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(kept)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(kept)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b), key=lambda x: kept[x][0])] = min(find(a), find(b), key=lambda x: kept[x][0])
+    first = {find(k) for k in range(len(kept))}
+    tok, want = Tokenizer.from_file(PATH), collections.Counter()
+    for k in first:
+        doc, t = kept[k][:2]
+        out, end = "", 0
+        for start, stop in sorted((s, e) for _, s, e in secrets.find_spans(t)):
+            if start >= end:
+                out += t[end:start] + "[REDACTED]"
+            end = max(end, stop)
+        ids = [*tok.encode(out + t[end:], add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 4096):
+            part = ids[at : at + 4096]
+            want[doc, at // 4096, at, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes())] += 1
+    got = p.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(tuple(x)[:5] for x in got) == want
+    bins = collections.defaultdict(list)
+    for x in got:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for b in bins.values():
+        ends = list(np.cumsum([n for _, n in sorted(b)]))
+        assert [o for o, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(bins) <= -(-sum(x.length for x in got) // 4096) + 1
