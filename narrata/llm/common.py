@@ -17,16 +17,26 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         Path("/tmp/checkpoints").mkdir(exist_ok=True)
         _own_dir.append(tempfile.mkdtemp(dir="/tmp/checkpoints"))
     return _own_dir[0]
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores in front as it takes to be no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import shuffle_partitions, stash
+from narrata.llm.common import shuffle_partitions, stash, unused
 
 #: Fragments in which overlaps are counted, n-grams of a block, 64-bit words of its sketch, growth of the size bands.
 WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 4, 1.4
@@ -481,13 +481,14 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "th")
     first = rows.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    marked = rows.join(first, "comp").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
+    own_id, own_th, row = unused("_id", docs), unused("_th", docs), unused("_row", docs)
+    marked = rows.join(first, "comp").groupBy(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), stays.alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
     # What isn't marked stays as it is.
     marked = stash(marked.filter("NOT _stays OR _rows > 1"), "marked-rows")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_hash(F.col(text_col)) == F.col("_th"))
-    out = docs.join(marked, same, "left_anti")
-    repeated = marked.filter("_stays")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (text_hash(F.col(text_col)) == F.col(own_th))
+    out = docs.join(marked.select(own_id, own_th), same, "left_anti")
+    repeated = marked.filter("_stays").select(own_id, own_th)
     if repeated.isEmpty():
         return out
-    copies = docs.join(repeated, same).groupBy("_id", "_th").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-    return out.unionByName(copies.select("_row.*"))
+    copies = docs.join(repeated, same).groupBy(own_id, own_th).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    return out.unionByName(copies.select(f"{row}.*"))

@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import shuffle_partitions
+from narrata.llm.common import shuffle_partitions, unused
 
 #: Slots of a frame, at least; weights are rounded to this grain.
 FRAME = 1000
@@ -154,12 +154,13 @@ def in_mix_order(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     Rows with the same id stay together, in the order of the first of them; sources without a weight come last.
     at: a column to add with the rows' positions in the mix, from 0; null for sources without a weight.
     """
-    order = mix(docs, weights, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "place")).alias("_at"))
+    key, place = unused("_id", docs), unused("_at", docs)
+    order = mix(docs, weights, **options).groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("slot", "place")).alias(place))
     id_col = options.get("id_col", "doc_id")
-    placed = docs.join(order, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    slot = F.coalesce(F.col("_at.slot"), F.lit((1 << 62)))
+    placed = docs.join(order, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
+    slot = F.coalesce(F.col(f"{place}.slot"), F.lit((1 << 62)))
     n = max(1, shuffle_partitions(docs.sparkSession))
-    laid = placed.repartitionByRange(n, slot, F.col("_at.place")).sortWithinPartitions(slot, F.col("_at.place"))
+    laid = placed.repartitionByRange(n, slot, F.col(f"{place}.place")).sortWithinPartitions(slot, F.col(f"{place}.place"))
     if at:
-        laid = laid.withColumn(at, F.col("_at.slot") * options.get("block", 16) + F.col("_at.place"))
-    return laid.drop("_at")
+        laid = laid.withColumn(at, F.col(f"{place}.slot") * options.get("block", 16) + F.col(f"{place}.place"))
+    return laid.drop(place)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import stash
+from narrata.llm.common import stash, unused
 
 RULES_VERSION = "2"
 #: Kinds in the order in which spans at the same place are listed: kind -> (pattern, group that must be long, least length).
@@ -74,15 +74,22 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text
     """(docs with blob and found, the new ledger rows). ledger: what earlier scans returned, none at first.
 
     A null text is an empty blob. Equal texts share a blob and are scanned once; every row gets its findings, rows
-    that repeat too. Existing columns stay (blob and found replace any of those names). Empty tables give no rows.
+    that repeat too. A ledger row that repeats counts once; rows of other rule versions count for nothing. Existing
+    columns stay (blob and found replace any of those names). Empty tables give no rows.
     """
+    return _with_findings(docs.drop("blob", "found"), F.col(text_col), "blob", "found", ledger)
+
+
+def _with_findings(docs: DataFrame, text: Column, blob: str, found: str, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(docs with the columns blob and found, the new ledger rows); the names are not among those of docs."""
     old = empty_ledger(docs.sparkSession) if ledger is None else ledger
-    new = stash(scan_new(docs, old, text_col), "secret-ledger")
-    known = old.filter(F.col("rules") == RULES_VERSION).unionByName(new) if ledger is not None else new
-    hits = known.filter(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    out = docs.drop("blob", "found").withColumn("blob", blob_of(F.col(text_col)))
-    out = out.join(hits, F.col("blob") == F.col("_blob"), "left")
-    return out.withColumn("found", F.coalesce("_found", F.array().cast(FINDING))).drop("_blob", "_found"), new
+    new = stash(scan_new(docs.select(text.alias("text")), old), "secret-ledger")
+    known = old.filter(F.col("rules") == RULES_VERSION).select("blob", "found").unionByName(new.select("blob", "found")) if ledger is not None else new
+    out = docs.withColumn(blob, blob_of(text))
+    key, hit = unused("_key", out), unused("_hit", out)
+    hits = known.filter(F.size("found") > 0).select(F.col("blob").alias(key), F.col("found").alias(hit)).dropDuplicates([key])
+    out = out.join(hits, F.col(blob) == F.col(key), "left")
+    return out.withColumn(found, F.coalesce(F.col(hit), F.array().cast(FINDING))).drop(key, hit), new
 
 
 def rendered(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -91,8 +98,13 @@ def rendered(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every found span replaced by mark; overlapping spans as one. Columns stay; n_chars is set anew."""
-    found, _ = scan(docs, None, text_col)
+    """docs with every found span replaced by mark; overlapping spans as one. n_chars, if there, is set anew.
+
+    All columns stay as they are, whatever their names. A null text stays null, rows that repeat stay as many, and
+    empty tables give no rows.
+    """
+    blob, found = unused("blob", docs), unused("found", docs)
+    scanned, _ = _with_findings(docs, F.col(text_col), blob, found, None)
 
     def put(state: Column, x: Column) -> Column:
         gap = F.greatest(x["start"], state["at"])
@@ -101,10 +113,11 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
         return F.struct(text.alias("out"), F.greatest(gap, x["end"]).alias("at"))
 
     clean = F.aggregate(
-        F.col("found"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), put,
+        F.col(found), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), put,
         lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.greatest(F.length(text_col) - s["at"], F.lit(0)))),
     )
-    fixed = found.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(F.col(text_col)))
+    hit = F.size(found) > 0
+    fixed = scanned.withColumn(text_col, F.when(hit, clean).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.when(F.size("found") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+        fixed = fixed.withColumn("n_chars", F.when(hit, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
     return fixed.select(*docs.columns)

@@ -708,3 +708,33 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         ends = list(np.cumsum([n for _, n in sorted(b)]))
         assert [o for o, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 4096
     assert len(bins) <= -(-sum(x.length for x in got) // 4096) + 1
+
+
+def test_names_that_clash(spark):
+    """Tables may use the names that operators use inside; their columns come back as they were."""
+    extra = ["blob", "found", "_blob", "_found", "_id", "_at", "_th", "_row", "_stays", "_rows", "slot", "place", "comp", "cls"]
+    rows = [(k, t, "s", *[f"{c}{k}" for c in extra]) for k, t in enumerate(["password: hunter2hunter2 " * 3, "a b c d e f g h", "a b c d e f g h", None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = {x.doc_id: x for x in out.collect()}
+    assert all(tuple(got[r[0]])[3:] == r[3:] for r in rows) and "hunter2" not in got[0].text and got[3].text is None
+    laid = mixing.in_mix_order(df)
+    assert laid.columns == df.columns and sorted(map(tuple, laid.collect()), key=str) == sorted(rows, key=str)
+    one = jaccard.keep_one(df)
+    assert one.columns == df.columns and sorted(x.doc_id for x in one.collect()) == [0, 1, 3, 4]
+    empty = df.limit(0)
+    assert secrets.redact(empty).count() == mixing.in_mix_order(empty).count() == jaccard.keep_one(empty).count() == 0
+
+
+def test_ledger_over_versions(spark):
+    """Two rounds of versions: only new blobs and new rules are scanned; a ledger row that repeats multiplies nothing."""
+    first = spark.createDataFrame([("a", "password: hunter2hunter2"), ("b", "plain"), ("c", "password: hunter2hunter2")], "path string, text string")
+    found, ledger = secrets.scan(first)
+    assert ledger.count() == 2 and {x.path: len(x.found) for x in found.collect()} == {"a": 1, "b": 0, "c": 1}
+    second = first.union(spark.createDataFrame([("d", "plain"), ("e", "token=abcdefghijklmnop")], "path string, text string"))
+    twice = ledger.union(ledger).union(ledger.withColumn("rules", F.lit("0")))
+    found, new = secrets.scan(second, twice)
+    assert new.count() == 1 and {x.path: len(x.found) for x in found.collect()} == {"a": 1, "b": 0, "c": 1, "d": 0, "e": 1} and found.count() == 5
+    _, again = secrets.scan(second, ledger.withColumn("rules", F.lit("0")))
+    assert again.count() == 3
