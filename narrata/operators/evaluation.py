@@ -155,3 +155,53 @@ def coverage(pairs: DataFrame) -> DataFrame:
         ratio(F.col("forced"), F.col("hard")).alias("unknown_force_rate"), (F.col("resolvable") >= LEAST_QUOTES).alias("sufficient"),
         (F.col("covered") == 0).alias("all_refusal"), ((F.col("hard") > 0) & (F.col("forced") == F.col("hard"))).alias("forced_all"),
     )
+
+
+def bound_chapters(chapters: DataFrame, titles: DataFrame) -> DataFrame:
+    """book, index, ordinal: chapters (book, ordinal, title) for the titles of a manifest (book, index, title).
+
+    In order of the manifest, each entry takes the unused chapter of its title whose ordinal is nearest, else the unused
+    one of its own index. A book's list is one task's work.
+    """
+    c = chapters.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.trim(F.coalesce("title", F.lit(""))).alias("title")))).alias("chapters"))
+    t = titles.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("index", F.trim(F.coalesce("title", F.lit(""))).alias("title")))).alias("titles"))
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for book, chapters, titles in zip(f["book"], f["chapters"], f["titles"], strict=True):
+                unused = {x["ordinal"]: x["title"] for x in chapters}
+                for x in titles:
+                    named = [o for o, title in unused.items() if x["title"] and title == x["title"]]
+                    pick = min(named, key=lambda o: abs(o - x["index"])) if named else x["index"] if x["index"] in unused else None
+                    if pick is not None:
+                        del unused[pick]
+                        rows.append((book, x["index"], pick))
+            yield pd.DataFrame(rows, columns=["book", "index", "ordinal"])
+
+    return t.join(c, "book").mapInPandas(run, "book long, index long, ordinal long")
+
+
+def restored_by_text(quotes: DataFrame, entries: DataFrame) -> DataFrame:
+    """book, chapter, entry, quote_id (null: not found) for a manifest's entries (book, chapter, entry, text).
+
+    Within a chapter (quotes: book, chapter, start_cp, quote_id, text) a pointer only goes forward: an entry takes the
+    next quote with just its text; one that isn't found leaves the pointer where it was. A chapter is one task's work.
+    """
+    key = ["book", "chapter"]
+    q = quotes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_cp", "quote_id", "text"))).alias("quotes"))
+    e = entries.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("entry", "text"))).alias("entries"))
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for book, chapter, quotes, entries in zip(f["book"], f["chapter"], f["quotes"], f["entries"], strict=True):
+                quotes = [] if quotes is None else list(quotes)
+                at = 0
+                for x in entries:
+                    hit = next((k for k in range(at, len(quotes)) if x["text"] and quotes[k]["text"] == x["text"]), None)
+                    rows.append((book, chapter, x["entry"], None if hit is None else quotes[hit]["quote_id"]))
+                    at = at if hit is None else hit + 1
+            yield pd.DataFrame(rows, columns=["book", "chapter", "entry", "quote_id"])
+
+    return e.join(q, key, "left").mapInPandas(run, "book long, chapter long, entry long, quote_id string")

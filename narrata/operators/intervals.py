@@ -39,9 +39,16 @@ def gaps(quotes: DataFrame) -> DataFrame:
 
 
 def latest_as_of(facts: DataFrame, horizons: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """For each horizon, the value with the largest visible_from_cp that isn't beyond it."""
-    met = horizons.join(facts, keys).filter(F.col("visible_from_cp") <= F.col("horizon"))
-    return met.groupBy(*keys, "horizon").agg(F.max_by(value, F.struct("visible_from_cp", value)).alias(value))
+    """For each horizon, the value with the largest visible_from_cp that isn't beyond it; of several there, the largest.
+
+    Facts and horizons are sorted together, so a horizon isn't joined with all that lies before it. Horizons before
+    any fact give no row.
+    """
+    f = facts.filter(F.col(value).isNotNull()).select(*keys, F.col("visible_from_cp").cast("long").alias("horizon"), F.lit(0).alias("_asks"), F.col(value))
+    h = horizons.select(*keys, F.col("horizon").cast("long").alias("horizon"), F.lit(1).alias("_asks"), F.lit(None).cast(facts.schema[value].dataType).alias(value)).distinct()
+    w = Window.partitionBy(*keys).orderBy("horizon", "_asks", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = f.unionByName(h).withColumn(value, F.last(value, True).over(w))
+    return seen.filter((F.col("_asks") == 1) & F.col(value).isNotNull()).drop("_asks")
 
 
 def with_range_or_last(points: DataFrame, ranges: DataFrame, at: str, name: str, owner: str = "book") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.operators import intervals
+
 #: Delimiter pairs, their names, and the kind that they hint at (fixed values).
 PAIRS = {"「": "」", "『": "』", "“": "”", "‘": "’", "〈": "〉", "《": "》", "（": "）", "(": ")"}
 NAMES = {
@@ -336,3 +338,34 @@ def loss(texts: DataFrame, owner: str) -> DataFrame:
     got = gone.groupBy(owner).agg(F.count(F.lit(1)).alias("dropped_spans"), F.sum(F.col("end_cp") - F.col("start_cp")).alias("dropped_cp"), F.count_if(bad).alias("violations"))
     out = texts.select(owner).join(got.withColumn("compressed", F.lit(1).cast("long")), owner, "left")
     return out.na.fill(0, ["compressed", "dropped_spans", "dropped_cp", "violations"])
+
+
+#: A line that separates scenes (fixed value).
+SEPARATOR = r"^(?:\*{3,}|(?:\*\s+){2,}\*|[＊◇◆☆★※]{3,})$"
+
+
+def source_units(texts: DataFrame, quotes: DataFrame, budget: int) -> DataFrame:
+    """book, start_cp, end_cp: whole texts, and those over budget cut after lines that separate scenes, but not in quotes.
+
+    texts: book, text; quotes: book, start_cp, end_cp.
+    """
+    over = texts.filter(estimated_tokens(F.col("text")) > budget)
+    lines_ = split_lines(over).filter(stripped(F.col("body")).rlike(SEPARATOR)).select("book", F.col("end_cp").alias("at"))
+    length = F.length("text").cast("long")
+    q = quotes.select("book", F.col("start_cp").alias("r_start"), F.col("end_cp").alias("r_end"))
+    inside = intervals.containing(lines_, q).filter("at > r_start").select("book", "at").distinct()
+    cuts = lines_.join(inside, ["book", "at"], "left_anti").join(texts.select("book", length.alias("_n")), "book").filter("at < _n").drop("_n")
+    ends = texts.select("book", F.explode(F.array(F.lit(0).cast("long"), length)).alias("at"))
+    w = Window.partitionBy("book").orderBy("at")
+    return cuts.unionByName(ends).distinct().select("book", F.col("at").alias("start_cp"), F.lead("at").over(w).alias("end_cp")).filter("end_cp IS NOT NULL")
+
+
+def fragments(quotes: DataFrame, lengths: DataFrame) -> DataFrame:
+    """book, kind, start_cp, end_cp: a text (book, length) as its outer quotes and what lies before, between and after."""
+    w = Window.partitionBy("book").orderBy("start_cp")
+    q = quotes.filter("depth = 0").select("book", "start_cp", "end_cp")
+    cursor = F.coalesce(F.lag("end_cp").over(w), F.lit(0).cast("long"))
+    before = q.select("book", F.when(cursor == 0, "outer_gap").otherwise("inner_gap").alias("kind"), cursor.alias("a"), F.col("start_cp").alias("b"))
+    last = lengths.join(q.groupBy("book").agg(F.max("end_cp").alias("e")), "book", "left").select("book", F.lit("outer_gap").alias("kind"), F.coalesce("e", F.lit(0).cast("long")).alias("a"), F.col("length").alias("b"))
+    gaps = before.unionByName(last).filter("a < b").select("book", "kind", F.col("a").alias("start_cp"), F.col("b").alias("end_cp"))
+    return gaps.unionByName(q.select("book", F.lit("target_quote").alias("kind"), "start_cp", "end_cp"))

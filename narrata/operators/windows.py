@@ -70,3 +70,23 @@ def overlap(windows: DataFrame, paragraphs: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("book", "window").orderBy(F.desc("p_start"))
     ranked = before.withColumns({"sum": F.sum("tokens").over(w), "k": F.row_number().over(w)}).filter((F.col("k") == 1) | (F.col("sum") <= limit))
     return ranked.groupBy("book", "window").agg(F.min("p_start").alias("start_cp"))
+
+
+def evidence(items: DataFrame, budget: int, horizon: int) -> DataFrame:
+    """window, item, outcome for a window's items (window, item, rank, start_cp, end_cp, cost, required).
+
+    In order of rank and position: required items are taken, even beyond the budget, but for one that alone is over it;
+    optional ones if they end within the horizon and still fit, else they are passed over. A window's items are few.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("rank", "start_cp", "item", "cost", "required", (F.col("end_cp") > horizon).alias("late"))))
+    kind = "array<struct<item:" + items.schema["item"].dataType.simpleString() + ",outcome:string>>"
+
+    def take(state, x):
+        fits = state["used"] + x["cost"] <= budget
+        outcome = F.when(x["required"], F.when(x["cost"] > budget, "oversized_quote").otherwise("required")).when(x["late"], "beyond_visible_horizon").when(fits, "optional").otherwise("budget_exhausted")
+        taken = outcome.isin("required", "optional")
+        return F.struct((state["used"] + F.when(taken, x["cost"]).otherwise(0)).alias("used"), F.concat(state["told"], F.array(F.struct(x["item"].alias("item"), outcome.alias("outcome")))).alias("told"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("told"))
+    told = items.groupBy("window").agg(rows.alias("_r")).select("window", F.explode(F.aggregate("_r", start, take)["told"]).alias("x"))
+    return told.select("window", "x.item", "x.outcome")

@@ -340,3 +340,122 @@ def x55_layout_equality(s, d):
     o = table(s, d, "orders")
     both = reduce(DataFrame.unionByName, [digest(o), digest(o.repartition(7, "o_custkey"))])
     return both.distinct().agg((F.count(F.lit(1)) == 1).alias("equal"))
+
+
+@query(MADE + """, len AS (SELECT book, max(start_cp + length(seg)) AS n FROM story GROUP BY 1), c AS (SELECT book, start_cp, end_cp, coalesce(lag(end_cp) OVER (PARTITION BY book ORDER BY start_cp), 0) AS cur FROM kept WHERE depth = 0)
+SELECT book, 'target_quote' AS kind, start_cp, end_cp FROM c UNION ALL SELECT book, CASE WHEN cur = 0 THEN 'outer_gap' ELSE 'inner_gap' END, cur, start_cp FROM c WHERE cur < start_cp
+UNION ALL SELECT l.book, 'outer_gap', coalesce(m.e, 0), l.n FROM len l LEFT JOIN (SELECT book, max(end_cp) AS e FROM c GROUP BY 1) m ON m.book = l.book WHERE coalesce(m.e, 0) < l.n""")
+def d6_fragments(s, d):
+    """A whole text as quotes and what lies around them, without holes."""
+    whole = text.whole_texts(frame(s, d, "story"))
+    return text.fragments(text.scan_quotes(whole), whole.select("book", F.length("text").cast("long").alias("length")))
+
+
+PARTED = with_sql("segments") + """, sg AS (SELECT book, turn, quoted, CASE WHEN turn % 4 = 1 THEN '「' || chr(10) || '***' || chr(10) || substring(quoted, 2) ELSE quoted END || chr(10) || CASE WHEN turn % 3 = 2 THEN ' * * * ' || chr(10) ELSE '' END AS s FROM segments),
+ps AS (SELECT *, sum(length(s)) OVER (PARTITION BY book ORDER BY turn) AS e FROM sg), tt AS (SELECT book, sum(length(s)) AS n, string_agg(s, '' ORDER BY turn) AS text FROM sg GROUP BY 1) """
+
+
+@query(PARTED + """, cut AS (SELECT book, 0 AS pos FROM tt UNION SELECT book, n FROM tt UNION SELECT ps.book, ps.e FROM ps JOIN tt ON tt.book = ps.book WHERE turn % 3 = 2 AND e < n AND (length(text) + 3) // 4 > 300)
+SELECT * FROM (SELECT book, CAST(pos AS BIGINT) AS start_cp, CAST(lead(pos) OVER (PARTITION BY book ORDER BY pos) AS BIGINT) AS end_cp FROM cut) WHERE end_cp IS NOT NULL""")
+def t18_source_units(s, d):
+    """Texts over budget, cut after lines that separate scenes; such lines within a quote cut nothing."""
+    turn = F.col("turn")
+    body = F.when(turn % 4 == 1, F.concat(F.lit("「\n***\n"), F.substring("quoted", F.lit(2), F.length("quoted")))).otherwise(F.col("quoted"))
+    seg = frame(s, d, "segments").withColumn("seg", F.concat(body, F.lit("\n"), F.when(turn % 3 == 2, " * * * \n").otherwise("")))
+    whole = text.whole_texts(seg).withColumn("text", F.translate("text", "「」", "[]"))  # of one byte a code point, for the estimate
+    end = F.sum(F.length("seg").cast("long")).over(Window.partitionBy("book").orderBy("turn"))
+    q = seg.withColumn("a", end - F.length("seg")).select("book", F.col("a").alias("start_cp"), (F.col("a") + F.length(body)).alias("end_cp"))
+    return text.source_units(whole, q, 300)
+
+
+@query(with_sql("quotes", "chapters") + """, q AS (SELECT q.book, q.quote_id, c.ordinal AS chapter, q.turn, regexp_replace(q.quoted, '\\s+', '', 'g') AS t FROM quotes q JOIN chapters c ON c.book = q.book AND q.start_cp >= c.start_cp AND q.start_cp < c.end_cp), e AS (SELECT book, chapter, turn AS entry, CASE WHEN turn % 5 = 3 THEN 'changed' ELSE t END AS t FROM q WHERE turn % 7 <> 6)
+SELECT e.book, e.chapter, e.entry, q.quote_id FROM e LEFT JOIN q ON q.book = e.book AND q.chapter = e.chapter AND q.t = e.t AND q.turn = e.entry""")
+def j17_restored_by_text(s, d):
+    """Labels of a manifest find their quotes by text, in order, within each chapter."""
+    from narrata.operators import evaluation
+
+    c = frame(s, d, "chapters").select("book", F.col("ordinal").alias("chapter"), F.col("start_cp").alias("r_start"), F.col("end_cp").alias("r_end"))
+    q = intervals.containing(frame(s, d, "quotes").withColumn("at", F.col("start_cp")), c)
+    q = q.select("book", "chapter", "start_cp", "quote_id", "turn", F.regexp_replace("quoted", "\\s+", "").alias("text"))
+    e = q.filter("turn % 7 <> 6").select("book", "chapter", F.col("turn").alias("entry"), F.when(F.col("turn") % 5 == 3, "changed").otherwise(F.col("text")).alias("text"))
+    return evaluation.restored_by_text(q.drop("turn"), e)
+
+
+@query(with_sql("chapters") + """, c AS (SELECT book, ordinal, 'T' || ordinal AS title FROM chapters), m AS (SELECT book, ordinal + book % 2 AS "index", CASE WHEN ordinal % 2 = 0 THEN ' T' || ordinal || ' ' ELSE 'gone' END AS title FROM chapters),
+n AS (SELECT m.book, m."index", c.ordinal FROM m JOIN c ON c.book = m.book AND c.title = trim(m.title)) SELECT * FROM n UNION ALL SELECT m.book, m."index", c.ordinal FROM m JOIN c ON c.book = m.book AND c.ordinal = m."index" WHERE m.title = 'gone' AND NOT EXISTS (SELECT 1 FROM n WHERE n.book = m.book AND n.ordinal = m."index" AND n."index" < m."index")""")
+def j16_bound_chapters(s, d):
+    """Chapters of a manifest and of an import, by title and nearness, else by index."""
+    from narrata.operators import evaluation
+
+    ch = frame(s, d, "chapters")
+    c = ch.select("book", "ordinal", F.concat(F.lit("T"), F.col("ordinal").cast("string")).alias("title"))
+    m = ch.select("book", (F.col("ordinal") + F.col("book") % 2).alias("index"), F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit(" T"), F.col("ordinal").cast("string"), F.lit(" "))).otherwise("gone").alias("title"))
+    return evaluation.bound_chapters(c, m)
+
+
+@query(with_sql("segments") + """, sg AS (SELECT book, turn, '“' || replace(replace(replace(quoted, '(', '['), ')', ']'), '「', '') || chr(10) AS s FROM segments), o AS (SELECT book, turn, sum(length(s)) OVER (PARTITION BY book ORDER BY turn) - length(s) AS a, length(s) AS n FROM (SELECT book, turn, replace(s, '」', '') AS s FROM sg))
+SELECT book, CAST(a AS BIGINT) AS start_cp, CAST(a + n - 1 AS BIGINT) AS end_cp, true AS normalized FROM o WHERE n - 1 <= 1200""")
+def t5_virtual_closes(s, d):
+    """Openings that nothing closes end where a suggestion says, without a character of their own."""
+    bare = F.replace(F.replace(F.translate("quoted", "()", "[]"), F.lit("「"), F.lit("")), F.lit("」"), F.lit(""))
+    seg = frame(s, d, "segments").select("book", "turn", F.concat(F.lit("“"), bare, F.lit("\n")).alias("seg"))
+    end = F.sum(F.length("seg").cast("long")).over(Window.partitionBy("book").orderBy("turn"))
+    points = seg.select("book", (end - F.length("seg")).alias("opening_cp"), (end - 1).alias("close_cp"))
+    closes = points.groupBy("book").agg(F.collect_list(F.struct("opening_cp", "close_cp")).alias("closes"))
+    return text.scan_quotes(text.whole_texts(seg).join(closes, "book")).select("book", "start_cp", "end_cp", "normalized")
+
+
+@query(with_sql("outputs") + """, w AS (SELECT book, speaker, CAST(floor(turn / 3) AS BIGINT) AS win, min(start_cp) AS cp, min((start_cp, quote_id)) AS f, count(*) AS c FROM outputs GROUP BY 1, 2, 3) SELECT book, speaker, win, max(cp) OVER o AS history_cp, min(cp) OVER o AS first_cp, CAST(sum(c) OVER o AS BIGINT) AS quotes, row_number() OVER o = 1 AS created FROM w WINDOW o AS (PARTITION BY book, speaker ORDER BY win)""")
+def x13_group_histories(s, d):
+    """Groups as windows make and change them; a history never goes back in the text."""
+    w = frame(s, d, "outputs").groupBy("book", "speaker", F.floor(F.col("turn") / 3).alias("win")).agg(F.min("start_cp").alias("cp"), n("c"))
+    o = Window.partitionBy("book", "speaker").orderBy("win")
+    return w.select("book", "speaker", "win", F.max("cp").over(o).alias("history_cp"), F.min("cp").over(o).alias("first_cp"), F.sum("c").over(o).alias("quotes"), (F.row_number().over(o) == 1).alias("created"))
+
+
+@query(with_sql("people") + f""", c AS (SELECT person, book, CASE person % 5 WHEN 0 THEN 'S7' ELSE 'anna' || (person % 45) END AS name, person % 6 <> 1 AS proven, CASE WHEN person % 8 = 0 THEN person END AS given FROM people), h AS (SELECT book, {KEY.format('name')} AS key, count(DISTINCT person) AS c, min(person) AS owner FROM people GROUP BY 1, 2)
+SELECT c.person, CASE WHEN given IS NOT NULL THEN 'id:' || given WHEN h.c = 1 THEN 'id:' || h.owner WHEN h.c > 1 THEN NULL WHEN proven AND c.name <> 'S7' THEN 'new:' || substring(sha256(c.book || '|' || c.name), 1, 12) END AS found FROM c LEFT JOIN h ON h.book = c.book AND h.key = c.name""")
+def x14_discovered_people(s, d):
+    """A given id decides; else the one person of that name; else a new one, if proven and a name at all."""
+    p = frame(s, d, "people")
+    i = F.col("person")
+    c = p.select("person", "book", F.when(i % 5 == 0, "S7").otherwise(F.concat(F.lit("anna"), (i % 45).cast("string"))).alias("name"), (i % 6 != 1).alias("proven"), F.when(i % 8 == 0, i).alias("given"))
+    h = p.groupBy("book", names.key(names.undecorated(F.col("name"))).alias("name")).agg(F.count_distinct("person").alias("c"), F.min("person").alias("owner"))
+    new = F.concat(F.lit("new:"), F.substring(F.sha2(F.concat_ws("|", F.col("book").cast("string"), "name").cast("binary"), 256), 1, 12))
+    of = lambda x: F.concat(F.lit("id:"), F.col(x).cast("string"))
+    found = F.when(F.col("given").isNotNull(), of("given")).when(F.col("c") == 1, of("owner")).when(F.col("c") > 1, None).when(F.col("proven") & names.can_be_shown(F.col("name")), new)
+    return c.join(h, ["book", "name"], "left").select("person", found.alias("found"))
+
+
+@query(with_sql("outputs") + """, t AS (SELECT *, k % 7 = 3 AS missing, CASE WHEN k % 7 = 3 OR assignment = 'UNKNOWN' THEN NULL ELSE speaker END AS who, CAST(floor(turn / 3) AS BIGINT) AS scene FROM outputs), f AS (SELECT book, scene, who, min(start_cp) AS f FROM t WHERE who IS NOT NULL GROUP BY 1, 2, 3), l AS (SELECT *, row_number() OVER (PARTITION BY book, scene ORDER BY f, who) AS n FROM f)
+SELECT t.quote_id, NOT missing AS covered, CASE WHEN l.n IS NOT NULL THEN 'P' || l.n END AS slot FROM t LEFT JOIN l ON l.book = t.book AND l.scene = t.scene AND l.who = t.who""")
+def d49_compact_rows(s, d):
+    """Every target has a row: what the answer left out is told, and owners are numbered within their scene."""
+    o = frame(s, d, "outputs").withColumns({"missing": F.col("k") % 7 == 3, "scene": F.floor(F.col("turn") / 3)})
+    o = o.withColumn("who", F.when(~F.col("missing") & (F.col("assignment") != "UNKNOWN"), F.col("speaker")))
+    first = o.filter("who IS NOT NULL").groupBy("book", "scene", "who").agg(F.min("start_cp").alias("f"))
+    slot = F.concat(F.lit("P"), F.row_number().over(Window.partitionBy("book", "scene").orderBy("f", "who")).cast("string"))
+    return o.join(first.withColumn("slot", slot), ["book", "scene", "who"], "left").select("quote_id", (~F.col("missing")).alias("covered"), "slot")
+
+
+@query(with_sql("outputs") + """, c AS (SELECT quote_id, k, 1 + k % 3 AS applied, 1 + k % 4 AS now FROM outputs), u AS (SELECT quote_id FROM outputs WHERE k % 5 = 2)
+SELECT c.quote_id, CASE WHEN u.quote_id IS NOT NULL THEN 'already_undone' WHEN now <> applied THEN 'changed_since' ELSE 'allowed' END AS verdict FROM c LEFT JOIN u ON u.quote_id = c.quote_id""")
+def x10_undo_guards(s, d):
+    """A correction can be undone once, and only while its target is as it left it."""
+    k = F.col("k")
+    o = frame(s, d, "outputs")
+    undone = o.filter("k % 5 = 2").select("quote_id", F.lit(True).alias("undone"))
+    verdict = F.when(F.col("undone"), "already_undone").when(1 + k % 4 != 1 + k % 3, "changed_since").otherwise("allowed")
+    return o.join(undone, "quote_id", "left").select("quote_id", verdict.alias("verdict"))
+
+
+@query(with_sql("segments", "chapters") + """, p AS (SELECT s.book, c.ordinal AS chapter, s.turn, trim(regexp_replace(s.quoted, '\\s+', ' ', 'g')) AS text FROM segments s JOIN chapters c ON c.book = s.book AND s.start_cp >= c.start_cp AND s.start_cp < c.end_cp)
+SELECT book, chapter, 'Ch <' || chapter || '>' AS title, row_number() OVER (PARTITION BY book, chapter ORDER BY turn) AS block, 'p' AS tag, text FROM p UNION ALL SELECT DISTINCT book, chapter, 'Ch <' || chapter || '>', 0, 'h1', 'Ch <' || chapter || '>' FROM p""")
+def k2_epub_round_trip(s, d):
+    """Books written as EPUB files and read again: table of contents, spine, headings and paragraphs."""
+    from narrata.sources import epub
+
+    c = frame(s, d, "chapters").select("book", F.col("ordinal").alias("chapter"), F.col("start_cp").alias("r_start"), F.col("end_cp").alias("r_end"))
+    p = intervals.containing(frame(s, d, "segments").withColumn("at", F.col("start_cp")), c)
+    p = p.select("book", "chapter", F.concat(F.lit("Ch <"), F.col("chapter").cast("string"), F.lit(">")).alias("title"), F.col("turn").alias("position"), F.col("quoted").alias("text"))
+    return epub.blocks(epub.built(p)).select("book", "chapter", "title", "block", "tag", "text")

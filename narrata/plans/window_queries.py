@@ -243,3 +243,17 @@ def a15_report_totals(s, d):
 def u1_request_receipts(s, d):
     k = table(s, d, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("job")).agg(F.min("event_id").alias("k"))
     return frame(s, d, "runs").select("job").distinct().join(k, "job", "left").select("job", F.coalesce("k", "job").alias("receipt"))
+
+
+EVIDENCE = with_sql("segments").replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS (SELECT book AS win, turn AS item, CASE turn % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 - turn % 2 END AS rank, start_cp, end_cp, {est('seg')} AS cost, turn % 4 < 2 AS required FROM segments), o AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY rank, start_cp) AS i FROM e),
+j AS (SELECT *, CASE WHEN required THEN CASE WHEN cost > 250 THEN 'oversized_quote' ELSE 'required' END WHEN end_cp > 2500 THEN 'beyond_visible_horizon' END AS fixed FROM o),
+r AS (SELECT win, i, CASE WHEN fixed IS NOT NULL THEN fixed WHEN cost <= 250 THEN 'optional' ELSE 'budget_exhausted' END AS outcome, CASE WHEN fixed = 'required' OR (fixed IS NULL AND cost <= 250) THEN cost ELSE 0 END AS used FROM j WHERE i = 1
+UNION ALL SELECT j.win, j.i, CASE WHEN fixed IS NOT NULL THEN fixed WHEN r.used + cost <= 250 THEN 'optional' ELSE 'budget_exhausted' END, r.used + CASE WHEN fixed = 'required' OR (fixed IS NULL AND r.used + cost <= 250) THEN cost ELSE 0 END FROM r JOIN j ON j.win = r.win AND j.i = r.i + 1) """
+
+
+@query(EVIDENCE + "SELECT o.win, o.item, r.outcome FROM o JOIN r ON r.win = o.win AND r.i = o.i")
+def d2_evidence_selection(s, d):
+    """What a window shows a model: targets and inner gaps, then what else fits and may be seen yet."""
+    t = F.col("turn") % 4
+    e = frame(s, d, "segments").select(F.col("book").alias("window"), F.col("turn").alias("item"), F.when(t == 0, 0).when(t == 1, 1).otherwise(3 - F.col("turn") % 2).cast("long").alias("rank"), "start_cp", "end_cp", text.estimated_tokens(F.col("seg")).alias("cost"), (t < 2).alias("required"))
+    return windows.evidence(e, 250, 2500).withColumnRenamed("window", "win")

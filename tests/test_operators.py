@@ -127,3 +127,37 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
         q.awaitTermination()
     got = {x.event_id: (x.scene, x.label) for x in spark.read.parquet(out).collect()}
     assert got == {0: (0, 1), 1: (1, 0), 3: (1, 1), 4: (1, 2), 6: (2, 0), 2: (0, 1), 5: (1, 0), 7: (1, 1)}
+
+
+def test_epub(spark):
+    import io
+    import zipfile
+
+    from narrata.sources import epub
+
+    book = epub.build("t", [("One & two", ["a <b>", " c  d\n"]), ("", [])])
+    toc, rows = epub.read(book)
+    assert list(toc.values()) == ["One & two", ""] and [r[:4] for r in rows] == [(0, 0, "h1", "One & two"), (0, 1, "p", "a <b>"), (0, 2, "p", "c d")]
+    assert zipfile.ZipFile(io.BytesIO(book)).infolist()[0].filename == "mimetype"
+
+    def changed(name, data=b"x"):
+        out = io.BytesIO(book)
+        with zipfile.ZipFile(out, "a") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    bad = [b"", b"no", changed("../x"), changed("/x"), changed("a\\b"), changed("mimetype"), book[:-30]]
+    got = epub.blocks(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate([*bad, book])] + [(99, None)], "book long, content binary")).collect()
+    assert {r.book for r in got if r.error} == {*range(len(bad)), 99} and sum(r.book == len(bad) for r in got) == 3
+
+
+def test_manifests_are_bound_in_order(spark):
+    from narrata.operators import evaluation
+
+    ch = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (1, 2, "A"), (1, 3, None)], "book long, ordinal long, title string")
+    ti = spark.createDataFrame([(1, 0, "B"), (1, 1, " A "), (1, 2, "A"), (1, 3, "x"), (1, 9, "y")], "book long, index long, title string")
+    got = {x["index"]: x.ordinal for x in evaluation.bound_chapters(ch, ti).collect()}
+    assert got == {0: 1, 1: 0, 2: 2, 3: 3}
+    q = spark.createDataFrame([(1, 0, k, f"q{k}", t) for k, t in enumerate(["a", "b", "a", "c"])], "book long, chapter long, start_cp long, quote_id string, text string")
+    e = spark.createDataFrame([(1, 0, k, t) for k, t in enumerate(["b", "z", "a", "a", "", "c"])] + [(2, 0, 0, "a")], "book long, chapter long, entry long, text string")
+    assert {(x.book, x.entry): x.quote_id for x in evaluation.restored_by_text(q, e).collect()} == {(1, 0): "q1", (1, 1): None, (1, 2): "q2", (1, 3): None, (1, 4): None, (1, 5): "q3", (2, 0): None}
