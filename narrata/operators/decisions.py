@@ -185,3 +185,29 @@ def challenged(v: DataFrame) -> DataFrame:
     """Adds challenged: both answers agree, but a supported third opinion names someone else."""
     agree = F.col("review").eqNullSafe(F.col("base")) & F.col("review").isNotNull()
     return v.withColumn("challenged", ~F.col("locked") & agree & F.coalesce(F.col("third") != F.col("base"), F.lit(False)) & F.col("supported"))
+
+
+def applied(outputs: DataFrame, gaps: DataFrame, stored: DataFrame) -> DataFrame:
+    """What a window's answer makes of its quotes: scene, label, status, reason, review, visible_from_cp, version, history.
+
+    outputs: labels with evidence and its positions (evidence_cp); gaps: book, at, decision; stored: quote_id, version,
+    locked, was (its status). Gaps and labels are taken in the order of the text, a gap before a label at its end: a break
+    opens a new scene, whose labels begin anew. Locked quotes keep what they have; the others go to the history first.
+    """
+    events = gaps.select("book", F.col("at").alias("start_cp"), F.lit(0).alias("_kind"), (F.col("decision") == "BREAK").cast("int").alias("_break"), F.lit(None).cast("string").alias("quote_id"))
+    events = events.unionByName(outputs.select("book", "start_cp", F.lit(1).alias("_kind"), F.lit(0).alias("_break"), "quote_id"))
+    w = Window.partitionBy("book").orderBy("start_cp", "_kind")
+    scenes = events.withColumn("scene", F.sum("_break").over(w)).filter("quote_id IS NOT NULL").select("quote_id", "scene")
+    t = accepted(outputs).withColumn("visible_from_cp", visible_from(F.col("evidence_cp"), F.col("start_cp")))
+    t = t.join(scenes, "quote_id").join(stored, "quote_id", "left").withColumn("locked", F.coalesce("locked", F.lit(False)))
+    # Only quotes that get an owner open a slot of their scene.
+    owned = ~F.col("locked") & (F.col("status") != "UNKNOWN") & F.col("kind").isin(*OWNED)
+    t = t.withColumn("_first", F.min(F.when(owned, F.col("start_cp"))).over(Window.partitionBy("book", "scene", "speaker")))
+    slot = F.dense_rank().over(Window.partitionBy("book", "scene").orderBy(F.col("_first").asc_nulls_last()))
+    t = t.withColumn("_slot", slot)
+    old = F.col("version").isNotNull()
+    return t.select(
+        "book", "quote_id", "scene", F.when(owned, F.concat(F.lit("S"), F.col("_slot").cast("string"))).alias("label"),
+        F.when(F.col("locked"), F.col("was")).otherwise(F.col("status")).alias("status"), F.when(~F.col("locked"), F.col("review")).alias("review"), "visible_from_cp",
+        (F.coalesce("version", F.lit(0)) + (~F.col("locked")).cast("int")).alias("version"), (old & ~F.col("locked")).alias("history"),
+    )

@@ -90,3 +90,34 @@ def evidence(items: DataFrame, budget: int, horizon: int) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("told"))
     told = items.groupBy("window").agg(rows.alias("_r")).select("window", F.explode(F.aggregate("_r", start, take)["told"]).alias("x"))
     return told.select("window", "x.item", "x.outcome")
+
+
+def dialogue_units(paragraphs: DataFrame, budget: int, most: int = 0) -> DataFrame:
+    """book, unit, first, last, tokens, before, fits: paragraphs (book, line, tokens, has_quote, explicit) in units.
+
+    Paragraphs with quotes that follow one another are one block, unless a separator (explicit) begins there. A unit
+    takes blocks while they, and the paragraph before the unit that it repeats (before), stay within budget, and not
+    more than `most` quotes (0: any number); it never goes beyond a separator. A block that alone is over budget is a
+    unit that doesn't fit. The fold is sequential within a book.
+    """
+    w = Window.partitionBy("book").orderBy("line")
+    joins = F.col("has_quote") & F.coalesce(F.lag("has_quote").over(w), F.lit(False)) & ~F.col("explicit")
+    p = paragraphs.withColumns({"_new": (~joins).cast("int"), "_before": F.coalesce(F.lag("tokens").over(w), F.lit(0))})
+    p = p.withColumn("_block", F.sum("_new").over(w))
+    head = F.min(F.struct("line", "_before", "explicit"))
+    blocks = p.groupBy("book", "_block").agg(head.alias("h"), F.max("line").alias("last"), F.sum("tokens").alias("tokens"), F.sum(F.col("has_quote").cast("long")).alias("quotes"))
+    blocks = blocks.select("book", F.col("h.line").alias("first"), "last", "tokens", "quotes", F.col("h._before").cast("long").alias("before"), F.col("h.explicit").alias("explicit"))
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        units: list[list] = []
+        for b in f.sort_values("first").itertuples(index=False):
+            u = units[-1] if units else None
+            more = u is not None and not b.explicit and u[4] + b.tokens + u[5] <= budget and not (most and u[6] + b.quotes > most)
+            if more:
+                u[3], u[4], u[6] = b.last, u[4] + b.tokens, u[6] + b.quotes
+            else:
+                units.append([b.book, len(units), b.first, b.last, b.tokens, b.before, b.quotes])
+        out = pd.DataFrame(units, columns=["book", "unit", "first", "last", "tokens", "before", "_q"]).drop(columns="_q")
+        return out.assign(fits=out["tokens"] + out["before"] <= budget)
+
+    return blocks.groupBy("book").applyInPandas(fold, "book long, unit long, first long, last long, tokens long, before long, fits boolean")

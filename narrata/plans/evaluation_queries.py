@@ -304,3 +304,24 @@ def x42_adjudication_triggers(s, d):
     v = decisions.reconciled(decisions.votes(frame(s, d, "outputs")))
     wanted = (F.col("outcome") == "unresolved_conflict") | (F.col("k") % 11 == 0) | ((F.col("kind") == "speech") & F.col("e_prev").isNull())
     return v.filter(~F.col("locked") & wanted).select("quote_id")
+
+
+APPLIED = with_sql("outputs", "gaps") + """, a AS (SELECT *, kind = 'speech' OR (versioned AND kind IN ('thought', 'quotation')) AS owned, coalesce(basis, 'INSUFFICIENT') AS b FROM outputs),
+st AS (SELECT *, CASE WHEN kind = 'unknown' THEN 'UNKNOWN' WHEN NOT owned THEN 'ACCEPTED' WHEN assignment = 'UNKNOWN' OR b = 'INSUFFICIENT' THEN 'UNKNOWN' WHEN b = 'STYLE_ONLY' THEN 'PROVISIONAL'
+    WHEN b = 'DIRECT' THEN CASE WHEN e_prev IS NULL THEN 'PROVISIONAL' ELSE 'ACCEPTED' END WHEN e_prev IS NOT NULL OR e_self IS NOT NULL THEN 'ACCEPTED' ELSE 'PROVISIONAL' END AS status,
+  CASE WHEN kind = 'unknown' THEN 'UNKNOWN_QUOTE_KIND' WHEN NOT owned THEN NULL WHEN assignment = 'UNKNOWN' OR b = 'INSUFFICIENT' THEN CASE WHEN kind = 'quotation' THEN 'UNKNOWN_QUOTE_SOURCE' ELSE 'UNKNOWN_SPEAKER' END
+    WHEN b = 'STYLE_ONLY' THEN 'LOW_CONFIDENCE' WHEN b = 'DIRECT' THEN CASE WHEN e_prev IS NULL THEN 'LOW_CONFIDENCE' END WHEN e_prev IS NOT NULL OR e_self IS NOT NULL THEN NULL ELSE 'AMBIGUOUS_SPEAKER' END AS review FROM a),
+sc AS (SELECT st.*, (SELECT count(*) FROM gaps g WHERE g.book = st.book AND g.end_cp <= st.start_cp AND g.turn % 4 = 0) AS scene, k % 13 = 0 AS locked, CASE WHEN k % 5 <> 4 THEN k % 3 END AS ver FROM st),
+ow AS (SELECT *, NOT (locked AND ver IS NOT NULL) AND status <> 'UNKNOWN' AND kind IN ('speech', 'thought', 'quotation') AS slotted, locked AND ver IS NOT NULL AS held FROM sc),
+fi AS (SELECT *, min(CASE WHEN slotted THEN start_cp END) OVER (PARTITION BY book, scene, speaker) AS f FROM ow), sl AS (SELECT *, dense_rank() OVER (PARTITION BY book, scene ORDER BY f NULLS LAST) AS slot FROM fi) """
+
+
+@query(APPLIED + """SELECT book, quote_id, scene, CASE WHEN slotted THEN 'S' || slot END AS label, CASE WHEN held THEN 'OLD' ELSE status END AS status, CASE WHEN NOT held THEN review END AS review,
+  coalesce(greatest(e_prev_end, CASE WHEN e_self IS NOT NULL THEN end_cp END), start_cp) AS visible_from_cp, coalesce(ver, 0) + CASE WHEN held THEN 0 ELSE 1 END AS version, ver IS NOT NULL AND NOT held AS history FROM sl""")
+def d12_window_application(s, d):
+    """Labels and gap decisions of an answer, applied in the order of the text."""
+    k = F.col("k")
+    o = decisions.with_evidence(frame(s, d, "outputs")).withColumn("evidence_cp", F.array_compact(F.array("e_prev_end", F.when(F.col("e_self").isNotNull(), F.col("end_cp")))))
+    g = frame(s, d, "gaps").select("book", F.col("end_cp").alias("at"), F.when(F.col("turn") % 4 == 0, "BREAK").otherwise("CONTINUE").alias("decision"))
+    stored = frame(s, d, "outputs").filter("k % 5 <> 4").select("quote_id", (k % 3).alias("version"), (k % 13 == 0).alias("locked"), F.lit("OLD").alias("was"))
+    return decisions.applied(o, g, stored)

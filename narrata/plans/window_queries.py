@@ -257,3 +257,17 @@ def d2_evidence_selection(s, d):
     t = F.col("turn") % 4
     e = frame(s, d, "segments").select(F.col("book").alias("window"), F.col("turn").alias("item"), F.when(t == 0, 0).when(t == 1, 1).otherwise(3 - F.col("turn") % 2).cast("long").alias("rank"), "start_cp", "end_cp", text.estimated_tokens(F.col("seg")).alias("cost"), (t < 2).alias("required"))
     return windows.evidence(e, 250, 2500).withColumnRenamed("window", "win")
+
+
+UNITS = with_sql("headed").replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS (SELECT book, line, {est('body')} AS tokens, line % 4 >= 2 AS q, line % 12 = 0 AS ex FROM headed WHERE body <> '' OR sep <> ''), n AS (SELECT *, coalesce(lag(tokens) OVER w, 0) AS bf, CASE WHEN q AND coalesce(lag(q) OVER w, false) AND NOT ex THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY book ORDER BY line)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY line) AS blk FROM n), b AS (SELECT book, blk, min(line) AS first, max(line) AS last, sum(tokens) AS tokens, sum(CASE WHEN q THEN 1 ELSE 0 END) AS quotes, min_by(bf, line) AS bf, min_by(ex, line) AS ex, row_number() OVER (PARTITION BY book ORDER BY min(line)) AS i FROM g GROUP BY 1, 2),
+r AS (SELECT book, i, 0 AS unit, tokens AS used, quotes AS qs, bf FROM b WHERE i = 1 UNION ALL SELECT book, i, CASE WHEN fits THEN unit ELSE unit + 1 END, CASE WHEN fits THEN used + tokens ELSE tokens END, CASE WHEN fits THEN qs + quotes ELSE quotes END, CASE WHEN fits THEN rbf ELSE nbf END
+  FROM (SELECT b.book, b.i, r.unit, r.used, r.qs, r.bf AS rbf, b.bf AS nbf, b.tokens, b.quotes, NOT b.ex AND r.used + b.tokens + r.bf <= 220 AND r.qs + b.quotes <= 6 AS fits FROM r JOIN b ON b.book = r.book AND b.i = r.i + 1) x) """
+
+
+@query(UNITS + "SELECT r.book, CAST(r.unit AS BIGINT) AS unit, min(b.first) AS first, max(b.last) AS last, CAST(sum(b.tokens) AS BIGINT) AS tokens, CAST(min_by(b.bf, b.i) AS BIGINT) AS before, sum(b.tokens) + min_by(b.bf, b.i) <= 220 AS fits FROM r JOIN b ON b.book = r.book AND b.i = r.i GROUP BY 1, 2")
+def t19_dialogue_units(s, d):
+    """Blocks of dialogue that a request takes whole, with the paragraph before each."""
+    line = F.col("line")
+    p = frame(s, d, "headed").filter("body <> '' OR sep <> ''").select("book", "line", text.estimated_tokens(F.col("body")).alias("tokens"), (line % 4 >= 2).alias("has_quote"), (line % 12 == 0).alias("explicit"))
+    return windows.dialogue_units(p, 220, 6)
