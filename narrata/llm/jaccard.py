@@ -19,7 +19,7 @@ Not every candidate pair is needed for the components. First all rows of a key m
 so found connect is contracted. In keys that still hold several components, the rows outside the largest one meet one of
 that, and are contracted again; then those that are still outside meet all rows of the key. So no link between different
 components stays unseen, and a group of near copies isn't expanded.
-Before a pair is given its fragments, sketches as wide as its sets are large are compared.
+Before a pair is given its fragments, sketches are compared that are four times as wide as its sets are large.
 """
 
 from __future__ import annotations
@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from narrata.llm.common import shuffle_partitions, stash, unused
 
 #: Fragments in which overlaps are counted, n-grams of a block, 64-bit words of its sketch, growth of the size bands.
-WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 4, 1.4
-#: Classes that a task remembers, so as to give each once; orders by which keys choose the centre of their star.
-KEPT_CLASSES, ORDERS = 200_000, 4
+WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 8, 1.4
+#: Classes that a task remembers, so as to give each once; orders by which keys choose the centre of their star, at first
+#: and in contracted keys.
+KEPT_CLASSES, ORDERS, MORE_ORDERS = 200_000, 4, 16
 #: Texts whose sets are made before they are sent on.
 ROWS = 256
 _M1, _GOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -190,8 +191,8 @@ def sketch_of(s: np.ndarray, bits: int = SKETCH_WORDS * 64) -> np.ndarray:
 
 
 def wide_sketch_of(s: np.ndarray) -> np.ndarray:
-    """The sketch with the least power of two of bits that is no less than the set's size."""
-    return sketch_of(s, max(64, 1 << (len(s) - 1).bit_length()))
+    """The sketch with the least power of two of bits that is no less than four times the set's size."""
+    return sketch_of(s, max(64, 4 << (len(s) - 1).bit_length()))
 
 
 def least_apart(x: np.ndarray, y: np.ndarray) -> int:
@@ -320,8 +321,8 @@ def star_pairs(rows: DataFrame, like: Likeness) -> DataFrame:
     If rows have comp and most (the key's largest component), that one is of the largest component, and rows of other
     components meet it. Keys choose by one of a few orders, so that a group which shares many keys has a few centres.
     """
-    order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "cls", F.lit(len(rows.columns)))
     contracted = "most" in rows.columns
+    order = F.xxhash64(F.pmod("key", F.lit(MORE_ORDERS if contracted else ORDERS)), "cls", F.lit(contracted))
     if contracted:
         order = F.when(F.col("comp") == F.col("most"), order)
     head = F.min_by(F.struct("cls", "n", *_SKETCH), order).over(Window.partitionBy("key"))
