@@ -10,6 +10,8 @@ from narrata.operators import intervals
 
 #: Least overlap of a match, z of the interval, quotes that a target needs, and the targets (fixed values).
 MATCH, Z, LEAST_QUOTES, ACCURACY, COVERAGE = 0.5, 1.96, 30, 0.97, 0.70
+#: Chains of overlapping ranges that are matched together.
+CHAINS = 256
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -69,7 +71,9 @@ def matched(gold: DataFrame, pred: DataFrame) -> DataFrame:
     w = Window.partitionBy("book").orderBy("l_start", "l_end", "r_start", "r_end")
     furthest = F.max(F.greatest("l_end", "r_end")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.when(F.least("l_start", "r_start") < furthest, 0).otherwise(1)
-    chained = pairs.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(w)).withColumn("worse", -F.col("score"))
+    # A group holds some chains, as many small groups would cost more than they hold.
+    chain = F.floor(F.sum("apart").over(w) / CHAINS)
+    chained = pairs.withColumn("apart", apart).withColumn("chain", chain).withColumn("worse", -F.col("score"))
     won = one_to_one(chained, ["book", "chain"], "gold", "pred", ["worse", "l_start", "r_start", "gold", "pred"])
     return won.select("book", "gold", "pred", "score")
 
@@ -112,7 +116,9 @@ def countable(pairs: DataFrame) -> DataFrame:
 def group_mapping(pairs: DataFrame) -> DataFrame:
     """book, scene, g_grp, p_grp: the predicted group of each gold group of a scene, one to one, most votes first."""
     votes = countable(pairs).filter("p_grp IS NOT NULL").groupBy("book", "scene", "g_grp", "p_grp").agg((-F.count(F.lit(1))).alias("fewer"))
-    return one_to_one(votes, ["book", "scene"], "g_grp", "p_grp", ["fewer", "g_grp", "p_grp"]).drop("fewer")
+    # One group a book: scenes don't compete, since their ends are told apart by the scene too.
+    ends = votes.withColumns({"_l": F.struct("scene", "g_grp").cast("string"), "_r": F.struct("scene", "p_grp").cast("string")})
+    return one_to_one(ends, ["book"], "_l", "_r", ["fewer", "scene", "g_grp", "p_grp"]).drop("fewer", "_l", "_r")
 
 
 def accepted_accuracy(pairs: DataFrame) -> DataFrame:
