@@ -13,12 +13,16 @@ products of two fingerprints estimate the inner product of the shingle multisets
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.llm.common import SPACE, let, shuffle_partitions
 
 EQ_LANES, LIKE_LANES, SHINGLE = 8, 128, 3
+#: Cuts between ranges of ids that are searched as one.
+GROUP = 64
 _PAIRS = 0x0000000100000001
 _LOW32 = 0xFFFFFFFF
 _LIKE_MOD = 1 << 32
@@ -104,6 +108,16 @@ def render(fp: Column) -> Column:
     return F.lower(F.concat(wide(fp["eq"], 1 << 32, 8), F.lpad(F.hex(fp["units"]), 16, "0"), wide(fp["lanes"], _LIKE_MOD, 8)))
 
 
+def _rank(rows: DataFrame) -> Column:
+    """A whole number for doc_id that doesn't fall where doc_id rises: numbers themselves, of strings seven bytes after what all share."""
+    if dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col("doc_id").cast("long")
+    text = F.col("doc_id").cast("string")
+    least, most = (x or "" for x in rows.agg(F.min(text), F.max(text)).first())
+    shared = len(os.path.commonprefix([least.encode(), most.encode()]))
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), shared + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, rn, own, doc_id, text, next_text): every row with the next row's text by descending id, then text.
 
@@ -111,25 +125,27 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     also put at the end of the range before, so that one shuffle serves. Null ids come last; null texts are empty.
     Rows with own false are those second copies; they have no next.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = min(4 * shuffle_partitions(spark), 4000)
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # Range 0 has the smallest ids and the nulls.
-    at = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(at, lambda c: c < F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket)
+    rank = _rank(rows)
+    n = 4 * shuffle_partitions(docs.sparkSession)
+    cuts = sorted(set(rows.agg(F.percentile_approx(rank, [k / n for k in range(1, n)], min(100 * n, 1_000_000))).first()[0] or []))
+    # Range 0 has the smallest ids and the nulls. Cuts are searched in groups: those that lie below as a whole, then within one.
+    at = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
+    whole = F.lit(cuts[GROUP - 1 :: GROUP]) if len(cuts) >= GROUP else F.array().cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("_rank")))
+    rows = rows.withColumn("_rank", rank).withColumn("_g", GROUP * below(whole))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("_g") + below(F.slice(at, F.col("_g") + 1, F.lit(GROUP))))
+    rows = rows.withColumn("bucket", bucket).drop("_rank", "_g")
     top = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(top)
     into = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}
     homes = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("late")))
     if order:
-        table = F.map_from_arrays(F.array(*[F.lit(b) for b in order]), F.array(*[F.struct(F.lit(top[b]).cast("long").alias("top"), F.lit(into[b]).alias("b")) for b in order]))
-        entry = table[F.col("bucket")]
+        every = range(order[-1] + 1)
+        tops = F.get(F.array(*[F.lit(top.get(b)) for b in every]).cast(f"array<{dict(rows.dtypes)['doc_id']}>"), F.col("bucket"))
         homes = F.when(
-            entry["top"].eqNullSafe(F.col("doc_id")),
-            F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("late")), F.struct(entry["b"].alias("b"), F.lit(1).alias("late"))),
+            tops.eqNullSafe(F.col("doc_id")),
+            F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("late")), F.struct(F.get(F.lit([into.get(b, 0) for b in every]), F.col("bucket")).alias("b"), F.lit(1).alias("late"))),
         ).otherwise(homes)
     placed = rows.withColumn("home", F.explode(homes)).select("doc_id", "text", F.col("home.b").alias("bucket"), F.col("home.late").alias("late"))
     w = Window.partitionBy("bucket").orderBy("late", F.col("doc_id").desc_nulls_last(), "text")
@@ -148,15 +164,15 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Nulls: a null text is empty; a null id comes after the others. An empty text has a fingerprint of zeros and no
-    likeness to any text but an empty one. Repeated rows are rows of their own, next to each other. Extra columns
-    are ignored. An empty table gives no rows.
+    likeness to any text but an empty one. Repeated rows are rows of their own, next to each other; ids may be numbers
+    or strings. Rows that share an id, or have none, are ordered in one task. Extra columns are ignored. An empty table gives no rows.
     """
     rows = with_next(docs, id_col, text_col)
     edit = F.coalesce(F.when(F.col("own"), edited(F.col("text"), F.col("next_text"))), F.lit(""))
     # A row's facts go as numbers along with its shingles, so that the texts are shuffled once and nothing is joined.
     sha = lambda k: F.conv(F.substring(F.sha2(F.col("e").cast("binary"), 256), 8 * k + 1, 8), 16, 10).cast("long")
     facts = F.concat(
-        F.array(F.col("own").cast("long"), F.col("doc_id").cast("long"), F.length("text").cast("long"), *map(sha, range(8))),
+        F.array(F.col("own").cast("long"), F.length("text").cast("long"), *map(sha, range(8))),
         equality_lanes(F.col("text")), equality_lanes(F.col("e")),
     )
     none = F.lit(None).cast("array<bigint>")
@@ -165,24 +181,24 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(F.lit(1).alias("v"), F.col("e").alias("t"), none.alias("m")),
         F.struct(F.lit(2).alias("v"), F.lit("").alias("t"), facts.alias("m")),
     )
-    n_facts = 11 + 2 * EQ_LANES
+    n_facts = 10 + 2 * EQ_LANES
     folded = (
         rows.withColumn("e", edit)
-        .select("bucket", "rn", F.explode(versions).alias("x"))
-        .select("bucket", "rn", F.col("x.v").alias("v"), F.col("x.m").alias("m"), F.explode(F.when(F.col("x.v") == 2, F.array(F.lit(0).cast("long"))).otherwise(shingle_hashes(F.col("x.t")))).alias("h"))
+        .select("bucket", "rn", "doc_id", F.explode(versions).alias("x"))
+        .select("bucket", "rn", F.when(F.col("x.v") == 2, F.col("doc_id")).alias("doc_id"), F.col("x.v").alias("v"), F.col("x.m").alias("m"), F.explode(F.when(F.col("x.v") == 2, F.array(F.lit(0).cast("long"))).otherwise(shingle_hashes(F.col("x.t")))).alias("h"))
         .groupBy("bucket", "rn", "v")
-        .agg(*likeness_sums(), *[F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(n_facts)])
-        .select("bucket", "rn", "v", "units", likeness_lanes(F.col("units")).alias("lanes"), F.array(*[F.col(f"m{k}") for k in range(n_facts)]).alias("m"))
+        .agg(F.max("doc_id").alias("doc_id"), *likeness_sums(), *[F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(n_facts)])
+        .select("bucket", "rn", "doc_id", "v", "units", likeness_lanes(F.col("units")).alias("lanes"), F.array(*[F.col(f"m{k}") for k in range(n_facts)]).alias("m"))
         .groupBy("bucket", "rn")
-        .agg(*[F.max(F.when(F.col("v") == v, F.struct("lanes", "units"))).alias(f"u{v}") for v in (0, 1)], F.max(F.when(F.col("v") == 2, F.col("m"))).alias("m"))
+        .agg(F.max("doc_id").alias("doc_id"), *[F.max(F.when(F.col("v") == v, F.struct("lanes", "units"))).alias(f"u{v}") for v in (0, 1)], F.max(F.when(F.col("v") == 2, F.col("m"))).alias("m"))
     )
     zero = F.struct(F.array_repeat(F.lit(0), LIKE_LANES).alias("lanes"), F.lit(0).cast("long").alias("units"))
     whole = lambda at, u: F.struct(F.slice("m", at, EQ_LANES).alias("eq"), F.coalesce(F.col(u), zero)["lanes"].alias("lanes"), F.coalesce(F.col(u), zero)["units"].alias("units"))
     w = Window.partitionBy("bucket").orderBy("rn")
-    joined = folded.withColumn("a", whole(12, "u0")).withColumn("b", whole(12 + EQ_LANES, "u1")).withColumn("n", F.lead("a").over(w))
-    hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col("m")[3 + k]), 8, "0") for k in range(8)]))
+    joined = folded.withColumn("a", whole(11, "u0")).withColumn("b", whole(11 + EQ_LANES, "u1")).withColumn("n", F.lead("a").over(w))
+    hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col("m")[2 + k]), 8, "0") for k in range(8)]))
     return joined.filter(F.col("m")[0] == 1).select(
-        F.col("m")[1].alias("doc_id"), F.col("m")[2].alias("n_chars"), hexed.alias("edited_sha256"),
+        "doc_id", F.col("m")[1].alias("n_chars"), hexed.alias("edited_sha256"),
         render(F.col("a")).alias("fingerprint"), render(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("n")).alias("near_next"),
     )

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import shuffle_partitions, stash, unused
+from narrata.llm.common import named, shuffle_partitions, stash, unused
 
 #: Fragments in which overlaps are counted, n-grams of a block, 64-bit words of its sketch, growth of the size bands.
 WIDE, BLOCK, SKETCH_WORDS, BAND = 8, 192, 8, 1.4
@@ -491,5 +491,5 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id
     repeated = marked.filter("_stays").select(own_id, own_th)
     if repeated.isEmpty():
         return out
-    copies = docs.join(repeated, same).groupBy(own_id, own_th).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    copies = docs.join(repeated, same).groupBy(own_id, own_th).agg(F.min_by(F.struct(*named(docs)), F.xxhash64(*named(docs))).alias(row))
     return out.unionByName(copies.select(f"{row}.*"))

@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import shuffle_partitions, unused
+from narrata.llm.common import let, running_totals, shuffle_partitions, unused
 
 #: Slots of a frame, at least; weights are rounded to this grain.
 FRAME = 1000
@@ -38,39 +38,29 @@ def whole_shares(weights: Mapping[str, float], frame: int = FRAME) -> tuple[dict
 
 
 def frame_plan(docs: DataFrame, shares: Mapping[str, int], frame: int) -> DataFrame:
-    """(source, k, slot, before): where in a frame the source's k-th block runs, and what each source had before it.
+    """(source, k, at): in which slot of a frame the source's k-th block runs.
 
     A fold over the slots of one frame, by earliest deadline among the released blocks; ties go to the source first
-    in order of name. It has frame rows.
+    in order of name. It keeps how many blocks each source has had, and the source of each slot.
     """
     spark = docs.sparkSession
-    names = sorted(shares)
-    one = spark.range(1).select(
-        F.array(*[F.lit(s) for s in names]).alias("names"), F.array(*[F.lit(int(shares[s])) for s in names]).alias("a")
-    )
+    one = spark.createDataFrame([(sorted(shares), [int(shares[s]) for s in sorted(shares)])], "names array<string>, a array<int>")
     q = F.lit(frame)
 
     def pick(state: Column, t: Column) -> Column:
-        def due(i: Column) -> Column:
-            a, k = F.col("a")[i], state["had"][i]
+        def due(a: Column, i: Column) -> Column:
+            k = state["had"][i]
             released = (k < a) & (F.floor(k * q / a) <= t)
             return F.struct(F.when(released, F.ceil((k + 1) * q / a)).otherwise(F.lit(1 << 40)).alias("deadline"), i.alias("i"))
 
-        chosen = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), due))["i"]
-        return F.transform(F.array(chosen), lambda c: F.struct(
-            F.transform(state["had"], lambda n, i: n + F.when(i == c, 1).otherwise(0)).alias("had"),
-            F.concat(state["log"], F.array(F.struct(c.alias("i"), t.alias("slot"), state["had"].alias("before")))).alias("log"),
-        ))[0]
-
-    zero = F.array_repeat(F.lit(0), len(names))
-    log = F.array().cast("array<struct<i:int,slot:int,before:array<int>>>")
-    folded = F.aggregate(F.sequence(F.lit(0), q - 1), F.struct(zero.alias("had"), log.alias("log")), pick, lambda s: s["log"])
-    return one.select("names", F.explode(folded).alias("x")).select(
-        F.col("names")[F.col("x.i")].alias("source"),
-        F.col("x.before")[F.col("x.i")].alias("k"),
-        F.col("x.slot").alias("slot"),
-        F.col("x.before").alias("before"),
-    )
+        return let(F.array_min(F.transform("a", due))["i"], lambda c: F.struct(
+            F.transform(state["had"], lambda n, i: n + F.when(i == c, 1).otherwise(0)).alias("had"), F.array_append(state["log"], c).alias("log"),
+        ))
+
+    start = F.struct(F.transform("a", lambda x: F.lit(0)).alias("had"), F.array().cast("array<int>").alias("log"))
+    folded = F.aggregate(F.sequence(F.lit(0), q - 1), start, pick, lambda s: s["log"])
+    slots = one.select("names", F.posexplode(folded).alias("at", "i")).select(F.col("names")[F.col("i")].alias("source"), "at")
+    return slots.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1)
 
 
 def numbered(rows: DataFrame, group: str, key: Column, out: str, at: Column | None = None, top: int = 0) -> DataFrame:
@@ -121,29 +111,30 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block: i
     empty = rows.limit(0).select("doc_id", "source", *[F.lit(0).cast("long").alias(c) for c in ("block", "release", "deadline", "slot", "place")])
     if not shares:
         return empty
-    names = sorted(shares)
-    held = {r["source"]: -(-r["count"] // block) for r in rows.filter(F.col("source").isin(names)).groupBy("source").count().collect()}
-    plan = frame_plan(docs, shares, frame)
-    held_a = F.array(*[F.lit(held.get(s, 0)).cast("long") for s in names])
-    share_a = F.array(*[F.lit(shares[s]).cast("long") for s in names])
-    sizes = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(shares[s]).cast("long"))])
+    # A row for each source with a weight; of which there are MAX_SOURCES at most.
+    weighed = docs.sparkSession.createDataFrame([(s, int(a)) for s, a in shares.items()], "source string, _a int")
+    rows = rows.join(F.broadcast(weighed), "source")
     dealt = (
-        numbered(rows.filter(F.col("source").isin(names)), "source", F.col("doc_id"), "_n")
+        numbered(rows, "source", F.col("doc_id"), "_n")
         .withColumn("block", F.floor(F.col("_n") / block))
         .withColumn("place", F.col("_n") % block)
-        .withColumn("_a", sizes[F.col("source")])
         .withColumn("_frame", F.floor(F.col("block") / F.col("_a")))
         .withColumn("k", (F.col("block") % F.col("_a")).cast("int"))
     )
     # The plan has one row a slot, and frame slots, whatever the input.
-    joined = dealt.join(F.broadcast(plan), ["source", "k"])
-    # Blocks that ran before: of each source, its blocks in earlier frames and those before this slot, as far as it has any.
-    ran = F.zip_with(F.zip_with(share_a, F.col("before"), lambda a, b: a * F.col("_frame") + b), held_a, lambda x, n: F.least(x, n))
-    return joined.select(
+    joined = dealt.join(F.broadcast(frame_plan(docs, shares, frame)), ["source", "k"])
+    # How many blocks each frame has: of each source, what is left of it, as far as a frame goes.
+    held = rows.groupBy("source", "_a").agg(F.ceil(F.count(F.lit(1)) / block).alias("_held"))
+    frames = held.withColumn("_frame", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_held") - 1) / F.col("_a")))))
+    sizes = frames.groupBy("_frame").agg(F.sum(F.least(F.col("_a"), F.col("_held") - F.col("_frame") * F.col("_a"))).alias("_size"))
+    before = running_totals(sizes, "_frame", "_size", "_before")
+    # Within a frame, which has a block a slot at most, blocks are counted in the order of their slots.
+    within = F.dense_rank().over(Window.partitionBy("_frame").orderBy("at")) - 1
+    return joined.withColumn("_within", within).join(before, "_frame").select(
         "doc_id", "source", "block",
         F.floor(F.col("block") * frame / F.col("_a")).alias("release"),
         F.ceil((F.col("block") + 1) * frame / F.col("_a")).alias("deadline"),
-        F.aggregate(ran, F.lit(0).cast("long"), lambda s, x: s + x).alias("slot"),
+        (F.col("_before") + F.col("_within")).alias("slot"),
         "place",
     )
 

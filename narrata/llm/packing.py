@@ -7,7 +7,8 @@ as many bins as the counts allow. Pieces are then numbered within their length,
 and offset by its number.
 
 Documents may have positions, as in a mix of sources. Then ranges of positions are packed one after the other, each by a
-plan of its own, and within a range the pieces of a length are numbered by position.
+plan of its own, and within a range the pieces of a length are numbered by position. A range has about RANGE_SEQUENCES
+sequences, whatever the size of the corpus, so that the mix is followed as closely at any size.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from narrata.llm.common import stash
+from narrata.llm.common import running_totals, stash
 from narrata.llm.mixing import numbered
 from narrata.llm.tokens import words_of
 
 LIMIT, END_ID, KEPT_WORDS = 4096, 1, 600_000
 #: Bytes of text whose words are encoded together, words of one call of the tokenizer.
 SLICE, CALL = 16 << 20, 2000
-#: Ranges of positions that are packed apart, at most, and full sequences that a range has on average, at least.
-RANGES, RANGE_SEQUENCES = 16, 256
+#: Full sequences that a range of positions has on average, at least. There are as many ranges as the input needs.
+RANGE_SEQUENCES = 2048
 
 
 class Ids:
@@ -226,6 +227,14 @@ def places(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
     return out
 
 
+def planned(hist: pa.Table, limit: int) -> pa.Table:
+    """The places in one range, from its rows of (range, length, how often it occurs)."""
+    counts = dict(zip(hist["length"].to_pylist(), hist["count"].to_pylist(), strict=True))
+    cols = list(zip(*places(best_two_fit(counts, limit)), strict=True))
+    out = {"_r": [hist["_r"][0].as_py()] * len(cols[0])} | dict(zip(("_length", "_first", "_n", "_sequence", "offset"), cols, strict=True))
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", at: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
@@ -233,32 +242,28 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc
     others. Extra columns are ignored. Empty tables give no rows. at: a column of positions from 0 that sequences follow;
     rows without a position come last.
     """
-    spark = docs.sparkSession
     made = stash(pieces(docs, tokenizer, limit, id_col, text_col, at), "pieces")
-    group, position, top = F.lit(0).cast("long"), None, 0
+    group, position, top, ranges = F.lit(0).cast("long"), None, 0, 1
     if at:
         most, tokens = made.agg(F.max("at"), F.sum("length")).first()
-        top, ranges = (most or 0) + 1, max(1, min(RANGES, (tokens or 0) // (limit * RANGE_SEQUENCES)))
+        top, ranges = (most or 0) + 1, max(1, (tokens or 0) // (limit * RANGE_SEQUENCES))
         position = F.coalesce("at", F.lit(top))
         group = F.floor(position / (top // ranges + 1))
     grouped = made.withColumn("_r", group)
-    # At most `limit` rows a range come to the driver, whatever the input.
-    counts: dict[int, dict[int, int]] = {}
-    for r in grouped.groupBy("_r", "length").count().collect():
-        counts.setdefault(r["_r"], {})[r["length"]] = r["count"]
-    table, sequences = [], 0
-    for k in sorted(counts):
-        plan = best_two_fit(counts[k], limit)
-        table += [(k * (limit + 1) + n, first, many, sequences + sequence, offset) for n, first, many, sequence, offset in places(plan)]
-        sequences += sum(times for _, times in plan)
-    if not table:
-        return made.drop("at").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    where = spark.createDataFrame(table, "_l long, _first long, _n long, _sequence long, offset long")
-    # For each range and length, arrays that are searched by number: how many there are depends on limit, not on the input.
-    where = where.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_first", "_sequence", "offset"))).alias("_w"))
+    # Of each range, the counts of at most `limit` lengths make its plan, wherever they meet.
+    hist = grouped.groupBy("_r", F.col("length").cast("long").alias("length")).count()
+    plans = hist.groupBy("_r").applyInArrow(lambda t: planned(t, limit), "_r long, _length long, _first long, _n long, _sequence long, offset long")
+    plans = stash(plans, "packing-plans")
+    base = running_totals(plans.groupBy("_r").agg(F.max(F.col("_sequence") + F.col("_n")).alias("_size")), "_r", "_size", "_base")
+    # For each range and length, arrays that are searched by number.
+    where = plans.join(base, "_r").groupBy((F.col("_r") * (limit + 1) + F.col("_length")).alias("_l")).agg(
+        F.array_sort(F.collect_list(F.struct("_first", (F.col("_sequence") + F.col("_base")).alias("_sequence"), "offset"))).alias("_w")
+    )
+    if ranges == 1:  # at most `limit` rows; with more ranges, no length of one has more rows than its range
+        where = F.broadcast(where)
     key = F.struct("doc_id", "piece", "ids_crc32")
     of_length = grouped.withColumn("_g_l", F.col("_r") * (limit + 1) + F.col("length"))
-    ranked = numbered(of_length, "_g_l", key, "_k", position, top).join(F.broadcast(where), F.col("_g_l") == F.col("_l"))
+    ranked = numbered(of_length, "_g_l", key, "_k", position, top).join(where, F.col("_g_l") == F.col("_l"))
     slot = F.element_at(F.filter("_w", lambda x: x["_first"] <= F.col("_k")), -1)
     placed = ranked.withColumn("_s", slot)
     return placed.select(

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import SPACE, let, stash
+from narrata.llm.common import SPACE, let, named, stash, unused
 
 #: Most good documents that the rules of a stratum may reject together, and the probability that any bound fails.
 ALPHA, DELTA = 0.02, 0.05
@@ -31,8 +31,8 @@ RULES = {
 }
 #: One in so many labelled documents decides the order of the steps, by a hash of its id; the others decide the bounds.
 ORDERING = 5
-#: Strata there may be; the table of cutoffs has a row for each and goes to every task.
-MAX_STRATA = 10_000
+#: Strata whose table of cutoffs goes to every task; a longer table is dealt out, in so many copies that a large stratum is spread.
+TO_ALL, COPIES = 10_000, 32
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
 
 
@@ -76,7 +76,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     row = ["_row"] if whole else []
     counts = (
-        docs.select(*([F.struct(*docs.columns).alias("_row")] if whole else []), F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), text.alias("t"))
+        docs.select(*([F.struct(*named(docs)).alias("_row")] if whole else []), F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), text.alias("t"))
         .select(
             *row, "doc_id", "stratum",
             let(F.filter(F.split("t", SPACE), lambda w: w != ""), lambda w: F.struct(
@@ -123,6 +123,16 @@ def rejects(rule: str, cut: Column) -> Column:
     return F.col(rule) > cut if RULES[rule][0] else F.col(rule) < cut
 
 
+def by_stratum(rows: DataFrame, table: DataFrame, strata: int, how: str = "inner") -> DataFrame:
+    """rows (with doc_id) joined with a table that has a row for each of so many strata, at most."""
+    if strata <= TO_ALL:
+        return rows.join(F.broadcast(table), "stratum", how)
+    copy = unused("_copy", rows, table)
+    spread = rows.withColumn(copy, F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)))
+    copies = table.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
+    return spread.join(copies, ["stratum", copy], how).drop(copy)
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, n_good, and for each rule the chosen cutoff (null: none is safe).
 
@@ -134,8 +144,6 @@ def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     good = good.withColumn("_orders", F.pmod(F.xxhash64("doc_id"), F.lit(ORDERING)) == 0)
     steps = [(rule, c, len(cuts) - k) for rule, (_, cuts) in RULES.items() for k, c in enumerate(cuts)]
     strata = feats.agg(F.count_distinct("stratum")).first()[0]
-    if strata > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
     # Rejections by each step among the documents that order them, in the stratum and, for ties, in all strata.
     found = good.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n_good"), F.count_if(~F.col("_orders")).alias("_n"),
@@ -147,9 +155,9 @@ def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     # The first step that rejects each of the other documents; one beyond the last, if none does.
     hit = F.array(*[rejects(rule, F.lit(c)) for rule, c, _ in steps])
     at = F.aggregate(F.transform("_order", lambda k, i: F.when(F.get(hit, k), i)), F.lit(len(steps)), lambda s, i: F.least(s, i))
-    tested = good.filter(~F.col("_orders")).join(F.broadcast(found.select("stratum", "_order")), "stratum").withColumn("_at", at)
+    tested = by_stratum(good.filter(~F.col("_orders")), found.select("stratum", "_order"), strata).withColumn("_at", at)
     told = tested.groupBy("stratum").agg(*[F.count_if(F.col("_at") <= k).alias(f"_t{k}") for k in range(len(steps))])
-    found = found.join(F.broadcast(told), "stratum", "left").withColumn("_most", most_rejections(F.col("_n"), alpha, F.lit(delta / max(1, strata))))
+    found = found.join(told, "stratum", "left").withColumn("_most", most_rejections(F.col("_n"), alpha, F.lit(delta / max(1, strata))))
     # Rejections grow along the sequence, so the steps with a bound are its first ones.
     found = found.withColumn("_steps", sum((F.when(F.coalesce(F.col(f"_t{k}"), F.lit(0)) <= F.col("_most"), 1).otherwise(0) for k in range(len(steps))), F.lit(0)))
     chosen = F.when(F.col("_steps") > 0, F.slice("_order", F.lit(1), F.col("_steps"))).otherwise(F.array().cast("array<int>"))
@@ -170,14 +178,14 @@ def judge(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
     columns of either table are ignored. Without labels, only the base rules reject. An empty table gives no rows.
     """
     feats = stash(features(docs, **names), "quality-features")
-    return _with_verdict(feats, thresholds(feats, labels))
+    return _with_verdict(feats, stash(thresholds(feats, labels), "quality-cuts"))
 
 
 def _with_verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     bad = F.col("base_failed")
     for rule in RULES:
         bad = bad | F.coalesce(rejects(rule, F.col(f"cut_{rule}")), F.lit(False))
-    return feats.join(F.broadcast(cuts), "stratum", "left").withColumn("kept", ~bad)
+    return by_stratum(feats, cuts, cuts.count(), "left").withColumn("kept", ~bad)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:

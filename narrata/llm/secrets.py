@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import stash, unused
+from narrata.llm.common import named, spread_join, stash, unused
 
 RULES_VERSION = "2"
 #: Kinds in the order in which spans at the same place are listed: kind -> (pattern, group that must be long, least length).
@@ -58,7 +58,8 @@ def scan_new(versions: DataFrame, ledger: DataFrame, text_col: str = "text", rul
     """Ledger rows for the blobs of versions that this rule version hasn't seen, each scanned once."""
     texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
     seen = ledger.filter(F.col("rules") == rules).select("blob")
-    unseen = texts.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    # One copy of each blob first, so that the copies of one don't meet in a join.
+    unseen = texts.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -88,7 +89,7 @@ def _with_findings(docs: DataFrame, text: Column, blob: str, found: str, ledger:
     out = docs.withColumn(blob, blob_of(text))
     key, hit = unused("_key", out), unused("_hit", out)
     hits = known.filter(F.size("found") > 0).select(F.col("blob").alias(key), F.col("found").alias(hit)).dropDuplicates([key])
-    out = out.join(hits, F.col(blob) == F.col(key), "left")
+    out = spread_join(out, hits, F.col(blob), key)
     return out.withColumn(found, F.coalesce(F.col(hit), F.array().cast(FINDING))).drop(key, hit), new
 
 
@@ -120,4 +121,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
     fixed = scanned.withColumn(text_col, F.when(hit, clean).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         fixed = fixed.withColumn("n_chars", F.when(hit, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return fixed.select(*docs.columns)
+    return fixed.select(*named(docs))

@@ -17,14 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import stash
+from narrata.llm.common import spread_join, stash
 
 #: The skippable frame that holds a dictionary, as the format for Zstandard WARC files has it, and a frame of Zstandard.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 VERSION = "WARC/1.1"
 #: Bytes of payloads that go into one archive; documents from which its dictionary is trained, of which so many bytes each.
 ARCHIVE_BYTES, DICT_SAMPLES, DICT_SAMPLE_BYTES, DICT_BYTES = 16 << 20, 200, 1 << 14, 1 << 14
-#: Largest record that the reader accepts, in bytes.
+#: Largest record and dictionary that the reader takes, in bytes; a larger record gives an error of its own, and the next ones are read.
 MAX_RECORD, MAX_DICTIONARY = 1 << 30, 1 << 24
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -152,10 +152,10 @@ def parse_record(raw: bytes) -> Record:
     return Record(headers, block, payload)
 
 
-def read_frames(data: bytes) -> Iterator[bytes]:
+def read_frames(data: bytes) -> Iterator[bytes | None]:
     """What each frame of an archive holds: the dictionary is in its leading skippable frame, then a frame for each record.
 
-    A frame that holds more than MAX_RECORD bytes, or is cut off or damaged, ends the archive with an error.
+    Of a frame that holds more than MAX_RECORD bytes, None comes. One that is cut off or damaged ends the archive with an error.
     """
     if len(data) < 8:
         raise BadArchive("no leading frame")
@@ -185,15 +185,21 @@ def read_frames(data: bytes) -> Iterator[bytes]:
                 raise BadArchive(str(e)) from e
             made += len(out[-1])
             if made > MAX_RECORD:
-                raise BadArchive("a record is too large")
+                out.clear()  # the frame is read on to its end, so that the next one is found
             fed += len(piece)
         at += fed - len(frame.unused_data)
-        yield b"".join(out)
+        yield b"".join(out) if made <= MAX_RECORD else None
+
+
+def _parsed(raw: bytes | None) -> Record:
+    if raw is None:
+        raise BadRecord("a record is too large")
+    return parse_record(raw)
 
 
 def read_archive(data: bytes) -> Iterator[Record]:
     """The records of an archive; the first one that is bad raises an error."""
-    return map(parse_record, read_frames(data))
+    return map(_parsed, read_frames(data))
 
 
 def read_leniently(data: bytes) -> Iterator[tuple[Record | None, str | None]]:
@@ -201,7 +207,7 @@ def read_leniently(data: bytes) -> Iterator[tuple[Record | None, str | None]]:
     try:
         for raw in read_frames(data):
             try:
-                yield parse_record(raw), None
+                yield _parsed(raw), None
             except BadRecord as e:
                 yield None, str(e)
     except BadArchive as e:
@@ -215,8 +221,9 @@ def write_archives(pages: DataFrame, least: int = 0, id_col: str = "page_id", ur
     ).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     groups = rows.filter(F.octet_length("html") >= least).groupBy(F.col("sha").alias("_sha")).agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
     groups = groups.filter("_n > 1").drop("_n")
-    marked = rows.join(groups, F.col("sha") == F.col("_sha"), "left").select(
-        "page_id", "url", "html", F.when(F.col("page_id") != F.col("_last"), F.col("_last")).alias("refers_to")
+    # Only rows of the least size have groups, and shorter payloads have other digests.
+    marked = spread_join(rows, groups, F.col("sha"), "_sha").select(
+        "page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +292,8 @@ def round_trip(pages: DataFrame, least: int = 0, **names: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from archives written for pages.
 
     A null html is an empty payload, which is equal to other empty ones; a null url is ''. Repeated ids have a record
-    each; of equal payloads, all records with the largest id are responses. A null id is written as 'None', is never
-    the largest of its group unless all are null, and comes back null. Extra columns are ignored. No pages, no rows.
+    each; of equal payloads, all records with the largest id are responses. A null id is written as 'None', is
+    smaller than any other, so that it is a response only where all ids of its group are null, and comes back null. Extra columns are ignored. No pages, no rows.
     """
     archives = stash(write_archives(pages, least, **names), "warc")
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
