@@ -2,7 +2,8 @@
 
 A word's symbols are merged by an agenda: all adjacent pairs that make up a piece lie in a heap, the best score first
 and of equal scores the leftmost, and a merge puts the two pairs with its neighbours on the agenda. An entry whose
-symbols have changed meanwhile is passed over. Since no piece has a space mark after another character, and none a line
+symbols have changed meanwhile is passed over. Many short words are merged together: each has its agenda in a row of an
+array, and all take their first entries at once. Since no piece has a space mark after another character, and none a line
 feed, what stands before a space mark or around a line feed merges by itself: texts are cut there into words. Each distinct word of a slice of
 text is merged once, and checked against the library before its ids are used.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Characters of a section of a text, and of the sections that are encoded together; words whose ids a worker keeps.
 SECTION, SLICE, KEPT_WORDS = 1 << 20, 4 << 20, 400_000
+#: Symbols of the words that are merged together; longer words have a heap each.
+WIDTHS = (6, 9, 12, 16, 24, 40)
+NEVER = np.iinfo(np.int32).max
 
 _words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _seam = re.compile(f"(?<=[^{MARK}])(?={MARK})|(?<=\n)|(?=\n)")
@@ -58,6 +63,17 @@ class Vocabulary:
             else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode()
             for p in model.pieces
         ]
+        #: For merging many words: symbols by number, the pairs that make a piece, the number of the piece, and its rank by score.
+        self.symbols = sorted({c for p in self.score for c in p} | set(self.score))
+        self.number = {s: k for k, s in enumerate(self.symbols)}
+        ranks = {x: k for k, x in enumerate(sorted({-score for score, _ in self.score.values()}))}
+        pairs = sorted(
+            (self.number[a] * len(self.symbols) + self.number[b], self.number[p], ranks[-score])
+            for p, (score, _) in self.score.items() for k in range(1, len(p)) if (a := p[:k]) in self.number and (b := p[k:]) in self.number
+        )
+        self.pairs, self.made, self.rank = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
+        ids = [self._ids(s) for s in self.symbols]
+        self.id_counts, self.id_table = np.array(list(map(len, ids))), np.array([i for x in ids for i in x], "<u4")
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == UNKNOWN), None)
 
     def merge(self, word: str) -> list[str]:
@@ -84,13 +100,75 @@ class Vocabulary:
             meet(a, after[a])
         return [s for s in symbols if s]
 
+    def _ids(self, symbol: str) -> list[int]:
+        found = self.score.get(symbol)
+        return [found[1]] if found else [self.byte[b] for b in symbol.encode()]
+
     def encode(self, word: str) -> list[int]:
-        out = []
-        for s in self.merge(word):
-            found = self.score.get(s)
-            out += [found[1]] if found else [self.byte[b] for b in s.encode()]
+        return [i for s in self.merge(word) for i in self._ids(s)]
+
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """The ids (little-endian, unsigned, 32 bits) of many words."""
+        out: list[bytes] = [b""] * len(words)
+        number, narrow = self.number.get, np.searchsorted(WIDTHS, [len(w) for w in words])
+        for k, width in enumerate(WIDTHS):
+            of = np.flatnonzero(narrow == k)
+            rows = [[number(c, -2) for c in words[i]] for i in of.tolist()]
+            strange = {j for j, r in enumerate(rows) if -2 in r}  # characters in no piece have no number
+            for j in strange:
+                out[of[j]] = np.asarray(self.encode(words[of[j]]), "<u4").tobytes()
+            known = [j for j in range(len(rows)) if j not in strange]
+            if known:
+                symbols = np.full((len(known), width), -1, np.int64)
+                lengths = np.array([len(rows[j]) for j in known])
+                symbols[np.arange(width) < lengths[:, None]] = [x for j in known for x in rows[j]]
+                for j, ids in zip(known, self._ids_of(self._merged(symbols)), strict=True):
+                    out[of[j]] = ids
+        for i in np.flatnonzero(narrow == len(WIDTHS)).tolist():
+            out[i] = np.asarray(self.encode(words[i]), "<u4").tobytes()
         return out
 
+    def _entries(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs, and what they make; NEVER for pairs that make no piece."""
+        key = np.where((a >= 0) & (b >= 0), a * len(self.symbols) + b, -1)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        hit = self.pairs[at] == key
+        return np.where(hit, self.rank[at], NEVER), self.made[at]
+
+    def _merged(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of symbols, -1 after the last, with all merges done: in each step, every row's entry of least rank, the leftmost."""
+        out, left = symbols.copy(), np.arange(len(symbols))
+        rank, made = self._entries(symbols[:, :-1], symbols[:, 1:])
+        place = np.arange(symbols.shape[1])
+        while True:
+            first = rank.argmin(axis=1)
+            on = rank[np.arange(len(rank)), first] < NEVER
+            out[left[~on]] = symbols[~on]
+            if not on.any():
+                return out
+            symbols, rank, made, first, left = symbols[on], rank[on], made[on], first[on], left[on]
+            row = np.arange(len(first))
+            symbols[row, first] = made[row, first]
+            # What comes after the merged pair moves up by one.
+            from_ = np.minimum(place + (place > first[:, None]), len(place) - 1)
+            symbols = np.take_along_axis(symbols, from_, 1)
+            symbols[:, -1] = -1
+            from_ = np.minimum(from_[:, :-1], len(place) - 2)
+            rank, made = np.take_along_axis(rank, from_, 1), np.take_along_axis(made, from_, 1)
+            rank[:, -1] = NEVER
+            for k in (first - 1, first):
+                ok = (k >= 0) & (k < len(place) - 1)
+                r, k = row[ok], k[ok]
+                rank[r, k], made[r, k] = self._entries(symbols[r, k], symbols[r, k + 1])
+
+    def _ids_of(self, symbols: np.ndarray) -> list[bytes]:
+        flat, held = symbols[symbols >= 0], (symbols >= 0).sum(axis=1)
+        sizes = self.id_counts[flat]
+        begins, ends = (np.cumsum(self.id_counts) - self.id_counts)[flat], np.cumsum(sizes)
+        blob = self.id_table[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(sizes.sum()))].tobytes()
+        edges = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(held)])]
+        return [blob[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
     def decode(self, ids: list[int], first: bool = True) -> bytes:
         """The text of ids, in UTF-8. first: these are a text's first ids, so that the space put before it goes."""
         begin, end = 0, len(ids)
@@ -149,12 +227,12 @@ class Encoder:
 
     def new(self, words: list[str]) -> dict[str, bytes]:
         """The ids (little-endian, unsigned, 32 bits) of words by the agenda, each held against the library's."""
-        out = {w: self.vocabulary.encode(w) for w in words}
+        out = dict(zip(words, self.vocabulary.encode_all(words), strict=True))
         # A line feed keeps the space that the library puts before a text from the word: ids of that space and of the line feed come first.
         for w, ids in zip(words, self.library.encode(["\n" + w.replace(MARK, " ") for w in words], num_threads=1), strict=True):
-            if ids[2:] != out[w]:
+            if array("I", ids[2:]).tobytes() != out[w]:
                 raise ValueError(f"the agenda's ids differ from the library's for {w[:100]!r}")
-        return {w: np.asarray(ids, "<u4").tobytes() for w, ids in out.items()}
+        return out
 
     def words(self, words: list[str], counts: list[int]) -> list[bytes]:
         """The ids of distinct words that occur so often; words that occur once aren't kept."""

@@ -211,6 +211,14 @@ def test_sections_change_nothing(size, library):
 
 def test_a_difference_from_the_library_is_told(monkeypatch):
     encoder = piece_bpe.Encoder(PIECES)
-    monkeypatch.setattr(encoder.vocabulary, "encode", lambda word: [5])
+    monkeypatch.setattr(encoder.vocabulary, "encode_all", lambda words: [b"five"] * len(words))
     with pytest.raises(ValueError, match="differ from the library"):
         encoder.sections(["▁word"])
+
+
+def test_words_merged_together_are_as_by_heaps():
+    vocabulary, r = piece_bpe.Vocabulary(PIECES), random.Random(8)
+    long = [p.replace("▁", "") for p in list(vocabulary.score)[:9000]]
+    words = ["".join(r.choice(long) for _ in range(r.randint(1, 6))) for _ in range(800)] + ["".join(r.choice("▁etaoinshrdlué日😀") for _ in range(r.randint(1, 45))) for _ in range(800)]
+    got = vocabulary.encode_all(words)
+    assert all(x == np.asarray(vocabulary.encode(w), "<u4").tobytes() for w, x in zip(words, got, strict=True))
