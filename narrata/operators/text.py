@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.operators import intervals
+from narrata.operators.graph import settled
 
 #: Delimiter pairs, their names, and the kind that they hint at (fixed values).
 PAIRS = {"「": "」", "『": "』", "“": "”", "‘": "’", "〈": "〉", "《": "》", "（": "）", "(": ")"}
@@ -115,26 +116,25 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("k", "s")).filter("s <> ''")
 
 
-def scan(text: str, closes: list[tuple[int, int]] | None = None) -> tuple[list[tuple], list[tuple]]:
-    """Quotes (start, end, opening, depth, start of the parent, normalized) and warnings (code, position, opening, cause).
+def scan_piece(
+    text: str, base: int = 0, before: Sequence[tuple[str, int, int]] = (), closes: Sequence[tuple[int, int]] = (), last: bool = True
+) -> tuple[list[tuple], list[tuple], list[tuple[str, int, int]]]:
+    """Quotes (start, end, opening, depth, start of what they lie in, normalized), warnings (code, position, opening,
+    cause), and the openings that stay open, of a piece of a text that begins at base.
 
     An opening is closed by the nearest close of its pair; openings above it are dropped with a warning. Openings
     beyond the depth limit, closes without an opening, quotes that are too long or span too many lines, and openings
-    whose newest neighbour grew older than CEILING give warnings too. closes: (opening, where it is to end) of quotes
-    that end without a mark.
+    whose newest neighbour grew older than CEILING give warnings too. before, and what stays open: (opening, position,
+    line breaks from there to the piece's start, or end). closes: (opening, where it is to end) of quotes that end in
+    this piece without a mark. last: nothing follows the piece.
     """
     opener = {c: o for o, c in PAIRS.items()}
-    events = [(m.start(), 1, m.group()) for m in _DELIMITER.finditer(text)]
+    events = [(base + m.start(), 1, m.group()) for m in _DELIMITER.finditer(text)] + [(end, 0, opening) for opening, end in closes]
     warnings: list[tuple] = []
-    for opening, end in closes or []:
-        if opening < end <= len(text):
-            if end < len(text):
-                events.append((end, 0, opening))
-        else:
-            warnings.append(("invalid_auto_close", opening, "“", "range"))
     # At one position, later openings end first, and all before the character itself.
     events.sort(key=lambda e: (e[0], e[1], -e[2] if e[1] == 0 else 0))
-    stack: list[tuple[str, int]] = []
+    stack = [(o, p) for o, p, _ in before]
+    breaks_before = {p: n for _, p, n in before}
     found: list[tuple] = []
 
     def shut(at: int, end: int, normalized: bool) -> None:
@@ -148,6 +148,9 @@ def scan(text: str, closes: list[tuple[int, int]] | None = None) -> tuple[list[t
             warnings.extend(("unclosed_quote", p, o, "ceiling") for o, p in stack)
             stack.clear()
 
+    def breaks(start: int, end: int) -> int:
+        return breaks_before.get(start, 0) + text.count("\n", max(0, start - base), end - base)
+
     for position, real, what in events:
         if not real:
             give_up(position - 1)
@@ -169,53 +172,124 @@ def scan(text: str, closes: list[tuple[int, int]] | None = None) -> tuple[list[t
             warnings.append(("stray_close", position, opener[what], "stray"))
         else:
             shut(at, position + 1, False)
-    give_up(len(text) - 1)
-    warnings += [("unclosed_quote", p, o, "end") for o, p in reversed(stack)]
+    if last:
+        give_up(base + len(text) - 1)
+        warnings += [("unclosed_quote", p, o, "end") for o, p in reversed(stack)]
     quotes = []
     for q in found:
         if q[1] - q[0] > MAX_LENGTH:
             warnings.append(("quote_too_long", q[0], q[2], "length"))
-        elif text.count("\n", q[0], q[1]) > MAX_LINES:
+        elif breaks(q[0], q[1]) > MAX_LINES:
             warnings.append(("quote_spans_too_many_paragraphs", q[0], q[2], "lines"))
         else:
             quotes.append(q)
+    return sorted(quotes, key=lambda q: q[:2]), warnings, [(o, p, breaks(p, base + len(text))) for o, p in stack]
+
+
+def _out_of_range(opening: int) -> tuple:
+    return "invalid_auto_close", opening, "“", "range"
+
+
+def scan(text: str, closes: list[tuple[int, int]] | None = None) -> tuple[list[tuple], list[tuple]]:
+    """The quotes and warnings of a whole text, as scan_piece() has them; a quote's parent is one of the quotes, or none."""
+    n, closes = len(text), closes or []
+    quotes, warnings, _ = scan_piece(text, closes=[c for c in closes if c[0] < c[1] < n])
     kept = {q[0] for q in quotes}
-    return sorted((*q[:4], q[4] if q[4] in kept else None, q[5]) for q in quotes), warnings
+    return sorted((*q[:4], q[4] if q[4] in kept else None, q[5]) for q in quotes), [_out_of_range(o) for o, end in closes if not o < end <= n] + warnings
 
 
 _DELIMITER = re.compile("[" + "".join(map(re.escape, (*PAIRS, *PAIRS.values()))) + "]")
 _QUOTES = "array<struct<start_cp: bigint, end_cp: bigint, opening: string, depth: int, parent_start: bigint, normalized: boolean>>"
 _WARNINGS = "array<struct<code: string, position: bigint, opening: string, cause: string>>"
+_OPEN = "array<struct<opening: string, at: bigint, breaks: bigint>>"
+#: Code points of a piece of a text that is scanned by itself.
+PIECE = 1 << 18
 
 
-def scanned(texts: DataFrame) -> DataFrame:
-    """book, quotes, warnings of texts (book, text, and closes: an array of opening_cp, close_cp, if there is one).
+def pieces_of(texts: DataFrame, size: int = PIECE) -> DataFrame:
+    """book, piece, base, text, last, closes: texts in pieces of `size` code points, or segments put together to such.
 
-    Nesting is sequential, so a text is scanned by one task; the delimiters are found by a compiled pattern, and only
-    they are looked at.
+    texts: book and text; or book, turn, seg and start_cp, the segments of texts in order, which are never all in one
+    row. Either may have closes (an array of opening_cp, close_cp) in each row of a book.
     """
-    with_closes = "closes" in texts.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            closes = [[(c["opening_cp"], c["close_cp"]) for c in cs] if cs is not None else [] for cs in f["closes"]] if with_closes else [[]] * len(f)
-            got = [scan(t or "", c) for t, c in zip(f["text"], closes, strict=True)]
-            names = ("start_cp", "end_cp", "opening", "depth", "parent_start", "normalized"), ("code", "position", "opening", "cause")
-            sides = [[[dict(zip(names[k], x, strict=True)) for x in g[k]] for g in got] for k in (0, 1)]
-            yield pd.DataFrame({"book": f["book"], "quotes": sides[0], "warnings": sides[1]})
-
-    columns = ["book", "text", *(["closes"] if with_closes else [])]
-    return texts.select(*columns).mapInPandas(run, f"book long, quotes {_QUOTES}, warnings {_WARNINGS}")
+    closes = F.col("closes") if "closes" in texts.columns else F.array().cast("array<struct<opening_cp: bigint, close_cp: bigint>>")
+    if "seg" in texts.columns:
+        t = texts.select("book", "turn", "seg", "start_cp", closes.alias("closes"), F.floor(F.col("start_cp") / size).alias("piece"))
+        rows = F.array_sort(F.collect_list(F.struct("turn", "seg")))
+        put = t.groupBy("book", "piece").agg(F.min("start_cp").alias("base"), F.array_join(F.transform(rows, lambda x: x["seg"]), "").alias("text"), F.first("closes").alias("closes"))
+        ends = t.groupBy("book").agg(F.max("piece").alias("_end"), F.max(F.col("start_cp") + F.length("seg")).alias("_n"))
+        put = put.join(ends, "book").withColumn("last", F.col("piece") == F.col("_end"))
+    else:
+        text = F.coalesce("text", F.lit(""))
+        # Texts of one piece stay as they are.
+        parts = F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+        put = texts.select("book", F.length(text).alias("_n"), F.size(parts).alias("_many"), closes.alias("closes"), F.posexplode(parts).alias("piece", "text"))
+        put = put.withColumns({"piece": F.col("piece").cast("long"), "base": F.col("piece").cast("long") * size, "last": F.col("piece") == F.col("_many") - 1})
+    end = F.col("base") + F.length("text")
+    bad = lambda c: ~((c["opening_cp"] < c["close_cp"]) & (c["close_cp"] <= F.col("_n")))
+    own = F.filter(F.coalesce("closes", F.array()), lambda c: F.when(bad(c), F.col("piece") == 0).otherwise((c["close_cp"] >= F.col("base")) & (c["close_cp"] < end)))
+    own = F.transform(own, lambda c: F.struct(c["opening_cp"].cast("long").alias("opening_cp"), c["close_cp"].cast("long").alias("close_cp"), bad(c).alias("bad")))
+    return put.select("book", "piece", F.col("base").cast("long").alias("base"), "text", "last", own.alias("closes"))
+
+
+def _scanned_rows(frames: Iterator[pd.DataFrame], states: bool) -> Iterator[pd.DataFrame]:
+    names = ("start_cp", "end_cp", "opening", "depth", "parent_start", "normalized"), ("code", "position", "opening", "cause"), ("opening", "at", "breaks")
+    for f in frames:
+        got = []
+        for text, base, before, closes, last in zip(f["text"], f["base"], f["before"], f["closes"], f["last"], strict=True):
+            held = [(o["opening"], o["at"], o["breaks"]) for o in before]
+            quotes, warnings, after = scan_piece(text, base, held, [(c["opening_cp"], c["close_cp"]) for c in closes if not c["bad"]], last)
+            got.append((quotes, [_out_of_range(c["opening_cp"]) for c in closes if c["bad"]] + warnings, after))
+        sides = [[[dict(zip(names[k], x, strict=True)) for x in g[k]] for g in got] for k in (range(3) if not states else (2,))]
+        out = {"book": f["book"], "piece": f["piece"]}
+        yield pd.DataFrame(out | {"before": f["before"], "after": sides[0]} if states else out | {"quotes": sides[0], "warnings": sides[1]})
+
+
+def _openings(pieces: DataFrame) -> DataFrame:
+    """book, piece, before: the openings that are open where each piece begins.
+
+    All pieces are scanned at once, as if nothing were open before them; then those again before which something is
+    open after all, until nothing changes. Since no opening stays open for long (MAX_DEPTH times CEILING), a second round nearly
+    always ends it, but no result depends on that.
+    """
+    kind = dict(pieces.dtypes)["book"]
+    advance = lambda f: _scanned_rows(f, True)
+    schema = f"book {kind}, piece bigint, before {_OPEN}, after {_OPEN}"
+    none = F.array().cast(_OPEN)
+    known = settled(pieces.withColumn("before", none).mapInPandas(advance, schema))
+    while True:
+        want = F.coalesce(F.lag("after").over(Window.partitionBy("book").orderBy("piece")), none)
+        wrong = settled(known.withColumn("want", want).filter("want <> before").select("book", "piece", F.col("want").alias("before")))
+        if wrong.isEmpty():
+            return known.select("book", "piece", "before")
+        again = wrong.join(pieces, ["book", "piece"]).mapInPandas(advance, schema)
+        known = settled(known.join(wrong, ["book", "piece"], "left_anti").unionByName(again))
+
+
+def scanned(texts: DataFrame, size: int = PIECE) -> DataFrame:
+    """book, piece, quotes, warnings of texts as pieces_of() takes them.
+
+    A long text is scanned in pieces by many tasks. What is open where a piece begins comes from the pieces before it.
+    parent_start tells where the opening is that a quote lies in, whether or not that has become a quote.
+    """
+    pieces = pieces_of(texts, size)
+    kind = dict(pieces.dtypes)["book"]
+    if pieces.filter("piece > 0").isEmpty():
+        ready = pieces.withColumn("before", F.array().cast(_OPEN))
+    else:
+        pieces = settled(pieces)
+        ready = pieces.join(_openings(pieces), ["book", "piece"])
+    return ready.mapInPandas(lambda f: _scanned_rows(f, False), f"book {kind}, piece bigint, quotes {_QUOTES}, warnings {_WARNINGS}")
 
 
-def scan_quotes(texts: DataFrame, version: str = "scanner-1") -> DataFrame:
+def scan_quotes(texts: DataFrame, version: str = "scanner-1", size: int = PIECE) -> DataFrame:
     """The quotes of texts, one a row, with ids, names of their delimiters and the kinds these hint at."""
-    q = scanned(texts).select("book", F.explode("quotes").alias("q")).select("book", "q.*")
+    q = scanned(texts, size).select("book", F.explode("quotes").alias("q")).select("book", "q.*")
     hint = F.when((F.col("opening") == "『") & (F.col("depth") > 0), "quotation").otherwise(_lookup(HINTS))
     own = stable_id("q", F.col("book"), F.col("start_cp"), F.col("end_cp"), version)
     q = q.withColumns({"quote_id": own, "delimiter": _lookup(NAMES), "kind_hint": hint})
     parent = q.select("book", F.col("start_cp").alias("parent_start"), F.col("quote_id").alias("parent_id"))
-    return q.join(parent, ["book", "parent_start"], "left")
+    return q.join(parent, ["book", "parent_start"], "left").withColumn("parent_start", F.when(F.col("parent_id").isNotNull(), F.col("parent_start")))
 
 
 def _lookup(values: dict[str, str]) -> Column:
@@ -236,11 +310,11 @@ COUNTERS = {
 
 def scan_stats(texts: DataFrame) -> DataFrame:
     """book and the ten counters of its scan."""
-    how_many = lambda c, keep: F.size(F.filter(c, keep)).cast("long")
+    how_many = lambda c, keep: F.sum(F.size(F.filter(c, keep))).cast("long")
     caused_by = lambda causes: lambda w: w["cause"].isin(*causes)
-    return scanned(texts).select(
-        "book", F.size("quotes").cast("long").alias("quotes"), how_many("quotes", lambda q: q["depth"] == 0).alias("top_level_quotes"),
-        F.size("warnings").cast("long").alias("warnings"),
+    return scanned(texts).groupBy("book").agg(
+        F.sum(F.size("quotes")).cast("long").alias("quotes"), how_many("quotes", lambda q: q["depth"] == 0).alias("top_level_quotes"),
+        F.sum(F.size("warnings")).cast("long").alias("warnings"),
         *(how_many("warnings", caused_by(causes)).alias(name) for name, causes in COUNTERS.items()),
         how_many("quotes", lambda q: q["normalized"]).alias("normalized_closes"),
     )

@@ -20,7 +20,7 @@ tops AS (SELECT *, lead(start_cp) OVER w AS next_cp, lead(quote_id) OVER w AS ne
 
 
 def story_quotes(s, d):
-    return text.scan_quotes(text.whole_texts(frame(s, d, "story")))
+    return text.scan_quotes(frame(s, d, "story"))
 
 
 @query(MADE + """, ch AS (SELECT book, CAST(floor(turn / 4) AS BIGINT) AS ordinal, min(start_cp) AS a, max(start_cp + length(seg)) AS b FROM story WHERE turn < 6 GROUP BY 1, 2)
@@ -33,7 +33,7 @@ def t1_quotes(s, d):
     story = frame(s, d, "story")
     ch = story.filter("turn < 6").groupBy("book", F.floor(F.col("turn") / 4).alias("chapter")).agg(F.min("start_cp").alias("r_start"), F.max(F.col("start_cp") + F.length("seg")).alias("r_end"))
     w = Window.partitionBy("book").orderBy("start_cp")
-    top = text.scan_quotes(text.whole_texts(story)).filter("depth = 0")
+    top = text.scan_quotes(story).filter("depth = 0")
     gap = F.lead("start_cp").over(w) - F.col("end_cp")
     top = top.select("book", "quote_id", "start_cp", "end_cp", F.when(gap > 0, gap).alias("gap_after"))
     return intervals.with_range_or_last(top, ch, "start_cp", "chapter")
@@ -55,7 +55,7 @@ def t2_delimiters(s, d):
   LEFT JOIN (SELECT book, count(*) AS q, count(*) FILTER (depth = 0) AS t FROM kept GROUP BY 1) k ON k.book = s.book
   LEFT JOIN (SELECT book, count(*) AS bad FROM made WHERE end_cp - start_cp > 1200 GROUP BY 1) m ON m.book = s.book""")
 def t3_scan_stats(s, d):
-    return text.scan_stats(text.whole_texts(frame(s, d, "story")))
+    return text.scan_stats(frame(s, d, "story"))
 
 
 @query(None)

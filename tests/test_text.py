@@ -97,6 +97,56 @@ def test_scans_in_frames(spark):
     assert text.scan_quotes(df.limit(0)).count() == 0
 
 
+def noisy(r, n):
+    t = "".join(r.choice("「」『』“”（）《》\n") if r.random() < 0.3 else r.choice("ab日😀") for _ in range(n))
+    for _ in range(r.randint(0, 3)):
+        k = r.randrange(len(t) + 1)
+        t = t[:k] + "x" * r.choice([4700, 4801, 9000]) + t[k:]
+    return t
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pieces_in_a_row(seed):
+    """Pieces that hand on what is open give what a scan of the whole text gives."""
+    r = random.Random(seed)
+    t = noisy(r, r.choice([30, 400, 1500]))
+    size = r.choice([1, 3, 17, 200])
+    quotes, warnings, held = [], [], []
+    for base in range(0, len(t), size):
+        q, w, held = text.scan_piece(t[base : base + size], base, held, last=base + size >= len(t))
+        quotes, warnings = quotes + q, warnings + w
+    starts = {q[0] for q in quotes}
+    want, causes = scan(t)
+    assert sorted((*q[:4], q[4] if q[4] in starts else None, q[5]) for q in quotes) == want
+    assert sorted(warnings, key=repr) == sorted(causes, key=repr)
+
+
+def test_long_texts_in_many_tasks(spark):
+    """Texts, and segments of texts, cut into pieces: quotes, parents, closes and counters as of the whole text."""
+    r, size = random.Random(4), 5000
+    texts = {1: noisy(r, 9000), 2: noisy(r, 12_000) + "「" * 3 + "x" * 4000, 3: "", 4: "「" * 20 + "」" * 20, 5: noisy(r, 60)}
+    closes = {k: [(i, r.randint(i, len(t) + 2)) for i, c in enumerate(t) if c == "“" and r.random() < 0.3][:20] for k, t in texts.items()}
+    rows = [(k, t, closes[k]) for k, t in texts.items()]
+    want = {(k, *q[:4], q[4], q[5]) for k, t, cs in rows for q in scan(t, cs)[0]}
+    columns = ("book", "start_cp", "end_cp", "opening", "depth", "parent_start", "normalized")
+    kind = "closes array<struct<opening_cp: bigint, close_cp: bigint>>"
+    df = spark.createDataFrame(rows, f"book long, text string, {kind}")
+    assert {tuple(x) for x in text.scan_quotes(df, size=size).select(*columns).collect()} == want
+    warned = [(x.book, w.cause) for x in text.scanned(df, size).collect() for w in x.warnings]
+    assert sorted(warned) == sorted((k, w[3]) for k, t, cs in rows for w in scan(t, cs)[1])
+    segments = []
+    for k, t, cs in rows:
+        at = 0
+        for turn in range(10_000):
+            n = r.choice([0, 1, 40, 900])
+            segments.append((k, turn, t[at : at + n], at, cs))
+            at += n
+            if at >= len(t):
+                break
+    cut = spark.createDataFrame(segments, f"book long, turn long, seg string, start_cp long, {kind}").repartition(3)
+    assert {tuple(x) for x in text.scan_quotes(cut, size=size).select(*columns).collect()} == want
+
+
 def test_lines_and_chapters(spark):
     t = "intro\r\n\r第1章 a\n\n第2章，prose\r序章\r\n  \n序章\nend"
     df = spark.createDataFrame([(1, t), (2, ""), (3, "no heading\nat all")], "book long, text string")
