@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.operators import intervals
+from narrata.operators.graph import settled
 
 #: Least overlap of a match, z of the interval, quotes that a target needs, and the targets (fixed values).
 MATCH, Z, LEAST_QUOTES, ACCURACY, COVERAGE = 0.5, 1.96, 30, 0.97, 0.70
-#: Chains of overlapping ranges that are matched together.
-CHAINS = 256
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -43,38 +42,31 @@ def iou(a: str, b: str) -> Column:
 def one_to_one(edges: DataFrame, group: list[str], left: str, right: str, order: list[str]) -> DataFrame:
     """The edges that are taken when, in order, each is taken whose ends are both free; ends are told apart in a group.
 
-    order: columns; the smallest comes first. A group is one task's work, so it must be bounded, as a scene is.
+    order: columns; the smallest comes first. An edge that is the first of both its ends is taken whatever the others
+    do, so in each round all such edges are taken at once and those at their ends go; few rounds are left to do then.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        taken, used = [], (set(), set())
-        for a, b in zip(f[left], f[right], strict=True):
-            ok = a not in used[0] and b not in used[1]
-            taken.append(ok)
-            if ok:
-                used[0].add(a)
-                used[1].add(b)
-        return f[taken]
-
-    return edges.groupBy(*group).applyInPandas(run, edges.schema)
+    ends = [*group, left], [*group, right]
+    open_ = settled(edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("_key", F.struct(*order, left, right)))
+    taken = open_.limit(0)
+    while True:
+        first = open_
+        for k, keys in enumerate(ends):
+            first = first.join(open_.groupBy(*keys).agg(F.min("_key").alias(f"_first{k}")), keys)
+        won = settled(first.filter((F.col("_key") == F.col("_first0")) & (F.col("_key") == F.col("_first1"))).select(*open_.columns).dropDuplicates([*group, left]))
+        taken = taken.unionByName(won)
+        for keys in ends:
+            open_ = open_.join(won.select(*keys), keys, "left_anti")
+        open_ = settled(open_)
+        if open_.isEmpty():
+            return taken.select(*edges.columns)
 
 
 def matched(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """book, gold, pred, score: quotes matched one to one, the largest overlaps first.
-
-    Ranges compete only within a chain of overlapping ones, so chains are matched apart from each other.
-    """
+    """book, gold, pred, score: quotes matched one to one, the largest overlaps first."""
     g = gold.select("book", F.col("key").alias("gold"), F.col("start_cp").alias("l_start"), F.col("end_cp").alias("l_end"))
     p = pred.select("book", F.col("key").alias("pred"), F.col("start_cp").alias("r_start"), F.col("end_cp").alias("r_end"))
     pairs = intervals.overlapping(g, p).withColumn("score", iou("l", "r")).filter(F.col("score") >= MATCH)
-    w = Window.partitionBy("book").orderBy("l_start", "l_end", "r_start", "r_end")
-    furthest = F.max(F.greatest("l_end", "r_end")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.least("l_start", "r_start") < furthest, 0).otherwise(1)
-    # A group holds some chains, as many small groups would cost more than they hold.
-    chain = F.floor(F.sum("apart").over(w) / CHAINS)
-    chained = pairs.withColumn("apart", apart).withColumn("chain", chain).withColumn("worse", -F.col("score"))
-    won = one_to_one(chained, ["book", "chain"], "gold", "pred", ["worse", "l_start", "r_start", "gold", "pred"])
+    won = one_to_one(pairs.withColumn("worse", -F.col("score")), ["book"], "gold", "pred", ["worse", "l_start", "r_start"])
     return won.select("book", "gold", "pred", "score")
 
 
@@ -113,19 +105,28 @@ def countable(pairs: DataFrame) -> DataFrame:
     return pairs.filter("pred IS NOT NULL AND resolvable AND g_grp IS NOT NULL AND accepted").withColumn("scene", F.coalesce("g_scene", F.lit("-")))
 
 
-def group_mapping(pairs: DataFrame) -> DataFrame:
+def cells(pairs: DataFrame) -> DataFrame:
+    """book, scene, g_grp, p_grp, c: how many countable quotes of a scene have these groups."""
+    return settled(countable(pairs).groupBy("book", "scene", "g_grp", "p_grp").agg(F.count(F.lit(1)).alias("c")))
+
+
+def mapped(counts: DataFrame) -> DataFrame:
     """book, scene, g_grp, p_grp: the predicted group of each gold group of a scene, one to one, most votes first."""
-    votes = countable(pairs).filter("p_grp IS NOT NULL").groupBy("book", "scene", "g_grp", "p_grp").agg((-F.count(F.lit(1))).alias("fewer"))
-    # One group a book: scenes don't compete, since their ends are told apart by the scene too.
-    ends = votes.withColumns({"_l": F.struct("scene", "g_grp").cast("string"), "_r": F.struct("scene", "p_grp").cast("string")})
-    return one_to_one(ends, ["book"], "_l", "_r", ["fewer", "scene", "g_grp", "p_grp"]).drop("fewer", "_l", "_r")
+    votes = counts.filter("p_grp IS NOT NULL").withColumn("fewer", -F.col("c"))
+    return one_to_one(votes, ["book", "scene"], "g_grp", "p_grp", ["fewer"]).select("book", "scene", "g_grp", "p_grp")
+
+
+def group_mapping(pairs: DataFrame) -> DataFrame:
+    """As mapped(), from pairs."""
+    return mapped(cells(pairs))
 
 
 def accepted_accuracy(pairs: DataFrame) -> DataFrame:
     """book, accepted, correct, accuracy, low, high. A quote without a predicted group is right where its gold group has none."""
-    mapping = group_mapping(pairs).withColumnRenamed("p_grp", "mapped")
-    both = countable(pairs).join(mapping, ["book", "scene", "g_grp"], "left")
-    out = both.groupBy("book").agg(F.count(F.lit(1)).alias("accepted"), F.count_if(F.col("mapped").eqNullSafe(F.col("p_grp"))).alias("correct"))
+    counts = cells(pairs)
+    mapping = mapped(counts).withColumnRenamed("p_grp", "mapped")
+    both = counts.join(mapping, ["book", "scene", "g_grp"], "left")
+    out = both.groupBy("book").agg(F.sum("c").alias("accepted"), F.sum(F.when(F.col("mapped").eqNullSafe(F.col("p_grp")), F.col("c")).otherwise(0)).alias("correct"))
     low, high = wilson(F.col("correct"), F.col("accepted"))
     return out.withColumns({"accuracy": ratio(F.col("correct"), F.col("accepted")), "low": low, "high": high})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,27 @@ _own: list[str] = []
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the checkpoint folder, so that later rounds don't recompute it."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """df, computed once and kept as a table in the shared folder, so that later rounds don't recompute it."""
+    path = f"{shared_root(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def followed(nodes: DataFrame, owner: str = "book") -> DataFrame:
+    """owner, at: all that is reached from each owner's least `at` by going to `next` again and again.
+
+    nodes: owner, at, next (larger than at; none where the way ends). Jumps double in length from round to round, so a
+    way of n steps takes log n rounds, each of them joins.
+    """
+    jumps = settled(nodes.select(owner, "at", "next"))
+    known = settled(jumps.groupBy(owner).agg(F.min("at").alias("at")))
+    while True:
+        new = settled(known.join(jumps.filter("next IS NOT NULL"), [owner, "at"]).select(owner, F.col("next").alias("at")).join(jumps.select(owner, "at"), [owner, "at"], "left_semi"))
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+        far = jumps.select(owner, F.col("at").alias("next"), F.col("next").alias("_far"))
+        jumps = settled(jumps.filter("next IS NOT NULL").join(far, [owner, "next"], "left").select(owner, "at", F.col("_far").alias("next")).unionByName(jumps.filter("next IS NULL")))
 
 
 def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:

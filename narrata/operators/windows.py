@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.operators.graph import followed, settled
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -35,30 +36,68 @@ def policy(name: str | None) -> Policy:
     return POLICIES.get(name or "", POLICIES["context-1"])
 
 
+#: Positions of a cell in which running sums are taken by themselves.
+CELL = 1 << 16
+
+
+def running(rows: DataFrame, at: str, sums: dict[str, Column], owner: str = "book") -> DataFrame:
+    """Adds _i (the number of each row of an owner by position, from 0) and running sums, the row's own included.
+
+    Rows are counted and summed by cells of positions, and cells by owner, so that no task holds an owner's rows.
+    """
+    cut = rows.withColumn("_cell", F.floor(F.col(at) / CELL))
+    all_ = {"_i": F.lit(1).cast("long")} | sums
+    totals = cut.groupBy(owner, "_cell").agg(*[F.sum(c).alias(n) for n, c in all_.items()])
+    before = Window.partitionBy(owner).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(owner, "_cell", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_base{n}") for n in all_])
+    own = Window.partitionBy(owner, "_cell").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = cut.withColumns({f"_own{n}": F.sum(c).over(own) for n, c in all_.items()}).join(base, [owner, "_cell"])
+    t = t.withColumns({n: (F.col(f"_own{n}") + F.col(f"_base{n}")).cast("long") for n in all_})
+    return t.withColumn("_i", F.col("_i") - 1).drop("_cell", *[f"{x}{n}" for n in all_ for x in ("_own", "_base")])
+
+
+def last_within(rows: DataFrame, total: str, reach: Column, most: int, out: str, owner: str = "book") -> DataFrame:
+    """Adds out: the largest _i of the owner whose total isn't over reach; none where the row's own total is.
+
+    rows: owner, _i, and total, which never falls. reach is at most `most` beyond the row's own total, so what is
+    sought is in the reach's cell or the one before it: rows and reaches are sorted together by cell.
+    """
+    width = max(1, most)
+    asked = F.when(reach >= F.col(total), reach)
+    points = rows.select(owner, F.col(total).alias("_v"), F.lit(0).alias("_asks"), F.col("_i").alias("_p"), F.lit(None).cast("long").alias("_q"))
+    queries = rows.select(owner, asked.alias("_v"), F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_p"), F.col("_i").alias("_q")).filter("_v IS NOT NULL")
+    both = points.unionByName(queries).withColumn("_c", F.floor(F.col("_v") / width))
+    w = Window.partitionBy(owner, "_c").orderBy("_v", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_p", F.max("_p").over(w)).filter("_asks = 1")
+    tops = points.groupBy(owner, (F.floor(F.col("_v") / width) + 1).alias("_c")).agg(F.max("_p").alias("_top"))
+    found = seen.join(tops, [owner, "_c"], "left").select(owner, F.col("_q").alias("_i"), F.coalesce("_p", "_top").alias(out))
+    return rows.join(found, [owner, "_i"], "left")
+
+
+def numbered_from(rows: DataFrame, starts: DataFrame, out: str, owner: str = "book") -> DataFrame:
+    """Adds out: how many of the starts (owner, at: numbers _i) aren't beyond a row, less one."""
+    marked = rows.join(starts.select(owner, F.col("at").alias("_i"), F.lit(1).alias("_starts")), [owner, "_i"], "left")
+    counted = running(marked, "_i", {"_n": F.coalesce("_starts", F.lit(0))}, owner)
+    return counted.withColumn(out, F.col("_n") - 1).drop("_n", "_starts")
+
+
 def packed(targets: DataFrame, budget: int, most: int = 0) -> DataFrame:
     """Adds window and oversized to targets (book, start_cp, tokens, gap_before: tokens of the narration before).
 
     Each window takes targets in order while its quotes, and the narration between its first and last, fit the budget;
-    a target that alone doesn't fit has a window of its own. most: targets of a window at most, 0 for any number. The
-    fold is sequential within a book.
+    a target that alone doesn't fit has a window of its own. most: targets of a window at most, 0 for any number.
+    Where a window ends that begins at a target follows from running sums, for all targets at once; which targets begin one,
+    from following these ends from the first.
     """
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("start_cp", kind="stable")
-        window, held, quotes, between, out, big = -1, 0, 0, 0, [], []
-        for tokens, gap in zip(f["tokens"], f["gap_before"], strict=True):
-            over = tokens > budget
-            fits = held and not over and quotes + tokens + between + gap <= budget and not (most and held >= most)
-            if fits:
-                held, quotes, between = held + 1, quotes + tokens, between + gap
-            else:
-                window, held, quotes, between = window + 1, 0 if over else 1, 0 if over else tokens, 0
-            out.append(window)
-            big.append(over)
-        return f.assign(window=out, oversized=big)
-
-    schema = targets.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return targets.groupBy("book").applyInPandas(fold, f"{schema}, window: bigint, oversized: boolean")
+    whole = (F.col("tokens") + F.col("gap_before")).cast("long")
+    t = settled(running(targets, "start_cp", {"_sum": whole}))
+    # What the window's first target may add to: its own sum without its gap, less its tokens, and the budget.
+    t = last_within(t, "_sum", F.lit(budget) + F.col("_sum") - F.col("tokens"), budget, "_last")
+    end = F.greatest(F.coalesce("_last", F.col("_i")), F.col("_i")) + 1
+    next_ = F.least(end, F.col("_i") + most) if most else end
+    starts = followed(t.select("book", F.col("_i").alias("at"), next_.alias("next")))
+    out = numbered_from(t.drop("_last"), starts, "window").withColumn("oversized", F.col("tokens") > budget)
+    return out.select(*targets.columns, "window", "oversized")
 
 
 def overlap(windows: DataFrame, paragraphs: DataFrame, limit: int) -> DataFrame:
@@ -98,7 +137,7 @@ def dialogue_units(paragraphs: DataFrame, budget: int, most: int = 0) -> DataFra
     Paragraphs with quotes that follow one another are one block, unless a separator (explicit) begins there. A unit
     takes blocks while they, and the paragraph before the unit that it repeats (before), stay within budget, and not
     more than `most` quotes (0: any number); it never goes beyond a separator. A block that alone is over budget is a
-    unit that doesn't fit. The fold is sequential within a book.
+    unit that doesn't fit. Ends of units come from running sums, as those of windows do.
     """
     w = Window.partitionBy("book").orderBy("line")
     joins = F.col("has_quote") & F.coalesce(F.lag("has_quote").over(w), F.lit(False)) & ~F.col("explicit")
@@ -108,16 +147,16 @@ def dialogue_units(paragraphs: DataFrame, budget: int, most: int = 0) -> DataFra
     blocks = p.groupBy("book", "_block").agg(head.alias("h"), F.max("line").alias("last"), F.sum("tokens").alias("tokens"), F.sum(F.col("has_quote").cast("long")).alias("quotes"))
     blocks = blocks.select("book", F.col("h.line").alias("first"), "last", "tokens", "quotes", F.col("h._before").cast("long").alias("before"), F.col("h.explicit").alias("explicit"))
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        units: list[list] = []
-        for b in f.sort_values("first").itertuples(index=False):
-            u = units[-1] if units else None
-            more = u is not None and not b.explicit and u[4] + b.tokens + u[5] <= budget and not (most and u[6] + b.quotes > most)
-            if more:
-                u[3], u[4], u[6] = b.last, u[4] + b.tokens, u[6] + b.quotes
-            else:
-                units.append([b.book, len(units), b.first, b.last, b.tokens, b.before, b.quotes])
-        out = pd.DataFrame(units, columns=["book", "unit", "first", "last", "tokens", "before", "_q"]).drop(columns="_q")
-        return out.assign(fits=out["tokens"] + out["before"] <= budget)
-
-    return blocks.groupBy("book").applyInPandas(fold, "book long, unit long, first long, last long, tokens long, before long, fits boolean")
+    b = settled(running(blocks.withColumn("_quotes", F.col("quotes")), "first", {"_sum": F.col("tokens"), "_many": F.col("_quotes"), "_part": F.col("explicit").cast("long")}))
+    b = last_within(b, "_sum", F.lit(budget) - F.col("before") + F.col("_sum") - F.col("tokens"), budget, "_fit")
+    if most:
+        b = last_within(b, "_many", F.lit(most) + F.col("_many") - F.col("quotes"), most, "_count")
+    # A unit ends before the next separator: with the last block of its part.
+    b = b.join(b.groupBy("book", "_part").agg(F.max("_i").alias("_end")), ["book", "_part"])
+    ends = [F.coalesce("_fit", F.col("_i")), F.col("_end"), *([F.coalesce("_count", F.col("_i"))] if most else [])]
+    next_ = F.greatest(F.least(*ends), F.col("_i")) + 1
+    starts = followed(b.select("book", F.col("_i").alias("at"), next_.alias("next")))
+    u = numbered_from(b, starts, "unit").groupBy("book", "unit").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("tokens").cast("long").alias("tokens"), F.min_by("before", "_i").alias("before")
+    )
+    return u.withColumn("fits", F.col("tokens") + F.col("before") <= budget)
