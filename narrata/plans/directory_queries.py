@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import names
-from narrata.operators import decisions, graph, intervals, text
+from narrata.operators import decisions, evidence, graph, intervals, text
 from narrata.plans.dialogue_queries import n, query
 from narrata.plans.identity_queries import KEY, MERGE
 from narrata.plans.text_queries import MADE
@@ -80,7 +80,8 @@ def d44_mention_ranking(s, d):
     """Candidates for a range by how often its surroundings name them, and how near, up to a position."""
     seg = frame(s, d, "segments")
     people = seg.select("book", F.col("role").alias("name")).distinct()
-    met = people.join(seg.filter("end_cp <= 2200").select("book", "seg", "start_cp"), "book").filter(F.contains("seg", F.col("name")))
+    facts = people.select("book", F.col("name").alias("person"), F.lit("name").alias("kind"), F.col("name").alias("value"), F.lit(0).cast("long").alias("visible_from_cp"))
+    met = evidence.postings(facts, seg.filter("end_cp <= 2200").select("book", "start_cp", "end_cp", F.col("seg").alias("line"))).withColumnRenamed("person", "name")
     got = met.groupBy("book", "name").agg(F.count_if(F.col("start_cp").between(500, 1699)).alias("local"), F.min(F.abs(F.col("start_cp") - 1000)).alias("distance"))
     r = people.join(got, ["book", "name"], "left").select("book", "name", F.coalesce("local", F.lit(0)).alias("local"), F.coalesce("distance", F.lit(99999)).alias("distance"))
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("local"), "distance", "name")))

@@ -29,6 +29,15 @@ SQL = {
       FROM (SELECT *, quoted || CASE WHEN turn % 4 = 3 THEN chr(10) || '  ' WHEN turn % 4 = 2 THEN '' ELSE chr(10) || role || '。' END || CASE WHEN turn % 4 = 2 THEN '' ELSE chr(10) END AS seg
         FROM (SELECT *, '「' || t || CASE WHEN turn % 3 = 1 THEN '『in「ner」』' ELSE '' END || '」' AS quoted
           FROM (SELECT conv_id AS book, turn, role, replace(replace(replace(text, chr(10), ' '), '(', '['), ')', ']') AS t FROM conversations) x) y) z""",
+    "told": """SELECT book, turn, role, quoted, seg, CAST(coalesce(sum(length(seg)) OVER (PARTITION BY book ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_cp
+      FROM (SELECT *, quoted || CASE (book + turn) % 9 WHEN 0 THEN role || '说道。' WHEN 1 THEN chr(10) || 'a' || substring(role, 1, 4) || '，低声回答他' WHEN 2 THEN '少年没有回答，她问' WHEN 3 THEN '说' WHEN 4 THEN '——' || role || '忽然说：'
+          WHEN 5 THEN substring(t, 1, 25) || '喊道' WHEN 6 THEN substring(t, 1, 45) || '叫' WHEN 7 THEN '他、她道' ELSE '' END || chr(10) AS seg
+        FROM (SELECT conv_id AS book, turn, role, replace(text, chr(10), ' ') AS t, '「' || replace(text, chr(10), ' ') || '」' AS quoted FROM conversations) x) y""",
+    "naming": """SELECT book, role AS person, 'designation' AS kind, role AS value, CAST(0 AS BIGINT) AS visible_from_cp FROM segments GROUP BY book, role
+      UNION ALL SELECT book, role, 'name', max(substring(quoted, 2, 9)), min(start_cp) + 900 FROM segments GROUP BY book, role
+      UNION ALL SELECT book, role, 'alias', max(substring(quoted, 12, 3)), min(end_cp) FROM segments GROUP BY book, role
+      UNION ALL SELECT book, 'guest' || turn, 'alias', substring(quoted, 5, 5), start_cp FROM segments WHERE turn > 2
+      UNION ALL SELECT book, 'guest' || turn, 'designation', 'the ' || substring(quoted, 5, 2), start_cp FROM segments WHERE turn > 3""",
     "headed": """SELECT book, turn * 4 + j AS line, body, CASE WHEN turn = last AND j = 3 AND book % 2 = 1 THEN '' ELSE sep END AS sep FROM (
       SELECT conv_id AS book, turn, j, max(turn) OVER (PARTITION BY conv_id) AS last,
         CASE j WHEN 0 THEN CASE WHEN turn = 0 AND conv_id % 2 = 1 THEN 'preface' WHEN turn % 4 = 0 THEN '第' || (turn + 1) || '章 起' WHEN turn % 4 = 1 THEN '第' || turn || '节，正文、行' WHEN turn % 4 = 2 THEN '序章' ELSE 'plain ' || role END
