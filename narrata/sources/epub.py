@@ -5,18 +5,18 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html import escape
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of an archive and bytes of one, at most.
-MOST_ENTRIES, MOST_BYTES = 10_000, 256 << 20
 MEDIA = "application/epub+zip"
-BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"}
+BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "div", "section", "td", "th"}
 
 
 class BadBook(ValueError):
@@ -48,24 +48,30 @@ def build(title: str, chapters: list[tuple[str, list[str]]], annotations: str =
     return out.getvalue()
 
 
-def entries(raw: bytes) -> dict[str, bytes]:
-    """The files of an archive by name. Names that lead outside, occur twice or are encrypted, links, and too much are refused."""
+def entries(raw: bytes, most_entries: int = 0, most_bytes: int = 0) -> dict[str, bytes]:
+    """The files of an archive by name. Names that lead outside, occur twice or are encrypted, links, and damage are refused.
+
+    most_entries, most_bytes: of an archive, and of an entry; 0 for any number.
+    """
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
     except zipfile.BadZipFile as e:
         raise BadBook("not an archive") from e
     out: dict[str, bytes] = {}
     infos = z.infolist()
-    if len(infos) > MOST_ENTRIES:
+    if most_entries and len(infos) > most_entries:
         raise BadBook("too many entries")
     for i in infos:
         name = i.filename
         if name.startswith("/") or "\\" in name or ".." in name.split("/") or ":" in name.split("/")[0]:
             raise BadBook(f"unsafe name {name[:80]!r}")
-        if i.flag_bits & 1 or (i.external_attr >> 16) & 0o170000 == 0o120000 or i.file_size > MOST_BYTES or name in out:
+        if i.flag_bits & 1 or (i.external_attr >> 16) & 0o170000 == 0o120000 or most_bytes and i.file_size > most_bytes or name in out:
             raise BadBook(f"entry {name[:80]!r} is refused")
         if not i.is_dir():
-            out[name] = z.read(i)
+            try:
+                out[name] = z.read(i)
+            except (zlib.error, zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError) as e:
+                raise BadBook(f"entry {name[:80]!r} is damaged") from e
     return out
 
 
@@ -85,12 +91,27 @@ def _local(e: ElementTree.Element) -> str:
 
 
 def blocks_of(page: ElementTree.Element) -> Iterator[tuple[str, str]]:
-    """(tag, text) of the blocks of a page, white space collapsed, empty ones left out."""
-    for e in page.iter():
+    """(tag, text) of the blocks of a page, white space collapsed, empty ones left out.
+
+    A block goes from where an element opens it to where the next one does, so that nothing comes twice or is lost.
+    """
+    found: list[tuple[str, list[str]]] = [("p", [])]
+    left: list[ElementTree.Element | str] = [page]
+    while left:
+        e = left.pop()
+        if isinstance(e, str):
+            found[-1][1].append(e)
+            continue
+        if _local(e) in ("head", "script", "style"):
+            continue
         if _local(e) in BLOCKS:
-            text = " ".join("".join(e.itertext()).split())
-            if text:
-                yield _local(e), text
+            found.append((_local(e), []))
+        for child in reversed(e):
+            left += [child.tail or "", child]
+        left.append(e.text or "")
+    for tag, parts in found:
+        if text := " ".join("".join(parts).split()):
+            yield tag, text
 
 
 def read(raw: bytes) -> tuple[dict[str, str], list[tuple[int, int, str, str, str]]]:
@@ -101,7 +122,7 @@ def read(raw: bytes) -> tuple[dict[str, str], list[tuple[int, int, str, str, str
     roots = [e.get("full-path", "") for e in _tree(files, "META-INF/container.xml").iter() if _local(e) == "rootfile"]
     opf = _tree(files, roots[0] if roots else "")
     home = posixpath.dirname(roots[0])
-    at = lambda href: posixpath.normpath(posixpath.join(home, href.partition("#")[0]))
+    at = lambda href: posixpath.normpath(posixpath.join(home, unquote(href.partition("#")[0])))
     manifest = {e.get("id"): e for e in opf.iter() if _local(e) == "item"}
     toc: dict[str, str] = {}
     for item in manifest.values():
@@ -119,6 +140,40 @@ def read(raw: bytes) -> tuple[dict[str, str], list[tuple[int, int, str, str, str
     return toc, rows
 
 
+def members(files: DataFrame, key: str = "book", most_entries: int = 0, most_bytes: int = 0) -> DataFrame:
+    """key, name, content, error: the files in each archive; an archive that can't be read gives one row, with the error."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, raw in zip(f[key], f["content"], strict=True):
+                try:
+                    rows = [(k, name, data, None) for name, data in entries(bytes(raw or b""), most_entries, most_bytes).items()]
+                except BadBook as e:
+                    rows = [(k, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=[key, "name", "content", "error"])
+
+    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, name string, content binary, error string")
+
+
+def zipped(files: DataFrame) -> DataFrame:
+    """book, content: an archive of each book's files (book, name, text), its type first and stored as it is."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("name") != "mimetype", "name", "text")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = []
+            for parts in f["rows"]:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for x in parts:
+                        z.writestr(zipfile.ZipInfo(x["name"]), x["text"], zipfile.ZIP_STORED if x["name"] == "mimetype" else zipfile.ZIP_DEFLATED)
+                made.append(out.getvalue())
+            yield pd.DataFrame({"book": f["book"], "content": made})
+
+    return files.groupBy("book").agg(rows.alias("rows")).mapInPandas(run, "book long, content binary")
+
+
 def built(paragraphs: DataFrame) -> DataFrame:
     """book, content: an EPUB for each book of paragraphs (book, chapter, title, position, text)."""
     rows = F.array_sort(F.collect_list(F.struct("chapter", "position", "title", "text")))
