@@ -315,13 +315,16 @@ def o5_anchors_of_edges(s, d):
     return frame(s, d, "facts").withColumn("dist", dist).withColumn("k", F.row_number().over(w)).filter("k <= 2").select("person", "idx", "dist")
 
 
-@query("SELECT * FROM (VALUES ('', 50, NULL), ('1', 1, NULL), ('200', 200, NULL), ('0', NULL, 'out_of_range'), ('201', NULL, 'out_of_range'), ('x', NULL, 'not_a_number'), ('-3', NULL, 'out_of_range')) t(raw, value, error)")
+@query("""WITH r AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN '' WHEN n_chars < 600 THEN lang ELSE CAST(n_chars - 800 AS VARCHAR) END AS raw FROM documents), v AS (SELECT *, CASE WHEN raw = '' THEN 50 ELSE TRY_CAST(raw AS INTEGER) END AS number FROM r)
+SELECT doc_id, raw, CASE WHEN number BETWEEN 1 AND 200 THEN number END AS value, CASE WHEN number IS NULL THEN 'not_a_number' WHEN number NOT BETWEEN 1 AND 200 THEN 'out_of_range' END AS error FROM v""")
 def o7_limits(s, d):
     """Limits of a page as given: 50 if none, 200 at most."""
-    t = s.createDataFrame([(x,) for x in ("", "1", "200", "0", "201", "x", "-3")], "raw string")
+    size = F.col("n_chars")
+    raw = F.when(size < 300, "").when(size < 600, F.col("lang")).otherwise((size - 800).cast("string"))
+    t = table(s, d, "documents").select("doc_id", raw.alias("raw"))
     number = F.when(F.col("raw") == "", F.lit(50)).otherwise(F.col("raw").try_cast("int"))
     ok = number.between(1, 200)
-    return t.select("raw", F.when(ok, number).alias("value"), F.when(number.isNull(), "not_a_number").when(~ok, "out_of_range").alias("error"))
+    return t.select("doc_id", "raw", F.when(ok, number).alias("value"), F.when(number.isNull(), "not_a_number").when(~ok, "out_of_range").alias("error"))
 
 
 @query(with_sql("outputs") + "SELECT tag, count(*) AS quotes, count(DISTINCT book) AS books FROM (SELECT book, unnest(list_filter([kind, assignment, basis, CASE WHEN e_prev IS NULL THEN 'alone' END], lambda x: x IS NOT NULL)) AS tag FROM outputs) GROUP BY 1")

@@ -44,10 +44,19 @@ def t1_nested_quotes(s, d):
     return story_quotes(s, d).select("book", "quote_id", "start_cp", "end_cp", "delimiter", "depth", "parent_id", "kind_hint")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{c}', '{text.NAMES[o]}', {repr(text.HINTS[o]) if o in text.HINTS else 'NULL'}, {repr(text.HINTS[o]) if o in text.HINTS else chr(39) + 'quotation' + chr(39) if o == '『' else 'NULL'})" for o, c in text.PAIRS.items()) + ") t(opening, closing, delimiter, hint, nested_hint)")
+_PAIRS = ", ".join(f"('{o}', '{c}', '{text.NAMES[o]}', {repr(text.HINTS[o]) if o in text.HINTS else 'NULL'}, {repr(text.HINTS[o]) if o in text.HINTS else chr(39) + 'quotation' + chr(39) if o == '『' else 'NULL'})" for o, c in text.PAIRS.items())
+
+
+@query(with_sql("story") + f"""SELECT opening, closing, delimiter, hint, nested_hint, (SELECT count(*) FROM (SELECT unnest(string_split(seg, '')) AS c FROM story) WHERE c = opening) AS opened, (SELECT count(*) FROM (SELECT unnest(string_split(seg, '')) AS c FROM story) WHERE c = closing) AS closed
+FROM (VALUES {_PAIRS}) t(opening, closing, delimiter, hint, nested_hint)""")
 def t2_delimiters(s, d):
+    """Every pair of delimiters with the kinds that it hints at, and how often the texts open and close it."""
     rows = [(o, c, text.NAMES[o], text.HINTS.get(o), "quotation" if o == "『" else text.HINTS.get(o)) for o, c in text.PAIRS.items()]
-    return s.createDataFrame(rows, "opening string, closing string, delimiter string, hint string, nested_hint string")
+    pairs = s.createDataFrame(rows, "opening string, closing string, delimiter string, hint string, nested_hint string")
+    held = lambda c: F.sum(F.length("seg") - F.length(F.replace("seg", F.lit(c), F.lit("")))).cast("long")
+    seen = frame(s, d, "story").agg(*[F.struct(F.lit(o).alias("opening"), F.coalesce(held(o), F.lit(0)).alias("opened"), F.coalesce(held(c), F.lit(0)).alias("closed")).alias(f"p{k}") for k, (o, c) in enumerate(text.PAIRS.items())])
+    counts = seen.select(F.explode(F.array(*seen.columns)).alias("p")).select("p.*")
+    return pairs.join(counts, "opening")
 
 
 @query(MADE + """SELECT s.book, coalesce(q, 0) AS quotes, coalesce(t, 0) AS top_level_quotes, coalesce(bad, 0) AS warnings, 0 AS abandoned_open_quotes, 0 AS stray_closes, 0 AS unclosed_quotes,

@@ -61,10 +61,18 @@ def d3_overlap_ranges(s, d):
     return windows.overlap(w, p, 200).select("book", F.col("window").alias("win"), "start_cp")
 
 
-@query("SELECT * FROM (VALUES ('context-1', 2500, 200, 300, false, 0, false, false, 0), ('context-2', 2500, 200, 300, true, 3, false, false, 0), ('context-chapter-1', 32000, 200, 300, false, 0, true, false, 0), ('context-chapter-2', 32000, 200, 300, false, 0, true, true, 0), ('context-chapter-3', 32000, 200, 300, false, 0, true, true, 128), ('unheard-of', 2500, 200, 300, false, 0, false, false, 0)) t(name, context_tokens, overlap_tokens, state_tokens, gap_compression, recheck_max_targets, full_source, dialogue_blocks, dialogue_target_limit)")
+_POLICIES = """('context-1', 2500, 200, 300, false, 0, false, false, 0), ('context-2', 2500, 200, 300, true, 3, false, false, 0), ('context-chapter-1', 32000, 200, 300, false, 0, true, false, 0), ('context-chapter-2', 32000, 200, 300, false, 0, true, true, 0), ('context-chapter-3', 32000, 200, 300, false, 0, true, true, 128), ('unheard-of', 2500, 200, 300, false, 0, false, false, 0)"""
+_NAMED = with_sql("runs") + ", named AS (SELECT CASE win WHEN 0 THEN 'context-1' WHEN 1 THEN 'context-2' WHEN 2 THEN 'context-chapter-1' WHEN 3 THEN 'context-chapter-2' WHEN 4 THEN 'context-chapter-3' ELSE 'unheard-of' END AS name FROM runs) "
+
+
+@query(_NAMED + f"SELECT t.*, (SELECT count(*) FROM named n WHERE n.name = t.name) AS runs FROM (VALUES {_POLICIES}) t(name, context_tokens, overlap_tokens, state_tokens, gap_compression, recheck_max_targets, full_source, dialogue_blocks, dialogue_target_limit)")
 def d7_policies(s, d):
-    rows = [(k, *asdict(windows.policy(k)).values()) for k in (*windows.POLICIES, "unheard-of")]
-    return s.createDataFrame(rows, "name string, context_tokens int, overlap_tokens int, state_tokens int, gap_compression boolean, recheck_max_targets int, full_source boolean, dialogue_blocks boolean, dialogue_target_limit int")
+    """What each policy allows, and how many runs name it."""
+    names = [*windows.POLICIES, "unheard-of"]
+    rows = [(k, *asdict(windows.policy(k)).values()) for k in names]
+    told = s.createDataFrame(rows, "name string, context_tokens int, overlap_tokens int, state_tokens int, gap_compression boolean, recheck_max_targets int, full_source boolean, dialogue_blocks boolean, dialogue_target_limit int")
+    named = F.coalesce(F.get(F.array(*map(F.lit, names[:-1])), F.col("win").cast("int")), F.lit(names[-1]))
+    return told.join(frame(s, d, "runs").groupBy(named.alias("name")).agg(n("runs")), "name", "left").na.fill(0, ["runs"])
 
 
 @query(with_sql("segments") + f", c AS (SELECT book, turn, sum({est('seg')}) OVER (PARTITION BY book ORDER BY turn) AS total FROM segments) SELECT book, count(*) FILTER (total <= 900) AS kept, CAST(coalesce(max(total) FILTER (total <= 900), 0) AS BIGINT) AS used, count(*) FILTER (total > 900) AS left_out FROM c GROUP BY 1")
@@ -161,15 +169,20 @@ def x32_recovery_actions(s, d):
 STRATEGIES = ["legacy", "complete", "complete-review", "complete-blocks", "complete-blocks-review", "complete-blocks-isolated", "complete-blocks-isolated-review", "complete-blocks-isolated-feedback-review"]
 
 
-@query("SELECT * FROM (VALUES ('legacy', NULL, NULL, NULL, NULL, NULL), ('complete', 'context-chapter-1', 'expression-production-1', NULL, NULL, NULL), ('complete-review', 'context-chapter-1', 'expression-production-1', NULL, 'expression-evidence-review-1', NULL), ('complete-blocks', 'context-chapter-3', 'expression-production-1', NULL, NULL, NULL), ('complete-blocks-review', 'context-chapter-3', 'expression-production-1', NULL, 'expression-evidence-review-1', NULL), ('complete-blocks-isolated', 'context-chapter-3', 'expression-production-1', 'expression-auxiliary-isolation-1', NULL, NULL), ('complete-blocks-isolated-review', 'context-chapter-3', 'expression-production-1', 'expression-auxiliary-isolation-1', 'expression-evidence-review-1', NULL), ('complete-blocks-isolated-feedback-review', 'context-chapter-3', 'expression-production-1', 'expression-auxiliary-isolation-1', 'expression-evidence-review-1', 'identity-feedback-1')) t(strategy, context_policy, output_protocol, auxiliary_protocol, review_protocol, feedback_protocol)")
+_STRATEGIES = """('legacy', NULL, NULL, NULL, NULL, NULL), ('complete', 'context-chapter-1', 'expression-production-1', NULL, NULL, NULL), ('complete-review', 'context-chapter-1', 'expression-production-1', NULL, 'expression-evidence-review-1', NULL), ('complete-blocks', 'context-chapter-3', 'expression-production-1', NULL, NULL, NULL), ('complete-blocks-review', 'context-chapter-3', 'expression-production-1', NULL, 'expression-evidence-review-1', NULL), ('complete-blocks-isolated', 'context-chapter-3', 'expression-production-1', 'expression-auxiliary-isolation-1', NULL, NULL), ('complete-blocks-isolated-review', 'context-chapter-3', 'expression-production-1', 'expression-auxiliary-isolation-1', 'expression-evidence-review-1', NULL), ('complete-blocks-isolated-feedback-review', 'context-chapter-3', 'expression-production-1', 'expression-auxiliary-isolation-1', 'expression-evidence-review-1', 'identity-feedback-1')"""
+
+
+@query(with_sql("runs") + f"SELECT t.*, count(r.run) AS runs FROM (VALUES {_STRATEGIES}) t(strategy, context_policy, output_protocol, auxiliary_protocol, review_protocol, feedback_protocol) LEFT JOIN runs r ON t.strategy = CASE WHEN r.state = 'FAILED' THEN 'legacy' WHEN r.state = 'DISPATCHED' THEN 'complete-review' WHEN r.win = 3 THEN 'complete-blocks-isolated' ELSE 'complete' END GROUP BY ALL")
 def x34_strategies(s, d):
-    """What a named strategy stands for."""
+    """What a named strategy stands for, and how many runs took it."""
     t, c = s.createDataFrame([(x,) for x in STRATEGIES], "strategy string"), F.col("strategy")
+    took = F.when(F.col("state") == "FAILED", "legacy").when(F.col("state") == "DISPATCHED", "complete-review").when(F.col("win") == 3, "complete-blocks-isolated").otherwise("complete")
+    t = t.join(frame(s, d, "runs").groupBy(took.alias("strategy")).agg(n("runs")), "strategy", "left").na.fill(0, ["runs"])
     new = c != "legacy"
     return t.select(
         "strategy", F.when(new, F.when(c.startswith("complete-blocks"), "context-chapter-3").otherwise("context-chapter-1")).alias("context_policy"),
         F.when(new, "expression-production-1").alias("output_protocol"), F.when(c.contains("-isolated"), "expression-auxiliary-isolation-1").alias("auxiliary_protocol"),
-        F.when(c.endswith("-review"), "expression-evidence-review-1").alias("review_protocol"), F.when(c.contains("-feedback"), "identity-feedback-1").alias("feedback_protocol"),
+        F.when(c.endswith("-review"), "expression-evidence-review-1").alias("review_protocol"), F.when(c.contains("-feedback"), "identity-feedback-1").alias("feedback_protocol"), "runs",
     )
 
 
