@@ -105,10 +105,24 @@ def overlap(windows: DataFrame, paragraphs: DataFrame, limit: int) -> DataFrame:
 
     windows: book, window, at (its start); paragraphs: book, p_start, p_end, tokens.
     """
-    before = windows.join(paragraphs, "book").filter("p_end <= at")
-    w = Window.partitionBy("book", "window").orderBy(F.desc("p_start"))
-    ranked = before.withColumns({"sum": F.sum("tokens").over(w), "k": F.row_number().over(w)}).filter((F.col("k") == 1) | (F.col("sum") <= limit))
-    return ranked.groupBy("book", "window").agg(F.min("p_start").alias("start_cp"))
+    p = running(paragraphs.withColumn("tokens", F.col("tokens").cast("long")), "p_start", {"_sum": F.col("tokens")})
+    p = settled(p.withColumn("_before", F.col("_sum") - F.col("tokens")).select("book", "_i", "p_start", "p_end", "_sum", "_before"))
+    # From which paragraph on the limit is kept up to each one: the first whose sum of what lies before it is large enough.
+    width = limit + 1
+    points = p.select("book", F.col("_before").alias("_v"), F.lit(1).alias("_asks"), F.col("_i").alias("_p"), F.lit(None).cast("long").alias("_q"))
+    asks = p.select("book", (F.col("_sum") - limit).alias("_v"), F.lit(0).alias("_asks"), F.lit(None).cast("long").alias("_p"), F.col("_i").alias("_q"))
+    both = points.unionByName(asks).withColumn("_c", F.floor(F.col("_v") / width))
+    later = Window.partitionBy("book", "_c").orderBy("_v", "_asks").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    seen = both.withColumn("_p", F.min("_p").over(later)).filter("_asks = 0")
+    firsts = points.groupBy("book", (F.floor(F.col("_v") / width) - 1).alias("_c")).agg(F.min("_p").alias("_low"))
+    reach = seen.join(firsts, ["book", "_c"], "left").select("book", F.col("_q").alias("_i"), F.coalesce("_p", "_low").alias("_k"))
+    from_ = p.join(reach, ["book", "_i"], "left").select("book", "p_end", F.least(F.coalesce("_k", F.col("_i")), F.col("_i")).alias("_i"))
+    starts = from_.join(p.select("book", "_i", "p_start"), ["book", "_i"]).select("book", "p_end", "p_start")
+    # The last paragraph that ends by then: windows and paragraphs are sorted together.
+    ends = starts.select("book", F.col("p_end").alias("at"), F.lit(0).alias("_asks"), F.col("p_start").alias("start_cp"), F.lit(None).cast("long").alias("window"))
+    every = ends.unionByName(windows.select("book", "at", F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("start_cp"), "window"))
+    last = F.last("start_cp", True).over(Window.partitionBy("book").orderBy("at", "_asks", "start_cp").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return every.withColumn("start_cp", last).filter("_asks = 1 AND start_cp IS NOT NULL").select("book", "window", "start_cp")
 
 
 def evidence(items: DataFrame, budget: int, horizon: int) -> DataFrame:

@@ -150,8 +150,8 @@ def x17_offline_repair(s, d):
     """Unknown quotes take the latest answer that was stored for them, if its evidence is still the same."""
     u = frame(s, d, "outputs").filter("assignment = 'UNKNOWN' OR basis = 'STYLE_ONLY'").select("quote_id", "speaker", (F.col("k") % 97).alias("j"))
     r = frame(s, d, "runs").filter("state = 'SUCCEEDED'").select("run", "created_at", (F.col("run") % 97).alias("j"))
-    got = u.join(r, "j").groupBy("quote_id", "speaker").agg(F.max_by("run", F.struct("created_at", "run")).alias("run"))
-    return got.withColumn("accepted", F.col("run") % 2 == 0)
+    latest = r.groupBy("j").agg(F.max_by("run", F.struct("created_at", "run")).alias("run"))
+    return u.join(latest, "j").select("quote_id", "speaker", "run", (F.col("run") % 2 == 0).alias("accepted"))
 
 
 @query(with_sql("outputs") + """, g AS (SELECT book, CAST(floor(turn / 3) AS BIGINT) AS scene, speaker, min((start_cp, quote_id)) AS f, count(*) AS quotes, max(end_cp) AS last FROM outputs GROUP BY 1, 2, 3)
@@ -230,7 +230,9 @@ def x33_resume_admission(s, d):
     active = r.filter("state = 'DISPATCHED'").select(F.col("job").alias("other"), (F.col("run") % 50).alias("target")).distinct()
     paused = r.filter("state = 'UNKNOWN_OUTCOME'")
     mine = paused.filter("run % 10 = 2").select("job", (F.col("run") % 50).alias("target")).distinct()
-    taken = mine.join(active, "target").filter("other <> job").select("job").distinct().withColumn("taken", F.lit(True))
+    # Another job than one's own is there if the first or the last of a target's jobs is another.
+    held = active.groupBy("target").agg(F.min("other").alias("first"), F.max("other").alias("last"))
+    taken = mine.join(held, "target").filter("first <> job OR last <> job").select("job").distinct().withColumn("taken", F.lit(True))
     return paused.select("job").distinct().join(taken, "job", "left").select("job", F.col("taken").isNull().alias("admitted"))
 
 

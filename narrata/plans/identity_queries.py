@@ -301,8 +301,15 @@ def x11_scene_of_quote(s, d):
     """A quote's own scene, else the latest one that began before it and isn't over."""
     a = frame(s, d, "outputs").select("book", "quote_id", F.col("start_cp").alias("at"), F.when(F.col("k") % 3 == 0, F.floor(F.col("turn") / 3)).alias("own"))
     sc = frame(s, d, "scenes").select("book", "scene", F.col("start_cp").alias("s0"), F.when(F.col("scene") % 2 == 1, F.col("end_cp")).alias("e0"))
-    met = a.join(sc, "book").filter("s0 <= at AND (e0 IS NULL OR e0 > at)").groupBy("quote_id").agg(F.max_by("scene", "s0").alias("latest"))
-    return a.join(met, "quote_id", "left").select("quote_id", F.coalesce("own", "latest").alias("scene"))
+    # Scenes that have ended hold a quote as ranges; of those that go on, the latest to begin counts.
+    ended = intervals.containing(a, sc.filter("e0 IS NOT NULL").select("book", "scene", F.col("s0").alias("r_start"), F.col("e0").alias("r_end")))
+    ended = ended.select("quote_id", F.struct(F.col("r_start").alias("s0"), "scene").alias("x"))
+    begun = sc.filter("e0 IS NULL").select("book", F.col("s0").alias("at"), F.lit(0).alias("asks"), F.struct("s0", "scene").alias("x"), F.lit(None).cast("string").alias("quote_id"))
+    asked = begun.unionByName(a.select("book", "at", F.lit(1).alias("asks"), F.lit(None).cast(begun.schema["x"].dataType).alias("x"), "quote_id"))
+    last = F.last("x", True).over(Window.partitionBy("book").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    open_ = asked.withColumn("x", last).filter("asks = 1 AND x IS NOT NULL").select("quote_id", "x")
+    met = ended.unionByName(open_).groupBy("quote_id").agg(F.max("x").alias("latest"))
+    return a.join(met, "quote_id", "left").select("quote_id", F.coalesce("own", "latest.scene").alias("scene"))
 
 
 @query(with_sql("outputs", "scenes", "chapters") + """SELECT o.quote_id, CASE WHEN s.scene IS NOT NULL THEN s.start_cp WHEN c.ordinal IS NOT NULL THEN c.start_cp ELSE 0 END AS start_cp,

@@ -89,3 +89,26 @@ def test_the_last_within_reach(spark):
     for x in windows.last_within(df, "total", F.col("total") + F.col("more"), 60, "last").collect():
         below = [k for k, v in enumerate(totals) if v <= x.total + x.more]
         assert x.last == (below[-1] if x.more >= 0 else None)
+
+
+def test_overlap_against_a_walk(spark):
+    r = random.Random(1)
+    paragraphs, at = [], 0
+    for _ in range(120):
+        n = r.choice([1, 7, 30])
+        paragraphs.append((1, at, at + n, r.choice([0, 1, 10, 40, 150])))
+        at += n + r.choice([0, 2])
+    starts = [(1, k, r.randrange(at + 20)) for k in range(60)] + [(2, 0, 5)]
+    want = set()
+    for _, k, x in starts[:-1]:
+        before = [p for p in paragraphs if p[2] <= x]
+        if before:
+            first, total = before[-1], before[-1][3]
+            for p in reversed(before[:-1]):
+                total += p[3]
+                if total > 100:
+                    break
+                first = p
+            want.add((1, k, first[1]))
+    got = windows.overlap(spark.createDataFrame(starts, "book long, window long, at long"), spark.createDataFrame(paragraphs, "book long, p_start long, p_end long, tokens long"), 100)
+    assert {tuple(x) for x in got.collect()} == want
