@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import names
-from narrata.operators import decisions, evidence, graph, intervals, text
+from narrata.operators import decisions, evidence, graph, intervals, markup, text
 from narrata.plans.dialogue_queries import n, query
 from narrata.plans.identity_queries import KEY, MERGE
 from narrata.plans.text_queries import MADE
@@ -297,14 +297,14 @@ def x51_auto_merge_apply(s, d):
     return g.filter("members > 1").select("target", "members", ((named | F.col("speakers")) & ~F.col("changed")).alias("applied"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS base, 'rt' || doc_id AS rt FROM documents WHERE text <> '') SELECT doc_id, 'x' || base || ' y' AS text, CAST(1 AS BIGINT) AS start_cp, CAST(1 + length(base) AS BIGINT) AS end_cp, rt FROM w WHERE NOT regexp_matches(base, '[<>&]')""")
+@query("SELECT doc_id, 'x' || text || ' y' AS text, CAST(1 AS BIGINT) AS start_cp, CAST(1 + length(text) AS BIGINT) AS end_cp, 'rt' || doc_id AS rt FROM documents")
 def s11_ruby(s, d):
     """Ruby: the base text stays, what is said of it is kept with its range, brackets for old readers go."""
-    base = F.element_at(F.split("text", " "), 1)
+    base = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit({"&": "&amp;", "<": "&lt;", ">": "&gt;"}[x])), "&<>", F.col("text"))
     ruby = F.concat(F.lit("x<ruby>"), base, F.lit("<rp>(</rp><rt>rt"), F.col("doc_id").cast("string"), F.lit("</rt><rp>)</rp></ruby> y"))
-    r = table(s, d, "documents").filter("text <> ''").filter(~base.rlike("[<>&]")).select("doc_id", ruby.alias("h"))
+    r = table(s, d, "documents").select("doc_id", ruby.alias("h"))
     parts = "(?s)^(.*?)<ruby>(.*?)<rp>.*?</rp><rt>(.*?)</rt><rp>.*?</rp></ruby>(.*)$"
-    g = lambda k: F.regexp_extract("h", parts, k)
+    g = lambda k: markup.unescaped(F.regexp_extract("h", parts, k))
     start = F.length(g(1)).cast("long")
     return r.select("doc_id", F.concat(g(1), g(2), g(4)).alias("text"), start.alias("start_cp"), (start + F.length(g(2))).alias("end_cp"), g(3).alias("rt"))
 

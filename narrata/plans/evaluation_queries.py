@@ -161,7 +161,7 @@ def d42_merged_books(s, d):
 
 #: The texts of gaps: documents with full stops and some cues in them.
 GAP = "replace(replace(text, '.', '。'), 'dly', '说')"
-COMPRESSED = f"""WITH g AS (SELECT doc_id, {GAP} AS t FROM documents WHERE text <> ''), p AS (SELECT doc_id, length(t) AS n, regexp_extract_all(t, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$') AS p FROM g),
+COMPRESSED = f"""WITH g AS (SELECT doc_id, {GAP} AS t FROM documents), p AS (SELECT doc_id, length(t) AS n, regexp_extract_all(t, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$') AS p FROM g),
 x AS (SELECT doc_id, n, unnest(p) AS s, generate_subscripts(p, 1) AS k, len(p) AS many FROM p WHERE n > 80 AND len(p) >= 3),
 o AS (SELECT *, sum(length(s)) OVER w AS e, CASE WHEN regexp_matches(s, '[「」『』“”"'']') OR regexp_matches(s, '{"|".join(text.CUES)}') OR k = 1 OR k = many THEN 1 ELSE 0 END AS hit FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
 k AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM o),
@@ -172,7 +172,7 @@ spans AS (SELECT doc_id, true AS kept, CAST(min(e - length(s)) AS BIGINT) AS sta
 
 
 def gap_texts(s, d):
-    return table(s, d, "documents").filter("text <> ''").select("doc_id", F.replace(F.replace("text", F.lit("."), F.lit("。")), F.lit("dly"), F.lit("说")).alias("text"))
+    return table(s, d, "documents").select("doc_id", F.replace(F.replace("text", F.lit("."), F.lit("。")), F.lit("dly"), F.lit("说")).alias("text"))
 
 
 @query(COMPRESSED + "SELECT * FROM spans")

@@ -181,9 +181,9 @@ def x26_snapshot_ranges(s, d):
     )
 
 
-@query(BLOCKS + "SELECT page_id, block, text FROM b WHERE block < 12 AND page_id % 2 = 0")
+@query(BLOCKS + "SELECT page_id, block, text FROM b WHERE block < 12")
 def x27_sample_blocks(s, d):
-    return pages.blocks(table(s, d, "pages").filter("page_id % 2 = 0")).filter("block < 12")
+    return pages.blocks(table(s, d, "pages")).filter("block < 12")
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN (event_id - 1) // 3 END AS parent, event_type = 'purchase' AS included FROM events), k AS (SELECT id, parent FROM e WHERE included UNION SELECT e.id, e.parent FROM k JOIN e ON e.id = k.parent)

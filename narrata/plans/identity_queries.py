@@ -35,9 +35,9 @@ def fn_fuller_names(s, d):
     return frame(s, d, "people").select("person", names.fuller(current, F.col("name")).alias("name"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(floor((i - 16 + 1) * CAST(137.508 AS DOUBLE) % 360 * 1000) AS BIGINT) AS hue, least(60.0, 1.0 * pow(2.0, i % 9)) AS wait FROM (SELECT c_custkey AS i FROM customer WHERE c_custkey >= 16)")
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(floor((i - 16 + 1) * CAST(137.508 AS DOUBLE) % 360 * 1000) AS BIGINT) AS hue, least(60.0, 1.0 * pow(2.0, i % 9)) AS wait FROM (SELECT c_custkey + 15 AS i FROM customer)")
 def fn_colors_and_waits(s, d):
-    c = table(s, d, "customer").filter("c_custkey >= 16").select(F.col("c_custkey").alias("i"))
+    c = table(s, d, "customer").select((F.col("c_custkey") + 15).alias("i"))  # the first sixteen colours are given
     return c.select("i", colors.hue(F.col("i")).alias("hue"), colors.backoff(F.col("i") % 9).alias("wait"))
 
 

@@ -25,8 +25,8 @@ def fn_sql_split_sentences(s, d):
 
 
 @query("""SELECT lang, CAST(sum(w + CAST(floor((length(text) - w + 3) / 4) AS BIGINT)) AS BIGINT) AS tokens, count(*) AS texts, 'utf-8' AS encoding FROM (
-  SELECT lang, text, length(text) - length(regexp_replace(text, '[\\x{3400}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{3000}-\\x{303F}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{2FA1F}]', '', 'g')) AS w FROM documents WHERE text <> '') GROUP BY 1""")
+  SELECT lang, text, length(text) - length(regexp_replace(text, '[\\x{3400}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{3000}-\\x{303F}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{2FA1F}]', '', 'g')) AS w FROM documents) GROUP BY 1""")
 def fn_sql_tokens_of_bytes(s, d):
     """Bytes decoded, and their tokens estimated, by functions in SQL."""
     sql.register(s)
-    return s.sql("SELECT lang, sum(estimate_tokens(t.text)) AS tokens, count(*) AS texts, max(t.encoding) AS encoding FROM (SELECT lang, decode_text(encode(text, 'UTF-8')) AS t FROM {docs} WHERE text <> '') GROUP BY lang", docs=table(s, d, "documents"))
+    return s.sql("SELECT lang, sum(estimate_tokens(t.text)) AS tokens, count(*) AS texts, max(t.encoding) AS encoding FROM (SELECT lang, decode_text(encode(text, 'UTF-8')) AS t FROM {docs}) GROUP BY lang", docs=table(s, d, "documents"))

@@ -23,7 +23,7 @@ def story_quotes(s, d):
     return text.scan_quotes(frame(s, d, "story"))
 
 
-@query(MADE + """, ch AS (SELECT book, CAST(floor(turn / 4) AS BIGINT) AS ordinal, min(start_cp) AS a, max(start_cp + length(seg)) AS b FROM story WHERE turn < 6 GROUP BY 1, 2)
+@query(MADE + """, ch AS (SELECT book, CAST(floor(turn / 4) AS BIGINT) AS ordinal, min(start_cp) AS a, max(start_cp + length(seg)) AS b FROM story GROUP BY 1, 2)
 SELECT k.book, k.quote_id, k.start_cp, k.end_cp, coalesce(c.ordinal, l.ordinal) AS chapter, CASE WHEN next_cp > k.end_cp THEN next_cp - k.end_cp END AS gap_after
 FROM tops k LEFT JOIN ch c ON c.book = k.book AND k.start_cp >= c.a AND k.start_cp < c.b JOIN (SELECT book, max(ordinal) AS ordinal FROM ch GROUP BY 1) l ON l.book = k.book""")
 def t1_quotes(s, d):
@@ -31,7 +31,7 @@ def t1_quotes(s, d):
     from narrata.operators import intervals
 
     story = frame(s, d, "story")
-    ch = story.filter("turn < 6").groupBy("book", F.floor(F.col("turn") / 4).alias("chapter")).agg(F.min("start_cp").alias("r_start"), F.max(F.col("start_cp") + F.length("seg")).alias("r_end"))
+    ch = story.groupBy("book", F.floor(F.col("turn") / 4).alias("chapter")).agg(F.min("start_cp").alias("r_start"), F.max(F.col("start_cp") + F.length("seg")).alias("r_end"))
     w = Window.partitionBy("book").orderBy("start_cp")
     top = text.scan_quotes(story).filter("depth = 0")
     gap = F.lead("start_cp").over(w) - F.col("end_cp")
@@ -216,15 +216,15 @@ def t7_suggestion_upsert(s, d):
     return had.unionByName(new)
 
 
-@query("""SELECT doc_id, encoding, sha256(text) AS digest, length(text) AS n_chars, true AS plausible FROM (SELECT doc_id, text,
-  CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' ELSE 'utf-8-sig' END AS encoding FROM documents WHERE text <> '')""")
+@query("""SELECT doc_id, encoding, CASE WHEN encoding IS NOT NULL THEN sha256(text) END AS digest, CASE WHEN encoding IS NOT NULL THEN length(text) END AS n_chars, CASE WHEN encoding IS NOT NULL THEN true END AS plausible FROM (SELECT doc_id, text,
+  CASE doc_id % 3 WHEN 2 THEN 'utf-8-sig' ELSE CASE WHEN text = '' THEN NULL WHEN doc_id % 3 = 0 THEN 'utf-8' ELSE 'utf-16' END END AS encoding FROM documents)""")
 def s1_encoding(s, d):
     """Bytes in three encodings, decoded by byte order mark or by the first strict decoder that reads them plausibly."""
     from narrata.sources.files import decoded
 
     utf8 = F.encode("text", "UTF-8")
     raw = F.when(F.col("doc_id") % 3 == 0, utf8).when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).otherwise(F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), utf8))
-    got = decoded(table(s, d, "documents").filter("text <> ''").select("doc_id", raw.alias("content")), "doc_id")
+    got = decoded(table(s, d, "documents").select("doc_id", raw.alias("content")), "doc_id")
     return got.select("doc_id", "encoding", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").cast("long").alias("n_chars"), (F.col("plausibility") >= 0.999).alias("plausible"))
 
 
