@@ -80,6 +80,17 @@ SQL = {
           ELSE '{"input_tokens": ' || regexp_extract(props, '[0-9]+', 0) || ', "output_tokens": 3, "total_tokens": 99}' END AS usage,
         CASE event_id % 4 WHEN 0 THEN '{"model": "m1"}' WHEN 1 THEN '{oops' WHEN 2 THEN NULL ELSE '{"model": ""}' END AS own_profile,
         CASE WHEN user_id % 3 <> 0 THEN '{"model": "job-' || (user_id % 2) || '"}' END AS job_profile FROM events""",
+    "v_targets": """SELECT book AS win, 'quote' AS kind, quote_id AS ref, turn AS position FROM outputs WHERE turn <> 5 UNION ALL SELECT book, 'gap', gap_id, turn FROM gaps WHERE turn <> 3
+      UNION ALL SELECT DISTINCT book, 'scene', 's0', CAST(0 AS BIGINT) FROM outputs UNION ALL SELECT DISTINCT book, 'speaker', 'user', CAST(0 AS BIGINT) FROM outputs UNION ALL SELECT DISTINCT book, x.kind, 'c1', CAST(0 AS BIGINT) FROM outputs CROSS JOIN (SELECT 'character' AS kind UNION ALL SELECT 'declared') x
+      UNION ALL SELECT book, 'evidence', e_prev, turn FROM outputs WHERE e_prev IS NOT NULL AND turn <> 2 AND book % 2 = 0""",
+    "v_updates": """SELECT book AS win, turn AS i, CASE WHEN turn = 3 AND book % 4 = 0 THEN 'n1' WHEN turn = 4 THEN 's0' ELSE 'n' || turn END AS temp_ref, CASE WHEN turn = 4 THEN min(gap_id) OVER (PARTITION BY book) ELSE gap_id END AS after_gap,
+        CASE WHEN turn = 3 AND book % 3 = 0 THEN min(right_id) OVER (PARTITION BY book) WHEN turn = 4 THEN 'q-none' ELSE right_id END AS starts_at FROM gaps WHERE turn IN (1, 3, 4)""",
+    "v_decisions": """SELECT book AS win, turn AS i, gap_id AS gap, CASE WHEN turn IN (1, 2) THEN 'BREAK' ELSE 'CONTINUE' END AS decision FROM gaps UNION ALL SELECT book, turn + 100, gap_id, 'BREAK' FROM gaps WHERE turn = 0 AND book % 5 = 0""",
+    "v_speakers": """SELECT book AS win, min(turn) AS i, CASE WHEN book % 7 = 0 THEN 'same' ELSE speaker END AS temp_ref, CASE book % 3 WHEN 0 THEN 's0' WHEN 1 THEN 'n1' ELSE 'n9' END AS scene, CASE WHEN book % 5 = 4 THEN 'q-none' ELSE min(CASE WHEN assignment = 'NEW' THEN quote_id END) END AS first_quote,
+        CASE book % 4 WHEN 0 THEN 'c1' WHEN 1 THEN 'c9' ELSE '' END AS character, CASE book % 6 WHEN 0 THEN 'Anna' WHEN 1 THEN 'new1' WHEN 2 THEN 'S3' WHEN 3 THEN '悠太' WHEN 4 THEN CAST(NULL AS STRING) ELSE 'a，b' END AS name, CASE WHEN book % 5 = 1 THEN '悠太' WHEN book % 5 = 2 THEN 'S3' END AS real_name, book % 2 AS evidence
+      FROM outputs GROUP BY book, speaker""",
+    "v_labels": """SELECT book AS win, turn AS i, CASE WHEN k % 11 = 0 THEN 'q-none' ELSE quote_id END AS quote, CASE WHEN turn < 2 OR book % 3 = 0 THEN 's0' WHEN turn = 6 THEN 's-none' ELSE 'n1' END AS scene, CASE WHEN book % 7 = 0 AND turn = 2 THEN 'same' ELSE speaker END AS speaker, assignment, kind = 'speech' AS owned, e_prev AS cited FROM outputs WHERE turn <> 3
+      UNION ALL SELECT book, turn + 50, quote_id, 's0', speaker, assignment, true, e_prev FROM outputs WHERE turn = 2""",
     "people": """SELECT c_custkey AS person, CAST(c_nationkey AS BIGINT) AS book,
         CASE c_custkey % 7 WHEN 0 THEN 'Anna' || (c_custkey % 20) WHEN 1 THEN ' anna' || (c_custkey % 20) || ' ' WHEN 2 THEN 'ANNA' || (c_custkey % 20) || '（旧）'
           WHEN 3 THEN 'S' || (c_custkey % 90) WHEN 4 THEN '女生' WHEN 5 THEN 'Anna' || (c_custkey % 20) || '老师' ELSE 'Bo, ' || (c_custkey % 9) END AS name,
