@@ -337,6 +337,8 @@ def train(texts: DataFrame, shards: int | None = None, least: int = LEAST) -> st
     offsets = [0]
     for k in range(shards):
         offsets.append(offsets[-1] + sizes.get(k, 0))
+    if offsets[-1] >= (1 << 32) - 2:
+        raise ValueError("pairs hold words in 32 bits each: the texts have more distinct words")
     Path(folder, "words.json").write_text(json.dumps({"shards": shards, "offsets": offsets, "tokens": sum(r["tokens"] for r in built)}))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
