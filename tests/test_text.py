@@ -178,3 +178,18 @@ def test_decoded_frames(spark):
     got = {r.k: r for r in files.decoded(df, "k").collect()}
     assert got[1].text is None and got[1].error == "undecodable" and got[1].preview
     assert got[2].text == "né" and got[2].error is None and got[3].error == "empty"
+
+
+def test_counters_of_marked_documents(spark):
+    """The counters over all documents, with letters turned into delimiters, against a walk over every character."""
+    from narrata.plans.registry import QUERIES
+
+    marks = str.maketrans(".,xzqj'", "」「『』“”‘")
+    texts = {x.doc_id: (x.text or "").translate(marks) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {x.book: x for x in QUERIES["t3_scan_stats_of_marked_texts"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        quotes, causes = by_character(t)
+        want = {name: sum(causes.count(c) for c in counted) for name, counted in text.COUNTERS.items()}
+        want |= {"quotes": len(quotes), "top_level_quotes": sum(q[3] == 0 for q in quotes), "warnings": len(causes), "normalized_closes": 0}
+        assert {c: got[k][c] for c in want} == want, k
