@@ -210,7 +210,7 @@ def scan(text: str, closes: list[tuple[int, int]] | None = None) -> tuple[list[t
 
 
 _DELIMITER = re.compile("[" + "".join(map(re.escape, (*PAIRS, *PAIRS.values()))) + "]")
-_QUOTES = "array<struct<start_cp: bigint, end_cp: bigint, opening: string, depth: int, parent_start: bigint, normalized: boolean>>"
+_QUOTES = "array<struct<start_cp: bigint, end_cp: bigint, opening: string, depth: int, parent_start: bigint, normalized: boolean, parent_end: bigint>>"
 _WARNINGS = "array<struct<code: string, position: bigint, opening: string, cause: string>>"
 _OPEN = "array<struct<opening: string, at: bigint, breaks: bigint>>"
 #: Code points of a piece of a text that is scanned by itself.
@@ -244,12 +244,14 @@ def pieces_of(texts: DataFrame, size: int = PIECE) -> DataFrame:
 
 
 def _scanned_rows(frames: Iterator[pd.DataFrame], states: bool) -> Iterator[pd.DataFrame]:
-    names = ("start_cp", "end_cp", "opening", "depth", "parent_start", "normalized"), ("code", "position", "opening", "cause"), ("opening", "at", "breaks")
+    names = ("start_cp", "end_cp", "opening", "depth", "parent_start", "normalized", "parent_end"), ("code", "position", "opening", "cause"), ("opening", "at", "breaks")
     for f in frames:
         got = []
         for text, base, before, closes, last in zip(f["text"], f["base"], f["before"], f["closes"], f["last"], strict=True):
             held = [(o["opening"], o["at"], o["breaks"]) for o in before]
             quotes, warnings, after = scan_piece(text, base, held, [(c["opening_cp"], c["close_cp"]) for c in closes if not c["bad"]], last)
+            ends = {q[0]: q[1] for q in quotes}
+            quotes = [(*q, ends.get(q[4])) for q in quotes]
             got.append((quotes, [_out_of_range(c["opening_cp"]) for c in closes if c["bad"]] + warnings, after))
         sides = [[[dict(zip(names[k], x, strict=True)) for x in g[k]] for g in got] for k in (range(3) if not states else (2,))]
         out = {"book": f["book"], "piece": f["piece"]}
@@ -281,26 +283,38 @@ def scanned(texts: DataFrame, size: int = PIECE) -> DataFrame:
     """book, piece, quotes, warnings of texts as pieces_of() takes them.
 
     A long text is scanned in pieces by many tasks. What is open where a piece begins comes from the pieces before it.
-    parent_start tells where the opening is that a quote lies in, whether or not that has become a quote.
+    parent_start tells where the opening is that a quote lies in, whether or not that has become a quote; parent_end,
+    where the quote ends that it has become in the same piece.
     """
+    return _scanned(texts, size)[0]
+
+
+def _scanned(texts: DataFrame, size: int) -> tuple[DataFrame, bool]:
+    """scanned(), and whether no text has more than one piece."""
     pieces = pieces_of(texts, size)
     kind = dict(pieces.dtypes)["book"]
-    if pieces.filter("piece > 0").isEmpty():
+    if whole := pieces.filter("piece > 0").isEmpty():
         ready = pieces.withColumn("before", F.array().cast(_OPEN))
     else:
         pieces = settled(pieces)
         ready = pieces.join(_openings(pieces), ["book", "piece"])
-    return ready.mapInPandas(lambda f: _scanned_rows(f, False), f"book {kind}, piece bigint, quotes {_QUOTES}, warnings {_WARNINGS}")
+    found = ready.mapInPandas(lambda f: _scanned_rows(f, False), f"book {kind}, piece bigint, quotes {_QUOTES}, warnings {_WARNINGS}")
+    return found, whole
 
 
 def scan_quotes(texts: DataFrame, version: str = "scanner-1", size: int = PIECE) -> DataFrame:
     """The quotes of texts, one a row, with ids, names of their delimiters and the kinds these hint at."""
-    q = scanned(texts, size).select("book", F.explode("quotes").alias("q")).select("book", "q.*")
+    found, whole = _scanned(texts, size)
+    q = found.select("book", F.explode("quotes").alias("q")).select("book", "q.*")
     hint = F.when((F.col("opening") == "『") & (F.col("depth") > 0), "quotation").otherwise(_lookup(HINTS))
-    own = stable_id("q", F.col("book"), F.col("start_cp"), F.col("end_cp"), version)
-    q = q.withColumns({"quote_id": own, "delimiter": _lookup(NAMES), "kind_hint": hint})
-    parent = q.select("book", F.col("start_cp").alias("parent_start"), F.col("quote_id").alias("parent_id"))
-    return q.join(parent, ["book", "parent_start"], "left").withColumn("parent_start", F.when(F.col("parent_id").isNotNull(), F.col("parent_start")))
+    ident = lambda a, b: stable_id("q", F.col("book"), F.col(a), F.col(b), version)
+    q = q.withColumns({"quote_id": ident("start_cp", "end_cp"), "delimiter": _lookup(NAMES), "kind_hint": hint})
+    if whole:
+        q = q.withColumn("parent_id", F.when(F.col("parent_end").isNotNull(), ident("parent_start", "parent_end")))
+    else:  # a quote's parent may end in another piece
+        parent = q.select("book", F.col("start_cp").alias("parent_start"), F.col("quote_id").alias("parent_id"))
+        q = q.join(parent, ["book", "parent_start"], "left")
+    return q.withColumn("parent_start", F.when(F.col("parent_id").isNotNull(), F.col("parent_start"))).drop("parent_end")
 
 
 def _lookup(values: dict[str, str]) -> Column:
