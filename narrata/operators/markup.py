@@ -29,19 +29,24 @@ IMAGES = ["img", "image"]
 FRONT, UNTITLED = "卷首", "正文"
 PAGE = ["book", "path"]
 
+_literal = re.compile(rb"(<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>)")
+_named = re.compile(rb"&([A-Za-z]\w*);", re.ASCII)
+_PREDEFINED = (b"amp", b"lt", b"gt", b"quot", b"apos")
+
 
 def _mended(data: bytes) -> bytes:
     """Names of characters as numbers, but in comments, literal text and instructions, and where a page defines names itself."""
-    if re.search(rb"<!ENTITY\s", data, re.I):
+    if b"<!entity" in data.lower():
         return data
+    # Every second part is one that stays as it is.
+    parts = _literal.split(data)
+    parts[::2] = [_named.sub(_numbered, p) for p in parts[::2]]
+    return b"".join(parts)
 
-    def number(m: re.Match[bytes]) -> bytes:
-        name = (m.group(1) or b"").decode("ascii")
-        if not name or name in ("amp", "lt", "gt", "quot", "apos") or f"{name};" not in html5:
-            return m.group()
-        return "".join(f"&#{ord(c)};" for c in html5[f"{name};"]).encode()
 
-    return re.sub(rb"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|&([A-Za-z][A-Za-z0-9]*);", number, data)
+def _numbered(m: re.Match[bytes]) -> bytes:
+    chars = html5.get(m.group(1).decode() + ";") if m.group(1) not in _PREDEFINED else None
+    return m.group() if chars is None else "".join(f"&#{ord(c)};" for c in chars).encode()
 
 
 def _page(data: bytes | None) -> tuple[str | None, bool, str | None]:
