@@ -37,11 +37,16 @@ WIDE = r"[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{3000}-\x{303F}\x{AC00}-\x{D7AF}\x
 
 
 def _cue_pattern() -> str:
-    """Marks and cues of one character as one class; longer cues that hold none of them, looked for only where one may begin."""
+    """Marks and cues of one character as classes; longer cues that hold none of them, looked for only where one may begin.
+
+    Most characters are below all but two of these: one comparison passes them over.
+    """
     single = [c for c in CUES if len(c) == 1]
     longer = [c for c in CUES if len(c) > 1 and not set(c) & set(single)]
-    begins = "".join(sorted({c[0] for c in longer}))
-    return f"[{MARKS}{''.join(single)}]|(?=[{begins}])(?:{'|'.join(longer)})"
+    plain, wide = [c for c in MARKS if ord(c) < 128], [*(c for c in MARKS if ord(c) >= 128), *single]
+    begins = sorted({c[0] for c in longer})
+    least = min(ord(c) for c in (*wide, *begins))
+    return f"[{''.join(plain)}]|(?=[\\x{{{least:x}}}-\\x{{ffff}}])(?:[{''.join(wide)}]|(?=[{''.join(begins)}])(?:{'|'.join(longer)}))"
 
 
 _CUE = _cue_pattern()
