@@ -91,6 +91,21 @@ SQL = {
       FROM outputs GROUP BY book, speaker""",
     "v_labels": """SELECT book AS win, turn AS i, CASE WHEN k % 11 = 0 THEN 'q-none' ELSE quote_id END AS quote, CASE WHEN turn < 2 OR book % 3 = 0 THEN 's0' WHEN turn = 6 THEN 's-none' ELSE 'n1' END AS scene, CASE WHEN book % 7 = 0 AND turn = 2 THEN 'same' ELSE speaker END AS speaker, assignment, kind = 'speech' AS owned, e_prev AS cited FROM outputs WHERE turn <> 3
       UNION ALL SELECT book, turn + 50, quote_id, 's0', speaker, assignment, true, e_prev FROM outputs WHERE turn = 2""",
+    "r_books": """SELECT book, CASE WHEN book % 6 <> 5 THEN max(end_cp) - CASE WHEN book % 4 = 1 THEN 20 ELSE 0 END END AS length_cp FROM segments GROUP BY book""",
+    "r_scenes": """SELECT book, scene AS i, CASE WHEN scene = 2 AND book % 3 = 0 THEN 's1' ELSE 's' || scene END AS scene_id, CASE WHEN scene = 1 AND book % 8 = 2 THEN NULL ELSE start_cp END AS start_cp, end_cp FROM scenes""",
+    "r_people": """SELECT DISTINCT book, CAST(floor(turn / 3) AS BIGINT) AS i, 'g-' || role AS label FROM segments WHERE turn % 7 <> 6""",
+    "r_quotes": """SELECT book, turn AS i, CASE WHEN turn = 3 AND book % 2 = 0 THEN min(quote_id) OVER (PARTITION BY book) ELSE quote_id END AS quote_id, CASE WHEN turn = 4 AND book % 3 = 1 THEN end_cp ELSE start_cp END AS start_cp, end_cp,
+        CASE k % 17 WHEN 16 THEN NULL WHEN 15 THEN 's99' ELSE 's' || CAST(floor(turn / 3) AS BIGINT) END AS scene_id, CASE WHEN k % 12 <> 11 THEN 'g-' || role END AS group_id, CASE WHEN k % 8 = 7 THEN false WHEN k % 8 < 6 THEN true END AS resolvable,
+        CASE k % 5 WHEN 0 THEN 'thought' WHEN 1 THEN 'other' ELSE 'speech' END AS kind, start_cp + 1 AS f_start, end_cp + CASE WHEN k % 10 = 3 THEN 1 ELSE 0 END AS f_end, CASE WHEN k % 9 = 4 THEN -1 ELSE start_cp END AS e_start, end_cp AS e_end,
+        CASE WHEN k % 7 <> 6 THEN start_cp - CASE WHEN k % 7 = 5 THEN 1 ELSE 0 END END AS visible_from_cp, CASE WHEN k % 13 = 12 THEN substring(quoted, 2) WHEN k % 13 <> 11 THEN quoted END AS body FROM numbered""",
+    "r_gaps": """SELECT book, turn AS i, CASE WHEN turn = 2 AND book % 2 = 1 THEN min(gap_id) OVER (PARTITION BY book) ELSE gap_id END AS gap_id, CASE WHEN turn = 1 AND book % 3 = 2 THEN 'q-none' WHEN turn <> 0 THEN left_id END AS left_id, CASE WHEN turn = 1 AND book % 5 = 2 THEN 'q-none' ELSE right_id END AS right_id,
+        start_cp AS m_start, end_cp + CASE WHEN turn % 5 = 4 THEN 3 ELSE 0 END AS m_end FROM gaps""",
+    "k_targets": """SELECT book AS win, start_cp AS i, quote_id FROM outputs""",
+    "k_labels": """SELECT book AS win, quote_id, kind, assignment, basis, CASE WHEN assignment <> 'UNKNOWN' THEN speaker END AS speaker, e_self, e_prev FROM outputs WHERE k % 14 <> 13""",
+    "k_context": """SELECT o.book AS win, o.quote_id AS ref, t.seg AS text FROM outputs o JOIN told t ON t.book = o.book AND t.turn = o.turn WHERE o.k % 10 <> 9""",
+    "k_people": """SELECT DISTINCT book AS win, 'c-' || speaker AS character_id, speaker AS existing_ref, speaker AS name, substring(speaker, 1, 4) || '忽' AS alias FROM outputs WHERE speaker <> 'system'""",
+    "k_declared": """SELECT DISTINCT book AS win, speaker AS temp_ref, CASE WHEN book % 3 = 0 THEN 'c-' || speaker END AS character_id FROM outputs WHERE assignment = 'NEW' AND book % 2 = 0""",
+    "k_requested": """SELECT book AS win, quote_id FROM outputs WHERE k % 15 = 4""",
     "people": """SELECT c_custkey AS person, CAST(c_nationkey AS BIGINT) AS book,
         CASE c_custkey % 7 WHEN 0 THEN 'Anna' || (c_custkey % 20) WHEN 1 THEN ' anna' || (c_custkey % 20) || ' ' WHEN 2 THEN 'ANNA' || (c_custkey % 20) || '（旧）'
           WHEN 3 THEN 'S' || (c_custkey % 90) WHEN 4 THEN '女生' WHEN 5 THEN 'Anna' || (c_custkey % 20) || '老师' ELSE 'Bo, ' || (c_custkey % 9) END AS name,
