@@ -106,6 +106,17 @@ SQL = {
     "k_people": """SELECT DISTINCT book AS win, 'c-' || speaker AS character_id, speaker AS existing_ref, speaker AS name, substring(speaker, 1, 4) || '忽' AS alias FROM outputs WHERE speaker <> 'system'""",
     "k_declared": """SELECT DISTINCT book AS win, speaker AS temp_ref, CASE WHEN book % 3 = 0 THEN 'c-' || speaker END AS character_id FROM outputs WHERE assignment = 'NEW' AND book % 2 = 0""",
     "k_requested": """SELECT book AS win, quote_id FROM outputs WHERE k % 15 = 4""",
+    "c_annotations": """SELECT book, 'a' || substring(quote_id, 2, 12) AS id, quote_id, 1 + k % 3 AS version, k % 5 < 3 AS stale, k % 13 = 0 AS user_locked, CASE WHEN k % 7 = 6 THEN 'USER' ELSE 'MODEL' END AS source, speaker FROM outputs WHERE k % 19 <> 18""",
+    "c_corrections": """SELECT book, 'c' || substring(quote_id, 2, 12) AS id, CASE k % 6 WHEN 0 THEN 'SCENE' WHEN 2 THEN 'ANNOTATION' ELSE 'QUOTE' END AS target_type,
+        CASE k % 6 WHEN 0 THEN 's' || book || '-' || CAST(floor(turn / 3) AS BIGINT) WHEN 2 THEN CASE WHEN turn % 4 = 0 THEN 'a' || substring(quote_id, 2, 12) ELSE quote_id END ELSE quote_id END AS target_id,
+        CASE WHEN k % 9 <> 8 THEN 1 + k % 4 END AS applied_version, CASE WHEN k % 10 = 3 THEN 'u' || k END AS undone_by, 'was-' || speaker AS speaker, start_cp AS at FROM outputs
+      UNION ALL SELECT book, 'e' || substring(quote_id, 2, 12), 'QUOTE', quote_id, 2 + k % 3, NULL, 'then-' || speaker, end_cp FROM outputs WHERE k % 2 = 0
+      UNION ALL SELECT book, 'd' || substring(gap_id, 2, 12), 'GAP', gap_id, 1, NULL, NULL, start_cp FROM gaps WHERE turn % 2 = 0""",
+    "c_histories": """SELECT 'a' || substring(quote_id, 2, 12) AS annotation_id, CASE WHEN k % 2 = 0 THEN 1 + k % 3 ELSE k % 3 END AS revision, CASE WHEN k % 5 < 2 THEN 'c' || substring(quote_id, 2, 12) END AS correction_id FROM outputs WHERE k % 4 <> 3""",
+    "c_items": """SELECT 'i' || substring(quote_id, 2, 12) AS item, quote_id, CASE WHEN k % 8 = 7 THEN 'LOW_CONFIDENCE' ELSE 'STALE_DEPENDENCY' END AS reason, CASE k % 10 WHEN 8 THEN 'RESOLVED' WHEN 9 THEN 'DEFERRED' ELSE 'PENDING' END AS status,
+        1 + CASE WHEN k % 11 = 0 THEN k + 1 ELSE k END % 3 AS annotation_version, CASE k % 12 WHEN 0 THEN '{bad' WHEN 1 THEN '{"correction_id": 5}' WHEN 2 THEN NULL WHEN 3 THEN '{"correction_id": "c' || substring(quote_id, 2, 12) || '"}' ELSE '{"correction_id": "c' || substring(e_prev, 2, 12) || '"}' END AS candidates FROM outputs
+      UNION ALL SELECT 'j' || substring(quote_id, 2, 12), quote_id, 'STALE_DEPENDENCY', 'PENDING', 1 + k % 3 + turn % 2, '{"correction_id": "e' || substring(e_prev, 2, 12) || '"}' FROM outputs WHERE k % 4 = 0""",
+    "c_jobs": """SELECT DISTINCT book, CASE WHEN book % 9 = 8 THEN 'RUNNING' WHEN book % 9 = 4 THEN 'QUEUED' ELSE 'DONE' END AS state FROM outputs""",
     "people": """SELECT c_custkey AS person, CAST(c_nationkey AS BIGINT) AS book,
         CASE c_custkey % 7 WHEN 0 THEN 'Anna' || (c_custkey % 20) WHEN 1 THEN ' anna' || (c_custkey % 20) || ' ' WHEN 2 THEN 'ANNA' || (c_custkey % 20) || '（旧）'
           WHEN 3 THEN 'S' || (c_custkey % 90) WHEN 4 THEN '女生' WHEN 5 THEN 'Anna' || (c_custkey % 20) || '老师' ELSE 'Bo, ' || (c_custkey % 9) END AS name,
