@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrata.operators import corrections
+from narrata.operators import corrections, occupancy
 from narrata.operators.graph import settled
 from narrata.plans.dialogue_queries import query
 from narrata.sources.model import frame, with_sql
@@ -58,3 +58,21 @@ def x30_deleted_corrections(s, d):
     scenes = frame(s, d, "scenes").select("book", F.concat(F.lit("s"), F.col("book").cast("string"), F.lit("-"), F.col("scene").cast("string")).alias("id"))
     held = {"quotes": quotes, "gaps": frame(s, d, "gaps").select("book", F.col("gap_id").alias("id")), "scenes": scenes, "annotations": _of(s, d, "annotations").select("book", "id")}
     return corrections.deleted(quotes.filter("book % 3 <> 1"), _of(s, d, "jobs"), _of(s, d, "corrections"), **held)[1]
+
+
+@query(with_sql("o_jobs", "o_windows", "o_plan", "segments", "quotes") + """, n AS (SELECT book, max(end_cp) AS length_cp FROM segments GROUP BY 1), c AS (SELECT job, book, unnest(string_split(selected, ',')) AS win FROM o_jobs),
+k AS (SELECT c.*, EXISTS (SELECT 1 FROM o_windows w WHERE w.job = c.job AND w.win = c.win) AS stored, EXISTS (SELECT 1 FROM o_plan p WHERE p.job = c.job AND p.win = c.win) AS planned FROM c),
+l AS (SELECT job, min(CASE WHEN stored OR planned THEN 1 ELSE 0 END) = 0 AS lost FROM k GROUP BY 1),
+b AS (SELECT j.*, CASE WHEN start_cp <= end_cp THEN start_cp ELSE 0 END AS a, CASE WHEN start_cp <= end_cp THEN end_cp ELSE length_cp END AS z FROM o_jobs j JOIN n ON n.book = j.book),
+r AS (SELECT k.job, book, quote_id FROM k JOIN o_windows w ON w.job = k.job AND w.win = k.win UNION SELECT k.job, book, quote_id FROM k JOIN l ON l.job = k.job AND NOT l.lost JOIN o_plan p ON p.job = k.job AND p.win = k.win WHERE NOT stored
+  UNION SELECT b.job, b.book, q.quote_id FROM b LEFT JOIN l ON l.job = b.job JOIN quotes q ON q.book = b.book AND q.start_cp >= a AND q.start_cp < z WHERE selected IS NULL OR l.lost)
+SELECT x.job AS request, min(y.job) AS met FROM o_jobs x LEFT JOIN o_jobs y ON y.book = x.book AND y.job <> x.job AND y.state <> 'DONE' AND ((x.kind = 'CHARACTER_ROSTER' AND y.kind = 'CHARACTER_ROSTER' AND x.chapter = y.chapter)
+  OR (x.kind <> 'CHARACTER_ROSTER' AND y.kind <> 'CHARACTER_ROSTER' AND EXISTS (SELECT 1 FROM r p JOIN r q ON q.quote_id = p.quote_id AND q.book = p.book WHERE p.job = x.job AND q.job = y.job))) GROUP BY 1""")
+def j15_admitted(s, d):
+    """Every job asked to go on: the least other job under way on one of its quotes, or on its chapter's people."""
+    of = lambda n: settled(frame(s, d, n))
+    jobs = of("o_jobs").withColumn("selected", F.split("selected", ","))
+    asked = jobs.select(F.concat(F.lit("r"), "job").alias("request"), F.col("job").alias("own"), *[c for c in jobs.columns if c != "job"])
+    quotes = of("quotes").select("book", "quote_id", "start_cp", F.lit(0).alias("depth"))
+    lengths = frame(s, d, "segments").groupBy("book").agg(F.max("end_cp").alias("length_cp"))
+    return occupancy.admitted(asked, jobs, of("o_windows"), of("o_plan"), quotes, lengths).select(F.substring("request", F.lit(2), F.length("request")).alias("request"), "met")

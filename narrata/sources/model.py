@@ -117,6 +117,10 @@ SQL = {
         1 + CASE WHEN k % 11 = 0 THEN k + 1 ELSE k END % 3 AS annotation_version, CASE k % 12 WHEN 0 THEN '{bad' WHEN 1 THEN '{"correction_id": 5}' WHEN 2 THEN NULL WHEN 3 THEN '{"correction_id": "c' || substring(quote_id, 2, 12) || '"}' ELSE '{"correction_id": "c' || substring(e_prev, 2, 12) || '"}' END AS candidates FROM outputs
       UNION ALL SELECT 'j' || substring(quote_id, 2, 12), quote_id, 'STALE_DEPENDENCY', 'PENDING', 1 + k % 3 + turn % 2, '{"correction_id": "e' || substring(e_prev, 2, 12) || '"}' FROM outputs WHERE k % 4 = 0""",
     "c_jobs": """SELECT DISTINCT book, CASE WHEN book % 9 = 8 THEN 'RUNNING' WHEN book % 9 = 4 THEN 'QUEUED' ELSE 'DONE' END AS state FROM outputs""",
+    "o_jobs": """SELECT book, scene, 'j' || book || '-' || scene AS job, CASE scene % 4 WHEN 3 THEN 'CHARACTER_ROSTER' WHEN 2 THEN 'RECHECK' ELSE 'INFERENCE' END AS kind, CASE (book + scene) % 5 WHEN 0 THEN 'DONE' WHEN 1 THEN 'PAUSING' ELSE 'RUNNING' END AS state,
+        CASE WHEN book % 7 = 6 THEN end_cp + 1 ELSE start_cp END AS start_cp, end_cp, CASE (book + scene) % 3 WHEN 0 THEN 'w' || scene || ',w' || (scene + 1) WHEN 1 THEN CASE WHEN book % 2 = 0 THEN 'w' || scene END END AS selected, scene % 2 AS chapter FROM scenes""",
+    "o_windows": """SELECT 'j' || book || '-' || CAST(floor(turn / 3) AS BIGINT) AS job, 'w' || CAST(floor(turn / 3) AS BIGINT) AS win, quote_id FROM numbered WHERE k % 11 <> 5""",
+    "o_plan": """SELECT j.job, 'w' || CAST(floor(q.turn / 3) AS BIGINT) AS win, q.quote_id FROM o_jobs j JOIN quotes q ON q.book = j.book WHERE j.book % 4 = 1 AND q.turn < 3 * j.scene + 6 AND q.turn >= 3 * j.scene""",
     "people": """SELECT c_custkey AS person, CAST(c_nationkey AS BIGINT) AS book,
         CASE c_custkey % 7 WHEN 0 THEN 'Anna' || (c_custkey % 20) WHEN 1 THEN ' anna' || (c_custkey % 20) || ' ' WHEN 2 THEN 'ANNA' || (c_custkey % 20) || '（旧）'
           WHEN 3 THEN 'S' || (c_custkey % 90) WHEN 4 THEN '女生' WHEN 5 THEN 'Anna' || (c_custkey % 20) || '老师' ELSE 'Bo, ' || (c_custkey % 9) END AS name,
