@@ -7,6 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from narrata.functions import digests
 from narrata.operators import graph, text, windows
 from narrata.plans.dialogue_queries import n, query
 from narrata.sources.dialogue import table
@@ -235,8 +236,8 @@ def d55_shared_histories(s, d):
 @query("SELECT count(*) AS n, CAST(sum(CAST('0x' || substring(sha256(o_orderkey || '|' || coalesce(CAST(o_custkey AS STRING), '')), 1, 12) AS BIGINT)) AS BIGINT) AS digest FROM orders")
 def d54_table_digest(s, d):
     """A digest of a table's rows that doesn't depend on their order."""
-    row = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.coalesce(F.col("o_custkey").cast("string"), F.lit(""))).cast("binary"), 256)
-    return table(s, d, "orders").agg(n(), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long")).alias("digest"))
+    row = F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.coalesce(F.col("o_custkey").cast("string"), F.lit("")))
+    return table(s, d, "orders").agg(n(), digests.summed(row).alias("digest"))
 
 
 @query(with_sql("runs") + """SELECT job, count(*) FILTER (state IN ('SUCCEEDED', 'FAILED') AND usage IS NOT NULL) AS archived, bool_and(state <> 'DISPATCHED') AS eligible, CAST(sum(CASE WHEN state IN ('SUCCEEDED', 'FAILED') AND usage IS NOT NULL THEN length(usage) ELSE 0 END) AS BIGINT) AS bytes FROM runs GROUP BY 1""")
