@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.functions import names
+from narrata.functions import digests, names
 from narrata.operators import decisions, evidence, graph, intervals, markup, text
 from narrata.plans.dialogue_queries import n, query
 from narrata.plans.identity_queries import KEY, MERGE
@@ -338,8 +338,8 @@ def k5_call_archive(s, d):
 @query("SELECT count(*) AS n, CAST(sum(CAST('0x' || substring(sha256(o_orderkey || '|' || o_custkey), 1, 12) AS BIGINT)) AS BIGINT) AS digest, CAST(1 AS BIGINT) AS layouts FROM orders")
 def x55_layout_equality(s, d):
     """A table's digest is the same however its rows are laid out."""
-    row = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).cast("binary"), 256)
-    digest = lambda df: df.agg(n(), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long")).alias("digest"))
+    row = F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.col("o_custkey").cast("string"))
+    digest = lambda df: df.agg(n(), digests.summed(row).alias("digest"))
     o = table(s, d, "orders")
     both = reduce(DataFrame.unionByName, [digest(o), digest(o.repartition(7, "o_custkey"))])
     return both.groupBy("n", "digest").agg((F.count(F.lit(1)) - 1).alias("layouts"))
