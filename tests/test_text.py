@@ -1,8 +1,10 @@
 """The scanner against a walk over every character, and ingestion of texts and bytes, by hand-made and random cases."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from narrata.operators import text
 from narrata.operators.text import CEILING, MAX_DEPTH, MAX_LENGTH, MAX_LINES, PAIRS, scan
@@ -193,3 +195,31 @@ def test_counters_of_marked_documents(spark):
         want = {name: sum(causes.count(c) for c in counted) for name, counted in text.COUNTERS.items()}
         want |= {"quotes": len(quotes), "top_level_quotes": sum(q[3] == 0 for q in quotes), "warnings": len(causes), "normalized_closes": 0}
         assert {c: got[k][c] for c in want} == want, k
+
+
+def auto_closed(t):
+    marks = [(i, 1 if c == "“" else -1) for i, c in enumerate(t) if c in "“”"]
+    out = []
+    for k, (at, step) in enumerate(marks):
+        depth, low = 0, 0
+        for _, s in marks[k + 1 :]:
+            depth += s
+            low = min(low, depth)
+        end = t.find("\n", at)
+        if step == 1 and low >= 0 and end > at + 1 and next((s for i, s in marks if i >= end), None) == 1:
+            out.append((at, end))
+    return out
+
+
+def test_auto_closes_against_a_walk_and_in_one_pass(spark):
+    r = random.Random(11)
+    texts = ["", "\n", "“", "“\n“", "“a\n“", "a“b\n\n”“c\n“d", *("".join(r.choice("“”a\n𝄞") for _ in range(r.randint(1, 60))) for _ in range(200))]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "book long, text string")
+    got = sorted(tuple(x) for x in text.auto_close_suggestions(df).collect())
+    assert got == sorted((b, *x) for b, t in enumerate(texts) for x in auto_closed(t))
+    # The square of these numbers, of characters without a mark and of marks, took minutes.
+    n = 400_000
+    big = spark.range(1).select(F.lit(0).cast("long").alias("book"), F.concat(F.repeat(F.lit("“a"), 60_000), F.lit("\n“"), F.repeat(F.lit("x"), n)).alias("text"))
+    began = time.time()
+    assert text.auto_close_suggestions(big).count() == 60_000
+    assert time.time() - began < 40
