@@ -60,10 +60,14 @@ m AS (SELECT p.person, p.book, count(DISTINCT t.person) AS c, min(t.person) AS o
 SELECT person, CASE WHEN c = 1 THEN other END AS matched FROM m""")
 def j18_unique_name_match(s, d):
     """A wanted name is matched only where one person alone has it."""
-    have = name_rows(s, d).select("book", F.col("person").alias("other"), names.key(names.undecorated(F.col("name"))).alias("key")).distinct()
-    want = frame(s, d, "people").select("book", "person", F.concat(F.lit("anna"), (F.col("person") % 25).cast("string")).alias("key"))
-    met = want.join(have, ["book", "key"]).filter("other <> person").groupBy("person").agg(F.count_distinct("other").alias("c"), F.min("other").alias("matched"))
-    return want.select("person").join(met.filter("c = 1").drop("c"), "person", "left")
+    have = name_rows(s, d).select("book", "person", names.key(names.undecorated(F.col("name"))).alias("key")).distinct()
+    want = frame(s, d, "people").select("book", "person", F.concat(F.lit("anna"), (F.col("person") % 25).cast("string")).alias("key")).distinct()
+    # Of a name, how many have it and two of them are enough: no one meets all who share the name.
+    held = have.groupBy("book", "key").agg(F.count("person").alias("c"), F.min("person").alias("least"), F.max("person").alias("most"))
+    own = have.filter("person IS NOT NULL").withColumn("own", F.lit(1))
+    met = want.join(own, ["book", "key", "person"], "left").join(held, ["book", "key"], "left").filter("person IS NOT NULL AND c - coalesce(own, 0) = 1")
+    other = F.when(F.col("least") == F.col("person"), F.col("most")).otherwise(F.col("least"))
+    return want.select("book", "person").join(met.select("book", "person", other.alias("matched")), ["book", "person"], "left").select("person", "matched")
 
 
 @query(with_sql("people") + f""", new AS (SELECT book, person, 'Anna' || (person % 33) AS value FROM people), t AS (SELECT DISTINCT book, person, {KEY.format('name')} AS key FROM (SELECT book, person, name FROM people UNION ALL SELECT book, person, alias FROM people WHERE alias IS NOT NULL))
