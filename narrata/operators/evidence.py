@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of facts that are names; margin around a task, most candidates (fixed values).
@@ -10,22 +10,20 @@ NAMING = ["name", "alias", "designation"]
 MARGIN, CANDIDATES = 500, 8
 
 
-def grams(text: Column) -> Column:
-    """All pairs of neighbouring code points, and the single ones."""
-    pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(pairs, F.split(text, "")))
-
-
 def postings(facts: DataFrame, lines: DataFrame) -> DataFrame:
     """book, person, value, visible_from_cp, start_cp, end_cp: the lines that hold a name.
 
-    facts: book, person, kind, value, visible_from_cp; lines: book, start_cp, end_cp, line. Lines are met by the first
-    two code points of names, so that names and lines aren't all compared; only those that names begin with are kept.
+    facts: book, person, kind, value, visible_from_cp; lines: book, start_cp, end_cp, line. A line meets the names of
+    its book by the first two code points of these, so that names and lines aren't all compared: of the beginnings that
+    a book has, those that the line holds are opened. Lines are moved once and never copied; what goes on is the
+    names that they hold.
     """
-    names = facts.filter(F.col("kind").isin(NAMING) & (F.trim("value") != "")).select("book", "person", "value", "visible_from_cp", F.substring("value", 1, 2).alias("_gram")).distinct()
-    wanted = names.select("book", "_gram").distinct()
-    entries = lines.select("book", "start_cp", "end_cp", "line", F.explode(grams(F.col("line"))).alias("_gram")).join(wanted, ["book", "_gram"], "left_semi")
-    return entries.join(names, ["book", "_gram"]).filter(F.contains("line", F.col("value"))).select("book", "person", "value", "visible_from_cp", "start_cp", "end_cp")
+    names = facts.filter(F.col("kind").isin(NAMING) & (F.trim("value") != "")).select("book", "person", "value", "visible_from_cp").distinct()
+    begun = names.groupBy("book", F.substring("value", 1, 2).alias("gram")).agg(F.collect_set("value").alias("values"))
+    begun = begun.groupBy("book").agg(F.collect_list(F.struct("gram", "values")).alias("_begun"))
+    opened = F.flatten(F.transform(F.filter("_begun", lambda b: F.contains("line", b["gram"])), lambda b: b["values"]))
+    held = lines.join(begun, "book").select("book", "start_cp", "end_cp", F.explode(F.filter(opened, lambda v: F.contains("line", v))).alias("value"))
+    return held.join(names, ["book", "value"]).select("book", "person", "value", "visible_from_cp", "start_cp", "end_cp")
 
 
 def _nearest(tasks: DataFrame, names: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Attribution by rule and candidates for tasks against plain Python."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,21 @@ def test_candidates_against_a_walk(spark):
         spark.createDataFrame(lines, "book long, start_cp long, end_cp long, line string"), margin=100, most=4,
     )
     assert sorted((x.task, x["rank"], x.person, x.pinned, x.local, x.distance) for x in got.collect()) == want
+
+
+def test_postings_against_all_pairs_and_of_long_lines(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("ab安😀 ") for _ in range(n))
+    facts = [(b, f"p{k % 9}", r.choice(["name", "alias", "designation", "other"]), r.choice([word(r.randint(0, 4)), None, " ", "a"]), k) for b in (1, 2) for k in range(60)] + [(None, "p", "name", "a", 0)]
+    lines = [(b, k * 50, k * 50 + 40, word(r.randint(0, 40)) or None) for b in (1, 2, 3) for k in range(30)]
+    f = spark.createDataFrame(facts, "book long, person string, kind string, value string, visible_from_cp long")
+    t = spark.createDataFrame(lines, "book long, start_cp long, end_cp long, line string")
+    want = {(b, p, v, at, s, e) for b, p, kind, v, at in facts if kind != "other" and v and v.strip(" ") for c, s, e, x in lines if b == c and x and v in x}
+    got = [tuple(x) for x in evidence.postings(f, t).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # A copy of the line for each two neighbouring code points was the square of its length.
+    one = F.concat(F.transform(F.sequence(F.lit(0x4E00), F.lit(0x9000)), lambda x: F.decode(F.unhex(F.hex(x)), "UTF-16BE")))
+    long = spark.range(20).select(F.lit(1).cast("long").alias("book"), F.col("id").alias("start_cp"), F.col("id").alias("end_cp"), F.concat(F.array_join(F.flatten(F.array(one, one, one)), ""), F.lit("安b")).alias("line"))
+    began = time.time()
+    assert evidence.postings(f.filter("book = 1").limit(0).unionByName(spark.createDataFrame([(1, "p", "name", "安b", 0)], f.schema)), long).count() == 20
+    assert time.time() - began < 40
