@@ -96,3 +96,12 @@ def test_postings_against_all_pairs_and_of_long_lines(spark):
     began = time.time()
     assert evidence.postings(f.filter("book = 1").limit(0).unionByName(spark.createDataFrame([(1, "p", "name", "安b", 0)], f.schema)), long).count() == 20
     assert time.time() - began < 40
+
+
+def test_mention_ranking_doesnt_copy_lines(spark):
+    """The plan generates the names that lines hold, and no rows for the code points of a line."""
+    from narrata.plans.registry import QUERIES
+
+    plan = QUERIES["d44_mention_ranking"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.split("\n") if "Generate explode" in x]
+    assert made and not any("sequence(" in x for x in made)
