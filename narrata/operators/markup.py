@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.functions.slices import mapped
 from narrata.operators.graph import settled
 
 #: What markup is cut into: comments, literal text, instructions, declarations, tags, text.
@@ -72,11 +73,14 @@ def _page(data: bytes | None) -> tuple[str | None, bool, str | None]:
 def repaired(pages: DataFrame) -> DataFrame:
     """pages (content: bytes) with markup, mended and error. Only pages that a parser refuses are mended; then they must be accepted."""
 
-    @F.pandas_udf("markup string, mended boolean, error string")
-    def told(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_page(c) for c in content], columns=["markup", "mended", "error"])
+    keep = [c for c in pages.columns if c not in ("content", "error")]
 
-    return pages.withColumn("_p", told("content")).select(*[c for c in pages.columns if c not in ("content", "error")], "_p.*")
+    def told(f: pd.DataFrame) -> pd.DataFrame:
+        made = pd.DataFrame([_page(c) for c in f["content"]], columns=["markup", "mended", "error"])
+        return pd.concat([f[keep], made], axis=1)
+
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return mapped(pages.select(*keep, "content"), told, f"{kinds}, markup string, mended boolean, error string")
 
 
 def unescaped(text: Column) -> Column:
