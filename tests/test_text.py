@@ -223,3 +223,14 @@ def test_auto_closes_against_a_walk_and_in_one_pass(spark):
     began = time.time()
     assert text.auto_close_suggestions(big).count() == 60_000
     assert time.time() - began < 40
+
+
+def test_scans_go_in_slices(spark, monkeypatch):
+    """Python has some texts as objects at a time, not a batch of them; the results don't depend on how many."""
+    from narrata.functions import slices
+
+    held = []
+    whole = {x.book: x for x in text.scan_stats(spark.range(40).select(F.col("id").alias("book"), F.repeat(F.lit("「a『b』」”"), 5).alias("text"))).collect()}
+    monkeypatch.setattr(text, "mapped", lambda rows, make, schema: held.append(schema) or slices.mapped(rows, make, schema, 3))
+    got = {x.book: x for x in text.scan_stats(spark.range(0, 40, 1, 1).select(F.col("id").alias("book"), F.repeat(F.lit("「a『b』」”"), 5).alias("text"))).collect()}
+    assert held and got == whole and got[0].quotes == 10 and got[0].stray_closes == 5
