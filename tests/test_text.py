@@ -234,3 +234,21 @@ def test_scans_go_in_slices(spark, monkeypatch):
     monkeypatch.setattr(text, "mapped", lambda rows, make, schema: held.append(schema) or slices.mapped(rows, make, schema, 3))
     got = {x.book: x for x in text.scan_stats(spark.range(0, 40, 1, 1).select(F.col("id").alias("book"), F.repeat(F.lit("「a『b』」”"), 5).alias("text"))).collect()}
     assert held and got == whole and got[0].quotes == 10 and got[0].stray_closes == 5
+
+
+def test_original_lines(spark, tmp_path):
+    """Lines by every break, and of one long text in a time that grows with it: its lines were each held against all of it."""
+    from hashlib import sha256
+
+    from narrata.plans.registry import QUERIES
+
+    texts = [None, "", "\n", "\r\n", "a", "a\n", "a\r\n", "a\n\n", "a\n\r", "\ra\r\nb\x0bc\x0cd\x1ce\x1df\x1eg\x85h\u2028i\u2029", "\x1f\u3000\n "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d/documents.parquet")
+    got = {(x.doc_id, x.ref): x.digest for x in QUERIES["t17_original_lines"](spark, f"{tmp_path}/d").collect()}
+    want = {(k, f"L{i + 1}"): sha256(x.encode()).hexdigest() for k, t in enumerate(texts) for i, x in enumerate((t or "").splitlines())}
+    assert got == want
+    spark.createDataFrame([(1, "ab\n" * 60000)], "doc_id long, text string").write.parquet(f"{tmp_path}/long/documents.parquet")
+    began = time.time()
+    assert QUERIES["t17_original_lines"](spark, f"{tmp_path}/long").count() == 60000
+    assert QUERIES["t17_original_lines"](spark, f"{tmp_path}/long").agg(F.count_distinct("digest")).collect()[0][0] == 1
+    assert time.time() - began < 30
