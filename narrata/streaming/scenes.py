@@ -27,20 +27,32 @@ class Memberships(StatefulProcessor):
         self.members = handle.getMapState("members", "member string", "entered timestamp, rows long", self.keep_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        scene = self.scene.get()[0] if self.scene.exists() else 0
-        out: list[tuple] = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable").itertuples(index=False):
-            if r.member == self.ends:
-                out += [(key[0], scene, m[0], entered, r.ts, n) for m, (entered, n) in self.members.iterator()]
-                self.members.clear()
+        """Each call of a state goes to the JVM and back, so states are read and written once an owner, not once a row."""
+        stored = self.scene.get()
+        scene = stored[0] if stored else 0
+        held = {m[0]: tuple(v) for m, v in self.members.iterator()} if stored else {}
+        kept, changed, out = bool(held), set(), []
+        frames = list(rows)
+        f = pd.concat(frames) if len(frames) > 1 else frames[0]
+        if not (f["ts"].is_monotonic_increasing and f["ts"].is_unique):
+            f = f.sort_values(["ts", "event_id"], kind="stable")
+        for ts, member in zip(f["ts"], f["member"], strict=True):
+            if member == self.ends:
+                out += [(key[0], scene, m, entered, ts, n) for m, (entered, n) in held.items()]
+                if kept:
+                    self.members.clear()
+                kept, held, changed = False, {}, set()
                 scene += 1
-            elif self.members.containsKey((r.member,)):
-                entered, n = self.members.getValue((r.member,))
-                self.members.updateValue((r.member,), (entered, n + 1))
             else:
-                self.members.updateValue((r.member,), (r.ts.to_pydatetime(), 1))
-        self.scene.update((scene,))
-        yield pd.DataFrame(out, columns=["owner", "scene", "member", "entered", "gone", "rows"])
+                entered, n = held.get(member) or (ts.to_pydatetime(), 0)
+                held[member] = (entered, n + 1)
+                changed.add(member)
+        for m in changed:
+            self.members.updateValue((m,), held[m])
+        if not stored or scene != stored[0]:
+            self.scene.update((scene,))
+        if out:
+            yield pd.DataFrame(out, columns=["owner", "scene", "member", "entered", "gone", "rows"])
 
     def close(self) -> None:
         pass

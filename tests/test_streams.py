@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from narrata.streaming import scenes
@@ -62,3 +63,57 @@ def test_a_stream_that_stops_in_a_scene(spark, tmp_path):
         stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/offsets").option("path", f"{tmp_path}/out").format("parquet").start().awaitTermination()
     got = own.read.parquet(f"{tmp_path}/out").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("entered", "gone")}).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+class _State:
+    """A value and a map state that count how often they are asked."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def _counted(self, x):
+        self.calls += 1
+        return x
+
+    def exists(self):
+        return self._counted(self.value is not None)
+
+    def get(self):
+        return self._counted(self.value)
+
+    def update(self, v):
+        self.value = self._counted(v)
+
+    def containsKey(self, k):
+        return self._counted(k in self.map)
+
+    def getValue(self, k):
+        return self._counted(self.map[k])
+
+    def updateValue(self, k, v):
+        self.map[k] = self._counted(v)
+
+    def iterator(self):
+        return self._counted(iter(list(self.map.items())))
+
+    def clear(self):
+        self._counted(self.map.clear())
+
+
+def test_states_are_asked_once_an_owner():
+    """However many rows an owner has, states are called a few times, and they hold what a stop must not lose."""
+    state = _State()
+    fold = scenes.Memberships("end")
+    fold.init(state)
+    rows = lambda n, of: pd.DataFrame({"owner": 1, "event_id": range(n), "ts": pd.date_range("2024-01-01", periods=n, freq="s"), "member": [of[i % len(of)] for i in range(n)]})
+    assert not [x for f in fold.handleInputRows((1,), iter([rows(2000, "ab")]), None) for x in f.itertuples()]
+    assert state.calls <= 6 and {k[0]: v[1] for k, v in state.map.items()} == {"a": 1000, "b": 1000}
+    state.calls = 0
+    got = [x[1:] for f in fold.handleInputRows((1,), iter([rows(3000, ["a", "c", "end"])]), None) for x in f.itertuples()]
+    assert state.calls <= 6 and state.map == {} and state.value == (1000,)
+    assert len(got) == 2 * 1000 + 1 and sum(x[5] for x in got) == 4000
