@@ -98,8 +98,7 @@ def t10_rescan_merge(s, d):
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$')) AS s FROM documents) WHERE s <> '' GROUP BY 1""")
 def t11_sentences(s, d):
     # Counted within each text's array: no row a sentence, no shuffle.
-    parts = F.filter(F.regexp_extract_all("text", F.lit(text.SENTENCE), F.lit(0)), lambda x: x != "")
-    t = table(s, d, "documents").select("doc_id", parts.alias("p")).filter("size(p) > 0")
+    t = table(s, d, "documents").filter("text <> ''").select("doc_id", text.parts(F.col("text")).alias("p"))
     chars = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return t.select("doc_id", F.size("p").cast("long").alias("sentences"), chars.alias("chars"), F.size(F.filter("p", text.has_cue)).cast("long").alias("cues"))
 

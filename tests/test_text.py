@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from narrata.operators import text
 from narrata.operators.text import CEILING, MAX_DEPTH, MAX_LENGTH, MAX_LINES, PAIRS, scan
+from narrata.plans.registry import QUERIES
 from narrata.sources import files
 
 
@@ -240,8 +241,6 @@ def test_original_lines(spark, tmp_path):
     """Lines by every break, and of one long text in a time that grows with it: its lines were each held against all of it."""
     from hashlib import sha256
 
-    from narrata.plans.registry import QUERIES
-
     texts = [None, "", "\n", "\r\n", "a", "a\n", "a\r\n", "a\n\n", "a\n\r", "\ra\r\nb\x0bc\x0cd\x1ce\x1df\x1eg\x85h\u2028i\u2029", "\x1f\u3000\n "]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d/documents.parquet")
     got = {(x.doc_id, x.ref): x.digest for x in QUERIES["t17_original_lines"](spark, f"{tmp_path}/d").collect()}
@@ -252,3 +251,18 @@ def test_original_lines(spark, tmp_path):
     assert QUERIES["t17_original_lines"](spark, f"{tmp_path}/long").count() == 60000
     assert QUERIES["t17_original_lines"](spark, f"{tmp_path}/long").agg(F.count_distinct("digest")).collect()[0][0] == 1
     assert time.time() - began < 30
+
+
+def test_sentences_are_cut_at_their_ends(spark):
+    """parts() gives what the pattern finds, in a time far below that of matching all that isn't an end."""
+    import re
+
+    r = random.Random(5)
+    texts = [None, "", "。", "a", "\n\n", "a\r", "a！？", "\u2028。x", "𠀀!𠀀"] + ["".join(r.choice("ab。！？!?\n\r\u2028说𠀀") for _ in range(r.randrange(60))) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {x.k: x.p for x in d.select("k", text.parts(F.col("text")).alias("p")).collect()}
+    find = re.compile(text.SENTENCE.replace("$", r"\Z"))
+    assert got == {k: None if t is None else [x for x in find.findall(t) if x] for k, t in enumerate(texts)}
+    long = spark.range(400).select(F.repeat(F.lit("the words of a sentence that goes on for a while, "), 4000).alias("text"))
+    plan = QUERIES["t11_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and long.select(F.sum(F.size(text.parts(F.col("text"))))).collect()[0][0] == 400
