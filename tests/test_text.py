@@ -266,3 +266,13 @@ def test_sentences_are_cut_at_their_ends(spark):
     long = spark.range(400).select(F.repeat(F.lit("the words of a sentence that goes on for a while, "), 4000).alias("text"))
     plan = QUERIES["t11_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and long.select(F.sum(F.size(text.parts(F.col("text"))))).collect()[0][0] == 400
+
+
+def test_compression_moves_no_sentences(spark):
+    """What stays and goes is worked out within each text: no plan sorts or shuffles sentences, and losses are as written out."""
+    d = spark.createDataFrame([(1, "一" * 9 + "。" + "ab cd ef gh.!" * 8 + "他说。尾。", [(0, 5), (30, 31)]), (2, "short。a。b。", [(0, 9)]), (3, None, [(0, 9)]), (4, "x。" * 50, None)], "doc_id long, text string, must_keep array<struct<a: int, b: int>>")
+    spans = [(x.kept, x.start_cp, x.end_cp) for x in text.compressed(d.filter("doc_id = 1"), "doc_id").collect()]
+    assert spans == [(True, 0, 23), *[(False, 23 + 13 * k, 36 + 13 * k) for k in range(6)], (True, 101, 119)]
+    for q in (text.compressed(d, "doc_id"),):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Window", "Sort "))
