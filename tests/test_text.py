@@ -273,6 +273,8 @@ def test_compression_moves_no_sentences(spark):
     d = spark.createDataFrame([(1, "一" * 9 + "。" + "ab cd ef gh.!" * 8 + "他说。尾。", [(0, 5), (30, 31)]), (2, "short。a。b。", [(0, 9)]), (3, None, [(0, 9)]), (4, "x。" * 50, None)], "doc_id long, text string, must_keep array<struct<a: int, b: int>>")
     spans = [(x.kept, x.start_cp, x.end_cp) for x in text.compressed(d.filter("doc_id = 1"), "doc_id").collect()]
     assert spans == [(True, 0, 23), *[(False, 23 + 13 * k, 36 + 13 * k) for k in range(6)], (True, 101, 119)]
-    for q in (text.compressed(d, "doc_id"),):
+    got = {x.doc_id: (x.compressed, x.dropped_spans, x.dropped_cp, x.violations) for x in text.loss(d, "doc_id").collect()}
+    assert got == {1: (1, 6, 78, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0), 4: (1, 46, 92, 0)}
+    for q in (text.compressed(d, "doc_id"), text.loss(d, "doc_id")):
         plan = q._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Exchange", "Window", "Sort "))
