@@ -1,8 +1,9 @@
 """Columns of short paragraphs that style sheets set upright or beside each other, made into running text.
 
-A page's elements come from `markup.tokens`; style sheets are cut into rows of selectors and declarations. A selector is
-a pattern over the line of an element and what stands around it, so the cascade is a join of selectors with the few
-elements that matter and the greatest of (importance, inline, specificity, order). Only pages with columns are matched.
+A page's elements come from `markup.tokens`, where an element that may be a column is one row, whatever it holds; only
+those that are short enough are cut into their own tokens. Style sheets are cut into rows of selectors and declarations.
+A selector is a pattern over the line of an element and what stands around it, so the cascade is a join of selectors with
+the few elements that matter and the greatest of (importance, inline, specificity, order). Only pages with columns are matched.
 
 Selectors have types, classes, ids and * joined by spaces or >; others are left out, each by itself. Nothing is loaded:
 imports, conditional rules and pseudo-elements have no effect.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from narrata.operators import markup
 from narrata.operators.graph import settled
-from narrata.operators.markup import PAGE, SPACES, attribute, collapsed
+from narrata.operators.markup import ASIDE, INNER, PAGE, SPACES, TOKEN, attribute, collapsed, named, said
 
 #: Elements that may be a column, and what may stand within its paragraphs (fixed values).
 WRAPPERS = ["div", "section", "aside", "article"]
@@ -28,6 +29,11 @@ SHEET_BYTES, PAGE_BYTES, SELECTORS = 128 * 1024, 512 * 1024, 2048
 BESIDE, UPRIGHT = ["right", "left", "inline-start", "inline-end"], ["vertical-rl", "vertical-lr", "tb-rl", "tb-lr"]
 PROPERTIES = {"float": "float", "writing-mode": "writing-mode", "-epub-writing-mode": "writing-mode", "-webkit-writing-mode": "writing-mode"}
 
+#: An element that may be a column: from the tag that opens it to the tag that closes it, without another of the kind.
+LEAF = rf"<(?![!?]){named(*WRAPPERS)}{INNER}(?<!/)>(?:{ASIDE}|</?(?!{named(*WRAPPERS)})[^\s<>/!?]{INNER}>|[^<]++)*+</{named(*WRAPPERS)}[^<>\"']*+>"
+#: What sheets are found by: a style with its texts, a link, all between them, and what is left.
+SHEETS = rf"<(?![!?]){named('style')}{INNER}(?<!/)>(?:{ASIDE}|[^<]++)*+|<(?![!?]){named('link')}{INNER}>|(?:{ASIDE}|</?(?!{named('style', 'link')})[^\s<>/!?]{INNER}>|[^<]++)++|{TOKEN}"
+
 _NAME = r"[-_A-Za-z0-9\x{80}-\x{10ffff}]+"
 _COMPOUND = rf"(?:(?:\*|{_NAME})(?:[#.]{_NAME})*|(?:[#.]{_NAME})+)"
 _STRING = r"\"[^\"]*\"|'[^']*'"
@@ -95,62 +101,68 @@ def line(name: Column, tag: Column) -> Column:
     return F.concat(F.lit("/"), clean(name), F.lit(";"), F.when(own != "", F.concat(F.lit("#"), own, F.lit(";"))).otherwise(""), F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c, F.lit(";"))), ""))
 
 
-def _leveled(pages: DataFrame) -> DataFrame:
+def _leveled(pages: DataFrame, leaf: str | None = None) -> DataFrame:
     """tokens() with opens, and level: how many elements an element, or a text, is within, itself included."""
-    t = markup.tokens(pages)
+    t = markup.tokens(pages, leaf)
     opens = F.col("name").isNotNull() & ~F.col("x").startswith("</")
     inner = F.col("name").isNull() | F.col("x").endswith("/>") | (F.col("step") == -1)
+    if leaf:
+        inner |= F.col("whole").isNotNull()
     return t.withColumns({"opens": opens, "level": F.col("depth") + F.when(inner, 1).otherwise(0)})
 
 
-def columns(tokens: DataFrame) -> DataFrame:
-    """book, path, k, level, single (every paragraph is one letter), letters: elements of a few short paragraphs only.
+def _unread(w) -> Column:
+    """Whether a token is in no reading of a ruby."""
+    return F.sum(F.when(F.col("name").isin("rt", "rp"), F.col("step")).otherwise(0)).over(w) == 0
+
+
+def columns(leaves: DataFrame) -> DataFrame:
+    """book, path, k, level, single (every paragraph is one letter), letters, tags: elements of a few short paragraphs only.
 
-    Such an element holds no other that could be one, so it is what lies between an opening and the close that follows.
+    leaves: book, path, k, level, whole: elements that hold no other that could be one. Each is cut like a page of its
+    own; tags are its paragraphs' own among its tokens. One with more letters than a column may have isn't cut, unless
+    some of them may not count, in readings, breaks or asides.
     """
+    simple = ~F.col("whole").rlike(r"<[!?]|<(?:[^\s<>/:]+:)*(?:rt|rp|br)(?![^\s<>/:])")
+    least = F.length(F.regexp_replace("whole", rf"<{INNER}>|&#?[A-Za-z0-9]+;|{SPACES}", ""))
+    t = leaves.filter(~simple | (least <= ALL_LETTERS)).select("book", F.struct("path", "k", "level").alias("path"), F.col("whole").alias("markup"))
     w = Window.partitionBy(*PAGE).orderBy("k")
-    wraps = F.coalesce(F.col("name").isin(WRAPPERS), F.lit(False))
-    t = tokens.withColumns({
-        "_w": F.count(F.when(wraps & F.col("opens"), 1)).over(w), "_c": F.count(F.when(wraps & (F.col("step") == -1), 1)).over(w),
-        "_said": F.sum(F.when(F.col("name").isin("rt", "rp"), F.col("step")).otherwise(0)).over(w) == 0,
-    })
-    group = [*PAGE, "_w", "_c"]
-    g = Window.partitionBy(*group).orderBy("k")
-    t = t.withColumns({"_k": F.first("k").over(g), "_top": F.first(F.when(wraps & F.col("opens") & (F.col("step") == 1), F.col("level"))).over(g)}).filter("_top IS NOT NULL AND k > _k")
-    child = F.col("opens") & (F.col("level") == F.col("_top") + 1)
-    t = t.withColumns({"_n": F.count(F.when(child, 1)).over(g), "_of": F.last(F.when(child, F.col("name")), True).over(g)})
-    direct, is_text = F.col("level") == F.col("_top") + 1, F.col("body").isNotNull()
+    t = _leveled(t)
+    child = F.col("opens") & (F.col("level") == 2)
+    t = t.withColumns({"_said": _unread(w), "_n": F.count(F.when(child, 1)).over(w), "_of": F.last(F.when(child, F.col("name")), True).over(w)}).filter("level > 1")
+    direct, is_text = F.col("level") == 2, F.col("body").isNotNull()
     bad = F.when(is_text, direct & (stripped(F.col("body")) != "")).when(child, ~F.col("name").isin("p", "br")).otherwise(F.col("opens") & (F.col("_of") == "p") & ~F.col("name").isin(INLINE))
     joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["body"]), "")
     told = F.collect_list(F.when(is_text & F.col("_said"), F.struct("k", "body")))
     # Texts of an element itself, between its paragraphs, count where columns are put together.
     part = F.when(direct & is_text, F.lit(-1) - F.col("k")).otherwise(F.col("_n"))
-    p = t.withColumns({"_bad": bad, "_part": part}).groupBy(*group, "_k", "_top", "_part").agg(F.max("_bad").alias("_bad"), F.min("k").alias("k"), F.first("_of").alias("_of"), joined(told).alias("body"))
+    p = t.withColumns({"_bad": bad, "_part": part}).groupBy(*PAGE, "_part").agg(
+        F.max("_bad").alias("_bad"), F.min("k").alias("k"), F.first("_of").alias("_of"), joined(told).alias("body"), F.collect_list(F.when(direct & (F.col("name") == "p"), F.col("k"))).alias("_tags")
+    )
     p = p.withColumns({"_p": (F.col("_part") > 0) & (F.col("_of") == "p"), "_len": F.length(stripped(F.col("body")))})
-    out = p.groupBy(*group, "_k", "_top").agg(
+    out = p.groupBy(*PAGE).agg(
         F.max("_bad").alias("bad"), F.count_if("_p").alias("n"), F.min(F.when(F.col("_p"), F.col("_len"))).alias("least"), F.max(F.when(F.col("_p"), F.col("_len"))).alias("most"),
-        F.sum(F.when(F.col("_p"), F.col("_len"))).alias("sum"), F.collect_list(F.struct("k", "body")).alias("_texts"),
+        F.sum(F.when(F.col("_p"), F.col("_len"))).alias("sum"), F.collect_list(F.struct("k", "body")).alias("_texts"), F.flatten(F.collect_list("_tags")).alias("tags"),
     )
     out = out.filter(~F.col("bad") & F.col("n").between(LEAST, MOST) & (F.col("least") > 0) & (F.col("most") <= LETTERS) & (F.col("sum") <= ALL_LETTERS))
     letters = F.length(stripped(joined(F.col("_texts"))))
-    # Only closed by its own close: another opening in between would have begun another group.
-    shuts = tokens.filter(wraps & (F.col("opens") | (F.col("step") == -1))).withColumn("_shut", F.lead("step").over(Window.partitionBy(*PAGE).orderBy("k"))).filter("opens AND step = 1 AND _shut = -1").select(*PAGE, F.col("k").alias("_k"))
-    return out.select(*PAGE, "_k", F.col("_top").alias("level"), (F.col("most") == 1).alias("single"), letters.alias("letters")).join(shuts, [*PAGE, "_k"]).withColumnRenamed("_k", "k")
+    return out.select("book", "path.*", (F.col("most") == 1).alias("single"), letters.alias("letters"), "tags")
 
 
-def page_sheets(tokens: DataFrame, sheets: DataFrame) -> DataFrame:
+def page_sheets(pages: DataFrame, sheets: DataFrame) -> DataFrame:
     """book, path, k, css: what each page's style and link elements give, in order, as far as the bytes of a page go.
 
     sheets: book, path, css. A sheet that is too much for the rest is passed over, and the next one is tried.
     """
-    w = Window.partitionBy(*PAGE).orderBy("k")
-    style = tokens.withColumn("_in", F.max(F.when((F.col("name") == "style") & F.col("opens") & (F.col("step") == 1), F.col("k"))).over(w))
-    ends = F.min(F.when(F.col("name").isNotNull() & (F.col("k") > F.col("_in")), F.col("k"))).over(Window.partitionBy(*PAGE, "_in"))
-    own = style.withColumn("_end", ends).filter("body IS NOT NULL AND _in IS NOT NULL AND (_end IS NULL OR k < _end)").groupBy(*PAGE, F.col("_in").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "body"))), lambda x: x["body"]), "").alias("css"))
+    is_ = lambda x, *names: x.rlike(rf"^<(?![!?]){named(*names)}")
+    found = F.filter(F.regexp_extract_all("markup", F.lit(SHEETS), F.lit(0)), lambda x: is_(x, "style", "link"))
+    t = pages.select(*PAGE, F.posexplode(found).alias("k", "x"))
+    texts = F.transform(F.regexp_extract_all("x", F.lit(TOKEN), F.lit(0)), said)
+    own = t.filter(is_(F.col("x"), "style")).select(*PAGE, "k", F.array_join(texts, "").alias("css"))
     rel = F.split(F.lower(F.coalesce(attribute(F.col("x"), "rel"), F.lit(""))), SPACES)
-    links = tokens.filter((F.col("name") == "link") & F.col("opens")).filter(F.array_contains(rel, "stylesheet")).select(*PAGE, "k", markup.resolved(F.col("path"), attribute(F.col("x"), "href"))["path"].alias("_to"))
+    links = t.filter(is_(F.col("x"), "link")).filter(F.array_contains(rel, "stylesheet")).select(*PAGE, "k", markup.resolved(F.col("path"), attribute(F.col("x"), "href"))["path"].alias("_to"))
     linked = links.join(sheets.select("book", F.col("path").alias("_to"), "css"), ["book", "_to"]).select(*PAGE, "k", "css")
-    all_ = own.unionByName(linked).withColumn("_b", F.octet_length("css")).filter("_b > 0")
+    all_ = settled(own.unionByName(linked).withColumn("_b", F.octet_length("css")).filter("_b > 0"))
     row = F.array_sort(F.collect_list(F.struct("k", "_b")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ks"))
     fits = lambda acc, x: acc["used"] + x["_b"] <= PAGE_BYTES
@@ -170,11 +182,11 @@ def _lineages(tokens: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select(*PAGE, "k", F.col("l").alias("level"), F.col("own.own").alias("own"), F.col("own.x").alias("x"), steps.alias("steps"))
 
 
-def styles(tokens: DataFrame, asked: DataFrame, sheets: DataFrame) -> DataFrame:
-    """asked (book, path, k, level: elements) with beside and upright, as the page's sheets and the elements' own styles say."""
+def styles(pages: DataFrame, tokens: DataFrame, asked: DataFrame, sheets: DataFrame) -> DataFrame:
+    """asked (book, path, k, level: elements of the pages' tokens) with beside and upright, as the page's sheets and the elements' own styles say."""
     lines = settled(_lineages(tokens, asked))
     around = lines.select(*PAGE, "own", "x", "steps").dropDuplicates([*PAGE, "own"])
-    r = rules(page_sheets(tokens, sheets))
+    r = rules(page_sheets(pages, sheets))
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("k", "n")) - 1
     r = r.withColumn("order", order).filter(F.col("order") < SELECTORS).drop("k", "n")
     hit = around.join(r, PAGE).filter(F.regexp_like("steps", F.col("pattern")))
@@ -199,13 +211,14 @@ def running(pages: DataFrame, sheets: DataFrame) -> DataFrame:
     that an element holds become spans too. The other markup stays as it is. sheets: book, path, css. A page without
     markup (null) stays so, with no columns; a page is told by book and path, which are distinct.
     """
-    t = settled(_leveled(pages))
-    found = settled(columns(t))
+    t = settled(_leveled(pages, LEAF).withColumn("unread", _unread(Window.partitionBy(*PAGE).orderBy("k"))))
+    found = settled(columns(t.filter("whole IS NOT NULL AND unread")))
     some = found.select(*PAGE).distinct()
     near = t.join(some, PAGE, "left_semi")
-    s = styles(near, found, sheets).withColumn("_two", F.count_if(F.col("beside") & F.col("single")).over(Window.partitionBy(*PAGE)) >= 2)
+    s = styles(pages.join(some, PAGE, "left_semi"), near, found, sheets).withColumn("_two", F.count_if(F.col("beside") & F.col("single")).over(Window.partitionBy(*PAGE)) >= 2)
     won = settled(s.filter((F.col("upright") & F.col("single")) | (F.col("beside") & (F.col("single") | F.col("_two")))))
-    # Who holds what: each token asks the level above it.
+    near = near.join(won.select(*PAGE).distinct(), PAGE, "left_semi")
+    # Who holds what: each token asks the level above it. What a leaf holds can be no column.
     near = near.join(won.select(*PAGE).distinct(), PAGE, "left_semi")
     tell = near.filter("opens").select(*PAGE, "k", F.col("level").alias("l"), F.col("k").alias("own"), F.lit(False).alias("asks"), F.lit(None).cast("boolean").alias("text"))
     ask = near.filter("opens OR trim(body) <> ''").select(*PAGE, "k", (F.col("level") - 1).alias("l"), F.lit(None).cast("int").alias("own"), F.lit(True).alias("asks"), F.when(F.col("opens"), F.lit(False)).otherwise(stripped(F.col("body")) != "").alias("text"))
@@ -213,16 +226,14 @@ def running(pages: DataFrame, sheets: DataFrame) -> DataFrame:
     held = settled(held.join(won.select(*PAGE, "k", "single", "letters"), [*PAGE, "k"], "left"))
     whole = held.groupBy(*PAGE, "of").agg(F.max("text").alias("text"), F.count_if(~F.col("text")).alias("n"), F.count_if("single").alias("ones"), F.sum("letters").alias("letters"))
     whole = whole.filter((F.col("n") >= 2) & (F.col("n") == F.col("ones")) & ~F.col("text") & (F.col("letters") <= ALL_LETTERS)).select(*PAGE, "of")
-    united = held.filter("NOT text").join(whole, [*PAGE, "of"], "left_semi").select(*PAGE, "k")
-    paragraphs = held.filter("NOT text").join(won.select(*PAGE, F.col("k").alias("of")), [*PAGE, "of"], "left_semi").select(*PAGE, "k")
-    paragraphs = near.filter("opens AND name = 'p'").select(*PAGE, "k").join(paragraphs, [*PAGE, "k"], "left_semi")
-    renamed = paragraphs.unionByName(united)
-    # Opens and closes of a height alternate, so a close is that of the open before it.
-    tags = near.filter("name IS NOT NULL").withColumn("_open", F.when(F.col("step") == -1, F.lag("k").over(Window.partitionBy(*PAGE, "level", F.col("step") == 0).orderBy("k"))).otherwise(F.col("k")))
-    spans = tags.join(renamed.withColumnRenamed("k", "_open"), [*PAGE, "_open"], "left_semi").select(*PAGE, "k", F.lit(True).alias("_span"))
-    cut = pages.join(won.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, F.posexplode(F.regexp_extract_all("markup", F.lit(markup.TOKEN), F.lit(0))).alias("k", "x")).join(spans, [*PAGE, "k"], "left")
-    put = F.when(F.col("_span"), F.regexp_replace("x", r"^(</?)[^\s<>/]+", "$1span")).otherwise(F.col("x"))
-    again = cut.select(*PAGE, "k", put.alias("x")).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda y: y["x"]), "").alias("_m"))
+    united = held.filter("NOT text").join(whole, [*PAGE, "of"], "left_semi").select(*PAGE, "k", F.lit(True).alias("_united"))
+    # A column's tags are renamed within it, and its own where it was put together with those beside it.
+    spans = won.select(*PAGE, "k", "tags").join(united, [*PAGE, "k"], "left").withColumn("_united", F.coalesce("_united", F.lit(False)))
+    cut = pages.join(won.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, F.posexplode(F.regexp_extract_all("markup", F.lit(f"{LEAF}|{TOKEN}"), F.lit(0))).alias("k", "x")).join(spans, [*PAGE, "k"], "left")
+    inner = F.regexp_extract_all("x", F.lit(TOKEN), F.lit(0))
+    own = lambda k: F.col("_united") & ((k == 0) | (k == F.size(inner) - 1))
+    put = F.transform(inner, lambda x, k: F.when(own(k) | F.array_contains("tags", k), F.regexp_replace(x, r"^(</?)[^\s<>/]+", "$1span")).otherwise(x))
+    again = cut.select(*PAGE, "k", F.when(F.col("tags").isNotNull(), F.array_join(put, "")).otherwise(F.col("x")).alias("x")).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda y: y["x"]), "").alias("_m"))
     counts = won.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("columns"))
     out = pages.join(again, PAGE, "left").join(counts, PAGE, "left")
     return out.select(*[F.coalesce("_m", "markup").alias(c) if c == "markup" else F.col(c) for c in pages.columns], F.coalesce("columns", F.lit(0)).cast("long").alias("columns"))

@@ -20,7 +20,9 @@ from narrata.functions.slices import mapped
 from narrata.operators.graph import settled
 
 #: What markup is cut into: comments, literal text, instructions, declarations, tags, text.
-TOKEN = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<![^>]*>|</?[^\s<>/!?](?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^<]+"
+INNER = r"(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+"
+ASIDE = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<![^>]*>"
+TOKEN = rf"{ASIDE}|</?[^\s<>/!?]{INNER}>|[^<]+"
 SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
 #: Elements that begin a block, and elements that are left out with all they hold (fixed values).
 BLOCKS = ["p", "div", "section", "article", "aside", "blockquote", "pre", "figure", "figcaption", "li", "dd", "dt", "td", "th", "caption", "hr", "h1", "h2", "h3", "h4", "h5", "h6"]
@@ -107,19 +109,37 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(found != "", unescaped(F.substring(found, F.lit(2), F.length(found) - 2)))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
+def named(*names: str) -> str:
+    """A pattern of the name in a tag, whatever its prefix, if it is one of these."""
+    any_ = "|".join(names)
+    return rf"(?:[^\s<>/:]+:(?:{any_})|(?:{any_})(?!:[^\s<>/:]))(?![^\s<>/:])"
+
+
+def said(x: Column) -> Column:
+    """What a token of text says; null for a tag."""
+    literal = x.startswith("<![CDATA[")
+    return F.when(literal, F.substring(x, F.lit(10), F.length(x) - 12)).when(~x.startswith("<"), unescaped(F.regexp_replace(x, "\r\n?", "\n")))
+
+
+def tokens(pages: DataFrame, leaf: str | None = None) -> DataFrame:
     """book, path, k, x, name (of a tag), step (1 opens, -1 closes, else 0), body (of text), depth (after the token), node.
 
-    Texts between the same two tags have the same node. Comments, instructions and declarations are left out.
+    Texts between the same two tags have the same node. Comments, instructions and declarations are left out. Elements
+    that the pattern leaf finds are one token of step 0: x is the tag that opens it, whole (else null) all of it.
     """
-    t = pages.select(*PAGE, F.posexplode(F.regexp_extract_all("markup", F.lit(TOKEN), F.lit(0))).alias("k", "x"))
+    t = pages.select(*PAGE, F.posexplode(F.regexp_extract_all("markup", F.lit(f"{leaf}|{TOKEN}" if leaf else TOKEN), F.lit(0))).alias("k", "x"))
+    whole = F.lit(False)
+    if leaf:
+        t = t.withColumn("whole", F.when(F.col("x").rlike(r"(?s)^<[^/!?].*</[^<>\"']*>$"), F.col("x")))
+        whole = F.col("whole").isNotNull()
+        t = t.withColumn("x", F.when(whole, F.regexp_extract("x", rf"^<{INNER}>", 0)).otherwise(F.col("x")))
     literal = F.col("x").startswith("<![CDATA[")
     t = t.filter(literal | ~F.col("x").rlike("^<[!?]"))
     tag = F.col("x").startswith("<") & ~literal
     t = t.withColumns({
         "name": F.when(tag, F.regexp_extract("x", r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1)),
-        "step": F.when(~tag | F.col("x").endswith("/>"), 0).when(F.col("x").startswith("</"), -1).otherwise(1),
-        "body": F.when(literal, F.substring("x", F.lit(10), F.length("x") - 12)).when(~tag, unescaped(F.regexp_replace("x", "\r\n?", "\n"))),
+        "step": F.when(~tag | F.col("x").endswith("/>") | whole, 0).when(F.col("x").startswith("</"), -1).otherwise(1),
+        "body": said(F.col("x")),
     })
     w = Window.partitionBy(*PAGE).orderBy("k")
     return t.withColumns({"depth": F.sum("step").over(w), "node": F.count("name").over(w)})

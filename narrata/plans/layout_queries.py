@@ -41,7 +41,7 @@ c AS (SELECT book, CAST(sum(CASE WHEN NOT won THEN 0 WHEN m = 4 THEN 2 ELSE 1 EN
 SELECT b.book, row_number() OVER (PARTITION BY b.book ORDER BY turn, i) - 1 AS block, tag, text, c.columns FROM b JOIN c ON c.book = b.book""")
 def s16_layout(s, d):
     """Blocks of pages whose decorative columns, as their style sheets tell these, were made into running text."""
-    p = pages(s, d)
+    p = settled(pages(s, d))
     sheets = p.select("book", F.lit("css/all.css").alias("path"), F.lit(LINKED).alias("css"))
     got = settled(layout.running(p, sheets))
     return markup.page_blocks(got)[0].join(got.select("book", "path", "columns"), ["book", "path"]).select("book", "block", "tag", "text", "columns")

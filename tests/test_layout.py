@@ -138,3 +138,20 @@ def test_linked_sheets_and_bounds(spark):
     assert got[1, "a/x.xhtml"].markup.endswith("<div class='v'><span>a</span><span>b</span><span>c</span></div></body></html>")
     assert got[1, "doc.xhtml"].markup == "<?xml version='1.0'?><!DOCTYPE html><!-- <p> --><html xmlns:h='h'><body><h:div style='float:left'><span>a</span> <span>b</span><span>c</span></h:div></body></html>"
     assert got[1, "none.xhtml"].markup is None and got[1, "empty.xhtml"].markup == "" and layout.running(spark.createDataFrame([], PAGES), spark.createDataFrame(sheets, SHEETS)).count() == 0
+
+
+def test_elements_that_may_be_columns_are_a_row_each(spark, monkeypatch):
+    """No table that is kept has a row for each paragraph of an element that is too long for a column."""
+    kept, settled = [], layout.settled
+    monkeypatch.setattr(layout, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    put = lambda n: "".join("<p>天</p>" for _ in range(n))
+    hidden = "<!-- <div> --><p>a<![CDATA[<div>]]></p>"
+    body = f"<div>{put(2000)}</div><h:div style='float:left'>{put(3)}</h:div><td><div class='v' title='</div>'>{put(3)}</div > <section class='v'><p>x<p/></p>{put(2)}</section></td><div style='float:left'>{hidden}{put(2)}</div><rt><div style='float:left'>{put(3)}</div></rt>"
+    page = f"<html xmlns:h='h'><head><style>.v{{writing-mode:vertical-rl}}</style></head><body>{body}</body></html>"
+    got = layout.running(spark.createDataFrame([(1, "x", page)], PAGES), spark.createDataFrame([], SHEETS)).first()
+    span = lambda n: put(n).replace("p>", "span>")
+    assert got["columns"] == 3
+    assert got.markup == page.replace(f"<h:div style='float:left'>{put(3)}", f"<h:div style='float:left'>{span(3)}").replace(
+        f"<td><div class='v' title='</div>'>{put(3)}</div > <section class='v'><p>x<p/></p>{put(2)}</section>", f"<td><span class='v' title='</div>'>{span(3)}</span > <span class='v'><span>x<p/></span>{span(2)}</span>"
+    )
+    assert kept and max(x.count() for x in kept) < 200
