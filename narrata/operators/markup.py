@@ -121,12 +121,8 @@ def said(x: Column) -> Column:
     return F.when(literal, F.substring(x, F.lit(10), F.length(x) - 12)).when(~x.startswith("<"), unescaped(F.regexp_replace(x, "\r\n?", "\n")))
 
 
-def tokens(pages: DataFrame, leaf: str | None = None) -> DataFrame:
-    """book, path, k, x, name (of a tag), step (1 opens, -1 closes, else 0), body (of text), depth (after the token), node.
-
-    Texts between the same two tags have the same node. Comments, instructions and declarations are left out. Elements
-    that the pattern leaf finds are one token of step 0: x is the tag that opens it, whole (else null) all of it.
-    """
+def _cut(pages: DataFrame, leaf: str | None = None) -> DataFrame:
+    """tokens() by themselves, without what is counted along the page."""
     t = pages.select(*PAGE, F.posexplode(F.regexp_extract_all("markup", F.lit(f"{leaf}|{TOKEN}" if leaf else TOKEN), F.lit(0))).alias("k", "x"))
     whole = F.lit(False)
     if leaf:
@@ -136,13 +132,21 @@ def tokens(pages: DataFrame, leaf: str | None = None) -> DataFrame:
     literal = F.col("x").startswith("<![CDATA[")
     t = t.filter(literal | ~F.col("x").rlike("^<[!?]"))
     tag = F.col("x").startswith("<") & ~literal
-    t = t.withColumns({
+    return t.withColumns({
         "name": F.when(tag, F.regexp_extract("x", r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1)),
         "step": F.when(~tag | F.col("x").endswith("/>") | whole, 0).when(F.col("x").startswith("</"), -1).otherwise(1),
         "body": said(F.col("x")),
     })
+
+
+def tokens(pages: DataFrame, leaf: str | None = None) -> DataFrame:
+    """book, path, k, x, name (of a tag), step (1 opens, -1 closes, else 0), body (of text), depth (after the token), node.
+
+    Texts between the same two tags have the same node. Comments, instructions and declarations are left out. Elements
+    that the pattern leaf finds are one token of step 0: x is the tag that opens it, whole (else null) all of it.
+    """
     w = Window.partitionBy(*PAGE).orderBy("k")
-    return t.withColumns({"depth": F.sum("step").over(w), "node": F.count("name").over(w)})
+    return _cut(pages, leaf).withColumns({"depth": F.sum("step").over(w), "node": F.count("name").over(w)})
 
 
 def _inside(names: list[str], w) -> Column:
@@ -151,20 +155,21 @@ def _inside(names: list[str], w) -> Column:
 
 
 def walked(pages: DataFrame) -> DataFrame:
-    """tokens() of what counts, with block (its number, from 0 for what is in none), begins (the token begins it), ruby, rt."""
+    """book, path, k, x (of a tag), name, body, node of tokens() that count, with block (its number, from 0 for what is in none), begins (the token begins it), ruby, rt, alone (a text between two tags)."""
     w = Window.partitionBy(*PAGE).orderBy("k")
-    t = tokens(pages).withColumn("_skip", _inside(SKIPPED, w)).filter(F.coalesce(~F.col("name").isin(SKIPPED), F.lit(True)) & (F.col("_skip") == 0))
+    t = _cut(pages).withColumn("x", F.when(F.col("name").isNotNull(), F.col("x")))
+    t = t.withColumns({"node": F.count("name").over(w), "_skip": _inside(SKIPPED, w)}).filter(F.coalesce(~F.col("name").isin(SKIPPED), F.lit(True)) & (F.col("_skip") == 0))
     opens = F.col("name").isNotNull() & ~F.col("x").startswith("</")
-    t = t.withColumns({"_ruby": _inside(["ruby"], w), "_rt": _inside(["rt"], w), "_rp": _inside(["rp"], w)})
+    count = lambda of: F.count(F.when((F.col("name") == of) & opens, 1)).over(w)
+    next_to = lambda side: F.coalesce(side(F.col("name").isNotNull()).over(w), F.lit(True))
+    t = t.withColumns({"_ruby": _inside(["ruby"], w), "_rt": _inside(["rt"], w), "_rp": _inside(["rp"], w), "ruby": count("ruby"), "rt": count("rt"), "alone": next_to(F.lag) & next_to(F.lead)})
     free = F.col("_ruby") == 0
     image = opens & F.col("name").isin(IMAGES) & free
     begins = opens & F.col("name").isin(BLOCKS) & free
     # An image is a block of its own, so what follows it begins another one.
-    count = F.sum(F.when(image, 2).when(begins, 1).otherwise(0)).over(w)
-    t = t.withColumns({"block": F.when(image, count - 1).otherwise(count), "begins": begins | image})
-    t = t.withColumn("ruby", F.when(~free, F.count(F.when((F.col("name") == "ruby") & opens, 1)).over(w)))
-    t = t.withColumn("rt", F.when(F.col("_rt") > 0, F.count(F.when((F.col("name") == "rt") & opens, 1)).over(w)))
-    return t.filter(F.col("body").isNull() | (F.col("_rp") == 0)).drop("_skip", "_ruby", "_rt", "_rp")
+    number = F.sum(F.when(image, 2).when(begins, 1).otherwise(0)).over(w)
+    t = t.withColumns({"block": F.when(image, number - 1).otherwise(number), "begins": begins | image, "ruby": F.when(~free, F.col("ruby")), "rt": F.when(F.col("_rt") > 0, F.col("rt"))})
+    return t.filter(F.col("body").isNull() | (F.col("_rp") == 0)).drop("step", "_skip", "_ruby", "_rt", "_rp")
 
 
 def _pieces(walk: DataFrame) -> DataFrame:
@@ -172,11 +177,15 @@ def _pieces(walk: DataFrame) -> DataFrame:
     joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "body"))), lambda x: x["body"]), "")
     texts = walk.filter("body IS NOT NULL")
     by = F.coalesce(F.concat(F.lit("r"), F.col("ruby").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string")))
-    base = texts.filter("rt IS NULL").groupBy(*PAGE, "block", "ruby", by.alias("_by")).agg(F.min("k").alias("k"), collapsed(joined()).alias("piece")).filter("piece <> ''")
-    said = texts.filter("rt IS NOT NULL").groupBy(*PAGE, "ruby", "rt").agg(stripped_join(joined()).alias("s")).filter("s <> ''")
-    said = said.groupBy(*PAGE, "ruby").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rt", "s"))), lambda x: x["s"]), " ").alias("rt"))
+    # A text between two tags is a piece as it is; only those in rubies, or beside others, are put together.
+    single = F.col("alone") & F.col("ruby").isNull()
+    many = texts.filter(~single & F.col("rt").isNull()).groupBy(*PAGE, "block", "ruby", by.alias("_by")).agg(F.min("k").alias("k"), collapsed(joined()).alias("piece"))
+    kept = [*PAGE, "block", "ruby", "k", "piece"]
+    base = many.select(*kept).unionByName(texts.filter(single & F.col("rt").isNull()).withColumn("piece", collapsed(F.col("body"))).select(*kept)).filter("piece <> ''")
+    read = texts.filter("rt IS NOT NULL").groupBy(*PAGE, "ruby", "rt").agg(stripped_join(joined()).alias("s")).filter("s <> ''")
+    read = read.groupBy(*PAGE, "ruby").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rt", "s"))), lambda x: x["s"]), " ").alias("rt"))
     w = Window.partitionBy(*PAGE, "block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    out = base.join(said, [*PAGE, "ruby"], "left").withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long"))
+    out = base.join(read, [*PAGE, "ruby"], "left").withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long"))
     return out.select(*PAGE, "block", "k", "piece", "rt", "start")
 
 
